@@ -78,3 +78,106 @@ def connect_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
              .select(F.concat(F.lit("c:"), F.col("o_custkey").cast("string")).alias("a"),
                      F.concat(F.lit("s:"), F.col("l_suppkey").cast("string")).alias("b")))
     return tv.connect_pairs(fx.ent_edges(spark, sf_dir), pairs)
+
+
+# ------------------------------------------------------- graph reports ----
+
+@register("degrees_density")
+def degrees_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """GR10: out/in/total degree of every ENT node (isolated nodes included)."""
+    from graphloom.operators.graph import degrees
+    return degrees(fx.ent_nodes(spark, sf_dir), fx.ent_edges(spark, sf_dir))
+
+
+@register("graph_summary")
+def graph_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes, edges, edge density, isolated nodes of ENT."""
+    from graphloom.operators.graph import graph_summary as gs
+    return gs(fx.ent_nodes(spark, sf_dir), fx.ent_edges(spark, sf_dir))
+
+
+@register("edge_type_confidence_cube")
+def edge_type_confidence_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A10: ENT edges by type x confidence with CUBE sub-totals."""
+    from graphloom.operators.graph import edge_report_cube
+    return edge_report_cube(fx.ent_edges(spark, sf_dir))
+
+
+@register("edge_type_summary")
+def edge_type_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A3 + A4: edge type list and confidence counts of ENT."""
+    from graphloom.operators.graph import edge_type_summary as ets
+    return ets(fx.ent_edges(spark, sf_dir))
+
+
+@register("simple_graph")
+def simple_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """GR4 + J4: undirected simple graph of ENT."""
+    from graphloom.operators.graph import simple_graph as sg
+    return sg(fx.ent_nodes(spark, sf_dir), fx.ent_edges(spark, sf_dir))
+
+
+# --------------------------------------------------------------- vectors ----
+
+def _vector_topk(spark, sf_dir, metric):
+    from graphloom.operators.vectors import topk
+    v = fx.embedding_vectors(spark, sf_dir)
+    r = topk(v.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vec")),
+             v.select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vec")),
+             5, metric, exclude_self=True)
+    return r.select("query_id", "item_id", F.round("score", 6).alias("score"), "rank")
+
+
+@register("vector_topk_dot")
+def vector_topk_dot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K1: 5 nearest other vectors of every vector by dot product."""
+    return _vector_topk(spark, sf_dir, "dot")
+
+
+@register("vector_topk_l2")
+def vector_topk_l2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K1: 5 nearest other vectors of every vector by Euclidean distance."""
+    return _vector_topk(spark, sf_dir, "l2")
+
+
+@register("vector_topk_cosine")
+def vector_topk_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K1: 5 most cosine-similar other vectors of every vector."""
+    return _vector_topk(spark, sf_dir, "cosine")
+
+
+@register("vector_topk_communities")
+def vector_topk_communities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K2: 3 best community centroids (mean vector per label) for every vector."""
+    from graphloom.operators.vectors import centroids, topk
+    v = fx.embedding_vectors(spark, sf_dir)
+    cent = centroids(v.select("label", F.col("embedding").alias("vec")), "label")
+    r = topk(v.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vec")),
+             cent.select(F.col("label").alias("item_id"), "vec"), 3, "cosine")
+    return r.select("query_id", F.col("item_id").alias("community"),
+                    F.round("score", 6).alias("score"), "rank")
+
+
+@register("knn_graph")
+def knn_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """KNN fixture: undirected 5-NN graph over embeddings (dot product)."""
+    return fx.knn_edges(spark, sf_dir).select("src", "dst", F.round("score", 6).alias("score"))
+
+
+@register("modularity_labels")
+def modularity_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """GR8: modularity of the given ``label`` column on the KNN graph."""
+    from graphloom.operators.graph import modularity
+    return modularity(fx.knn_edges(spark, sf_dir).select("src", "dst"),
+                      fx.knn_labels(spark, sf_dir))
+
+
+KNN_COMPONENT_THRESHOLD = 0.35
+
+
+@register("connected_components")
+def connected_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """GR9: components of the KNN graph restricted to pairs with dot >= 0.35."""
+    from graphloom.operators.graph import connected_components as cc
+    e = fx.knn_edges(spark, sf_dir).filter(F.col("score") >= KNN_COMPONENT_THRESHOLD)
+    return cc(e.select("src", "dst"))

@@ -62,3 +62,116 @@ SELECT p.a, p.b, x.v AS via, 2 AS hops
 FROM pairs p JOIN adj x ON x.u = p.a JOIN adj y ON y.u = x.v AND y.v = p.b
 WHERE x.v <> p.a AND x.v <> p.b
 """
+
+ORACLE["degrees_density"] = f"""
+WITH {sv.ENT_NODES}, {sv.ENT_EDGES}
+SELECT n.node_id,
+       COALESCE(o.c, 0) AS out_degree, COALESCE(i.c, 0) AS in_degree,
+       COALESCE(o.c, 0) + COALESCE(i.c, 0) AS degree
+FROM (SELECT DISTINCT node_id FROM ent_nodes) n
+LEFT JOIN (SELECT source_node_id AS id, COUNT(*) AS c FROM ent_edges GROUP BY 1) o ON o.id = n.node_id
+LEFT JOIN (SELECT target_node_id AS id, COUNT(*) AS c FROM ent_edges GROUP BY 1) i ON i.id = n.node_id
+"""
+
+ORACLE["graph_summary"] = f"""
+WITH {sv.ENT_NODES}, {sv.ENT_EDGES},
+d AS (
+  SELECT n.node_id, COALESCE(o.c, 0) + COALESCE(i.c, 0) AS degree
+  FROM (SELECT DISTINCT node_id FROM ent_nodes) n
+  LEFT JOIN (SELECT source_node_id AS id, COUNT(*) AS c FROM ent_edges GROUP BY 1) o ON o.id = n.node_id
+  LEFT JOIN (SELECT target_node_id AS id, COUNT(*) AS c FROM ent_edges GROUP BY 1) i ON i.id = n.node_id)
+SELECT (SELECT COUNT(*) FROM d) AS n_nodes,
+       (SELECT COUNT(*) FROM ent_edges) AS n_edges,
+       round((SELECT COUNT(*) FROM ent_edges) / (SELECT COUNT(*) FROM d), 6) AS edge_density,
+       (SELECT COUNT(*) FROM d WHERE degree = 0) AS n_isolated
+"""
+
+ORACLE["edge_type_confidence_cube"] = f"""
+WITH {sv.ENT_EDGES}
+SELECT type, confidence, COUNT(*) AS n_edges FROM ent_edges GROUP BY CUBE (type, confidence)
+"""
+
+ORACLE["edge_type_summary"] = f"""
+WITH {sv.ENT_EDGES}
+SELECT array_to_string(list_sort(list_distinct(list(type))), ', ') AS edge_types,
+       count(*) FILTER (WHERE confidence = 'deterministic') AS n_deterministic,
+       count(*) FILTER (WHERE confidence = 'probabilistic') AS n_probabilistic,
+       count(*) FILTER (WHERE confidence = 'inferred') AS n_inferred,
+       count(*) FILTER (WHERE confidence IS NULL OR confidence NOT IN
+                        ('deterministic', 'probabilistic', 'inferred')) AS n_invalid
+FROM ent_edges
+"""
+
+ORACLE["simple_graph"] = f"""
+WITH {sv.ENT_NODES}, {sv.ENT_EDGES}
+SELECT DISTINCT least(source_node_id, target_node_id) AS src,
+       greatest(source_node_id, target_node_id) AS dst
+FROM ent_edges
+WHERE source_node_id IN (SELECT node_id FROM ent_nodes)
+  AND target_node_id IN (SELECT node_id FROM ent_nodes)
+"""
+
+
+def _topk_sql(score_expr: str, order: str) -> str:
+    return f"""
+WITH emb AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+p AS (SELECT a.vec_id AS query_id, b.vec_id AS item_id, {score_expr} AS score
+      FROM emb a JOIN emb b ON a.vec_id <> b.vec_id),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score {order}, item_id)
+                     AS INTEGER) AS rank FROM p)
+SELECT query_id, item_id, round(score, 6) AS score, rank FROM r WHERE rank <= 5
+"""
+
+
+ORACLE["vector_topk_dot"] = _topk_sql("list_dot_product(a.v, b.v)", "DESC")
+ORACLE["vector_topk_l2"] = _topk_sql("list_distance(a.v, b.v)", "ASC")
+ORACLE["vector_topk_cosine"] = _topk_sql("list_cosine_similarity(a.v, b.v)", "DESC")
+
+ORACLE["vector_topk_communities"] = """
+WITH x AS (SELECT label, unnest(CAST(embedding AS DOUBLE[])) AS x,
+                  generate_subscripts(embedding, 1) AS pos FROM embeddings),
+cent AS (SELECT label, list(m ORDER BY pos) AS v
+         FROM (SELECT label, pos, avg(x) AS m FROM x GROUP BY label, pos) t GROUP BY label),
+p AS (SELECT e.vec_id AS query_id, c.label AS community,
+             list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), c.v) AS score
+      FROM embeddings e JOIN cent c ON TRUE),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, community)
+                     AS INTEGER) AS rank FROM p)
+SELECT query_id, CAST(community AS BIGINT) AS community, round(score, 6) AS score, rank
+FROM r WHERE rank <= 3
+"""
+
+ORACLE["knn_graph"] = f"""
+WITH {sv.KNN}
+SELECT src, dst, round(score, 6) AS score FROM knn
+"""
+
+ORACLE["modularity_labels"] = f"""
+WITH {sv.KNN},
+lab AS (SELECT vec_id AS id, label AS comm FROM embeddings),
+m AS (SELECT COUNT(*) AS m FROM knn),
+lc AS (SELECT a.comm, COUNT(*) AS l_c FROM knn JOIN lab a ON a.id = knn.src
+       JOIN lab b ON b.id = knn.dst WHERE a.comm = b.comm GROUP BY a.comm),
+dc AS (SELECT lab.comm, COUNT(*) AS d_c
+       FROM (SELECT src AS id FROM knn UNION ALL SELECT dst FROM knn) e JOIN lab ON lab.id = e.id
+       GROUP BY lab.comm),
+per AS (SELECT c.comm, COALESCE(l_c, 0) AS l_c, COALESCE(d_c, 0) AS d_c
+        FROM (SELECT DISTINCT comm FROM lab) c LEFT JOIN lc ON lc.comm = c.comm
+        LEFT JOIN dc ON dc.comm = c.comm)
+SELECT COUNT(*) AS n_communities, (SELECT m FROM m) AS n_edges,
+       round(SUM(l_c) / (SELECT m FROM m)
+             - SUM(CAST(d_c AS DOUBLE) * d_c) / (4.0 * (SELECT m FROM m) * (SELECT m FROM m)), 9)
+         AS modularity
+FROM per
+"""
+
+ORACLE["connected_components"] = f"""
+WITH RECURSIVE {sv.KNN},
+th AS (SELECT src, dst FROM knn WHERE score >= 0.35 AND src <> dst),
+adj AS (SELECT src AS u, dst AS v FROM th UNION SELECT dst, src FROM th),
+reach(id, r) AS (
+  SELECT DISTINCT u, u FROM adj
+  UNION
+  SELECT reach.id, adj.v FROM reach JOIN adj ON adj.u = reach.r)
+SELECT id, MIN(r) AS component FROM reach GROUP BY id
+"""

@@ -96,3 +96,14 @@ def visited_edges_sql(direction: str, depth: int) -> str:
                 "GROUP BY root_id, edge_id, source_node_id, target_node_id, type, confidence")
     return ("SELECT root_id, edge_id, source_node_id, target_node_id, type, confidence, hop, "
             "CAST(1 AS BIGINT) AS times_seen FROM (" + rows + ") t")
+
+
+KNN = """emb AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, label FROM embeddings),
+nn AS (
+  SELECT q, i, s FROM (
+    SELECT a.vec_id AS q, b.vec_id AS i, list_dot_product(a.v, b.v) AS s,
+           row_number() OVER (PARTITION BY a.vec_id
+                              ORDER BY list_dot_product(a.v, b.v) DESC, b.vec_id) AS rn
+    FROM emb a JOIN emb b ON a.vec_id <> b.vec_id) t
+  WHERE rn <= 5),
+knn AS (SELECT least(q, i) AS src, greatest(q, i) AS dst, max(s) AS score FROM nn GROUP BY 1, 2)"""

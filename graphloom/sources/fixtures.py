@@ -88,3 +88,22 @@ def ent_roots(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
                    "part": ("p:", "p_partkey"), "orders": ("o:", "o_orderkey")}[table]
     return read_table(spark, sf_dir, table).select(
         F.concat(F.lit(prefix), _s(key)).alias("root_id"))
+
+
+# ---------------------------------------------------------------- KNN ----
+
+def embedding_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``vec_id, embedding, label`` straight from the embeddings table."""
+    return read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+
+
+def knn_edges(spark: SparkSession, sf_dir: str, k: int = 5) -> DataFrame:
+    """KNN: undirected k-nearest-neighbour graph (dot product), ``src < dst`` and score."""
+    from graphloom.operators.vectors import knn_graph
+    return knn_graph(embedding_vectors(spark, sf_dir), k=k, metric="dot")
+
+
+def knn_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The given labelling of the KNN nodes: ``id, comm``."""
+    return embedding_vectors(spark, sf_dir).select(F.col("vec_id").alias("id"),
+                                                   F.col("label").alias("comm"))
