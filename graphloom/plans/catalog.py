@@ -181,3 +181,47 @@ def connected_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphloom.operators.graph import connected_components as cc
     e = fx.knn_edges(spark, sf_dir).filter(F.col("score") >= KNN_COMPONENT_THRESHOLD)
     return cc(e.select("src", "dst"))
+
+
+# ----------------------------------------------------------- corrections ----
+
+@register("corrections_capture")
+def corrections_capture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Corrections captured from dialogue turns (user right after assistant)."""
+    return fx.cor_corrections(spark, sf_dir).select(
+        "correction_id", "session_id", "target_type", "target_id", "original", "corrected")
+
+
+@register("corrections_search")
+def corrections_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark question against every captured correction (exact rule)."""
+    from graphloom.operators.corrections import search_corrections
+    return search_corrections(fx.benchmark_questions(spark, sf_dir),
+                              fx.cor_corrections(spark, sf_dir))
+
+
+@register("corrections_by_source")
+def corrections_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J3 + A7: corrections of the document nodes of every source file."""
+    from graphloom.operators.corrections import corrections_by_file
+    nodes = fx.doc_nodes(spark, sf_dir)
+    files = nodes.select("source_file")
+    return corrections_by_file(files, nodes, fx.cor_corrections(spark, sf_dir, doc_target=True))
+
+
+CORRECTION_SPLIT_TURN = 4
+
+
+@register("correction_before_after")
+def correction_before_after(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """question/correction matches that appear only after later turns are captured.
+
+    "Before" holds the corrections captured from turns < 4 of each dialogue,
+    "after" all of them; the result is after EXCEPT before.
+    """
+    from graphloom.operators.corrections import search_corrections
+    q = fx.benchmark_questions(spark, sf_dir)
+    cor = fx.cor_corrections(spark, sf_dir)
+    before = search_corrections(q, cor.filter(F.col("turn") < CORRECTION_SPLIT_TURN))
+    after = search_corrections(q, cor)
+    return after.join(before, ["question_id", "correction_id"], "left_anti")

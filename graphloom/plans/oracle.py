@@ -175,3 +175,28 @@ reach(id, r) AS (
   SELECT reach.id, adj.v FROM reach JOIN adj ON adj.u = reach.r)
 SELECT id, MIN(r) AS component FROM reach GROUP BY id
 """
+
+ORACLE["corrections_capture"] = f"""
+WITH {sv.COR}
+SELECT correction_id, session_id, target_type, target_id, original, corrected FROM cor
+"""
+
+ORACLE["corrections_search"] = f"""
+WITH {sv.COR}, {sv.QWORDS}
+{sv.search_sql()}
+"""
+
+ORACLE["corrections_by_source"] = f"""
+WITH {sv.COR}
+SELECT d.source AS source_file, 'doc:' || CAST(d.doc_id AS VARCHAR) AS node_id,
+       c.correction_id, c.original, c.corrected
+FROM cor c
+JOIN documents d ON d.doc_id = c.conv_id % (SELECT COUNT(*) FROM documents)
+"""
+
+ORACLE["correction_before_after"] = f"""
+WITH {sv.COR}, {sv.QWORDS}
+({sv.search_sql()})
+EXCEPT
+({sv.search_sql('turn < 4')})
+"""

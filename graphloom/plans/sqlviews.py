@@ -107,3 +107,28 @@ nn AS (
     FROM emb a JOIN emb b ON a.vec_id <> b.vec_id) t
   WHERE rn <= 5),
 knn AS (SELECT least(q, i) AS src, greatest(q, i) AS dst, max(s) AS score FROM nn GROUP BY 1, 2)"""
+
+
+COR = """cor AS (
+  SELECT CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) AS correction_id,
+         CAST(conv_id AS VARCHAR) AS session_id, 'node' AS target_type,
+         'conv:' || CAST(conv_id AS VARCHAR) AS target_id,
+         prev_text AS original, text AS corrected, conv_id, turn
+  FROM (SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS prev_role,
+               lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS prev_text
+        FROM conversations) t
+  WHERE role = 'user' AND prev_role = 'assistant')"""
+
+QWORDS = """qw AS (
+  SELECT DISTINCT item_id AS question_id, w AS word
+  FROM (SELECT item_id, unnest(regexp_split_to_array(lower(text), '\\s+')) AS w FROM benchmark) t
+  WHERE length(w) > 2)"""
+
+
+def search_sql(cor_filter: str = "TRUE") -> str:
+    return f"""SELECT DISTINCT qw.question_id, c.correction_id
+FROM qw JOIN (SELECT correction_id,
+                     lower(concat_ws(' ', COALESCE(original, ''), COALESCE(corrected, ''),
+                                     COALESCE(target_id, ''))) AS s
+              FROM cor WHERE {cor_filter}) c
+  ON contains(c.s, qw.word)"""

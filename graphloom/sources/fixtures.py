@@ -107,3 +107,43 @@ def knn_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The given labelling of the KNN nodes: ``id, comm``."""
     return embedding_vectors(spark, sf_dir).select(F.col("vec_id").alias("id"),
                                                    F.col("label").alias("comm"))
+
+
+# ---------------------------------------------------------------- COR ----
+
+def cor_corrections(spark: SparkSession, sf_dir: str, doc_target: bool = False) -> DataFrame:
+    """COR: corrections captured from the dialogue table.
+
+    ``doc_target`` points each correction at a document node instead,
+    ``'doc:' || (conv_id % number of documents)`` (the J3 variant).
+    """
+    from graphloom.operators.corrections import capture_from_dialogue
+    turns = read_table(spark, sf_dir, "conversations")
+    cor = capture_from_dialogue(turns)
+    if doc_target:
+        n_docs = read_table(spark, sf_dir, "documents").count()  # one scalar
+        cor = cor.withColumn("target_id", F.concat(
+            F.lit("doc:"), F.pmod(F.col("conv_id"), F.lit(n_docs)).cast("string")))
+    return cor
+
+
+def benchmark_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions table: every benchmark item is a question."""
+    return read_table(spark, sf_dir, "benchmark").select(
+        F.col("item_id").alias("question_id"), "text")
+
+
+# --------------------------------------------------------------- DOCN ----
+
+def doc_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """DOCN: one node per document; embedding from the embeddings table when present."""
+    docs = read_table(spark, sf_dir, "documents")
+    emb = read_table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("doc_id"), "embedding")
+    return (docs.join(emb, "doc_id", "left")
+            .select(F.concat(F.lit("doc:"), _s("doc_id")).alias("node_id"),
+                    F.col("lang").alias("language"), F.col("source").alias("source_file"),
+                    F.lit("document").alias("chunk_type"), F.col("text").alias("raw_cleaned"),
+                    F.substring("text", 1, 400).alias("summary"),
+                    F.lit(None).cast("string").alias("community_id"), "embedding",
+                    "doc_id"))
