@@ -225,3 +225,74 @@ def correction_before_after(spark: SparkSession, sf_dir: str) -> DataFrame:
     before = search_corrections(q, cor.filter(F.col("turn") < CORRECTION_SPLIT_TURN))
     after = search_corrections(q, cor)
     return after.join(before, ["question_id", "correction_id"], "left_anti")
+
+
+# ---------------------------------------------------------------- ledger ----
+
+def _runlog_rollup(spark, sf_dir, key):
+    from graphloom.operators.ledger import aggregate_runs
+    a = aggregate_runs(fx.run_log(spark, sf_dir), key)
+    return a.withColumn("cost_usd", F.round("cost_usd", 6).cast("double"))
+
+
+@register("runlog_aggregate")
+def runlog_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A1: run-log roll-up by orchestrator model (missing -> 'unknown')."""
+    return _runlog_rollup(spark, sf_dir, "orchestrator_model")
+
+
+@register("runlog_aggregate_sprint")
+def runlog_aggregate_sprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A1: run-log roll-up by sprint."""
+    return _runlog_rollup(spark, sf_dir, "sprint")
+
+
+@register("runlog_filter")
+def runlog_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prompt v003, suite prefix 'click', model containing '-1', passed is true."""
+    from graphloom.operators.ledger import filter_runs
+    r = filter_runs(fx.run_log(spark, sf_dir), prompt="v003", suite_prefix="click",
+                    model_substring="-1", passed=True)
+    return r.select("event_id", "sprint", "prompt_version", "suite_version",
+                    "orchestrator_model", "passed")
+
+
+@register("runlog_failed_canonical")
+def runlog_failed_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P13 + P14: failed (false, not null) canonical runs of sprint 'view'."""
+    from graphloom.operators.ledger import filter_runs
+    r = filter_runs(fx.run_log(spark, sf_dir), sprint="view", failed=True, canonical=True)
+    return r.select("event_id", "sprint", "passed", "canonical")
+
+
+@register("run_numbers")
+def run_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Run number of every run, ordered by (ts, event_id), without a one-partition window."""
+    from graphloom.operators.ledger import global_row_number
+    r = fx.run_log(spark, sf_dir).select("event_id", "ts")
+    return global_row_number(r, ["ts", "event_id"]).select("event_id", "run_num")
+
+
+@register("suite_fingerprint")
+def suite_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A11 + F6 + W3: fingerprint per (source, lang) snapshot, versions per source."""
+    from graphloom.operators.ledger import assign_versions, content_fingerprint
+    from graphloom.session import read_table
+    docs = read_table(spark, sf_dir, "documents").select("source", "lang", "doc_id", "text")
+    snaps = content_fingerprint(docs.withColumn("snap", F.struct("source", "lang")),
+                                "snap", "doc_id", "text")
+    snaps = snaps.select(F.col("snap.source").alias("source"), F.col("snap.lang").alias("lang"),
+                         "n_files", "fingerprint")
+    return assign_versions(snaps, "source", "lang").select(
+        "source", "lang", "n_files", "fingerprint", "version")
+
+
+@register("version_notes")
+def version_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W2 + F12: change notes per dialogue turn (suite = conversation, name = role)."""
+    from graphloom.operators.ledger import version_notes as vn
+    from graphloom.session import read_table
+    c = read_table(spark, sf_dir, "conversations").select(
+        F.col("conv_id").alias("suite"), F.col("turn").alias("version_no"),
+        F.col("role").alias("name"), F.col("text").alias("content"))
+    return vn(c)

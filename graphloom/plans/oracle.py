@@ -200,3 +200,67 @@ WITH {sv.COR}, {sv.QWORDS}
 EXCEPT
 ({sv.search_sql('turn < 4')})
 """
+
+ORACLE["runlog_aggregate"] = f"WITH {sv.RUN}\n{sv.rollup_sql('orchestrator_model')}"
+ORACLE["runlog_aggregate_sprint"] = f"WITH {sv.RUN}\n{sv.rollup_sql('sprint')}"
+
+ORACLE["runlog_filter"] = f"""
+WITH {sv.RUN}
+SELECT event_id, sprint, prompt_version, suite_version, orchestrator_model, passed FROM runs
+WHERE prompt_version = 'v003' AND starts_with(COALESCE(suite_version, ''), 'click')
+  AND contains(COALESCE(orchestrator_model, ''), '-1') AND passed IS TRUE
+"""
+
+ORACLE["runlog_failed_canonical"] = f"""
+WITH {sv.RUN}
+SELECT event_id, sprint, passed, canonical FROM runs
+WHERE sprint = 'view' AND passed IS FALSE AND canonical IS TRUE
+"""
+
+ORACLE["run_numbers"] = """
+SELECT event_id, row_number() OVER (ORDER BY ts, event_id) AS run_num FROM events
+"""
+
+ORACLE["suite_fingerprint"] = """
+WITH f AS (
+  SELECT source, lang, sha256(CAST(doc_id AS VARCHAR) || ':' || chr(10) || COALESCE(text, '')) AS h
+  FROM documents),
+s AS (
+  SELECT source, lang, COUNT(*) AS n_files,
+         SUM(CAST(('0x' || substr(h, 1, 15)) AS HUGEINT)) AS s_hi,
+         SUM(CAST(('0x' || substr(h, 16, 15)) AS HUGEINT)) AS s_lo
+  FROM f GROUP BY source, lang),
+fp AS (
+  SELECT source, lang, n_files,
+         substr(sha256(CAST(n_files AS VARCHAR) || '|' || CAST(s_hi AS VARCHAR) || '|'
+                       || CAST(s_lo AS VARCHAR)), 1, 8) AS fingerprint
+  FROM s),
+ver AS (
+  SELECT source, fingerprint, MIN(lang) AS first_seen FROM fp GROUP BY source, fingerprint)
+SELECT fp.source, fp.lang, fp.n_files, fp.fingerprint,
+       fp.source || '_v' || lpad(CAST(row_number() OVER (PARTITION BY ver.source
+                                   ORDER BY ver.first_seen, ver.fingerprint) AS VARCHAR), 3, '0')
+         AS version
+FROM fp JOIN ver ON ver.source = fp.source AND ver.fingerprint = fp.fingerprint
+"""
+
+ORACLE["version_notes"] = """
+WITH p AS (SELECT conv_id AS suite, turn AS v, role AS name, text AS content FROM conversations),
+vs AS (SELECT DISTINCT suite, v FROM p),
+f AS (SELECT suite, MIN(v) AS v0 FROM p GROUP BY suite),
+items AS (
+  SELECT c.suite, c.v, c.name,
+         CASE WHEN prev.content IS NULL AND EXISTS (SELECT 1 FROM p x WHERE x.suite = c.suite AND x.v = c.v - 1)
+                THEN c.name || ' (new)'
+              WHEN prev.content IS NOT NULL AND prev.content <> c.content
+                THEN c.name || ' (' || printf('%+d', length(c.content) - length(prev.content)) || ' chars)'
+         END AS item
+  FROM p c LEFT JOIN p prev ON prev.suite = c.suite AND prev.v = c.v - 1 AND prev.name = c.name),
+ch AS (SELECT suite, v, string_agg(item, ', ' ORDER BY name, item) AS items
+       FROM items WHERE item IS NOT NULL GROUP BY suite, v)
+SELECT vs.suite, vs.v AS version_no,
+       CASE WHEN vs.v = f.v0 THEN 'Initial prompt snapshot.'
+            WHEN ch.items IS NOT NULL THEN 'Changed: ' || ch.items || '.'
+            ELSE 'No detected changes.' END AS note
+FROM vs JOIN f ON f.suite = vs.suite LEFT JOIN ch ON ch.suite = vs.suite AND ch.v = vs.v
+"""

@@ -132,3 +132,31 @@ FROM qw JOIN (SELECT correction_id,
                                      COALESCE(target_id, ''))) AS s
               FROM cor WHERE {cor_filter}) c
   ON contains(c.s, qw.word)"""
+
+
+RUN = """runs AS (
+  SELECT event_id, ts, strftime(ts, '%Y-%m-%d %H:%M:%S') AS timestamp, event_type AS sprint,
+         'v00' || CAST(user_id % 7 AS VARCHAR) AS prompt_version,
+         CASE WHEN event_id % 11 = 0 THEN NULL ELSE event_type || '_v001' END AS suite_version,
+         CASE WHEN user_id % 5 = 0 THEN NULL ELSE 'model-' || CAST(user_id % 3 AS VARCHAR) END
+           AS orchestrator_model,
+         CASE WHEN event_id % 13 = 0 THEN NULL ELSE value > 20 END AS passed,
+         CAST(value AS DECIMAL(18,6)) AS cost_usd,
+         CAST(json_extract_string(props, '$.k') AS BIGINT) AS in_tokens,
+         event_id % 1000 AS out_tokens, event_id % 50 AS nodes, event_id % 30 AS edges,
+         'runs/' || CAST(event_id AS VARCHAR) AS run_dir,
+         (event_id % 17 = 0) AS canonical
+  FROM events)"""
+
+
+def rollup_sql(key: str) -> str:
+    return f"""SELECT COALESCE(CAST({key} AS VARCHAR), 'unknown') AS {key},
+       COUNT(*) AS runs,
+       COUNT(*) FILTER (WHERE passed IS TRUE) AS passed,
+       COUNT(*) FILTER (WHERE passed IS NOT TRUE) AS failed,
+       CAST(ROUND(SUM(COALESCE(cost_usd, 0)), 6) AS DOUBLE) AS cost_usd,
+       CAST(SUM(COALESCE(in_tokens, 0)) AS BIGINT) AS in_tokens,
+       CAST(SUM(COALESCE(out_tokens, 0)) AS BIGINT) AS out_tokens,
+       CAST(SUM(COALESCE(nodes, 0)) AS BIGINT) AS total_nodes,
+       CAST(SUM(COALESCE(edges, 0)) AS BIGINT) AS total_edges
+FROM runs GROUP BY 1"""

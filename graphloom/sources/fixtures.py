@@ -147,3 +147,31 @@ def doc_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.substring("text", 1, 400).alias("summary"),
                     F.lit(None).cast("string").alias("community_id"), "embedding",
                     "doc_id"))
+
+
+# ---------------------------------------------------------------- RUN ----
+
+def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """RUN: a run log derived from the events table (one run per event)."""
+    ev = read_table(spark, sf_dir, "events")
+    eid, uid = F.col("event_id"), F.col("user_id")
+    return ev.select(
+        "event_id", "ts",
+        F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("timestamp"),
+        F.col("event_type").alias("sprint"),
+        F.concat(F.lit("v00"), F.pmod(uid, F.lit(7)).cast("string")).alias("prompt_version"),
+        F.when(F.pmod(eid, F.lit(11)) == 0, F.lit(None).cast("string"))
+        .otherwise(F.concat(F.col("event_type"), F.lit("_v001"))).alias("suite_version"),
+        F.when(F.pmod(uid, F.lit(5)) == 0, F.lit(None).cast("string"))
+        .otherwise(F.concat(F.lit("model-"), F.pmod(uid, F.lit(3)).cast("string")))
+        .alias("orchestrator_model"),
+        F.when(F.pmod(eid, F.lit(13)) == 0, F.lit(None).cast("boolean"))
+        .otherwise(F.col("value") > 20).alias("passed"),
+        F.col("value").cast("decimal(18,6)").alias("cost_usd"),
+        F.get_json_object("props", "$.k").cast("long").alias("in_tokens"),
+        F.pmod(eid, F.lit(1000)).cast("long").alias("out_tokens"),
+        F.pmod(eid, F.lit(50)).cast("long").alias("nodes"),
+        F.pmod(eid, F.lit(30)).cast("long").alias("edges"),
+        F.concat(F.lit("runs/"), eid.cast("string")).alias("run_dir"),
+        (F.pmod(eid, F.lit(17)) == 0).alias("canonical"),
+    )
