@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from graphloom.session import cut_lineage
 
 DEC = "decimal(38,0)"
-_DEBUG = False
+_DEBUG = False  # print one line per round (scalars only)
 
 
 def _strength(arcs: DataFrame, loops: DataFrame) -> DataFrame:

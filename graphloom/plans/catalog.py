@@ -296,3 +296,41 @@ def version_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("conv_id").alias("suite"), F.col("turn").alias("version_no"),
         F.col("role").alias("name"), F.col("text").alias("content"))
     return vn(c)
+
+
+# ----------------------------------------------------------- communities ----
+
+def _knn_component_labels(spark, sf_dir):
+    """CC of the thresholded KNN graph over all vectors (isolated ones alone)."""
+    from graphloom.operators.graph import connected_components as cc
+    v = fx.embedding_vectors(spark, sf_dir).select(F.col("vec_id").alias("node_id"))
+    e = fx.knn_edges(spark, sf_dir).filter(F.col("score") >= KNN_COMPONENT_THRESHOLD)
+    lab = cc(e.select("src", "dst"), nodes=v)
+    return lab.select(F.concat(F.lit("doc:"), F.col("id").cast("string")).alias("node_id"),
+                      F.concat(F.lit("doc:"), F.col("component").cast("string")).alias("comm"))
+
+
+@register("louvain_communities")
+def louvain_communities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """GR5: Louvain communities of the KNN graph (no SQL oracle: iterative)."""
+    from graphloom.operators.louvain import louvain
+    v = fx.embedding_vectors(spark, sf_dir).select(F.col("vec_id").alias("id"))
+    m, _ = louvain(fx.knn_edges(spark, sf_dir).select("src", "dst"), nodes=v)
+    return m.select("id", "community")
+
+
+@register("community_members")
+def community_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """GR6 + A8 + U4 + K8: member rows of the KNN components (singletons dropped)."""
+    from graphloom.operators.communities import community_rows
+    return community_rows(_knn_component_labels(spark, sf_dir), fx.doc_nodes(spark, sf_dir))
+
+
+@register("membership_writeback")
+def membership_writeback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Community ids written back to the document nodes."""
+    from graphloom.operators.communities import community_rows, write_back_membership
+    nodes = fx.doc_nodes(spark, sf_dir)
+    members = community_rows(_knn_component_labels(spark, sf_dir), nodes)
+    return write_back_membership(nodes, members.select("node_id", "community_id")).select(
+        "node_id", "community_id")

@@ -264,3 +264,17 @@ SELECT vs.suite, vs.v AS version_no,
             ELSE 'No detected changes.' END AS note
 FROM vs JOIN f ON f.suite = vs.suite LEFT JOIN ch ON ch.suite = vs.suite AND ch.v = vs.v
 """
+
+ORACLE["community_members"] = f"""
+WITH RECURSIVE {sv.KNN}, {sv.KNN_COMPONENTS}
+SELECT m.community_id, m.level, m.n_members, m.node_id, d.source AS source_file,
+       CASE WHEN d.doc_id IS NULL THEN NULL ELSE 'document' END AS chunk_type,
+       substring(COALESCE(substring(d.text, 1, 400), ''), 1, 400) AS summary
+FROM members m LEFT JOIN documents d ON d.doc_id = m.vec_id
+"""
+
+ORACLE["membership_writeback"] = f"""
+WITH RECURSIVE {sv.KNN}, {sv.KNN_COMPONENTS}
+SELECT 'doc:' || CAST(d.doc_id AS VARCHAR) AS node_id, m.community_id
+FROM documents d LEFT JOIN members m ON m.vec_id = d.doc_id
+"""

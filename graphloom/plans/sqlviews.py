@@ -160,3 +160,23 @@ def rollup_sql(key: str) -> str:
        CAST(SUM(COALESCE(nodes, 0)) AS BIGINT) AS total_nodes,
        CAST(SUM(COALESCE(edges, 0)) AS BIGINT) AS total_edges
 FROM runs GROUP BY 1"""
+
+
+KNN_COMPONENTS = """th AS (SELECT src, dst FROM knn WHERE score >= 0.35 AND src <> dst),
+adj AS (SELECT src AS u, dst AS v FROM th UNION SELECT dst, src FROM th),
+reach(id, r) AS (
+  SELECT DISTINCT u, u FROM adj
+  UNION
+  SELECT reach.id, adj.v FROM reach JOIN adj ON adj.u = reach.r),
+comp AS (
+  SELECT e.vec_id AS id, COALESCE(MIN(reach.r), e.vec_id) AS component
+  FROM embeddings e LEFT JOIN reach ON reach.id = e.vec_id GROUP BY e.vec_id),
+sizes AS (SELECT component, COUNT(*) AS n_members,
+                 MIN('doc:' || CAST(id AS VARCHAR)) AS first_member
+          FROM comp GROUP BY component),
+keep AS (SELECT * FROM sizes WHERE n_members > 1
+         OR (SELECT MAX(n_members) FROM sizes) = 1),
+members AS (
+  SELECT 'comm:' || k.first_member AS community_id, 0 AS level, k.n_members,
+         'doc:' || CAST(c.id AS VARCHAR) AS node_id, c.id AS vec_id
+  FROM comp c JOIN keep k ON k.component = c.component)"""
