@@ -334,3 +334,122 @@ def membership_writeback(spark: SparkSession, sf_dir: str) -> DataFrame:
     members = community_rows(_knn_component_labels(spark, sf_dir), nodes)
     return write_back_membership(nodes, members.select("node_id", "community_id")).select(
         "node_id", "community_id")
+
+
+# ----------------------------------------------- extraction, files, gaps ----
+
+@register("html_chunks")
+def html_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles, headings, links and paragraphs of every page."""
+    from graphloom.operators.extract import html_chunks as hc
+    from graphloom.session import read_table
+    return hc(read_table(spark, sf_dir, "pages"))
+
+
+@register("unresolved_links")
+def unresolved_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """LNK edges whose target is not a known node, by type and confidence."""
+    from graphloom.operators.gaps import unresolved_edges
+    return unresolved_edges(fx.lnk_nodes(spark, sf_dir), fx.lnk_edges(spark, sf_dir))
+
+
+@register("gap_report")
+def gap_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G2 + G3 + G4: one long table of gaps (files without extractor, unresolved
+    and low-confidence edges)."""
+    from graphloom.operators.gaps import gap_report as gr
+    from graphloom.operators.extract import match_extractors
+    _, unmatched = match_extractors(fx.document_files(spark, sf_dir), fx.registry(spark))
+    return gr(unmatched_files=unmatched, nodes=fx.lnk_nodes(spark, sf_dir),
+              edges=fx.lnk_edges(spark, sf_dir), scored_edges=fx.ent_edges(spark, sf_dir))
+
+
+@register("cross_site_segment_match")
+def cross_site_segment_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J9 + F13: links matched to page paths (exact) or to a route's first segment."""
+    from graphloom.operators.infer import route_matches
+    return route_matches(fx.lnk_nodes(spark, sf_dir), fx.lnk_edges(spark, sf_dir))
+
+
+@register("registry_match")
+def registry_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P4 + J6: every document file with the extractor registered for its type."""
+    from graphloom.operators.extract import match_extractors
+    matched, _ = match_extractors(fx.document_files(spark, sf_dir), fx.registry(spark))
+    return matched.select("doc_id", "file_type", "skill_id")
+
+
+@register("files_without_extractor")
+def files_without_extractor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number of document files per type that no extractor covers."""
+    from graphloom.operators.extract import match_extractors
+    _, unmatched = match_extractors(fx.document_files(spark, sf_dir), fx.registry(spark))
+    return unmatched.groupBy("file_type").agg(F.count(F.lit(1)).alias("n_files"))
+
+
+@register("ext_language_map")
+def ext_language_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P7 + F2: extension and language of every document file path."""
+    from graphloom.functions.text import ext_language, extension
+    f = fx.document_files(spark, sf_dir)
+    return f.select("doc_id", "path", extension("path").alias("ext"),
+                    ext_language(extension("path")).alias("language"))
+
+
+def _contract_nodes(spark, sf_dir):
+    d = fx.doc_nodes(spark, sf_dir)
+    did = F.col("doc_id")
+    return d.select(
+        "node_id", "language", "source_file", "raw_cleaned", "doc_id",
+        F.when(F.pmod(did, F.lit(11)) == 0, F.lit(None).cast("string"))
+        .otherwise(F.col("chunk_type")).alias("chunk_type"),
+        F.when(F.pmod(did, F.lit(9)) == 0, F.lit("")).otherwise(F.col("summary")).alias("summary"),
+        F.array(
+            F.struct(F.concat(F.lit("src:"), F.col("source_file")).alias("target"),
+                     F.lit("BELONGS_TO").alias("type"),
+                     F.element_at(F.array(F.lit("deterministic"), F.lit("probabilistic"),
+                                          F.lit("bogus"), F.lit(None).cast("string")),
+                                  (F.pmod(did, F.lit(4)) + 1).cast("int")).alias("confidence"),
+                     F.lit("source").alias("evidence")),
+            F.struct(F.when(F.pmod(did, F.lit(5)) == 0, F.lit(""))
+                     .otherwise(F.concat(F.lit("lang:"), F.col("language"))).alias("target"),
+                     F.lit("WRITTEN_IN").alias("type"),
+                     F.lit("inferred").alias("confidence"),
+                     F.lit("lang").alias("evidence"))).alias("edges"))
+
+
+@register("contract_validation")
+def contract_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P10 + P12: document chunks with blanked fields split into valid / rejected."""
+    from graphloom.operators.extract import validate_nodes
+    valid, rejected = validate_nodes(_contract_nodes(spark, sf_dir).drop("edges", "doc_id"))
+    return (valid.select("node_id", F.lit(True).alias("valid"), F.lit("").alias("errors"))
+            .unionByName(rejected.select("node_id", F.lit(False).alias("valid"),
+                                         F.array_join("errors", ", ").alias("errors"))))
+
+
+@register("inline_edges")
+def inline_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P15 + P9 + P8: inline edges exploded, empty targets skipped, confidence coerced."""
+    from graphloom.operators.extract import explode_inline_edges
+    return explode_inline_edges(_contract_nodes(spark, sf_dir))
+
+
+@register("json_repair")
+def json_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """model-style responses built from every dialogue turn (code fence,
+    triple-quoted value, raw newlines in strings) repaired and parsed."""
+    from graphloom.functions.text import repair_json
+    from graphloom.session import read_table
+    c = read_table(spark, sf_dir, "conversations")
+    raw = F.concat(F.lit("```json\n{\"conv\": "), F.col("conv_id").cast("string"),
+                   F.lit(", \"turn\": "), F.col("turn").cast("string"),
+                   F.lit(", \"role\": \"\"\""), F.col("role"),
+                   F.lit("\"\"\", \"text\": \""), F.col("text"), F.lit("\"}\n```"))
+    schema = "conv long, turn long, role string, text string"
+    parsed = c.select("conv_id", "turn", "text",
+                      F.from_json(repair_json(raw), schema).alias("j"))
+    return parsed.select(
+        "conv_id", "turn", F.col("j.role").alias("role"),
+        (F.col("j.conv").isNotNull() & (F.col("j.conv") == F.col("conv_id"))).alias("parsed"),
+        F.coalesce(F.col("j.text") == F.col("text"), F.lit(False)).alias("text_ok"))

@@ -278,3 +278,116 @@ WITH RECURSIVE {sv.KNN}, {sv.KNN_COMPONENTS}
 SELECT 'doc:' || CAST(d.doc_id AS VARCHAR) AS node_id, m.community_id
 FROM documents d LEFT JOIN members m ON m.vec_id = d.doc_id
 """
+
+
+def _html_part(kind: str, pattern: str) -> str:
+    return f"""SELECT page_id, '{kind}' AS chunk_type, CAST(pos AS INTEGER) AS ordinal, m[pos] AS content
+FROM (SELECT page_id, regexp_extract_all(html, '{pattern}', 1) AS m FROM pages) p,
+     LATERAL (SELECT unnest(generate_series(1, len(p.m))) AS pos) g"""
+
+
+ORACLE["html_chunks"] = "\nUNION ALL\n".join([
+    _html_part("title", "(?is)<title[^>]*>(.*?)</title>"),
+    _html_part("heading", "(?is)<h[1-6][^>]*>(.*?)</h[1-6]>"),
+    _html_part("link", sv.LINK_RX),
+    _html_part("paragraph", "(?is)<p(?:\\s[^>]*)?>(.*?)</p>"),
+])
+
+ORACLE["unresolved_links"] = f"""
+WITH {sv.LNK}
+SELECT type, confidence, COUNT(*) AS n_edges,
+       COUNT(*) FILTER (WHERE target_node_id NOT IN (SELECT node_id FROM lnk_nodes)) AS n_unresolved
+FROM lnk_edges GROUP BY type, confidence
+"""
+
+ORACLE["gap_report"] = f"""
+WITH {sv.LNK}, {sv.DOC_FILES}, {sv.REG}, {sv.ENT_EDGES}
+SELECT 'no_extractor' AS section, file_type AS key, COUNT(*) AS n
+FROM files WHERE file_type NOT IN (SELECT file_type FROM reg) GROUP BY file_type
+UNION ALL
+SELECT 'unresolved', type || '/' || confidence,
+       COUNT(*) FILTER (WHERE target_node_id NOT IN (SELECT node_id FROM lnk_nodes))
+FROM lnk_edges GROUP BY type, confidence
+UNION ALL
+SELECT 'low_confidence', type, COUNT(*) FROM ent_edges WHERE confidence = 'inferred' GROUP BY type
+"""
+
+ORACLE["cross_site_segment_match"] = f"""
+WITH {sv.LNK},
+segs AS (SELECT {sv.FIRST_SEG.format(c='node_id')} AS segment, COUNT(*) AS n_routes
+         FROM lnk_nodes WHERE length({sv.FIRST_SEG.format(c='node_id')}) > 0 GROUP BY 1)
+SELECT e.edge_id, e.target_node_id AS href, 'path' AS match_kind, n.node_id AS target,
+       CAST(1 AS BIGINT) AS n_routes, 'deterministic' AS confidence
+FROM lnk_edges e JOIN lnk_nodes n ON n.node_id = e.target_node_id
+UNION ALL
+SELECT e.edge_id, e.target_node_id, 'segment', s.segment, s.n_routes, 'probabilistic'
+FROM lnk_edges e JOIN segs s ON s.segment = {sv.FIRST_SEG.format(c='e.target_node_id')}
+"""
+
+ORACLE["registry_match"] = f"""
+WITH {sv.DOC_FILES}, {sv.REG}
+SELECT f.doc_id, f.file_type, r.skill_id FROM files f JOIN reg r ON r.file_type = f.file_type
+"""
+
+ORACLE["files_without_extractor"] = f"""
+WITH {sv.DOC_FILES}, {sv.REG}
+SELECT file_type, COUNT(*) AS n_files FROM files
+WHERE file_type NOT IN (SELECT file_type FROM reg) GROUP BY file_type
+"""
+
+ORACLE["ext_language_map"] = f"""
+WITH {sv.DOC_FILES}
+SELECT doc_id, path, regexp_extract(path, '\\.([^./]+)$', 1) AS ext,
+       CASE regexp_extract(path, '\\.([^./]+)$', 1)
+         WHEN 'cs' THEN 'csharp' WHEN 'ts' THEN 'typescript' WHEN 'tsx' THEN 'typescript'
+         WHEN 'js' THEN 'javascript' WHEN 'jsx' THEN 'javascript' WHEN 'py' THEN 'python'
+         WHEN 'html' THEN 'html' WHEN 'css' THEN 'css' WHEN 'scss' THEN 'scss'
+         WHEN 'json' THEN 'json' WHEN 'yaml' THEN 'yaml' WHEN 'yml' THEN 'yaml'
+         WHEN 'proto' THEN 'protobuf' ELSE regexp_extract(path, '\\.([^./]+)$', 1) END AS language
+FROM files
+"""
+
+_CONTRACT = """c AS (
+  SELECT 'doc:' || CAST(doc_id AS VARCHAR) AS node_id, lang AS language, source AS source_file,
+         text AS raw_cleaned,
+         CASE WHEN doc_id % 11 = 0 THEN NULL ELSE 'document' END AS chunk_type,
+         CASE WHEN doc_id % 9 = 0 THEN '' ELSE substring(text, 1, 400) END AS summary,
+         doc_id
+  FROM documents)"""
+
+
+def _missing(f: str) -> str:
+    return f"CASE WHEN {f} IS NULL OR trim(CAST({f} AS VARCHAR)) = '' THEN 'missing {f}' END"
+
+
+ORACLE["contract_validation"] = f"""
+WITH {_CONTRACT},
+e AS (SELECT node_id, list_filter([{', '.join(_missing(f) for f in
+      ['node_id', 'language', 'source_file', 'chunk_type', 'raw_cleaned', 'summary'])}],
+      lambda x: x IS NOT NULL) AS errs FROM c)
+SELECT node_id, len(errs) = 0 AS valid, array_to_string(errs, ', ') AS errors FROM e
+"""
+
+ORACLE["inline_edges"] = f"""
+WITH {_CONTRACT},
+x AS (
+  SELECT node_id AS source_node_id, 0 AS pos, 'src:' || source_file AS target, 'BELONGS_TO' AS type,
+         (['deterministic', 'probabilistic', 'bogus', NULL])[(doc_id % 4) + 1] AS confidence,
+         'source' AS evidence FROM c
+  UNION ALL
+  SELECT node_id, 1, CASE WHEN doc_id % 5 = 0 THEN '' ELSE 'lang:' || language END,
+         'WRITTEN_IN', 'inferred', 'lang' FROM c)
+SELECT sha256(concat_ws(chr(1), source_node_id, target, type, CAST(pos AS VARCHAR))) AS edge_id,
+       source_node_id, target AS target_node_id, type,
+       CASE WHEN confidence IN ('deterministic', 'probabilistic', 'inferred') THEN confidence
+            ELSE 'inferred' END AS confidence,
+       evidence
+FROM x WHERE length(COALESCE(target, '')) > 0
+"""
+
+ORACLE["json_repair"] = """
+SELECT conv_id, turn, role,
+       NOT (contains(text, '"') OR contains(text, chr(92))) AS parsed,
+       NOT (contains(text, '"') OR contains(text, chr(92))) AS text_ok
+FROM conversations
+"""

@@ -180,3 +180,26 @@ members AS (
   SELECT 'comm:' || k.first_member AS community_id, 0 AS level, k.n_members,
          'doc:' || CAST(c.id AS VARCHAR) AS node_id, c.id AS vec_id
   FROM comp c JOIN keep k ON k.component = c.component)"""
+
+
+URL_PATH = "regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1)"
+FIRST_SEG = "regexp_extract({c}, '^/*([^/]*)', 1)"
+LINK_RX = "(?is)<a\\s[^>]*href=\"([^\"]*)\""
+
+LNK = f"""lnk_nodes AS (SELECT DISTINCT {URL_PATH} AS node_id FROM pages),
+lnk_edges AS (
+  SELECT 'l:' || CAST(page_id AS VARCHAR) || ':' || CAST(pos AS VARCHAR) AS edge_id,
+         src AS source_node_id, hrefs[pos] AS target_node_id, 'LINKS' AS type,
+         'deterministic' AS confidence
+  FROM (SELECT page_id, {URL_PATH} AS src,
+               regexp_extract_all(html, '{LINK_RX}', 1) AS hrefs FROM pages) p,
+       LATERAL (SELECT unnest(generate_series(1, len(p.hrefs))) AS pos) g)"""
+
+EXTS = "['py', 'ts', 'scss', 'cs', 'tsx', 'md', 'json', 'yml', 'proto', 'txt']"
+DOC_FILES = f"""files AS (
+  SELECT doc_id, lang AS file_type, source, text,
+         source || '/doc_' || CAST(doc_id AS VARCHAR) || '.' || ({EXTS})[(doc_id % 10) + 1] AS path
+  FROM documents)"""
+
+REG = """reg AS (SELECT * FROM (VALUES ('x-en', 'en'), ('x-en', '.en'), ('x-fr', 'fr'), ('x-fr', '.fr'))
+         t(skill_id, file_type))"""

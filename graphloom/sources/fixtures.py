@@ -175,3 +175,51 @@ def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("runs/"), eid.cast("string")).alias("run_dir"),
         (F.pmod(eid, F.lit(17)) == 0).alias("canonical"),
     )
+
+
+# ---------------------------------------------------------------- LNK ----
+
+def lnk_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """LNK nodes: distinct URL paths of the pages."""
+    from graphloom.functions.text import url_path
+    return (read_table(spark, sf_dir, "pages").select(url_path("url").alias("node_id"))
+            .distinct())
+
+
+def lnk_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """LNK edges: page path -> each ``href`` value (type LINKS, deterministic)."""
+    from graphloom.functions.text import url_path
+    from graphloom.operators.extract import HTML_PATTERNS
+    p = read_table(spark, sf_dir, "pages")
+    links = p.select("page_id", url_path("url").alias("source_node_id"),
+                     F.posexplode(F.regexp_extract_all("html", F.lit(HTML_PATTERNS["link"]), 1))
+                     .alias("pos", "target_node_id"))
+    return links.select(
+        F.concat(F.lit("l:"), _s("page_id"), F.lit(":"), (F.col("pos") + 1).cast("string"))
+        .alias("edge_id"),
+        "source_node_id", "target_node_id", F.lit("LINKS").alias("type"),
+        F.lit("deterministic").alias("confidence"), F.lit("href").alias("evidence"), "page_id")
+
+
+# ---------------------------------------------------------------- REG ----
+
+def registry(spark: SparkSession) -> DataFrame:
+    """REG: the extractor registry (user configuration, two extractors)."""
+    from graphloom.schemas import REGISTRY
+    rows = [("x-en", "english-prose", ["en", ".en"], ["paragraph"], [("BELONGS_TO", "deterministic")],
+             [], "builtin", "python", "extract", "", "", None, 1),
+            ("x-fr", "french-prose", ["fr", ".fr"], ["paragraph"], [("BELONGS_TO", "deterministic")],
+             [], "builtin", "python", "extract", "", "", None, 1)]
+    return spark.createDataFrame(rows, REGISTRY)
+
+
+def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents seen as files: ``path = source/doc_<id>.<ext>`` with a spread of extensions."""
+    # Extensions given to the document files, by doc_id mod 10.
+    exts = ["py", "ts", "scss", "cs", "tsx", "md", "json", "yml", "proto", "txt"]
+    arr = F.array(*[F.lit(e) for e in exts])
+    d = read_table(spark, sf_dir, "documents")
+    return d.select("doc_id", F.col("lang").alias("file_type"), "source", "text",
+                    F.concat(F.col("source"), F.lit("/doc_"), _s("doc_id"), F.lit("."),
+                             F.element_at(arr, (F.pmod(F.col("doc_id"), F.lit(10)) + 1).cast("int")))
+                    .alias("path"))
