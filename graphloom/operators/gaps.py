@@ -80,22 +80,21 @@ def quality_checks(nodes: DataFrame, edges: DataFrame, answers: DataFrame | None
                                                        "inferred") | F.col("confidence").isNull())
                   .alias("n_invalid"),
                   F.sort_array(F.collect_set("type")).alias("types"))
+    def row(check, observed, expected, passed):
+        return F.struct(F.lit(check).alias("check"), observed.cast("string").alias("observed"),
+                        expected.alias("expected"), passed.alias("passed"))
     node_rows = n.select(F.explode(F.array(
-        F.struct(F.lit("min_nodes").alias("check"), F.col("n_nodes").cast("string").alias("observed"),
-                 F.lit(str(min_nodes)).alias("expected"), (F.col("n_nodes") >= min_nodes).alias("passed")),
-        F.struct(F.lit("min_files"), F.col("n_files").cast("string"), F.lit(str(min_files)),
-                 F.col("n_files") >= min_files))).alias("r")).select("r.*")
+        row("min_nodes", F.col("n_nodes"), F.lit(str(min_nodes)), F.col("n_nodes") >= min_nodes),
+        row("min_files", F.col("n_files"), F.lit(str(min_files)), F.col("n_files") >= min_files),
+    )).alias("r")).select("r.*")
     inter = F.array_intersect(F.col("types"), exp)
     edge_rows = e.select(F.explode(F.array(
-        F.struct(F.lit("min_deterministic").alias("check"),
-                 F.col("n_det").cast("string").alias("observed"),
-                 F.lit(str(min_deterministic)).alias("expected"),
-                 (F.col("n_det") >= min_deterministic).alias("passed")),
-        F.struct(F.lit("valid_confidences"), F.col("n_invalid").cast("string"), F.lit("0"),
-                 F.col("n_invalid") == 0),
-        F.struct(F.lit("expected_edge_type"), F.array_join(inter, ","),
-                 F.array_join(exp, ","), (F.size(exp) == 0) | (F.size(inter) > 0)))).alias("r")
-    ).select("r.*")
+        row("min_deterministic", F.col("n_det"), F.lit(str(min_deterministic)),
+            F.col("n_det") >= min_deterministic),
+        row("valid_confidences", F.col("n_invalid"), F.lit("0"), F.col("n_invalid") == 0),
+        row("expected_edge_type", F.array_join(F.sort_array(inter), ","), F.array_join(exp, ","),
+            (F.size(exp) == 0) | (F.size(inter) > 0)),
+    )).alias("r")).select("r.*")
     out = node_rows.unionByName(edge_rows)
     if answers is not None:
         from graphloom.functions.text import any_keyword

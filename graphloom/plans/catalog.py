@@ -453,3 +453,53 @@ def json_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
         "conv_id", "turn", F.col("j.role").alias("role"),
         (F.col("j.conv").isNotNull() & (F.col("j.conv") == F.col("conv_id"))).alias("parsed"),
         F.coalesce(F.col("j.text") == F.col("text"), F.lit(False)).alias("text_ok"))
+
+
+# ------------------------------------------------- questions and quality ----
+
+@register("question_routing")
+def question_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Route of every benchmark question (rule table, first match wins)."""
+    from graphloom.operators.context import route_questions
+    return route_questions(fx.benchmark_questions(spark, sf_dir)).select(
+        "question_id", "route", "target", "direction", "depth")
+
+
+@register("quality_checks")
+def quality_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q1 + U1 + F10: run assertions on ENT and on benchmark texts used as answers."""
+    from graphloom.operators.gaps import quality_checks as qc
+    answers = fx.benchmark_questions(spark, sf_dir).select(
+        F.col("question_id").alias("answer_id"), "text")
+    return qc(fx.ent_nodes(spark, sf_dir), fx.ent_edges(spark, sf_dir), answers,
+              min_nodes=8, min_files=3, min_deterministic=1,
+              expected_edge_types=("IMPORTS", "CALLS", "INHERITS"),
+              keywords=("order", "service", "the"), min_answer_length=100)
+
+
+def _versioned_doc_nodes(spark, sf_dir):
+    """An append-only node table with two versions of the English documents."""
+    d = fx.doc_nodes(spark, sf_dir)
+    v1 = d.select("node_id", "summary", F.lit("2024-01-01 00:00:00").cast("timestamp")
+                  .alias("updated_at"))
+    v2 = d.filter(F.col("language") == "en").select(
+        "node_id", F.substring("raw_cleaned", 1, 200).alias("summary"),
+        F.lit("2024-02-01 00:00:00").cast("timestamp").alias("updated_at"))
+    return v1.unionByName(v2)
+
+
+@register("node_lookup")
+def node_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Newest version of every requested node id (all document ids requested)."""
+    from graphloom.operators.search import lookup_nodes
+    wanted = fx.doc_nodes(spark, sf_dir).select("node_id")
+    found = lookup_nodes(_versioned_doc_nodes(spark, sf_dir), wanted)
+    return found.select("node_id", F.length("summary").alias("summary_len"), "updated_at")
+
+
+@register("list_nodes")
+def list_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K4: first 200 ENT nodes in (created_at, node_id) order, no vectors (limit is the feature)."""
+    from graphloom.operators.search import list_nodes as ln
+    n = fx.ent_nodes(spark, sf_dir).withColumn("created_at", F.lit(None).cast("timestamp"))
+    return ln(n, 200).select("node_id", "chunk_type")

@@ -391,3 +391,65 @@ SELECT conv_id, turn, role,
        NOT (contains(text, '"') OR contains(text, chr(92))) AS text_ok
 FROM conversations
 """
+
+_ROUTES = [
+    ("blast_radius", "blast radius|impact of|what breaks|affected by|if i change", "node", "inbound", 3),
+    ("dependents", "what depends on|who uses|used by|callers of|depends on it", "node", "inbound", 2),
+    ("dependencies", "depend on|depends on|what does .* use|calls to|imports of", "node", "outbound", 2),
+    ("connection", "connect|relat|between|link", "node", "both", 2),
+    ("domain", "domain|overview|architecture|responsib|module|subsystem", "community", "none", 0),
+]
+
+
+def _route_case(i: int) -> str:
+    whens = " ".join(f"WHEN regexp_matches(lower(COALESCE(text, '')), '{r[1]}') THEN "
+                     f"{repr(r[i]) if isinstance(r[i], str) else r[i]}" for r in _ROUTES)
+    default = {0: "'lookup'", 2: "'node'", 3: "'none'", 4: "0"}[i]
+    return f"CASE {whens} ELSE {default} END"
+
+
+ORACLE["question_routing"] = f"""
+SELECT item_id AS question_id, {_route_case(0)} AS route, {_route_case(2)} AS target,
+       {_route_case(3)} AS direction, CAST({_route_case(4)} AS INTEGER) AS depth
+FROM benchmark
+"""
+
+ORACLE["quality_checks"] = f"""
+WITH {sv.ENT_NODES}, {sv.ENT_EDGES},
+n AS (SELECT COUNT(*) AS n_nodes, COUNT(DISTINCT source_file) AS n_files FROM ent_nodes),
+e AS (SELECT COUNT(*) FILTER (WHERE confidence = 'deterministic') AS n_det,
+             COUNT(*) FILTER (WHERE confidence IS NULL OR confidence NOT IN
+                              ('deterministic', 'probabilistic', 'inferred')) AS n_invalid,
+             list_sort(list_distinct(list(type))) AS types FROM ent_edges),
+i AS (SELECT list_sort(list_intersect(types, ['IMPORTS', 'CALLS', 'INHERITS'])) AS inter FROM e)
+SELECT 'min_nodes' AS "check", CAST(n_nodes AS VARCHAR) AS observed, '8' AS expected,
+       n_nodes >= 8 AS passed FROM n
+UNION ALL SELECT 'min_files', CAST(n_files AS VARCHAR), '3', n_files >= 3 FROM n
+UNION ALL SELECT 'min_deterministic', CAST(n_det AS VARCHAR), '1', n_det >= 1 FROM e
+UNION ALL SELECT 'valid_confidences', CAST(n_invalid AS VARCHAR), '0', n_invalid = 0 FROM e
+UNION ALL SELECT 'expected_edge_type', array_to_string(inter, ','), 'IMPORTS,CALLS,INHERITS',
+                 len(inter) > 0 FROM i
+UNION ALL
+SELECT 'answer:' || CAST(item_id AS VARCHAR), CAST(length(text) AS VARCHAR),
+       '>100 chars, any of order,service,the',
+       length(text) > 100 AND (contains(lower(text), 'order') OR contains(lower(text), 'service')
+                               OR contains(lower(text), 'the'))
+FROM benchmark
+"""
+
+ORACLE["node_lookup"] = """
+WITH v AS (
+  SELECT 'doc:' || CAST(doc_id AS VARCHAR) AS node_id, substring(text, 1, 400) AS summary,
+         TIMESTAMP '2024-01-01 00:00:00' AS updated_at FROM documents
+  UNION ALL
+  SELECT 'doc:' || CAST(doc_id AS VARCHAR), substring(text, 1, 200),
+         TIMESTAMP '2024-02-01 00:00:00' FROM documents WHERE lang = 'en')
+SELECT node_id, CAST(length(arg_max(summary, updated_at)) AS INTEGER) AS summary_len,
+       MAX(updated_at) AS updated_at
+FROM v GROUP BY node_id
+"""
+
+ORACLE["list_nodes"] = f"""
+WITH {sv.ENT_NODES}
+SELECT node_id, chunk_type FROM ent_nodes ORDER BY node_id LIMIT 200
+"""
