@@ -503,3 +503,41 @@ def list_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphloom.operators.search import list_nodes as ln
     n = fx.ent_nodes(spark, sf_dir).withColumn("created_at", F.lit(None).cast("timestamp"))
     return ln(n, 200).select("node_id", "chunk_type")
+
+
+# ------------------------------------------------------------- streaming ----
+
+def _scratch(spark: SparkSession, name: str) -> str:
+    """A fresh folder under the shared checkpoint folder for a streaming sink."""
+    import uuid
+    from graphloom.session import ensure_checkpoint_dir
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    return f"{base}/{name}-{uuid.uuid4().hex}"
+
+
+@register("stream_corrections")
+def stream_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ST1: the dialogue table read as a stream; result equals the batch capture."""
+    from graphloom.streaming.corrections import read_corrections, run_correction_stream
+    sink = _scratch(spark, "stream-corrections")
+    run_correction_stream(spark, sf_dir, sink, glob="conversations.parquet")
+    return read_corrections(spark, sink).select(
+        "correction_id", "session_id", "target_type", "target_id", "original", "corrected")
+
+
+@register("stream_ingest")
+def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ST2: documents read as a stream of files, content-hashed, newest version kept."""
+    from graphloom.streaming.ingest import current_nodes, run_ingest_stream
+    from graphloom.session import read_table
+    schema = read_table(spark, sf_dir, "documents").schema
+    src = (spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet")
+           .parquet(sf_dir))
+    sink = _scratch(spark, "stream-ingest")
+
+    def to_nodes(b):
+        return b.select(F.concat(F.lit("doc:"), F.col("doc_id").cast("string")).alias("node_id"),
+                        F.col("source").alias("source_file"), F.col("lang").alias("language"),
+                        F.col("text").alias("content"))
+    run_ingest_stream(spark, src, sink, to_nodes)
+    return current_nodes(spark, sink).select("node_id", "source_file", "language", "content_hash")

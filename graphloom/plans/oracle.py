@@ -453,3 +453,11 @@ ORACLE["list_nodes"] = f"""
 WITH {sv.ENT_NODES}
 SELECT node_id, chunk_type FROM ent_nodes ORDER BY node_id LIMIT 200
 """
+
+ORACLE["stream_corrections"] = ORACLE["corrections_capture"]
+
+ORACLE["stream_ingest"] = """
+SELECT 'doc:' || CAST(doc_id AS VARCHAR) AS node_id, source AS source_file, lang AS language,
+       sha256(text) AS content_hash
+FROM documents
+"""
