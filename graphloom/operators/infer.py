@@ -45,43 +45,58 @@ def route_matches(routes: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def infer_cross_file_edges(references: DataFrame, definitions: DataFrame) -> DataFrame:
-    """``references(node_id, source_file, name, kind)`` joined to
-    ``definitions(node_id, source_file, name)`` on the name, across files.
+    """Resolve symbol references ``(node_id, source_file, name, kind)`` to
+    definitions ``(node_id, source_file, name)``.
 
-    A name defined in exactly one other file gives a direct edge whose
-    confidence follows the reference kind (IMPORTS/INHERITS/IMPLEMENTS/
-    INJECTS deterministic, CALLS probabilistic, else inferred).  An
-    ambiguous name (several defining files) gets one ``inferred`` edge to a
-    symbol node ``name:<name>`` plus one ``DEFINES`` edge from that node to
-    each definition, so references x definitions pairs are never built for a
-    common name: the output is linear in references plus definitions.
+    * one definition of the name in the referring file -> edge to it;
+    * otherwise one definition in the whole table -> edge to it (cross-file);
+    * several candidates -> one ``inferred`` edge to a symbol node
+      ``name:<name>`` plus one ``DEFINES`` edge from that node to each
+      candidate, so references x definitions pairs are never built for a
+      common name (output linear in references plus definitions);
+    * no definition -> the edge keeps the bare name as target (an
+      unresolved edge for the gap report, G3).
+
+    Resolved edges take their confidence from the kind: IMPORTS, INHERITS,
+    IMPLEMENTS, INJECTS deterministic, CALLS probabilistic, else inferred.
     """
     defs = definitions.select(F.col("node_id").alias("target_node_id"),
-                              F.col("source_file").alias("def_file"), "name")
-    per_name = defs.groupBy("name").agg(F.countDistinct("def_file").alias("n_files"),
-                                        F.min("target_node_id").alias("only_target"),
-                                        F.min("def_file").alias("only_file"))
+                              F.col("source_file").alias("def_file"), "name").distinct()
+    local = (defs.groupBy(F.col("name").alias("l_name"), F.col("def_file").alias("ref_file"))
+             .agg(F.countDistinct("target_node_id").alias("n_local"),
+                  F.min("target_node_id").alias("local_target")))
+    glob = (defs.groupBy("name")
+            .agg(F.countDistinct("target_node_id").alias("n_defs"),
+                 F.min("target_node_id").alias("only_target"),
+                 F.min("def_file").alias("only_file")))
     refs = references.select(F.col("node_id").alias("source_node_id"),
                              F.col("source_file").alias("ref_file"), "name", "kind")
-    kind_conf = F.create_map(*[F.lit(x) for kv in KIND_CONFIDENCE.items() for x in kv])
-    j = refs.join(per_name, "name")
-    unique = (j.filter((F.col("n_files") == 1) & (F.col("only_file") != F.col("ref_file")))
-              .select("source_node_id", F.col("only_target").alias("target_node_id"),
-                      F.col("kind").alias("type"),
-                      F.coalesce(kind_conf[F.col("kind")], F.lit("inferred")).alias("confidence"),
+    kind_conf = F.coalesce(
+        F.create_map(*[F.lit(x) for kv in KIND_CONFIDENCE.items() for x in kv])[F.col("kind")],
+        F.lit("inferred"))
+    r = (refs.join(local.withColumnRenamed("l_name", "name"), ["name", "ref_file"], "left")
+         .join(glob, "name", "left"))
+    symbol_id = F.concat(F.lit("name:"), F.col("name"))
+    ambiguous = (F.col("n_local") > 1) | (F.col("n_local").isNull() & (F.col("n_defs") > 1))
+    target = (F.when(F.col("n_local") == 1, F.col("local_target"))
+              .when(ambiguous, symbol_id)
+              .when(F.col("n_defs") == 1, F.col("only_target"))
+              .otherwise(F.col("name")))
+    conf = F.when(ambiguous, F.lit("inferred")).otherwise(kind_conf)
+    where = (F.when(F.col("n_local") == 1, F.col("ref_file"))
+             .when(ambiguous, F.format_string("%d candidates", F.col("n_defs")))
+             .when(F.col("n_defs") == 1, F.col("only_file"))
+             .otherwise(F.lit("nowhere")))
+    edges = (r.select("source_node_id", target.alias("target_node_id"), F.col("kind").alias("type"),
+                      conf.alias("confidence"),
                       F.format_string("%s references %s defined in %s", F.col("ref_file"),
-                                      F.col("name"), F.col("only_file")).alias("evidence")))
-    ambiguous = (j.filter(F.col("n_files") > 1)
-                 .select("source_node_id", F.concat(F.lit("name:"), F.col("name")).alias("target_node_id"),
-                         F.col("kind").alias("type"), F.lit("inferred").alias("confidence"),
-                         F.format_string("%s references %s defined in %d files", F.col("ref_file"),
-                                         F.col("name"), F.col("n_files")).alias("evidence")))
-    symbol = (defs.join(per_name.filter(F.col("n_files") > 1).select("name"), "name")
-              .select(F.concat(F.lit("name:"), F.col("name")).alias("source_node_id"),
-                      "target_node_id", F.lit("DEFINES").alias("type"),
-                      F.lit("inferred").alias("confidence"),
+                                      F.col("name"), where).alias("evidence"))
+             .filter(F.col("source_node_id") != F.col("target_node_id")))
+    symbol = (defs.join(glob.filter(F.col("n_defs") > 1).select("name"), "name")
+              .select(symbol_id.alias("source_node_id"), "target_node_id",
+                      F.lit("DEFINES").alias("type"), F.lit("inferred").alias("confidence"),
                       F.format_string("%s defined in %s", F.col("name"), F.col("def_file"))
                       .alias("evidence")))
-    out = unique.unionByName(ambiguous).unionByName(symbol.distinct())
+    out = edges.unionByName(symbol)
     return out.withColumn("edge_id", F.sha2(F.concat_ws("\u0001", "source_node_id",
                                                         "target_node_id", "type"), 256))
