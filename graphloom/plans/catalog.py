@@ -541,3 +541,24 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.col("text").alias("content"))
     run_ingest_stream(spark, src, sink, to_nodes)
     return current_nodes(spark, sink).select("node_id", "source_file", "language", "content_hash")
+
+
+@register("context_assembly")
+def context_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R2: context rows for every document that has a vector, used as a question
+    (its first 120 characters): corrections, 3 communities, 5 nodes, edges of the best node."""
+    from graphloom.operators.context import assemble_context
+    from graphloom.operators.vectors import centroids
+    from graphloom.session import read_table
+    docs = read_table(spark, sf_dir, "documents")
+    v = fx.embedding_vectors(spark, sf_dir)
+    questions = docs.join(v, docs.doc_id == v.vec_id).select(
+        F.col("doc_id").alias("question_id"), F.substring("text", 1, 120).alias("text"),
+        F.col("embedding").alias("vec"))
+    nodes = v.select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vec"))
+    comms = centroids(v.select("label", F.col("embedding").alias("vec")), "label").select(
+        F.col("label").alias("item_id"), "vec")
+    knn = fx.knn_edges(spark, sf_dir).select(
+        "src", "dst", F.when(F.col("score") >= KNN_COMPONENT_THRESHOLD, F.lit("deterministic"))
+        .otherwise(F.lit("probabilistic")).alias("confidence"))
+    return assemble_context(questions, fx.cor_corrections(spark, sf_dir), nodes, comms, knn)

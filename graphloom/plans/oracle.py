@@ -461,3 +461,37 @@ SELECT 'doc:' || CAST(doc_id AS VARCHAR) AS node_id, source AS source_file, lang
        sha256(text) AS content_hash
 FROM documents
 """
+
+ORACLE["context_assembly"] = f"""
+WITH {sv.COR}, {sv.KNN},
+q AS (SELECT d.doc_id AS question_id, substring(d.text, 1, 120) AS text,
+             CAST(e.embedding AS DOUBLE[]) AS v
+      FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id),
+qw AS (SELECT DISTINCT question_id, w AS word
+       FROM (SELECT question_id, unnest(regexp_split_to_array(lower(text), '\\s+')) AS w FROM q) t
+       WHERE length(w) > 2),
+x AS (SELECT label, unnest(CAST(embedding AS DOUBLE[])) AS x,
+             generate_subscripts(embedding, 1) AS pos FROM embeddings),
+cent AS (SELECT label, list(m ORDER BY pos) AS v
+         FROM (SELECT label, pos, avg(x) AS m FROM x GROUP BY label, pos) t GROUP BY label),
+com AS (SELECT question_id, label, CAST(row_number() OVER (PARTITION BY question_id
+               ORDER BY list_cosine_similarity(q.v, cent.v) DESC, label) AS INTEGER) AS rank
+        FROM q JOIN cent ON TRUE),
+nod AS (SELECT question_id, vec_id, CAST(row_number() OVER (PARTITION BY question_id
+               ORDER BY list_dot_product(q.v, emb.v) DESC, vec_id) AS INTEGER) AS rank
+        FROM q JOIN emb ON emb.vec_id <> q.question_id),
+best AS (SELECT question_id, vec_id AS best FROM nod WHERE rank = 1),
+ke AS (SELECT src, dst, CASE WHEN score >= 0.35 THEN 0 ELSE 1 END AS tier FROM knn)
+SELECT question_id, 'correction' AS kind, 0 AS kind_order, 0 AS rank, correction_id AS item
+FROM ({sv.search_sql().replace('FROM qw JOIN', 'FROM qw JOIN')}) s
+UNION ALL
+SELECT question_id, 'community', 1, rank, CAST(label AS VARCHAR) FROM com WHERE rank <= 3
+UNION ALL
+SELECT question_id, 'node', 2, rank, CAST(vec_id AS VARCHAR) FROM nod WHERE rank <= 5
+UNION ALL
+SELECT b.question_id, 'edge', 3, ke.tier, CAST(ke.src AS VARCHAR) || '-' || CAST(ke.dst AS VARCHAR)
+FROM best b JOIN ke ON ke.src = b.best
+UNION ALL
+SELECT b.question_id, 'edge', 3, ke.tier, CAST(ke.src AS VARCHAR) || '-' || CAST(ke.dst AS VARCHAR)
+FROM best b JOIN ke ON ke.dst = b.best
+"""
