@@ -50,10 +50,21 @@ def _trigrams(df: DataFrame, key: str, text: str) -> DataFrame:
             .select(key, F.expr(f"substring({text}, pos, 3)").alias("tri"), "pos"))
 
 
+CONTEXT = 32  # characters kept on each side of a trigram occurrence for confirmation
+
+
 def word_matches(words: DataFrame, corrections: DataFrame) -> DataFrame:
     """``(word, correction_id)`` for every word that occurs in a correction's searchable text."""
     s = searchable_text(corrections)
-    occ = _trigrams(s, "correction_id", "s")                       # correction_id, tri, pos
+    n = F.length("s")
+    # every trigram occurrence with a short context around it (no full text per row)
+    occ = (s.filter(n >= MIN_WORD_LEN)
+           .select("correction_id", "s", F.explode(F.sequence(F.lit(1), n - 2)).alias("pos"))
+           .select("correction_id", "pos",
+                   F.expr("substring(s, pos, 3)").alias("tri"),
+                   F.greatest(F.col("pos") - CONTEXT, F.lit(1)).alias("ctx_start"),
+                   F.expr(f"substring(s, greatest(pos - {CONTEXT}, 1), {2 * CONTEXT + 3})")
+                   .alias("ctx")))
     freq = occ.groupBy("tri").agg(F.count(F.lit(1)).alias("freq"))
     w = words.select("word").distinct()
     wt = _trigrams(w, "word", "word").withColumnRenamed("pos", "off")
@@ -65,11 +76,18 @@ def word_matches(words: DataFrame, corrections: DataFrame) -> DataFrame:
               .select("word", F.col("a.tri").alias("tri"), F.col("a.off").alias("off")))
     cand = (anchor.join(occ, "tri")
             .withColumn("start", F.col("pos") - F.col("off") + 1)
-            .filter(F.col("start") >= 1)
-            .select("word", "correction_id", "start"))
-    return (cand.join(s, "correction_id")
-            .filter(F.expr("substring(s, start, length(word)) = word"))
-            .select("word", "correction_id").distinct())
+            .filter(F.col("start") >= 1))
+    # Words that fit the context are confirmed in place; longer ones (rare)
+    # against the full text.  Either way the match is the exact substring test.
+    fits = F.length("word") <= CONTEXT + 2
+    short = (cand.filter(fits)
+             .filter(F.expr("substring(ctx, start - ctx_start + 1, length(word)) = word"))
+             .select("word", "correction_id"))
+    long_ = (cand.filter(~fits).select("word", "correction_id", "start")
+             .join(s, "correction_id")
+             .filter(F.expr("substring(s, start, length(word)) = word"))
+             .select("word", "correction_id"))
+    return short.unionByName(long_).distinct()
 
 
 def search_corrections(questions: DataFrame, corrections: DataFrame,
