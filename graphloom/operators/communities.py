@@ -75,3 +75,19 @@ def extractive_summary(members: DataFrame) -> DataFrame:
             .select("community_id",
                     F.substring(F.concat(F.lit("["), F.col("types"), F.lit("] "), F.col("lead")),
                                 1, SUMMARY_CHARS).alias("summary")))
+
+
+def lead_summary(nodes: DataFrame, text_col: str = "raw_cleaned", max_chars: int = SUMMARY_CHARS,
+                 boilerplate: list[str] | None = None) -> DataFrame:
+    """EM2 default for nodes: boilerplate lines removed (X8), then the leading
+    sentences up to ``max_chars`` characters.  A pluggable summariser replaces
+    this column."""
+    from graphloom.operators.extract import strip_boilerplate
+    text = F.col(text_col)
+    if boilerplate:
+        text = strip_boilerplate(text, boilerplate)
+    clean = F.trim(F.regexp_replace(text, r"\s+", " "))
+    cut = F.substring(clean, 1, max_chars)
+    # end at the last sentence end inside the cut when there is one
+    last_end = F.regexp_extract(cut, r"^(.*[.!?])\s", 1)
+    return nodes.withColumn("summary", F.when(F.length(last_end) > 0, last_end).otherwise(cut))

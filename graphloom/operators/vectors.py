@@ -124,3 +124,44 @@ def dot(a, b) -> F.Column:
     """F11 as a column expression (double precision), no Python."""
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")),
                        F.lit(0.0).cast("double"), lambda acc, v: acc + v)
+
+
+def approx_topk(queries: DataFrame, corpus: DataFrame, k: int, bucket_length: float = 2.0,
+                num_hash_tables: int = 3, threshold: float = 1.5) -> DataFrame:
+    """K3: approximate nearest neighbours by Euclidean distance (L2).
+
+    Candidates come from ``BucketedRandomProjectionLSH.approxSimilarityJoin``
+    (pairs that share an LSH bucket and lie within ``threshold``); each is
+    re-ranked with the exact distance and the best ``k`` per query kept.
+    Recall is measured against ``topk(..., "l2")``; queries without a
+    candidate get no row (that is the approximation).
+    """
+    from pyspark.ml.feature import BucketedRandomProjectionLSH
+    from pyspark.ml.functions import array_to_vector
+    q = queries.select(F.col("query_id").cast("long").alias("id"),
+                       array_to_vector(F.col("vec")).alias("features"))
+    c = corpus.select(F.col("item_id").cast("long").alias("id"),
+                      array_to_vector(F.col("vec")).alias("features"))
+    model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes",
+                                        bucketLength=bucket_length, numHashTables=num_hash_tables,
+                                        seed=42).fit(c)
+    pairs = model.approxSimilarityJoin(q, c, threshold, distCol="score").select(
+        F.col("datasetA.id").alias("query_id"), F.col("datasetB.id").alias("item_id"), "score")
+    w = Window.partitionBy("query_id").orderBy(F.col("score").asc(), F.col("item_id").asc())
+    return pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
+def embed_text(df: DataFrame, text_col: str, dim: int = 64, out_col: str = "vec") -> DataFrame:
+    """EM1 default: feature hashing of lower-cased word tokens, L2-normalised
+    (``RegexTokenizer`` -> ``HashingTF`` -> ``Normalizer``, all JVM-side).
+    A real embedding model is plugged in by replacing this column."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import HashingTF, Normalizer, RegexTokenizer
+    from pyspark.ml.functions import vector_to_array
+    tmp = "_tok", "_tf", "_norm"
+    pipe = Pipeline(stages=[
+        RegexTokenizer(inputCol=text_col, outputCol=tmp[0], pattern=r"\W+", toLowercase=True),
+        HashingTF(inputCol=tmp[0], outputCol=tmp[1], numFeatures=dim),
+        Normalizer(inputCol=tmp[1], outputCol=tmp[2], p=2.0)])
+    out = pipe.fit(df).transform(df)
+    return out.withColumn(out_col, vector_to_array(tmp[2], "float32")).drop(*tmp)
