@@ -139,3 +139,22 @@ def capture_from_dialogue(turns: DataFrame, target: F.Column | None = None) -> D
         F.col("prev_text").alias("original"),
         F.col("text").alias("corrected"),
         F.col("conv_id"), F.col("turn"))
+
+
+def with_correction_context(chunks: DataFrame, by_file: DataFrame) -> DataFrame:
+    """EM3 / GR12: attach earlier corrections to the chunks they concern.
+
+    ``chunks(node_id, source_file, ...)`` and ``by_file`` from
+    ``corrections_by_file``; the result has one row per (chunk, correction)
+    plus the chunks without any (left join), ready for a summariser that
+    takes corrections as extra input.  No per-file list is built.
+    """
+    c = by_file.select("source_file", "correction_id", "original", "corrected")
+    return chunks.join(c, "source_file", "left")
+
+
+def community_corrections(members: DataFrame, corrections: DataFrame) -> DataFrame:
+    """GR12: corrections of a community's members, as rows ``(community_id, node_id, correction)``."""
+    return (members.select("community_id", "node_id")
+            .join(corrections.withColumnRenamed("target_id", "node_id"), "node_id")
+            .select("community_id", "node_id", "correction_id", "original", "corrected"))

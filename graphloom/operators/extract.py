@@ -99,3 +99,29 @@ def explode_inline_edges(nodes: DataFrame, edges_col: str = "edges") -> DataFram
                     F.coalesce(F.col("e.type"), F.lit("UNKNOWN")).alias("type"),
                     coerce_confidence(F.col("e.confidence")).alias("confidence"),
                     F.coalesce(F.col("e.evidence"), F.lit("")).alias("evidence")))
+
+
+# Health-signal rules per line (rule, severity, pattern).
+DIAGNOSTIC_RULES = [
+    ("license", "info", r"(?i)(licensed under|released under the .*license)"),
+    ("secret", "error", r"(?i)(token|secret|password|api_key)\s*=\s*\"[0-9a-f]{16,}\""),
+    ("personal_data", "warning", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"),
+]
+
+
+def diagnostics(files: DataFrame, id_col: str, text_col: str = "text",
+                rules: list[tuple[str, str, str]] | None = None) -> DataFrame:
+    """``(id, line_no, rule, severity)`` for every line matching a rule.
+
+    The rule table is compiled into per-line expressions (no join between
+    lines and rules); one row per (line, matching rule).
+    """
+    rs = rules or DIAGNOSTIC_RULES
+    lines = files.select(F.col(id_col), F.posexplode(F.split(F.col(text_col), "\n"))
+                         .alias("line_no", "line"))
+    hits = F.array(*[F.when(F.col("line").rlike(p), F.struct(F.lit(r).alias("rule"),
+                                                            F.lit(s).alias("severity")))
+                     for r, s, p in rs])
+    return (lines.select(id_col, (F.col("line_no") + 1).alias("line_no"),
+                         F.explode(F.filter(hits, lambda x: x.isNotNull())).alias("h"))
+            .select(id_col, "line_no", "h.rule", "h.severity"))

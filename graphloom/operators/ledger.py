@@ -155,3 +155,29 @@ def version_notes(prompts: DataFrame, suite_col: str = "suite", version_col: str
                     .when(F.col("items").isNotNull(),
                           F.concat(F.lit("Changed: "), F.col("items"), F.lit(".")))
                     .otherwise(F.lit("No detected changes.")).alias("note")))
+
+
+def load_run_log(spark, path: str) -> DataFrame:
+    """A run log written as a JSON array (optional fields absent -> null);
+    a missing file gives an empty table with the run-log schema."""
+    from graphloom.schemas import RUN_LOG
+    from graphloom.streaming.corrections import _exists
+    if not _exists(spark, path):
+        return spark.createDataFrame([], RUN_LOG)
+    return spark.read.schema(RUN_LOG).option("multiLine", True).json(path)
+
+
+def append_runs(runs: DataFrame, path: str) -> None:
+    """Append runs to a Parquet run log; run numbers are assigned at read
+    time with ``global_row_number`` (no read-modify-write of one file)."""
+    runs.write.mode("append").parquet(path)
+
+
+def model_call_rollup(calls: DataFrame, key: str = "run_id") -> DataFrame:
+    """Per run, model calls, input/output tokens and cost (rounded to 6 places)."""
+    return (calls.groupBy(key)
+            .agg(F.count(F.lit(1)).alias("iterations"),
+                 F.sum(F.coalesce("in_tokens", F.lit(0))).cast("long").alias("in_tokens"),
+                 F.sum(F.coalesce("out_tokens", F.lit(0))).cast("long").alias("out_tokens"),
+                 F.round(F.sum(F.coalesce(F.col("cost_usd").cast("decimal(18,6)"),
+                                          F.lit(0).cast("decimal(18,6)"))), 6).alias("cost_usd")))

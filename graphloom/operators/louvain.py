@@ -67,8 +67,15 @@ def _modularity(arcs: DataFrame, loops: DataFrame, k: DataFrame, labels: DataFra
     return float(row["q"] or 0.0), int(row["mv"] or 0)
 
 
-def _round(arcs: DataFrame, k: DataFrame, labels: DataFrame, two_m: int, parity: int) -> DataFrame:
-    """One synchronous move round; returns new labels (lazy)."""
+def _round(arcs: DataFrame, k: DataFrame, labels: DataFrame, two_m: int, parity: int,
+           sample_bits: int = 0, salt: int = 0) -> DataFrame:
+    """One synchronous move round; returns new labels (lazy).
+
+    Only nodes of the given id parity may move, and with ``sample_bits > 0``
+    only the ``1 / 2**sample_bits`` of them selected by a hash of (id, salt):
+    after a rejected round fewer nodes move at once, so conflicting moves
+    become rare and the next round can be kept.
+    """
     lab_d = labels.select(F.col("id").alias("dst"), F.col("comm").alias("c"))
     kin = (arcs.join(lab_d, "dst").groupBy(F.col("src").alias("id"), "c")
            .agg(F.sum("w").alias("kic")))
@@ -76,6 +83,7 @@ def _round(arcs: DataFrame, k: DataFrame, labels: DataFrame, two_m: int, parity:
                                                    F.count(F.lit(1)).alias("size"))
     me = (labels.join(k, "id")
           .filter(F.pmod(F.col("id"), F.lit(2)) == parity)
+          .filter(F.pmod(F.xxhash64(F.col("id"), F.lit(salt)), F.lit(1 << sample_bits)) == 0)
           .join(tot.select(F.col("comm"), F.col("tot").alias("tot_own"),
                            F.col("size").alias("size_own")), "comm"))
     cand = (kin.join(me, "id")
@@ -106,7 +114,8 @@ def _round(arcs: DataFrame, k: DataFrame, labels: DataFrame, two_m: int, parity:
 
 
 def louvain(edges: DataFrame, nodes: DataFrame | None = None, max_levels: int = 10,
-            max_rounds: int = 50) -> tuple[DataFrame, list[dict]]:
+            max_rounds: int = 20, return_levels: bool = False, min_gain: float = 1e-4,
+            max_sample_bits: int = 4):
     """Communities of an undirected graph given as ``edges(src, dst)`` (long ids).
 
     ``nodes(id)`` adds isolated nodes (each stays alone).  Returns
@@ -130,6 +139,7 @@ def louvain(edges: DataFrame, nodes: DataFrame | None = None, max_levels: int =
     member = cut_lineage(ids.select("id", F.col("id").alias("node")))
     arcs, loops = cut_lineage(arcs), cut_lineage(loops)
     history: list[dict] = []
+    levels: list[DataFrame] = []
     cur_ids = ids
 
     for level in range(max_levels):
@@ -141,16 +151,26 @@ def louvain(edges: DataFrame, nodes: DataFrame | None = None, max_levels: int =
             break
         q, _ = _modularity(arcs, loops, k, labels, two_m)
         quiet, moved_level, rnd = 0, 0, 0
+        bits_by_parity = [0, 0]
         while quiet < 2 and rnd < max_rounds:
-            cand = cut_lineage(_round(arcs, k, labels, two_m, rnd % 2))
+            parity = rnd % 2
+            bits = bits_by_parity[parity]
+            cand = cut_lineage(_round(arcs, k, labels, two_m, parity, bits, rnd))
             q_new, n_moved = _modularity(arcs, loops, k, cand, two_m)
-            accepted = False
-            if n_moved and q_new >= q - 1e-12:
-                labels, q, accepted = cand.select("id", "comm"), q_new, True
+            accepted = bool(n_moved) and q_new >= q - 1e-12
+            if accepted:
+                progress = q_new - q > min_gain
+                labels, q = cand.select("id", "comm"), q_new
                 moved_level += n_moved
-            quiet = 0 if accepted else quiet + 1
+                quiet = 0 if progress else quiet + 1
+            elif n_moved and bits < max_sample_bits:
+                # too many simultaneous moves in this parity class: fewer movers from now on
+                bits_by_parity[parity] = bits + 1
+            else:
+                quiet += 1
             if _DEBUG:
-                print("level", level, "round", rnd, "moved", n_moved, "accepted", accepted, "q", q, flush=True)
+                print("level", level, "round", rnd, "moved", n_moved, "accepted", accepted,
+                      "bits", bits_by_parity, "q", q, flush=True)
             rnd += 1
         n_comm = labels.select("comm").distinct().count()
         history.append({"level": level, "rounds": rnd, "moves": moved_level,
@@ -160,6 +180,8 @@ def louvain(edges: DataFrame, nodes: DataFrame | None = None, max_levels: int =
         # contract: communities become nodes, inner edges become self-loops
         member = cut_lineage(member.join(labels.withColumnRenamed("id", "node"), "node")
                              .select("id", F.col("comm").alias("node")))
+        levels.append(member.select("id", F.col("node").alias("community"),
+                                    F.lit(level).alias("level")))
         lab_s = labels.select(F.col("id").alias("src"), F.col("comm").alias("cs"))
         lab_d = labels.select(F.col("id").alias("dst"), F.col("comm").alias("cd"))
         moved = arcs.join(lab_s, "src").join(lab_d, "dst")
@@ -175,5 +197,17 @@ def louvain(edges: DataFrame, nodes: DataFrame | None = None, max_levels: int =
         cur_ids = cut_lineage(labels.select(F.col("comm").alias("id")).distinct())
 
     out = member.select("id", F.col("node").alias("community"),
-                        F.lit(len(history)).alias("level"))
+                        F.lit(len(levels)).alias("level"))
+    if return_levels:
+        all_levels = levels[0] if levels else out
+        for lv in levels[1:]:
+            all_levels = all_levels.unionByName(lv)
+        return out, history, all_levels
     return out, history
+
+
+def louvain_hierarchy(edges: DataFrame, nodes: DataFrame | None = None, **kw):
+    """GR7: membership at every level ``(id, community, level)``, level 0 the finest;
+    each level's communities are unions of the previous level's."""
+    _, hist, levels = louvain(edges, nodes, return_levels=True, **kw)
+    return levels, hist

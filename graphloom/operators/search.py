@@ -47,3 +47,10 @@ def search_registry(registry: DataFrame, file_types: list[str]) -> DataFrame:
     """Extractors whose ``file_types`` contain any requested type (exact, case-sensitive)."""
     want = F.array(*[F.lit(t) for t in file_types])
     return registry.filter(F.arrays_overlap(F.col("file_types"), want))
+
+
+def get_extractors(registry: DataFrame, ids: DataFrame) -> DataFrame:
+    """Registry rows for a table of ``skill_id`` values (JSON columns decoded, S12)."""
+    from graphloom.sources.store import registry_from_json_columns
+    return registry_from_json_columns(registry).join(ids.select("skill_id").distinct(),
+                                                     "skill_id", "left_semi")

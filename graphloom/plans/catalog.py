@@ -562,3 +562,61 @@ def context_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
         "src", "dst", F.when(F.col("score") >= KNN_COMPONENT_THRESHOLD, F.lit("deterministic"))
         .otherwise(F.lit("probabilistic")).alias("confidence"))
     return assemble_context(questions, fx.cor_corrections(spark, sf_dir), nodes, comms, knn)
+
+
+@register("file_diagnostics")
+def file_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License lines, secrets and personal data found per document line."""
+    from graphloom.operators.extract import diagnostics
+    from graphloom.session import read_table
+    return diagnostics(read_table(spark, sf_dir, "documents"), "doc_id")
+
+
+@register("diagnostics_by_rule")
+def diagnostics_by_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """X9 + G1-style roll-up: matching lines and documents per rule."""
+    d = file_diagnostics(spark, sf_dir)
+    return d.groupBy("rule", "severity").agg(F.count(F.lit(1)).alias("n_lines"),
+                                             F.countDistinct("doc_id").alias("n_docs"))
+
+
+@register("model_call_rollup")
+def model_call_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events seen as model calls of a run (run = user): calls, tokens, cost."""
+    from graphloom.operators.ledger import model_call_rollup as mcr
+    from graphloom.session import read_table
+    calls = read_table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("run_id"),
+        F.get_json_object("props", "$.k").cast("long").alias("in_tokens"),
+        F.pmod(F.col("event_id"), F.lit(1000)).alias("out_tokens"),
+        F.col("value").alias("cost_usd"))
+    return mcr(calls).withColumn("cost_usd", F.col("cost_usd").cast("double"))
+
+
+@register("list_communities")
+def list_communities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K5: first 100 KNN components by id with their sizes (limit is the feature)."""
+    from graphloom.operators.search import list_communities as lc
+    lab = _knn_component_labels(spark, sf_dir)
+    comms = lab.groupBy(F.col("comm").alias("community_id")).agg(
+        F.count(F.lit(1)).alias("n_members")).withColumn(
+        "updated_at", F.lit(None).cast("timestamp"))
+    return lc(comms, 100).select("community_id", "n_members")
+
+
+@register("gap_comparison")
+def gap_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gaps before and after an extractor for German is registered."""
+    from graphloom.operators.extract import match_extractors
+    from graphloom.operators.gaps import compare_gaps, gap_report
+    from graphloom.schemas import REGISTRY
+    files = fx.document_files(spark, sf_dir)
+    reg1 = fx.registry(spark)
+    reg2 = reg1.unionByName(spark.createDataFrame(
+        [("x-de", "german-prose", ["de"], ["paragraph"], [], [], "builtin", "python", "extract",
+          "", "", None, 1)], REGISTRY))
+    _, un1 = match_extractors(files, reg1)
+    _, un2 = match_extractors(files, reg2)
+    e = fx.ent_edges(spark, sf_dir)
+    return compare_gaps(gap_report(unmatched_files=un1, scored_edges=e),
+                        gap_report(unmatched_files=un2, scored_edges=e))

@@ -495,3 +495,49 @@ UNION ALL
 SELECT b.question_id, 'edge', 3, ke.tier, CAST(ke.src AS VARCHAR) || '-' || CAST(ke.dst AS VARCHAR)
 FROM best b JOIN ke ON ke.dst = b.best
 """
+
+_DIAG = """d AS (
+  SELECT doc_id, CAST(pos AS INTEGER) AS line_no, ls[pos] AS line
+  FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents) t,
+       LATERAL (SELECT unnest(generate_series(1, len(t.ls))) AS pos) g),
+r AS (SELECT * FROM (VALUES
+  ('license', 'info', '(?i)(licensed under|released under the .*license)'),
+  ('secret', 'error', '(?i)(token|secret|password|api_key)\\s*=\\s*"[0-9a-f]{16,}"'),
+  ('personal_data', 'warning', '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}')) v(rule, severity, pat)),
+hits AS (SELECT d.doc_id, d.line_no, r.rule, r.severity FROM d JOIN r ON regexp_matches(d.line, r.pat))"""
+
+ORACLE["file_diagnostics"] = f"WITH {_DIAG}\nSELECT doc_id, line_no, rule, severity FROM hits"
+
+ORACLE["diagnostics_by_rule"] = f"""WITH {_DIAG}
+SELECT rule, severity, COUNT(*) AS n_lines, COUNT(DISTINCT doc_id) AS n_docs FROM hits
+GROUP BY rule, severity"""
+
+ORACLE["model_call_rollup"] = """
+SELECT user_id AS run_id, COUNT(*) AS iterations,
+       CAST(SUM(COALESCE(CAST(json_extract_string(props, '$.k') AS BIGINT), 0)) AS BIGINT) AS in_tokens,
+       CAST(SUM(event_id % 1000) AS BIGINT) AS out_tokens,
+       CAST(ROUND(SUM(CAST(value AS DECIMAL(18,6))), 6) AS DOUBLE) AS cost_usd
+FROM events GROUP BY user_id
+"""
+
+ORACLE["list_communities"] = f"""
+WITH RECURSIVE {sv.KNN}, {sv.KNN_COMPONENTS}
+SELECT 'doc:' || CAST(component AS VARCHAR) AS community_id, COUNT(*) AS n_members
+FROM comp GROUP BY component ORDER BY community_id LIMIT 100
+"""
+
+ORACLE["gap_comparison"] = f"""
+WITH {sv.DOC_FILES}, {sv.ENT_EDGES},
+g1 AS (SELECT 'no_extractor' AS section, file_type AS key, COUNT(*) AS n FROM files
+       WHERE file_type NOT IN ('en', '.en', 'fr', '.fr') GROUP BY file_type
+       UNION ALL SELECT 'low_confidence', type, COUNT(*) FROM ent_edges
+       WHERE confidence = 'inferred' GROUP BY type),
+g2 AS (SELECT 'no_extractor' AS section, file_type AS key, COUNT(*) AS n FROM files
+       WHERE file_type NOT IN ('en', '.en', 'fr', '.fr', 'de') GROUP BY file_type
+       UNION ALL SELECT 'low_confidence', type, COUNT(*) FROM ent_edges
+       WHERE confidence = 'inferred' GROUP BY type)
+SELECT COALESCE(g1.section, g2.section) AS section, COALESCE(g1.key, g2.key) AS key,
+       COALESCE(g1.n, 0) AS n_run1, COALESCE(g2.n, 0) AS n_run2,
+       COALESCE(g2.n, 0) - COALESCE(g1.n, 0) AS delta
+FROM g1 FULL OUTER JOIN g2 ON g1.section = g2.section AND g1.key = g2.key
+"""

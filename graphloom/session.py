@@ -69,14 +69,21 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint (written to the shared checkpoint folder).
-
-    Used by the iterative operators (BFS beyond a few hops, components,
-    Louvain) so a lost executor recomputes from the last written state, not
-    from the first iteration.
+    """Write ``df`` as a Parquet table in the shared checkpoint folder and read it back.
+
+    Used by the iterative operators (BFS hops, components, Louvain) so a
+    lost executor recomputes from the last written state, not from the
+    first iteration.  A written table (rather than ``Dataset.checkpoint``)
+    gives the next iteration a plain file scan with real statistics and no
+    reference to the plan that produced it, so planning time stays flat
+    however many rounds run.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    import uuid
+    spark = df.sparkSession
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    path = f"{base}/graphloom-tables/{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
 
 
 def table_path(sf_dir: str, name: str) -> str:

@@ -126,6 +126,25 @@ class Store:
         self._set_current("nodes", version)
         return new_path
 
+    def store_communities(self, members: DataFrame, summaries: DataFrame, embed=None) -> str:
+        """GR11: embed each community summary (EM1), append the communities
+        and write the membership back to the nodes (J7), as one batch.
+
+        ``members(community_id, node_id, level)``, ``summaries(community_id, summary)``;
+        ``embed`` maps a DataFrame with a ``summary`` column to one with ``vec``
+        (default: ``embed_text``).  Member ids stay rows until the final
+        ``collect_list``, which is per community in the communities table only.
+        """
+        from graphloom.operators.vectors import embed_text
+        emb = (embed or (lambda d: embed_text(d, "summary")))(summaries)
+        ids = members.groupBy("community_id").agg(
+            F.first("level").alias("level"),
+            F.sort_array(F.collect_list("node_id")).alias("member_node_ids"))
+        rows = ids.join(emb.select("community_id", "summary", F.col("vec").alias("embedding")),
+                        "community_id")
+        self.append_communities(rows)
+        return self.write_back_membership(members.select("node_id", "community_id"))
+
     # -- S11 ----------------------------------------------------------------
     def export_run(self, out_dir: str) -> None:
         """Nodes, edges and communities as JSON without vectors, plus a one-row meta table."""
