@@ -51,20 +51,32 @@ def _trigrams(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 CONTEXT = 32  # characters kept on each side of a trigram occurrence for confirmation
+SEGMENT = 1 << 16  # trigram positions per generated row group of one long text
 
 
 def word_matches(words: DataFrame, corrections: DataFrame) -> DataFrame:
     """``(word, correction_id)`` for every word that occurs in a correction's searchable text."""
     s = searchable_text(corrections)
     n = F.length("s")
-    # every trigram occurrence with a short context around it (no full text per row)
-    occ = (s.filter(n >= MIN_WORD_LEN)
-           .select("correction_id", "s", F.explode(F.sequence(F.lit(1), n - 2)).alias("pos"))
+    # Every trigram occurrence with a short context around it (no full text per
+    # row).  Long texts are first cut into segments of SEGMENT positions (with
+    # the context overlap), so no row ever holds more than SEGMENT positions.
+    seg = (s.filter(n >= MIN_WORD_LEN)
+           .select("correction_id", "s", n.alias("n"),
+                   F.explode(F.sequence(F.lit(1), n - 2, F.lit(SEGMENT))).alias("seg_start"))
+           .select("correction_id", "n", "seg_start",
+                   F.greatest(F.col("seg_start") - CONTEXT, F.lit(1)).alias("piece_start"),
+                   F.expr(f"substring(s, greatest(seg_start - {CONTEXT}, 1), "
+                          f"{SEGMENT + 2 * CONTEXT + 3})").alias("piece")))
+    occ = (seg.select("correction_id", "piece", "piece_start",
+                      F.explode(F.sequence(F.col("seg_start"),
+                                           F.least(F.col("seg_start") + SEGMENT - 1,
+                                                   F.col("n") - 2))).alias("pos"))
            .select("correction_id", "pos",
-                   F.expr("substring(s, pos, 3)").alias("tri"),
+                   F.expr("substring(piece, pos - piece_start + 1, 3)").alias("tri"),
                    F.greatest(F.col("pos") - CONTEXT, F.lit(1)).alias("ctx_start"),
-                   F.expr(f"substring(s, greatest(pos - {CONTEXT}, 1), {2 * CONTEXT + 3})")
-                   .alias("ctx")))
+                   F.expr(f"substring(piece, greatest(pos - {CONTEXT}, 1) - piece_start + 1, "
+                          f"{2 * CONTEXT + 3})").alias("ctx")))
     freq = occ.groupBy("tri").agg(F.count(F.lit(1)).alias("freq"))
     w = words.select("word").distinct()
     wt = _trigrams(w, "word", "word").withColumnRenamed("pos", "off")

@@ -54,3 +54,12 @@ def test_capture_from_dialogue(spark):
     got = [(r.correction_id, r.original, r.corrected, r.target_id)
            for r in capture_from_dialogue(turns).collect()]
     assert got == [("1-2", "A says x", "no, y", "conv:1")]
+
+
+def test_search_with_tiny_segments(spark, monkeypatch):
+    import graphloom.operators.corrections as C
+    monkeypatch.setattr(C, "SEGMENT", 5)
+    questions = [(1, "abcdefghijkl"), (2, "xyz qrs"), (3, "mnopqrstuvwxyz0123 nothere")]
+    corrections = [("c1", "s", "t", "zzzz abcdefghijkl zzz", ""),
+                   ("c2", "s", "t", "....mnopqrstuvwxyz0123", "qrs")]
+    assert run(spark, questions, corrections) == reference_search(questions, corrections)
