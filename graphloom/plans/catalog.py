@@ -494,7 +494,8 @@ def node_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphloom.operators.search import lookup_nodes
     wanted = fx.doc_nodes(spark, sf_dir).select("node_id")
     found = lookup_nodes(_versioned_doc_nodes(spark, sf_dir), wanted)
-    return found.select("node_id", F.length("summary").alias("summary_len"), "updated_at")
+    return found.select("node_id", F.length("summary").alias("summary_len"),
+                        F.date_format("updated_at", "yyyy-MM-dd HH:mm:ss").alias("updated_at"))
 
 
 @register("list_nodes")

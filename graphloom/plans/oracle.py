@@ -445,7 +445,7 @@ WITH v AS (
   SELECT 'doc:' || CAST(doc_id AS VARCHAR), substring(text, 1, 200),
          TIMESTAMP '2024-02-01 00:00:00' FROM documents WHERE lang = 'en')
 SELECT node_id, CAST(length(arg_max(summary, updated_at)) AS INTEGER) AS summary_len,
-       MAX(updated_at) AS updated_at
+       strftime(MAX(updated_at), '%Y-%m-%d %H:%M:%S') AS updated_at
 FROM v GROUP BY node_id
 """
 

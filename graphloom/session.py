@@ -90,5 +90,35 @@ def table_path(sf_dir: str, name: str) -> str:
     return f"{sf_dir.rstrip('/')}/{name}.parquet"
 
 
+def _path_bytes(spark: SparkSession, path: str) -> int:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return int(fs.getContentSummary(p).getLength()) if fs.exists(p) else 0
+
+
+SPREAD_MIN_BYTES = 1 << 20   # below this a table is not worth a shuffle
+
+
+def spread(df: DataFrame, data_bytes: int) -> DataFrame:
+    """Give a scan at least the cluster's parallelism worth of partitions.
+
+    A Parquet file with one row group is read by one task, and every narrow
+    step after the scan (id building, regex, tokenising) would run in that
+    one task.  When the scan has fewer partitions than the default
+    parallelism and holds more than ``SPREAD_MIN_BYTES``, the rows are
+    redistributed round-robin (about one partition per MiB, at most the
+    parallelism).  Large inputs (many files or row groups) already have
+    enough partitions and are left alone, so this costs nothing at scale.
+    """
+    par = df.sparkSession.sparkContext.defaultParallelism
+    if data_bytes <= SPREAD_MIN_BYTES:
+        return df
+    n = df.rdd.getNumPartitions()
+    want = min(par, max(2, data_bytes // SPREAD_MIN_BYTES))
+    return df.repartition(int(want)) if n < want else df
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(table_path(sf_dir, name))
+    path = table_path(sf_dir, name)
+    return spread(spark.read.parquet(path), _path_bytes(spark, path))
