@@ -17,7 +17,7 @@ equi-join without pairing every question with every correction:
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WORD_SPLIT = r"(?U)\s+"
@@ -144,11 +144,12 @@ def capture_from_dialogue(turns: DataFrame, target: F.Column | None = None) -> D
 
     ``turns(conv_id, turn, role, text)``.  The previous turn of the same
     conversation is the original statement, the user turn the correction.
+    The previous turn comes from ``previous_in_order`` (global sort), not a
+    window per conversation, so one very long conversation is not one task.
     """
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    t = (turns.select("conv_id", "turn", "role", "text")
-         .withColumn("prev_role", F.lag("role").over(w))
-         .withColumn("prev_text", F.lag("text").over(w))
+    from graphloom.operators.ledger import previous_in_order
+    t = (previous_in_order(turns.select("conv_id", "turn", "role", "text"), "conv_id", "turn",
+                           ["role", "text"])
          .filter((F.col("role") == "user") & (F.col("prev_role") == "assistant")))
     cid = F.col("conv_id").cast("string")
     return t.select(

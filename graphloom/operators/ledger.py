@@ -181,3 +181,36 @@ def model_call_rollup(calls: DataFrame, key: str = "run_id") -> DataFrame:
                  F.sum(F.coalesce("out_tokens", F.lit(0))).cast("long").alias("out_tokens"),
                  F.round(F.sum(F.coalesce(F.col("cost_usd").cast("decimal(18,6)"),
                                           F.lit(0).cast("decimal(18,6)"))), 6).alias("cost_usd")))
+
+
+def previous_in_order(df: DataFrame, key: str, order: str, cols: list[str]) -> DataFrame:
+    """``prev_<c>`` for each column c: the value on the previous row of the same
+    ``key`` in ``order`` (null on a key's first row) - a ``lag`` without a
+    window partitioned by ``key``.
+
+    The rows are range-partitioned by a global sort on ``(key, order)``, so a
+    key holding a third of all rows is spread over many tasks.  Inside a
+    partition the previous row is the neighbour; the first row of a
+    partition takes the last row of the nearest earlier non-empty partition
+    (a table with one row per partition, broadcast).
+    """
+    s = cut_lineage(df.orderBy(key, order)
+                    .withColumn("_p", F.spark_partition_id())
+                    .withColumn("_mid", F.monotonically_increasing_id()))
+    w = Window.partitionBy("_p").orderBy("_mid")
+    t = s.withColumn("_pk", F.lag(key).over(w))
+    for c in cols:
+        t = t.withColumn(f"_l_{c}", F.lag(c).over(w))
+    last = s.groupBy("_p").agg(F.max_by(F.struct(key, *cols), "_mid").alias("_last"))
+    lastp = last.select("_p", F.lag("_last").over(Window.orderBy("_p")).alias("_before"))
+    t = t.join(F.broadcast(lastp), "_p")
+    first = F.col("_pk").isNull()
+    same = F.col(f"_before.{key}") == F.col(key)
+    for c in cols:
+        t = t.withColumn(f"prev_{c}", F.when(~first, F.col(f"_l_{c}"))
+                         .when(same, F.col(f"_before.{c}")))
+    # a key change inside a partition: the neighbour belongs to another key
+    t = t.withColumn("_samekey", F.when(~first, F.col("_pk") == F.col(key)).otherwise(same))
+    for c in cols:
+        t = t.withColumn(f"prev_{c}", F.when(F.col("_samekey"), F.col(f"prev_{c}")))
+    return t.drop("_p", "_mid", "_pk", "_before", "_samekey", *[f"_l_{c}" for c in cols])

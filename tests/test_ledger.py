@@ -55,3 +55,14 @@ def test_fingerprint_order_free_and_versions(spark):
     fp = fp.select("snap.suite", "snap.t", "fingerprint")
     v = {r.t: r.version for r in L.assign_versions(fp, "suite", "t").collect()}
     assert v == {1: "s_v001", 2: "s_v001", 3: "s_v002"}
+
+
+def test_previous_in_order_matches_lag_with_hot_key(spark):
+    from pyspark.sql import Window
+    rows = [(0, t, f"v{t}") for t in range(3000)] + [(k, t, f"w{k}-{t}") for k in range(1, 40)
+                                                     for t in range(0, 30, 3)]
+    df = spark.createDataFrame(rows, "k long, t long, v string").repartition(7)
+    got = {(r.k, r.t): r.prev_v for r in L.previous_in_order(df, "k", "t", ["v"]).collect()}
+    w = Window.partitionBy("k").orderBy("t")
+    exp = {(r.k, r.t): r.p for r in df.withColumn("p", F.lag("v").over(w)).collect()}
+    assert got == exp
