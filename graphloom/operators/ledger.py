@@ -9,6 +9,15 @@ from pyspark.sql import functions as F
 
 from graphloom.session import cut_lineage
 
+# Version naming and version-note texts used by the ledger.
+VERSION_FORMAT = "%s_v%03d"
+NOTE_INITIAL = "Initial prompt snapshot."
+NOTE_UNCHANGED = "No detected changes."
+NOTE_CHANGED_PREFIX = "Changed: "
+NOTE_CHANGED_SUFFIX = "."
+ITEM_NEW_SUFFIX = " (new)"
+ITEM_DELTA_FORMAT = " (%+d chars)"
+
 
 def filter_runs(runs: DataFrame, sprint: str | None = None, prompt: str | None = None,
                 suite_prefix: str | None = None, model_substring: str | None = None,
@@ -112,7 +121,7 @@ def assign_versions(snapshots: DataFrame, suite_col: str, time_col: str,
     first = snapshots.groupBy(suite_col, hash_col).agg(F.min(time_col).alias("_first"))
     w = Window.partitionBy(suite_col).orderBy("_first", hash_col)
     ver = first.withColumn("version", F.format_string(
-        "%s_v%03d", F.col(suite_col).cast("string"), F.row_number().over(w)))
+        VERSION_FORMAT, F.col(suite_col).cast("string"), F.row_number().over(w)))
     return snapshots.join(ver.select(suite_col, hash_col, "version"), [suite_col, hash_col])
 
 
@@ -139,11 +148,10 @@ def version_notes(prompts: DataFrame, suite_col: str = "suite", version_col: str
              .join(prev_exists, ["suite", "v"], "left")
              .select("suite", "v", "name",
                      F.when(F.col("prev_content").isNull() & F.col("has_prev").isNotNull(),
-                            F.concat(F.col("name"), F.lit(" (new)")))
+                            F.concat(F.col("name"), F.lit(ITEM_NEW_SUFFIX)))
                      .when(F.col("prev_content").isNotNull()
                            & (F.col("prev_content") != F.col("content")),
-                           F.concat(F.col("name"), F.lit(" ("),
-                                    F.format_string("%+d", delta), F.lit(" chars)")))
+                           F.concat(F.col("name"), F.format_string(ITEM_DELTA_FORMAT, delta)))
                      .alias("item")))
     changed = (items.filter(F.col("item").isNotNull()).groupBy("suite", "v")
                .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("name", "item"))),
@@ -151,10 +159,11 @@ def version_notes(prompts: DataFrame, suite_col: str = "suite", version_col: str
     return (versions.join(first_v, "suite").join(changed, ["suite", "v"], "left")
             .join(prev_exists, ["suite", "v"], "left")
             .select(F.col("suite").alias(suite_col), F.col("v").alias(version_col),
-                    F.when(F.col("v") == F.col("v0"), F.lit("Initial prompt snapshot."))
+                    F.when(F.col("v") == F.col("v0"), F.lit(NOTE_INITIAL))
                     .when(F.col("items").isNotNull(),
-                          F.concat(F.lit("Changed: "), F.col("items"), F.lit(".")))
-                    .otherwise(F.lit("No detected changes.")).alias("note")))
+                          F.concat(F.lit(NOTE_CHANGED_PREFIX), F.col("items"),
+                                   F.lit(NOTE_CHANGED_SUFFIX)))
+                    .otherwise(F.lit(NOTE_UNCHANGED)).alias("note")))
 
 
 def load_run_log(spark, path: str) -> DataFrame:
