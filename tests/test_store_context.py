@@ -62,3 +62,37 @@ def test_embed_and_approx_topk(spark):
     approx = {(r.query_id, r.item_id) for r in approx_topk(q, c, 3, bucket_length=4.0,
                                                            threshold=2.0).collect()}
     assert len(approx & exact) / len(exact) > 0.5
+
+
+def test_store_communities_embeds_appends_and_writes_back(spark):
+    st = Store(spark, tempfile.mkdtemp(prefix="gl-store2-"))
+    st.ensure_tables()
+    st.append_nodes(spark.createDataFrame([("a", "s"), ("b", "s"), ("c", "s")],
+                                          "node_id string, summary string"))
+    members = spark.createDataFrame([("comm:a", "a", 0), ("comm:a", "b", 0)],
+                                    "community_id string, node_id string, level int")
+    summaries = spark.createDataFrame([("comm:a", "orders and payments")],
+                                      "community_id string, summary string")
+    st.store_communities(members, summaries)
+    c = st.read("communities").first()
+    assert c.member_node_ids == ["a", "b"] and len(c.embedding) == 64
+    got = {r.node_id: r.community_id for r in st.read("nodes").collect()}
+    assert got == {"a": "comm:a", "b": "comm:a", "c": None}
+
+
+def test_extractive_summary_and_correction_rows(spark):
+    from graphloom.operators.communities import extractive_summary
+    from graphloom.operators.corrections import community_corrections, with_correction_context
+    m = spark.createDataFrame([("k", "a", "class", "Order keeps items."), ("k", "b", "method", "x"),
+                               ("k", "c", "class", "Service confirms orders.")],
+                              "community_id string, node_id string, chunk_type string, summary string")
+    s = extractive_summary(m).first().summary
+    assert s.startswith("[class:2, method:1] ") and "Service confirms orders." in s
+    cor = spark.createDataFrame([("x1", "a", "old", "new")],
+                                "correction_id string, target_id string, original string, corrected string")
+    assert [r.correction_id for r in community_corrections(m, cor).collect()] == ["x1"]
+    chunks = spark.createDataFrame([("n1", "f.py"), ("n2", "g.py")], "node_id string, source_file string")
+    by_file = spark.createDataFrame([("f.py", "x1", "old", "new")],
+                                    "source_file string, correction_id string, original string, corrected string")
+    got = {(r.node_id, r.correction_id) for r in with_correction_context(chunks, by_file).collect()}
+    assert got == {("n1", "x1"), ("n2", None)}
