@@ -621,3 +621,31 @@ def gap_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = fx.ent_edges(spark, sf_dir)
     return compare_gaps(gap_report(unmatched_files=un1, scored_edges=e),
                         gap_report(unmatched_files=un2, scored_edges=e))
+
+
+# ------------------------------------------------- registered extractors ----
+
+def _document_chunks(spark, sf_dir):
+    from graphloom.functions.text import ext_language, extension
+    from graphloom.sources.files import run_extractors
+    files = fx.document_files(spark, sf_dir).select(
+        "path", ext_language(extension("path")).alias("language"), "text")
+    return run_extractors(files)
+
+
+@register("extract_document_files")
+def extract_document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """X1 + X2: the registered extractors (Python, TypeScript, SCSS) run over every
+    document file of their language; one row per chunk or per rejected file
+    (no SQL oracle: the extractors are Python functions)."""
+    return _document_chunks(spark, sf_dir).select("path", "language", "chunk_type", "name",
+                                                  "error_class")
+
+
+@register("unparseable_by_type")
+def unparseable_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G1: rejected document files counted by extension and error class (no SQL oracle)."""
+    from graphloom.operators.gaps import unparseable_by_type as ubt
+    from graphloom.sources.files import chunks_to_graph
+    _, _, rejects = chunks_to_graph(_document_chunks(spark, sf_dir))
+    return ubt(rejects)
