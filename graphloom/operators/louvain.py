@@ -41,7 +41,7 @@ def _strength(arcs: DataFrame, loops: DataFrame) -> DataFrame:
 
 def _modularity(arcs: DataFrame, loops: DataFrame, k: DataFrame, labels: DataFrame,
                 two_m: int) -> tuple[float, int]:
-    """Modularity of ``labels(id, comm[, moved])`` and the number of moved nodes, one job."""
+    """Modularity of ``labels(id, comm, k[, moved])`` and the number of moved nodes, one job."""
     if "moved" not in labels.columns:
         labels = labels.withColumn("moved", F.lit(0))
     lab_s = labels.select(F.col("id").alias("src"), F.col("comm").alias("cs"))
@@ -54,9 +54,8 @@ def _modularity(arcs: DataFrame, loops: DataFrame, k: DataFrame, labels: DataFra
     loop_rows = (loops.join(labels, "id")
                  .select("comm", (2 * F.col("wl")).cast("long").alias("inw"),
                          zero.alias("kw"), zero.alias("mv")))
-    k_rows = (k.join(labels, "id")
-              .select("comm", zero.alias("inw"), F.col("k").alias("kw"),
-                      F.col("moved").cast("long").alias("mv")))
+    k_rows = labels.select("comm", zero.alias("inw"), F.col("k").alias("kw"),
+                           F.col("moved").cast("long").alias("mv"))
     per = (inner.unionByName(loop_rows).unionByName(k_rows)
            .groupBy("comm").agg(F.sum("inw").alias("inw"), F.sum("kw").alias("tot"),
                                 F.sum("mv").alias("mv")))
@@ -79,9 +78,9 @@ def _round(arcs: DataFrame, k: DataFrame, labels: DataFrame, two_m: int, parity:
     lab_d = labels.select(F.col("id").alias("dst"), F.col("comm").alias("c"))
     kin = (arcs.join(lab_d, "dst").groupBy(F.col("src").alias("id"), "c")
            .agg(F.sum("w").alias("kic")))
-    tot = k.join(labels, "id").groupBy("comm").agg(F.sum("k").alias("tot"),
-                                                   F.count(F.lit(1)).alias("size"))
-    me = (labels.join(k, "id")
+    # labels carry each node's strength k, so no join with the strength table
+    tot = labels.groupBy("comm").agg(F.sum("k").alias("tot"), F.count(F.lit(1)).alias("size"))
+    me = (labels
           .filter(F.pmod(F.col("id"), F.lit(2)) == parity)
           .filter(F.pmod(F.xxhash64(F.col("id"), F.lit(salt)), F.lit(1 << sample_bits)) == 0)
           .join(tot.select(F.col("comm"), F.col("tot").alias("tot_own"),
@@ -109,7 +108,7 @@ def _round(arcs: DataFrame, k: DataFrame, labels: DataFrame, two_m: int, parity:
     moves = best.filter(F.col("best_score") > F.col("own_score")).select(
         "id", F.col("best_c").alias("new_comm"))
     return (labels.join(moves, "id", "left")
-            .select("id", F.coalesce("new_comm", "comm").alias("comm"),
+            .select("id", F.coalesce("new_comm", "comm").alias("comm"), "k",
                     F.col("new_comm").isNotNull().cast("int").alias("moved")))
 
 
@@ -146,7 +145,7 @@ def louvain(edges: DataFrame, nodes: DataFrame | None = None, max_levels: int =
         k = cut_lineage(_strength(arcs, loops).join(cur_ids, "id", "right")
                         .select("id", F.coalesce("k", F.lit(0)).cast("long").alias("k")))
         two_m = int(k.agg(F.sum("k")).first()[0] or 0)
-        labels = k.select("id", F.col("id").alias("comm"))
+        labels = k.select("id", F.col("id").alias("comm"), "k")
         if two_m == 0:
             break
         q, _ = _modularity(arcs, loops, k, labels, two_m)
@@ -160,7 +159,7 @@ def louvain(edges: DataFrame, nodes: DataFrame | None = None, max_levels: int =
             accepted = bool(n_moved) and q_new >= q - 1e-12
             if accepted:
                 progress = q_new - q > min_gain
-                labels, q = cand.select("id", "comm"), q_new
+                labels, q = cand.select("id", "comm", "k"), q_new
                 moved_level += n_moved
                 quiet = 0 if progress else quiet + 1
             elif n_moved and bits < max_sample_bits:
