@@ -5,7 +5,8 @@ stored for the same conversations, so a user turn whose assistant turn
 arrived in an earlier batch (or arrives later) still pairs up.  Writes are
 idempotent: correction ids already in the sink are skipped, and stored
 turns are de-duplicated on read, so a batch replayed after a failure adds
-nothing twice.
+nothing twice.  Both stores are partitioned by a hash bucket of the
+conversation, and a batch reads only the buckets it touches.
 """
 
 from __future__ import annotations
@@ -18,6 +19,11 @@ from pyspark.sql import functions as F
 from graphloom.operators.corrections import capture_from_dialogue
 
 TURN_SCHEMA = "conv_id long, turn long, role string, text string"
+BUCKETS = 64  # stored turns and corrections are partitioned by a hash of conv_id
+
+
+def _bucket() -> F.Column:
+    return F.pmod(F.xxhash64(F.col("conv_id")), F.lit(BUCKETS)).cast("int")
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -35,19 +41,24 @@ def run_correction_stream(spark: SparkSession, source_dir: str, sink_dir: str,
     out_dir = os.path.join(sink_dir, "corrections")
 
     def per_batch(batch: DataFrame, epoch_id: int) -> None:
-        b = batch.select("conv_id", "turn", "role", "text")
+        b = batch.select("conv_id", "turn", "role", "text").withColumn("bucket", _bucket())
         convs = b.select("conv_id").distinct()
+        # at most BUCKETS small integers: which stored partitions this batch touches
+        touched = [r[0] for r in b.select("bucket").distinct().collect()]
         if _exists(spark, turns_dir):
-            stored = spark.read.parquet(turns_dir).join(convs, "conv_id", "left_semi")
+            stored = (spark.read.parquet(turns_dir).filter(F.col("bucket").isin(touched))
+                      .join(convs, "conv_id", "left_semi"))
             turns = stored.unionByName(b).dropDuplicates(["conv_id", "turn"])
         else:
             turns = b
-        cor = capture_from_dialogue(turns)
+        cor = capture_from_dialogue(turns.drop("bucket")).withColumn("bucket", _bucket())
         if _exists(spark, out_dir):
-            cor = cor.join(spark.read.parquet(out_dir).select("correction_id"),
-                           "correction_id", "left_anti")
-        cor.withColumn("epoch", F.lit(epoch_id)).write.mode("append").parquet(out_dir)
-        b.write.mode("append").parquet(turns_dir)
+            seen = (spark.read.parquet(out_dir).filter(F.col("bucket").isin(touched))
+                    .select("correction_id"))
+            cor = cor.join(seen, "correction_id", "left_anti")
+        (cor.withColumn("epoch", F.lit(epoch_id))
+         .write.mode("append").partitionBy("bucket").parquet(out_dir))
+        b.write.mode("append").partitionBy("bucket").parquet(turns_dir)
 
     stream = (spark.readStream.schema(TURN_SCHEMA)
               .option("pathGlobFilter", glob)
