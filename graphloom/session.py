@@ -92,10 +92,14 @@ def table_path(sf_dir: str, name: str) -> str:
 
 
 def _path_bytes(spark: SparkSession, path: str) -> int:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return int(fs.getContentSummary(p).getLength()) if fs.exists(p) else 0
+    """Bytes under ``path`` (0 when the file system cannot be asked, e.g. no JVM access)."""
+    try:
+        jvm = spark.sparkContext._jvm
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        return int(fs.getContentSummary(p).getLength()) if fs.exists(p) else 0
+    except Exception:  # noqa: BLE001 - sizing is only a hint
+        return 0
 
 
 SPREAD_MIN_BYTES = 1 << 20   # below this a table is not worth a shuffle
