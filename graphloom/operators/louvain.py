@@ -123,7 +123,9 @@ def louvain(edges: DataFrame, nodes: DataFrame | None = None, max_levels: int =
     ``community`` is the id of one member (the community's seed node).
     """
     e = edges.select(F.col("src").cast("long").alias("a"), F.col("dst").cast("long").alias("b"))
-    pairs = e.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    # the input may be an expensive lazy plan (e.g. a KNN join): compute it once
+    pairs = cut_lineage(e.select(F.least("a", "b").alias("a"),
+                                 F.greatest("a", "b").alias("b")).distinct())
     loops = pairs.filter(F.col("a") == F.col("b")).select(
         F.col("a").alias("id"), F.lit(1).cast("long").alias("wl"))
     und = pairs.filter(F.col("a") != F.col("b"))
@@ -133,7 +135,7 @@ def louvain(edges: DataFrame, nodes: DataFrame | None = None, max_levels: int =
     ids = arcs.select(F.col("src").alias("id")).unionByName(loops.select("id"))
     if nodes is not None:
         ids = ids.unionByName(nodes.select(F.col("id").cast("long")))
-    ids = ids.distinct()
+    ids = cut_lineage(ids.distinct())
     # membership of every original node in the current level's node ids
     member = cut_lineage(ids.select("id", F.col("id").alias("node")))
     arcs, loops = cut_lineage(arcs), cut_lineage(loops)
