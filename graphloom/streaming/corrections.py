@@ -56,9 +56,10 @@ def run_correction_stream(spark: SparkSession, source_dir: str, sink_dir: str,
             seen = (spark.read.parquet(out_dir).filter(F.col("bucket").isin(touched))
                     .select("correction_id"))
             cor = cor.join(seen, "correction_id", "left_anti")
-        (cor.withColumn("epoch", F.lit(epoch_id))
+        # one writer per bucket, so a batch adds at most one file per bucket
+        (cor.withColumn("epoch", F.lit(epoch_id)).repartition("bucket")
          .write.mode("append").partitionBy("bucket").parquet(out_dir))
-        b.write.mode("append").partitionBy("bucket").parquet(turns_dir)
+        b.repartition("bucket").write.mode("append").partitionBy("bucket").parquet(turns_dir)
 
     stream = (spark.readStream.schema(TURN_SCHEMA)
               .option("pathGlobFilter", glob)

@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 from graphloom.streaming.corrections import _exists
 
+BUCKETS = 64  # the node store is partitioned by a hash of node_id
+
 
 def run_ingest_stream(spark: SparkSession, source: DataFrame, sink_dir: str,
                       to_nodes: Callable[[DataFrame], DataFrame]) -> None:
@@ -25,11 +27,17 @@ def run_ingest_stream(spark: SparkSession, source: DataFrame, sink_dir: str,
     out_dir = os.path.join(sink_dir, "nodes")
 
     def per_batch(batch: DataFrame, epoch_id: int) -> None:
-        nodes = to_nodes(batch).withColumn("content_hash", F.sha2(F.col("content"), 256))
+        nodes = (to_nodes(batch).withColumn("content_hash", F.sha2(F.col("content"), 256))
+                 .withColumn("bucket", F.pmod(F.xxhash64("node_id"), F.lit(BUCKETS)).cast("int")))
         if _exists(spark, out_dir):
-            seen = spark.read.parquet(out_dir).select("node_id", "content_hash")
+            # at most BUCKETS small integers: the stored partitions this batch touches
+            touched = [r[0] for r in nodes.select("bucket").distinct().collect()]
+            seen = (spark.read.parquet(out_dir).filter(F.col("bucket").isin(touched))
+                    .select("node_id", "content_hash"))
             nodes = nodes.join(seen, ["node_id", "content_hash"], "left_anti")
-        nodes.withColumn("epoch", F.lit(epoch_id)).write.mode("append").parquet(out_dir)
+        # one writer per bucket, so a batch adds at most one file per bucket
+        (nodes.withColumn("epoch", F.lit(epoch_id)).repartition("bucket")
+         .write.mode("append").partitionBy("bucket").parquet(out_dir))
 
     q = (source.writeStream.foreachBatch(per_batch)
          .option("checkpointLocation", os.path.join(sink_dir, "_checkpoint"))
@@ -39,7 +47,7 @@ def run_ingest_stream(spark: SparkSession, source: DataFrame, sink_dir: str,
 
 def current_nodes(spark: SparkSession, sink_dir: str) -> DataFrame:
     v = spark.read.parquet(os.path.join(sink_dir, "nodes"))
-    cols = [c for c in v.columns if c != "node_id"]
+    cols = [c for c in v.columns if c not in ("node_id", "bucket")]
     return (v.groupBy("node_id")
             .agg(F.max_by(F.struct(*cols), F.struct("epoch", "content_hash")).alias("_v"))
             .select("node_id", "_v.*"))
