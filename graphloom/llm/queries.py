@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import chat, digestindex, lengths, linededup, mixing
+from graphloom.llm import chat, digestindex, langid, lengths, linededup, mixing, sptok
 from graphloom.llm.common import table
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     p = pages.select("page_id", linededup.url_host(F.col("url")).alias("site"), linededup.html_lines(F.col("html")).alias("text"))
@@ -20,6 +24,10 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digestindex.dedup(spark, table(spark, sf_dir, "documents"), index)
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sptok.encode(table(spark, sf_dir, "documents"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lengths.token_counts(table(spark, sf_dir, "documents"))
 
@@ -36,8 +44,10 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
     "op2_line_dedup": op2_line_dedup,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_sentencepiece": op4_sentencepiece,
     "op5_token_counts": op5_token_counts,
     "op8_mix_sources": op8_mix_sources,
     "op9_chat_format": op9_chat_format,
