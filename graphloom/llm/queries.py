@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import chat, digestindex, langid, lengths, linededup, mixing, sptok
+from graphloom.llm import chat, digestindex, langid, lengths, linededup, mixing, sanitise, sptok
 from graphloom.llm.common import table
 
 
@@ -43,6 +43,10 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_chat(rows))
 
 
+def op10_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sanitise.sanitise(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_line_dedup": op2_line_dedup,
@@ -51,4 +55,5 @@ QUERIES = {
     "op5_token_counts": op5_token_counts,
     "op8_mix_sources": op8_mix_sources,
     "op9_chat_format": op9_chat_format,
+    "op10_sanitise": op10_sanitise,
 }
