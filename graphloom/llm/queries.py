@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import chat, digestindex, imi, langid, lengths, linededup, mixing, sanitise, sptok
+from graphloom.llm import chat, digestindex, imi, jaccard, langid, lengths, linededup, mixing, sanitise, sptok
 from graphloom.llm.common import table
 
 
@@ -32,6 +32,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lengths.token_counts(table(spark, sf_dir, "documents"))
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_groups(table(spark, sf_dir, "documents"))
+
+
 def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imi.near_dedup(table(spark, sf_dir, "embeddings"))
 
@@ -57,6 +61,7 @@ QUERIES = {
     "op3_exact_dedup": op3_exact_dedup,
     "op4_sentencepiece": op4_sentencepiece,
     "op5_token_counts": op5_token_counts,
+    "op6_jaccard_join": op6_jaccard_join,
     "op7_embedding_dedup": op7_embedding_dedup,
     "op8_mix_sources": op8_mix_sources,
     "op9_chat_format": op9_chat_format,
