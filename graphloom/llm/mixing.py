@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import word_count
@@ -87,6 +87,34 @@ def thresholds(sizes: DataFrame, budgets: DataFrame) -> DataFrame:
     raise AssertionError
 
 
+def hashed(docs: DataFrame, seed: str) -> DataFrame:
+    """``docs`` as (everything it has in ``row``), doc_id, source key, size and hash."""
+    source, doc = F.col("source"), F.col("doc_id")
+    h = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc.cast("string"), F.lit("null")))), 1, 10), 16, 10)
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), doc.cast("long").alias("doc_id"),
+                       source.isNull().alias("no_source"), F.coalesce(source.cast("string"), F.lit("")).alias("src"),
+                       word_count(F.col("text")).alias("size"), h.cast("long").alias("h"))
+
+
+def plan(sizes: DataFrame, **options) -> DataFrame:
+    """``(no_source, src, source_size, target, full, limit)``: what each source gives.
+
+    ``sizes``: no_source, src, size, h.  Every document is taken ``full`` times and, if its
+    hash is below ``limit``, once more.
+    """
+    t = targets(sizes.groupBy(*KEY).agg(F.sum("size").alias("source_size")), **options)
+    full = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
+    t = cut_lineage(t.withColumn("full", full).withColumn("rest", F.col("target") - F.col("full") * F.col("source_size")))
+    # a source whose target is whole copies has no threshold to look for
+    open_ = t.filter("rest > 0")
+    limits = thresholds(sizes.join(open_.select(*KEY), KEY, "left_semi"), open_.select(*KEY, "rest"))
+    return cut_lineage(t.join(limits, KEY, "left").select(*KEY, "source_size", "target", "full", F.coalesce("limit", F.lit(0)).alias("limit")))
+
+
+def copies() -> Column:
+    return F.col("full") + F.when(F.col("h") < F.col("limit"), 1).otherwise(0)
+
+
 def mix(docs: DataFrame, seed: str = "mix", **options) -> DataFrame:
     """One row per row of ``docs``: doc_id, size, source_size, target, taken.
 
@@ -95,17 +123,17 @@ def mix(docs: DataFrame, seed: str = "mix", **options) -> DataFrame:
     source, the last.  Rows that repeat a doc_id share a hash and so a fate.  The
     hash depends on seed and id only, so reruns agree.  No rows give no rows.
     """
-    source, text, doc = F.col("source"), F.col("text"), F.col("doc_id")
-    h = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc.cast("string"), F.lit("null")))), 1, 10), 16, 10)
-    d = cut_lineage(docs.select(doc.cast("long").alias("doc_id"), source.isNull().alias("no_source"),
-                                F.coalesce(source.cast("string"), F.lit("")).alias("src"),
-                                word_count(text).alias("size"), h.cast("long").alias("h")))
-    t = targets(d.groupBy(*KEY).agg(F.sum("size").alias("source_size")), **options)
-    full = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
-    t = cut_lineage(t.withColumn("full", full).withColumn("rest", F.col("target") - F.col("full") * F.col("source_size")))
-    # a source whose target is whole copies has no threshold to look for
-    limits = thresholds(d.join(t.filter("rest > 0").select(*KEY), KEY, "left_semi"), t.filter("rest > 0").select(*KEY, "rest"))
-    plan = cut_lineage(t.join(limits, KEY, "left").select(*KEY, "source_size", "target", "full", F.coalesce("limit", F.lit(0)).alias("limit")))
-    return d.join(plan, KEY).select(
-        "doc_id", "size", "source_size", "target",
-        (F.col("size") * (F.col("full") + F.when(F.col("h") < F.col("limit"), 1).otherwise(0))).cast("long").alias("taken"))
+    d = cut_lineage(hashed(docs, seed).drop("row"))
+    return d.join(plan(d, **options), KEY).select(
+        "doc_id", "size", "source_size", "target", (F.col("size") * copies()).cast("long").alias("taken"))
+
+
+def mixed(docs: DataFrame, seed: str = "mix", **options) -> DataFrame:
+    """The mix itself: the rows of ``docs``, each as often as it is taken.
+
+    Sizes are counted in one pass and texts are read in a second one; only the small table of
+    sources is joined to them.
+    """
+    p = plan(cut_lineage(hashed(docs, seed).drop("row")), **options)
+    return (hashed(docs, seed).join(p, KEY).filter(copies() > 0)
+            .select("row", F.explode(F.sequence(F.lit(1), copies())).alias("_")).select("row.*"))
