@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.llm.common import bitmap
 from graphloom.session import cut_lineage
 
 KINDS = ("email", "ip", "card", "phone")
@@ -145,13 +146,7 @@ def scan(docs: DataFrame) -> DataFrame:
 
 def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """``(term, df)``: documents that contain each of ``terms``, over all ``docs``."""
-    bit = F.pmod(F.crc32("term"), F.lit(BITS))
-    bitmap = bytearray(BITS // 8)
-    for bucket, part in (terms.groupBy(F.bitmap_bucket_number(bit).alias("b"))
-                         .agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("m")).collect()):
-        at = (bucket - 1) * len(part)  # at most BITS / 8 bytes in all
-        bitmap[at:at + len(part)] = part
-    flags = bytes(bitmap)
+    flags = bitmap(terms.select(F.pmod(F.crc32("term"), F.lit(BITS)).cast("long").alias("p")), BITS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
