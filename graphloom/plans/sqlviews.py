@@ -12,7 +12,7 @@ def _id(prefix: str, col: str) -> str:
     return f"'{prefix}' || CAST({col} AS VARCHAR)"
 
 
-ENT_NODES = f"""ent_nodes AS (
+ENT_NODES = f"""ent_nodes AS MATERIALIZED (
   SELECT {_id('r:', 'r_regionkey')} AS node_id, 'region' AS chunk_type, 'region' AS source_file, r_name AS summary FROM region
   UNION ALL SELECT {_id('n:', 'n_nationkey')}, 'nation', 'nation', n_name FROM nation
   UNION ALL SELECT {_id('c:', 'c_custkey')}, 'customer', 'customer', c_name FROM customer
@@ -26,7 +26,7 @@ _ROWKEY = ("CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_partkey AS VARCHAR) ||
 _LINE_CONF = ("CASE l_returnflag WHEN 'N' THEN 'deterministic' WHEN 'R' THEN 'probabilistic' "
               "ELSE 'inferred' END")
 
-ENT_EDGES = f"""ent_edges AS (
+ENT_EDGES = f"""ent_edges AS MATERIALIZED (
   SELECT {_id('nr:', 'n_nationkey')} AS edge_id, {_id('n:', 'n_nationkey')} AS source_node_id,
          {_id('r:', 'n_regionkey')} AS target_node_id, 'INHERITS' AS type,
          'deterministic' AS confidence, 'fk' AS evidence FROM nation
@@ -52,7 +52,7 @@ TIER = ("CASE {c} WHEN 'deterministic' THEN 0 WHEN 'probabilistic' THEN 1 ELSE 2
 
 def roots_cte(table: str) -> str:
     prefix, key = ROOT_TABLES[table]
-    return f"roots AS (SELECT DISTINCT {_id(prefix, key)} AS root_id FROM {table})"
+    return f"roots AS MATERIALIZED (SELECT DISTINCT {_id(prefix, key)} AS root_id FROM {table})"
 
 
 def arcs_cte(direction: str) -> str:
@@ -61,7 +61,7 @@ def arcs_cte(direction: str) -> str:
     inb = ("SELECT target_node_id AS from_id, source_node_id AS to_id, edge_id, source_node_id, "
            "target_node_id, type, confidence FROM ent_edges")
     body = {"outbound": out, "inbound": inb, "both": f"{out} UNION ALL {inb}"}[direction]
-    return f"arcs AS ({body})"
+    return f"arcs AS MATERIALIZED ({body})"
 
 
 def bfs_ctes(depth: int, include_fringe: bool = False) -> str:
@@ -71,17 +71,19 @@ def bfs_ctes(depth: int, include_fringe: bool = False) -> str:
     path, the same rule as the DataFrame operator.
     """
     last = depth if include_fringe else depth - 1
-    parts = ["v0 AS (SELECT root_id, root_id AS node_id, 0 AS hop, 0 AS wt FROM roots)"]
+    parts = ["v0 AS MATERIALIZED (SELECT root_id, root_id AS node_id, 0 AS hop, 0 AS wt FROM roots)"]
     for h in range(1, last + 1):
         tier = TIER.format(c="a.confidence")
-        seen = " UNION ALL ".join(f"SELECT root_id, node_id FROM v{j}" for j in range(h))
+        seen = f"SELECT root_id, node_id FROM s{h - 1}" if h > 1 else "SELECT root_id, node_id FROM v0"
+        # the step's pairs first, then one anti join with everything seen so far
         parts.append(
-            f"v{h} AS (SELECT v.root_id, a.to_id AS node_id, {h} AS hop, "
-            f"MIN(GREATEST(v.wt, {tier})) AS wt FROM v{h-1} v JOIN arcs a ON a.from_id = v.node_id "
-            f"WHERE NOT EXISTS (SELECT 1 FROM ({seen}) s WHERE s.root_id = v.root_id "
-            f"AND s.node_id = a.to_id) GROUP BY v.root_id, a.to_id)")
+            f"v{h} AS MATERIALIZED (SELECT t.root_id, t.node_id, {h} AS hop, t.wt FROM ("
+            f"SELECT v.root_id, a.to_id AS node_id, MIN(GREATEST(v.wt, {tier})) AS wt "
+            f"FROM v{h - 1} v JOIN arcs a ON a.from_id = v.node_id GROUP BY v.root_id, a.to_id) t "
+            f"ANTI JOIN ({seen}) s ON s.root_id = t.root_id AND s.node_id = t.node_id)")
+        parts.append(f"s{h} AS MATERIALIZED ({seen} UNION ALL SELECT root_id, node_id FROM v{h})")
     vis = " UNION ALL ".join(f"SELECT * FROM v{h}" for h in range(0, last + 1))
-    parts.append(f"vis AS ({vis})")
+    parts.append(f"vis AS MATERIALIZED ({vis})")
     return ",\n".join(parts)
 
 
