@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-WORD_SPLIT = r"(?U)\s+"
+WORD_SPLIT = r"(?U)[\s\x1C-\x1F]+"  # white space as Python's split() knows it
 MIN_WORD_LEN = 3  # words with more than two characters
 
 
@@ -52,7 +52,6 @@ def _trigrams(df: DataFrame, key: str, text: str) -> DataFrame:
 
 CONTEXT = 32  # characters kept on each side of a trigram occurrence for confirmation
 SEGMENT = 1 << 16  # trigram positions per generated row group of one long text
-FREQ_SAMPLE = 1.0  # share of correction texts used to estimate trigram frequencies
 
 
 def word_matches(words: DataFrame, corrections: DataFrame) -> DataFrame:
@@ -78,14 +77,8 @@ def word_matches(words: DataFrame, corrections: DataFrame) -> DataFrame:
                    F.greatest(F.col("pos") - CONTEXT, F.lit(1)).alias("ctx_start"),
                    F.expr(f"substring(piece, greatest(pos - {CONTEXT}, 1) - piece_start + 1, "
                           f"{2 * CONTEXT + 3})").alias("ctx")))
-    # Trigram frequencies only steer the choice of anchor (which trigram of a
-    # word is looked up); any choice gives the same, exact result.  They can
-    # be estimated from a fixed sample of the texts (FREQ_SAMPLE < 1); on the
-    # test data the exact counts chose better anchors (17.9 s vs 22.2 s warm
-    # at sf0.1), so the default reads every position.
-    sample = s.sample(fraction=FREQ_SAMPLE, seed=17) if FREQ_SAMPLE < 1 else s
-    freq = _trigrams(sample, "correction_id", "s").groupBy("tri").agg(
-        F.count(F.lit(1)).alias("freq"))
+    # trigram frequencies only steer which trigram of a word is looked up; any choice is exact
+    freq = _trigrams(s, "correction_id", "s").groupBy("tri").agg(F.count(F.lit(1)).alias("freq"))
     w = words.select("word").distinct()
     wt = _trigrams(w, "word", "word").withColumnRenamed("pos", "off")
     # rarest trigram of each word (ties: earliest offset); a trigram never

@@ -29,16 +29,13 @@ REQUIRED_NODE_FIELDS = ["node_id", "language", "source_file", "chunk_type", "raw
 
 def html_chunks(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """``(page_id, chunk_type, ordinal, content)`` for titles, headings, links, paragraphs."""
-    parts = []
-    for kind, pat in HTML_PATTERNS.items():
-        parts.append(pages.select(
-            F.col(id_col).alias("page_id"), F.lit(kind).alias("chunk_type"),
-            F.posexplode(F.regexp_extract_all(F.col(html_col), F.lit(pat), 1))
-            .alias("ordinal", "content")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.withColumn("ordinal", F.col("ordinal") + 1)
+    found = F.array(*[F.struct(F.lit(kind).alias("chunk_type"),
+                               F.regexp_extract_all(F.col(html_col), F.lit(pat), 1).alias("parts"))
+                      for kind, pat in HTML_PATTERNS.items()])
+    # one scan: all kinds of one page are exploded together
+    return (pages.select(F.col(id_col).alias("page_id"), F.explode(found).alias("f"))
+            .select("page_id", F.col("f.chunk_type").alias("chunk_type"), F.posexplode("f.parts").alias("ordinal", "content"))
+            .withColumn("ordinal", F.col("ordinal") + 1))
 
 
 def is_infrastructure(selector) -> Column:
@@ -55,19 +52,13 @@ def strip_boilerplate(text, patterns: list[str]) -> Column:
     return F.array_join(F.filter(lines, lambda ln: ~ln.rlike(rx)), "\n")
 
 
-def match_extractors(files: DataFrame, registry: DataFrame, type_col: str = "file_type",
-                     max_broadcast_rows: int = 100_000) -> tuple[DataFrame, DataFrame]:
+def match_extractors(files: DataFrame, registry: DataFrame, type_col: str = "file_type") -> tuple[DataFrame, DataFrame]:
     """P4 + J6 + G2: files joined to the extractors whose ``file_types`` contain their type.
 
     Returns ``(matched, unmatched)``; ``unmatched`` is the gap list of files
-    with no extractor (left anti join).  The exploded registry is broadcast
-    only while it has at most ``max_broadcast_rows`` rows (one scalar count);
-    beyond that the planner's shuffle join is used.
+    with no extractor (left anti join).  The planner picks the join by size.
     """
-    reg = (registry.select("skill_id", "name", F.explode("file_types").alias(type_col))
-           .distinct())
-    small = reg.count() <= max_broadcast_rows
-    r = F.broadcast(reg) if small else reg
+    r = registry.select("skill_id", "name", F.explode("file_types").alias(type_col)).distinct()
     matched = files.join(r, type_col, "inner")
     unmatched = files.join(r.select(type_col).distinct(), type_col, "left_anti")
     return matched, unmatched

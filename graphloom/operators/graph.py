@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.schemas import CONFIDENCE_LEVELS
-from graphloom.session import cut_lineage
+from graphloom.session import cut_lineage, release
 
 
 def simple_graph(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -22,10 +22,13 @@ def simple_graph(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     multi-edges and both orientations collapse to one pair, self-loops stay.
     """
     ids = nodes.select(F.col("node_id")).distinct()
-    e = (edges.select(F.col("source_node_id").alias("s"), F.col("target_node_id").alias("t"))
-         .join(ids.withColumnRenamed("node_id", "s"), "s", "left_semi")
-         .join(ids.withColumnRenamed("node_id", "t"), "t", "left_semi"))
-    return e.select(F.least("s", "t").alias("src"), F.greatest("s", "t").alias("dst")).distinct()
+    # one row per pair before the joins; the written pairs are then read instead of the input
+    named = edges.filter(F.col("source_node_id").isNotNull() & F.col("target_node_id").isNotNull())
+    pairs = cut_lineage(named.select(F.least("source_node_id", "target_node_id").alias("src"),
+                                     F.greatest("source_node_id", "target_node_id").alias("dst")).distinct())
+    ids = cut_lineage(ids)
+    return (pairs.join(ids.withColumnRenamed("node_id", "src"), "src", "left_semi")
+            .join(ids.withColumnRenamed("node_id", "dst"), "dst", "left_semi").select("src", "dst"))
 
 
 def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -80,20 +83,20 @@ def modularity(edges: DataFrame, labels: DataFrame) -> DataFrame:
     Q = sum_c [ L_c / m - (d_c / 2m)^2 ]; a self-loop adds 2 to the degree.
     Returns one row ``n_communities, n_edges, modularity``.
     """
-    lab = labels.select(F.col("id"), F.col("comm"))
-    e = (edges.join(lab.withColumnRenamed("id", "src").withColumnRenamed("comm", "cs"), "src")
-         .join(lab.withColumnRenamed("id", "dst").withColumnRenamed("comm", "cd"), "dst"))
-    internal = (e.filter(F.col("cs") == F.col("cd")).groupBy(F.col("cs").alias("comm"))
-                .agg(F.count(F.lit(1)).alias("l_c")))
-    ends = (edges.select(F.col("src").alias("id"))
-            .unionAll(edges.select(F.col("dst").alias("id"))))
-    deg = (ends.join(lab, "id").groupBy("comm").agg(F.count(F.lit(1)).alias("d_c")))
-    per = (lab.select("comm").distinct().join(deg, "comm", "left").join(internal, "comm", "left")
-           .select("comm", F.coalesce("l_c", F.lit(0)).alias("l_c"),
-                   F.coalesce("d_c", F.lit(0)).alias("d_c")))
+    lab = cut_lineage(labels.select(F.col("id"), F.col("comm")))
+    # the input edges are read once; every edge gives one row per end and one if it is inner
+    e = cut_lineage(edges.select("src", "dst")
+                    .join(lab.withColumnRenamed("id", "src").withColumnRenamed("comm", "cs"), "src", "left")
+                    .join(lab.withColumnRenamed("id", "dst").withColumnRenamed("comm", "cd"), "dst", "left"))
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    part = lambda comm, l_c, d_c: F.struct(F.col(comm).alias("comm"), l_c.alias("l_c"), d_c.alias("d_c"))
+    ends = (e.select(F.explode(F.array(
+        part("cs", F.when(F.col("cs") == F.col("cd"), 1).otherwise(0).cast("long"), one),
+        part("cd", zero, one))).alias("x")).select("x.*").filter("comm IS NOT NULL"))
+    per = (ends.unionByName(lab.select("comm", zero.alias("l_c"), zero.alias("d_c")))
+           .groupBy("comm").agg(F.sum("l_c").alias("l_c"), F.sum("d_c").alias("d_c")))
     rows = (per.select(F.lit(0).alias("is_edge"), "l_c", "d_c")
-            .unionByName(edges.select(F.lit(1).alias("is_edge"), F.lit(0).cast("long").alias("l_c"),
-                                      F.lit(0).cast("long").alias("d_c"))))
+            .unionByName(e.select(F.lit(1).alias("is_edge"), zero.alias("l_c"), zero.alias("d_c"))))
     tot = rows.agg(F.count_if(F.col("is_edge") == 0).alias("n_communities"),
                    F.count_if(F.col("is_edge") == 1).alias("m"),
                    F.sum("l_c").alias("sum_l"),
@@ -105,35 +108,37 @@ def modularity(edges: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def connected_components(edges: DataFrame, nodes: DataFrame | None = None,
-                         max_iter: int = 200) -> DataFrame:
+                         max_rounds: int | None = None) -> DataFrame:
     """GR9: component label = smallest node id in the component.
 
     Min-label propagation with pointer jumping (label(u) <- label(label(u))),
     which cuts the rounds from the diameter to about its logarithm on most
-    graphs.  Every round is checkpointed to the shared folder; the driver only
-    reads the number of changed labels.  Returns ``id, component``.
+    graphs.  Runs until no label changes; a bound may be passed and raises
+    when it is hit.  Every round is a written table, and tables two
+    rounds old are deleted; the driver only reads the number of changed
+    labels.  Returns ``id, component``.
     """
     e = edges.select(F.col("src").alias("u"), F.col("dst").alias("v"))
-    adj = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))).filter(
-        F.col("u") != F.col("v")).distinct()
+    adj = cut_lineage(e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))).filter(
+        F.col("u") != F.col("v")).distinct())
     ids = adj.select(F.col("u").alias("id"))
     if nodes is not None:
         ids = ids.unionByName(nodes.select(F.col("node_id").alias("id")))
     labels = cut_lineage(ids.distinct().select("id", F.col("id").alias("label")))
-    adj = cut_lineage(adj)
-    for _ in range(max_iter):
+    rounds = 0
+    while True:
+        if max_rounds is not None and rounds == max_rounds:
+            raise RuntimeError(f"components not settled after {max_rounds} rounds")
         nb = (adj.join(labels.select(F.col("id").alias("v"), F.col("label").alias("lv")), "v")
               .groupBy(F.col("u").alias("id")).agg(F.min("lv").alias("m")))
         step = (labels.join(nb, "id", "left")
-                .select("id", F.least("label", F.coalesce("m", "label")).alias("label")))
-        jump = (step.alias("a").join(step.alias("b"), F.col("a.label") == F.col("b.id"), "left")
-                .select(F.col("a.id").alias("id"),
-                        F.least(F.col("a.label"), F.coalesce(F.col("b.label"), F.col("a.label")))
-                        .alias("label")))
-        new = cut_lineage(jump)
-        changed = (new.alias("n").join(labels.alias("o"), "id")
-                   .filter(F.col("n.label") != F.col("o.label")).count())
-        labels = new
+                .select("id", "label", F.least("label", F.coalesce("m", "label")).alias("low")))
+        heads = step.select(F.col("id").alias("head"), F.col("low").alias("next"))
+        new = cut_lineage(step.join(heads, F.col("low") == F.col("head"), "left")
+                          .select("id", F.col("label").alias("old"),
+                                  F.least("low", F.coalesce("next", "low")).alias("label")))
+        changed = new.filter(F.col("label") != F.col("old")).count()
+        release(labels)
+        labels, rounds = new, rounds + 1
         if changed == 0:
-            break
-    return labels.select("id", F.col("label").alias("component"))
+            return labels.select("id", F.col("label").alias("component"))

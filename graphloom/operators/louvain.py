@@ -9,7 +9,7 @@ Halappanavar and Kalyanaraman 2015):
   included, with itself removed from ``tot``) with the integer
   ``2m * k_i,C - k_i * tot_C`` and moves to the best one only if that is
   strictly better than staying; ties go to the smaller community id;
-* rounds alternate between even and odd ids, and a singleton joins another
+* rounds alternate between two halves of the nodes (a hash bit of the id), and a singleton joins another
   singleton only when the target id is smaller, so two nodes never swap;
 * a round is kept only if modularity does not fall; a level ends after two
   successive rounds without a kept move, then the graph is contracted
@@ -26,10 +26,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.session import cut_lineage
+from graphloom.session import cut_lineage, release
 
 DEC = "decimal(38,0)"
-_DEBUG = False  # print one line per round (scalars only)
 
 
 def _strength(arcs: DataFrame, loops: DataFrame) -> DataFrame:
@@ -81,7 +80,7 @@ def _round(arcs: DataFrame, k: DataFrame, labels: DataFrame, two_m: int, parity:
     # labels carry each node's strength k, so no join with the strength table
     tot = labels.groupBy("comm").agg(F.sum("k").alias("tot"), F.count(F.lit(1)).alias("size"))
     me = (labels
-          .filter(F.pmod(F.col("id"), F.lit(2)) == parity)
+          .filter(F.pmod(F.xxhash64(F.col("id"), F.lit("side")), F.lit(2)) == parity)
           .filter(F.pmod(F.xxhash64(F.col("id"), F.lit(salt)), F.lit(1 << sample_bits)) == 0)
           .join(tot.select(F.col("comm"), F.col("tot").alias("tot_own"),
                            F.col("size").alias("size_own")), "comm"))
@@ -112,15 +111,20 @@ def _round(arcs: DataFrame, k: DataFrame, labels: DataFrame, two_m: int, parity:
                     F.col("new_comm").isNotNull().cast("int").alias("moved")))
 
 
-def louvain(edges: DataFrame, nodes: DataFrame | None = None, max_levels: int = 10,
-            max_rounds: int = 20, return_levels: bool = False, min_gain: float = 1e-4,
-            max_sample_bits: int = 4):
+def louvain(edges: DataFrame, nodes: DataFrame | None = None, max_levels: int | None = None,
+            max_rounds: int | None = None, return_levels: bool = False, min_gain: float = 1e-9,
+            max_sample_bits: int = 8):
     """Communities of an undirected graph given as ``edges(src, dst)`` (long ids).
 
     ``nodes(id)`` adds isolated nodes (each stays alone).  Returns
     ``(membership(id, community, level), history)`` where ``history`` holds
     per level the number of communities and the modularity (scalars only).
     ``community`` is the id of one member (the community's seed node).
+
+    A level ends when neither parity yields a kept move any more (rejected
+    rounds are retried with 1/2, 1/4, ... of the movers, down to
+    ``2 ** -max_sample_bits``), and the run when a level moves nothing.  A bound on
+    levels or rounds may be passed; it raises when it is hit.
     """
     e = edges.select(F.col("src").cast("long").alias("a"), F.col("dst").cast("long").alias("b"))
     # the input may be an expensive lazy plan (e.g. a KNN join): compute it once
@@ -143,7 +147,11 @@ def louvain(edges: DataFrame, nodes: DataFrame | None = None, max_levels: int =
     levels: list[DataFrame] = []
     cur_ids = ids
 
-    for level in range(max_levels):
+    level = -1
+    while True:
+        level += 1
+        if max_levels is not None and level == max_levels:
+            raise RuntimeError(f"communities not settled after {max_levels} levels")
         k = cut_lineage(_strength(arcs, loops).join(cur_ids, "id", "right")
                         .select("id", F.coalesce("k", F.lit(0)).cast("long").alias("k")))
         two_m = int(k.agg(F.sum("k")).first()[0] or 0)
@@ -153,7 +161,10 @@ def louvain(edges: DataFrame, nodes: DataFrame | None = None, max_levels: int =
         q, _ = _modularity(arcs, loops, k, labels, two_m)
         quiet, moved_level, rnd = 0, 0, 0
         bits_by_parity = [0, 0]
-        while quiet < 2 and rnd < max_rounds:
+        state = None  # the written table behind labels
+        while quiet < 2:
+            if max_rounds is not None and rnd == max_rounds:
+                raise RuntimeError(f"level {level} not settled after {max_rounds} rounds")
             parity = rnd % 2
             bits = bits_by_parity[parity]
             cand = cut_lineage(_round(arcs, k, labels, two_m, parity, bits, rnd))
@@ -161,7 +172,10 @@ def louvain(edges: DataFrame, nodes: DataFrame | None = None, max_levels: int =
             accepted = bool(n_moved) and q_new >= q - 1e-12
             if accepted:
                 progress = q_new - q > min_gain
+                old, state = state, cand
                 labels, q = cand.select("id", "comm", "k"), q_new
+                if old is not None:
+                    release(old)
                 moved_level += n_moved
                 quiet = 0 if progress else quiet + 1
             elif n_moved and bits < max_sample_bits:
@@ -169,9 +183,8 @@ def louvain(edges: DataFrame, nodes: DataFrame | None = None, max_levels: int =
                 bits_by_parity[parity] = bits + 1
             else:
                 quiet += 1
-            if _DEBUG:
-                print("level", level, "round", rnd, "moved", n_moved, "accepted", accepted,
-                      "bits", bits_by_parity, "q", q, flush=True)
+            if cand is not state:
+                release(cand)
             rnd += 1
         n_comm = labels.select("comm").distinct().count()
         history.append({"level": level, "rounds": rnd, "moves": moved_level,

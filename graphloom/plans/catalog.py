@@ -166,21 +166,16 @@ def knn_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("modularity_labels")
 def modularity_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """GR8: modularity of the given ``label`` column on the KNN graph."""
+    """GR8: modularity of the language labelling on the document graph."""
     from graphloom.operators.graph import modularity
-    return modularity(fx.knn_edges(spark, sf_dir).select("src", "dst"),
-                      fx.knn_labels(spark, sf_dir))
-
-
-KNN_COMPONENT_THRESHOLD = 0.35
+    return modularity(fx.doc_links(spark, sf_dir), fx.doc_labels(spark, sf_dir))
 
 
 @register("connected_components")
 def connected_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """GR9: components of the KNN graph restricted to pairs with dot >= 0.35."""
+    """GR9: components of the document graph (linked documents only)."""
     from graphloom.operators.graph import connected_components as cc
-    e = fx.knn_edges(spark, sf_dir).filter(F.col("score") >= KNN_COMPONENT_THRESHOLD)
-    return cc(e.select("src", "dst"))
+    return cc(fx.doc_links(spark, sf_dir))
 
 
 # ----------------------------------------------------------- corrections ----
@@ -300,30 +295,56 @@ def version_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ----------------------------------------------------------- communities ----
 
-def _knn_component_labels(spark, sf_dir):
-    """CC of the thresholded KNN graph over all vectors (isolated ones alone)."""
+def _doc_component_labels(spark, sf_dir):
+    """Components of the document graph over all documents (isolated ones alone)."""
     from graphloom.operators.graph import connected_components as cc
-    v = fx.embedding_vectors(spark, sf_dir).select(F.col("vec_id").alias("node_id"))
-    e = fx.knn_edges(spark, sf_dir).filter(F.col("score") >= KNN_COMPONENT_THRESHOLD)
-    lab = cc(e.select("src", "dst"), nodes=v)
+    v = fx.doc_labels(spark, sf_dir).select(F.col("id").alias("node_id"))
+    lab = cc(fx.doc_links(spark, sf_dir), nodes=v)
     return lab.select(F.concat(F.lit("doc:"), F.col("id").cast("string")).alias("node_id"),
                       F.concat(F.lit("doc:"), F.col("component").cast("string")).alias("comm"))
 
 
+def _louvain(spark, sf_dir, links):
+    from graphloom.operators.louvain import louvain
+    return louvain(links, nodes=fx.doc_labels(spark, sf_dir).select("id"))[0]
+
+
 @register("louvain_communities")
 def louvain_communities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """GR5: Louvain communities of the KNN graph (no SQL oracle: iterative)."""
-    from graphloom.operators.louvain import louvain
-    v = fx.embedding_vectors(spark, sf_dir).select(F.col("vec_id").alias("id"))
-    m, _ = louvain(fx.knn_edges(spark, sf_dir).select("src", "dst"), nodes=v)
-    return m.select("id", "community")
+    """GR5: Louvain communities of the document graph (see louvain_invariants for its SQL)."""
+    return _louvain(spark, sf_dir, fx.doc_links(spark, sf_dir)).select("id", "community")
+
+
+@register("louvain_invariants")
+def louvain_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """GR5: what any Louvain result must satisfy - every document once, no community
+    across two components, modularity (GR8) not below that of the components."""
+    from graphloom.operators.graph import connected_components as cc, modularity
+    from graphloom.session import cut_lineage
+    links = cut_lineage(fx.doc_links(spark, sf_dir))
+    nodes = fx.doc_labels(spark, sf_dir).select("id")
+    found = cut_lineage(_louvain(spark, sf_dir, links).select("id", "community"))
+    parts = cut_lineage(cc(links, nodes=nodes.select(F.col("id").alias("node_id"))))
+    mixed = (found.join(parts, "id").groupBy("community")
+             .agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n")))
+    counts = mixed.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_assigned"), F.count_if(F.col("lo") != F.col("hi")).alias("n_mixed"))
+    total = nodes.agg(F.count(F.lit(1)).alias("n_nodes"))
+    q = modularity(links, found.withColumnRenamed("community", "comm")).select(F.col("modularity").alias("q"))
+    base = modularity(links, parts.withColumnRenamed("component", "comm")).select(F.col("modularity").alias("component_modularity"))
+    # four one-row tables
+    rows = [t.withColumn("one", F.lit(1)) for t in (total, counts, q, base)]
+    out = rows[0]
+    for t in rows[1:]:
+        out = out.join(t, "one")
+    return out.select("n_nodes", "n_assigned", "n_mixed", "component_modularity",
+                      (F.col("q") >= F.col("component_modularity") - 1e-9).alias("modularity_ok"))
 
 
 @register("community_members")
 def community_members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """GR6 + A8 + U4 + K8: member rows of the KNN components (singletons dropped)."""
+    """GR6 + A8 + U4 + K8: member rows of the document graph's components (singletons dropped)."""
     from graphloom.operators.communities import community_rows
-    return community_rows(_knn_component_labels(spark, sf_dir), fx.doc_nodes(spark, sf_dir))
+    return community_rows(_doc_component_labels(spark, sf_dir), fx.doc_nodes(spark, sf_dir))
 
 
 @register("membership_writeback")
@@ -331,7 +352,7 @@ def membership_writeback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Community ids written back to the document nodes."""
     from graphloom.operators.communities import community_rows, write_back_membership
     nodes = fx.doc_nodes(spark, sf_dir)
-    members = community_rows(_knn_component_labels(spark, sf_dir), nodes)
+    members = community_rows(_doc_component_labels(spark, sf_dir), nodes)
     return write_back_membership(nodes, members.select("node_id", "community_id")).select(
         "node_id", "community_id")
 
@@ -483,7 +504,7 @@ def _versioned_doc_nodes(spark, sf_dir):
     v1 = d.select("node_id", "summary", F.lit("2024-01-01 00:00:00").cast("timestamp")
                   .alias("updated_at"))
     v2 = d.filter(F.col("language") == "en").select(
-        "node_id", F.substring("raw_cleaned", 1, 200).alias("summary"),
+        "node_id", F.concat(F.lit("Second version. "), F.col("raw_cleaned")).alias("summary"),
         F.lit("2024-02-01 00:00:00").cast("timestamp").alias("updated_at"))
     return v1.unionByName(v2)
 
@@ -596,9 +617,9 @@ def model_call_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("list_communities")
 def list_communities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """K5: first 100 KNN components by id with their sizes (limit is the feature)."""
+    """K5: first 100 components of the document graph by id with their sizes (limit is the feature)."""
     from graphloom.operators.search import list_communities as lc
-    lab = _knn_component_labels(spark, sf_dir)
+    lab = _doc_component_labels(spark, sf_dir)
     comms = lab.groupBy(F.col("comm").alias("community_id")).agg(
         F.count(F.lit(1)).alias("n_members")).withColumn(
         "updated_at", F.lit(None).cast("timestamp"))

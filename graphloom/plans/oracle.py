@@ -146,29 +146,31 @@ WITH {sv.KNN}
 SELECT src, dst, round(score, 6) AS score FROM knn
 """
 
-ORACLE["modularity_labels"] = f"""
-WITH {sv.KNN},
-lab AS (SELECT vec_id AS id, label AS comm FROM embeddings),
-m AS (SELECT COUNT(*) AS m FROM knn),
-lc AS (SELECT a.comm, COUNT(*) AS l_c FROM knn JOIN lab a ON a.id = knn.src
-       JOIN lab b ON b.id = knn.dst WHERE a.comm = b.comm GROUP BY a.comm),
+_MODULARITY = """SELECT COUNT(*) AS n_communities, (SELECT COUNT(*) FROM dup) AS n_edges,
+       round(SUM(l_c) / (SELECT COUNT(*) FROM dup)
+             - SUM(CAST(d_c AS DOUBLE) * d_c) / (4.0 * (SELECT COUNT(*) FROM dup) * (SELECT COUNT(*) FROM dup)), 9)
+         AS modularity
+FROM per"""
+
+_PER_COMMUNITY = """lc AS (SELECT a.comm, COUNT(*) AS l_c FROM dup JOIN lab a ON a.id = dup.src
+       JOIN lab b ON b.id = dup.dst WHERE a.comm = b.comm GROUP BY a.comm),
 dc AS (SELECT lab.comm, COUNT(*) AS d_c
-       FROM (SELECT src AS id FROM knn UNION ALL SELECT dst FROM knn) e JOIN lab ON lab.id = e.id
+       FROM (SELECT src AS id FROM dup UNION ALL SELECT dst FROM dup) e JOIN lab ON lab.id = e.id
        GROUP BY lab.comm),
 per AS (SELECT c.comm, COALESCE(l_c, 0) AS l_c, COALESCE(d_c, 0) AS d_c
         FROM (SELECT DISTINCT comm FROM lab) c LEFT JOIN lc ON lc.comm = c.comm
-        LEFT JOIN dc ON dc.comm = c.comm)
-SELECT COUNT(*) AS n_communities, (SELECT m FROM m) AS n_edges,
-       round(SUM(l_c) / (SELECT m FROM m)
-             - SUM(CAST(d_c AS DOUBLE) * d_c) / (4.0 * (SELECT m FROM m) * (SELECT m FROM m)), 9)
-         AS modularity
-FROM per
+        LEFT JOIN dc ON dc.comm = c.comm)"""
+
+ORACLE["modularity_labels"] = f"""
+WITH {sv.DUP},
+lab AS (SELECT doc_id AS id, lang AS comm FROM documents),
+{_PER_COMMUNITY}
+{_MODULARITY}
 """
 
 ORACLE["connected_components"] = f"""
-WITH RECURSIVE {sv.KNN},
-th AS (SELECT src, dst FROM knn WHERE score >= 0.35 AND src <> dst),
-adj AS (SELECT src AS u, dst AS v FROM th UNION SELECT dst, src FROM th),
+WITH RECURSIVE {sv.DUP},
+adj AS (SELECT src AS u, dst AS v FROM dup UNION SELECT dst, src FROM dup),
 reach(id, r) AS (
   SELECT DISTINCT u, u FROM adj
   UNION
@@ -176,6 +178,15 @@ reach(id, r) AS (
 SELECT id, MIN(r) AS component FROM reach GROUP BY id
 """
 
+# every document once, no community across components, modularity not below the components' own
+ORACLE["louvain_invariants"] = f"""
+WITH RECURSIVE {sv.DUP}, {sv.DUP_COMPONENTS},
+lab AS (SELECT id, component AS comm FROM comp),
+{_PER_COMMUNITY}, q AS ({_MODULARITY})
+SELECT (SELECT COUNT(*) FROM documents) AS n_nodes, (SELECT COUNT(*) FROM documents) AS n_assigned,
+       CAST(0 AS BIGINT) AS n_mixed, modularity AS component_modularity, true AS modularity_ok FROM q
+"""
+
 ORACLE["corrections_capture"] = f"""
 WITH {sv.COR}
 SELECT correction_id, session_id, target_type, target_id, original, corrected FROM cor
@@ -266,17 +277,17 @@ FROM vs JOIN f ON f.suite = vs.suite LEFT JOIN ch ON ch.suite = vs.suite AND ch.
 """
 
 ORACLE["community_members"] = f"""
-WITH RECURSIVE {sv.KNN}, {sv.KNN_COMPONENTS}
+WITH RECURSIVE {sv.DUP}, {sv.DUP_COMPONENTS}
 SELECT m.community_id, m.level, m.n_members, m.node_id, d.source AS source_file,
        CASE WHEN d.doc_id IS NULL THEN NULL ELSE 'document' END AS chunk_type,
-       substring(COALESCE(substring(d.text, 1, 400), ''), 1, 400) AS summary
-FROM members m LEFT JOIN documents d ON d.doc_id = m.vec_id
+       substring(COALESCE(d.text, ''), 1, 400) AS summary
+FROM members m LEFT JOIN documents d ON d.doc_id = m.doc_id
 """
 
 ORACLE["membership_writeback"] = f"""
-WITH RECURSIVE {sv.KNN}, {sv.KNN_COMPONENTS}
+WITH RECURSIVE {sv.DUP}, {sv.DUP_COMPONENTS}
 SELECT 'doc:' || CAST(d.doc_id AS VARCHAR) AS node_id, m.community_id
-FROM documents d LEFT JOIN members m ON m.vec_id = d.doc_id
+FROM documents d LEFT JOIN members m ON m.doc_id = d.doc_id
 """
 
 
@@ -351,7 +362,7 @@ _CONTRACT = """c AS (
   SELECT 'doc:' || CAST(doc_id AS VARCHAR) AS node_id, lang AS language, source AS source_file,
          text AS raw_cleaned,
          CASE WHEN doc_id % 11 = 0 THEN NULL ELSE 'document' END AS chunk_type,
-         CASE WHEN doc_id % 9 = 0 THEN '' ELSE substring(text, 1, 400) END AS summary,
+         CASE WHEN doc_id % 9 = 0 THEN '' ELSE text END AS summary,
          doc_id
   FROM documents)"""
 
@@ -439,10 +450,10 @@ FROM benchmark
 
 ORACLE["node_lookup"] = """
 WITH v AS (
-  SELECT 'doc:' || CAST(doc_id AS VARCHAR) AS node_id, substring(text, 1, 400) AS summary,
+  SELECT 'doc:' || CAST(doc_id AS VARCHAR) AS node_id, text AS summary,
          TIMESTAMP '2024-01-01 00:00:00' AS updated_at FROM documents
   UNION ALL
-  SELECT 'doc:' || CAST(doc_id AS VARCHAR), substring(text, 1, 200),
+  SELECT 'doc:' || CAST(doc_id AS VARCHAR), 'Second version. ' || text,
          TIMESTAMP '2024-02-01 00:00:00' FROM documents WHERE lang = 'en')
 SELECT node_id, CAST(length(arg_max(summary, updated_at)) AS INTEGER) AS summary_len,
        strftime(MAX(updated_at), '%Y-%m-%d %H:%M:%S') AS updated_at
@@ -521,7 +532,7 @@ FROM events GROUP BY user_id
 """
 
 ORACLE["list_communities"] = f"""
-WITH RECURSIVE {sv.KNN}, {sv.KNN_COMPONENTS}
+WITH RECURSIVE {sv.DUP}, {sv.DUP_COMPONENTS}
 SELECT 'doc:' || CAST(component AS VARCHAR) AS community_id, COUNT(*) AS n_members
 FROM comp GROUP BY component ORDER BY community_id LIMIT 100
 """

@@ -164,15 +164,24 @@ def rollup_sql(key: str) -> str:
 FROM runs GROUP BY 1"""
 
 
-KNN_COMPONENTS = """th AS (SELECT src, dst FROM knn WHERE score >= 0.35 AND src <> dst),
-adj AS (SELECT src AS u, dst AS v FROM th UNION SELECT dst, src FROM th),
+DUP = r"""dupkeys AS MATERIALIZED (
+  SELECT doc_id, unnest([
+    sha256('text:' || trim(regexp_replace(lower(text), '[ \t\n\x0B\f\r]+', ' ', 'g'), ' ')),
+    sha256('line:' || split_part(text, chr(10), 1))]) AS key
+  FROM documents WHERE text IS NOT NULL),
+dup AS MATERIALIZED (
+  SELECT DISTINCT h.src, k.doc_id AS dst
+  FROM dupkeys k JOIN (SELECT key, MIN(doc_id) AS src FROM dupkeys GROUP BY key HAVING COUNT(*) > 1) h ON h.key = k.key
+  WHERE k.doc_id <> h.src)"""
+
+DUP_COMPONENTS = """adj AS (SELECT src AS u, dst AS v FROM dup UNION SELECT dst, src FROM dup),
 reach(id, r) AS (
   SELECT DISTINCT u, u FROM adj
   UNION
   SELECT reach.id, adj.v FROM reach JOIN adj ON adj.u = reach.r),
 comp AS (
-  SELECT e.vec_id AS id, COALESCE(MIN(reach.r), e.vec_id) AS component
-  FROM embeddings e LEFT JOIN reach ON reach.id = e.vec_id GROUP BY e.vec_id),
+  SELECT d.doc_id AS id, COALESCE(MIN(reach.r), d.doc_id) AS component
+  FROM documents d LEFT JOIN reach ON reach.id = d.doc_id GROUP BY d.doc_id),
 sizes AS (SELECT component, COUNT(*) AS n_members,
                  MIN('doc:' || CAST(id AS VARCHAR)) AS first_member
           FROM comp GROUP BY component),
@@ -180,7 +189,7 @@ keep AS (SELECT * FROM sizes WHERE n_members > 1
          OR (SELECT MAX(n_members) FROM sizes) = 1),
 members AS (
   SELECT 'comm:' || k.first_member AS community_id, 0 AS level, k.n_members,
-         'doc:' || CAST(c.id AS VARCHAR) AS node_id, c.id AS vec_id
+         'doc:' || CAST(c.id AS VARCHAR) AS node_id, c.id AS doc_id
   FROM comp c JOIN keep k ON k.component = c.component)"""
 
 

@@ -8,7 +8,9 @@ session and only ``ensure_checkpoint_dir`` is consulted.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,9 +48,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder the cluster names.
 
     Reads ``spark.checkpoint.dir`` (or the context's checkpoint dir).  Only a
-    local-mode session without one (tests, bench) gets a fresh scratch
-    folder; a cluster session without a shared folder is an error, because
-    a machine-local folder would not survive the loss of an executor.
+    session whose executors are threads of the driver (``local`` or
+    ``local[n]``: tests, bench) gets a fresh scratch folder where none is named;
+    any other session without a shared folder is an error, because a
+    machine-local folder would not survive the loss of an executor.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -59,7 +62,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if conf_dir:
         sc.setCheckpointDir(conf_dir)
         return sc.getCheckpointDir() or conf_dir
-    if not sc.master.startswith("local"):
+    if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
         raise RuntimeError(
             "spark.checkpoint.dir is not set; iterative graph jobs need a shared "
             "folder (HDFS/S3/ABFS) to cut lineage on a cluster")
@@ -78,52 +81,48 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     reference to the plan that produced it, so planning time stays flat
     however many rounds run.
     """
-    import uuid
     spark = df.sparkSession
     base = ensure_checkpoint_dir(spark).rstrip("/")
     path = f"{base}/graphloom-tables/{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
     # the schema is known: no footer reads to infer it again
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._table_path = path
+    return out
 
 
-def table_path(sf_dir: str, name: str) -> str:
-    return f"{sf_dir.rstrip('/')}/{name}.parquet"
+def release(df: DataFrame) -> None:
+    """Delete the table that ``cut_lineage`` wrote for ``df``.
 
+    For iterative operators: call it once the state that replaces ``df`` is
+    written, so a job keeps the last rounds only.  Anything else is left alone.
+    """
+    path = getattr(df, "_table_path", None)
+    if path is None:
+        return
+    jvm = df.sparkSession.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    df._table_path = None
 
-def _path_bytes(spark: SparkSession, path: str) -> int:
-    """Bytes under ``path`` (0 when the file system cannot be asked, e.g. no JVM access)."""
-    try:
-        jvm = spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        return int(fs.getContentSummary(p).getLength()) if fs.exists(p) else 0
-    except Exception:  # noqa: BLE001 - sizing is only a hint
-        return 0
+
+def table_path(sf_dir: str, name: str) -> str:
+    return f"{sf_dir.rstrip('/')}/{name}.parquet"
 
 
-SPREAD_MIN_BYTES = 1 << 20   # below this a table is not worth a shuffle
+#: Tables whose rows carry much text or long vectors: work per row is worth spreading.
+WIDE_TABLES = {"documents", "pages", "conversations", "embeddings"}
 
 
-def spread(df: DataFrame, data_bytes: int) -> DataFrame:
-    """Give a scan at least the cluster's parallelism worth of partitions.
+def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table; a wide one gets at least the cluster's parallelism worth of partitions.
 
     A Parquet file with one row group is read by one task, and every narrow
-    step after the scan (id building, regex, tokenising) would run in that
-    one task.  When the scan has fewer partitions than the default
-    parallelism and holds more than ``SPREAD_MIN_BYTES``, the rows are
-    redistributed round-robin (about one partition per MiB, at most the
-    parallelism).  Large inputs (many files or row groups) already have
-    enough partitions and are left alone, so this costs nothing at scale.
+    step after the scan (regex, tokenising) would run in that task.  Large
+    inputs have enough partitions already and are left as they are.
     """
-    par = df.sparkSession.sparkContext.defaultParallelism
-    if data_bytes <= SPREAD_MIN_BYTES:
+    df = spark.read.parquet(table_path(sf_dir, name))
+    if name not in WIDE_TABLES:
         return df
-    n = df.rdd.getNumPartitions()
-    want = min(par, max(2, data_bytes // SPREAD_MIN_BYTES))
-    return df.repartition(int(want)) if n < want else df
-
-
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    path = table_path(sf_dir, name)
-    return spread(spark.read.parquet(path), _path_bytes(spark, path))
+    parallel = spark.sparkContext.defaultParallelism
+    return df.repartition(parallel) if df.rdd.getNumPartitions() < parallel else df

@@ -87,35 +87,49 @@ def python_extractor(path: str, text: str) -> list[dict]:
                         for a in node.names]
         elif isinstance(node, ast.Import):
             imports += [_edge(a.name, "IMPORTS", evidence="import") for a in node.names]
-    out.append({"chunk_type": "module", "name": module, "raw_cleaned": text[:3000],
+    out.append({"chunk_type": "module", "name": module, "raw_cleaned": text,
                 "edges": imports})
 
     def calls(fn):
         seen = []
         for n in ast.walk(fn):
-            if isinstance(n, ast.Call) and isinstance(n.func, ast.Attribute):
-                if n.func.attr not in seen:
-                    seen.append(n.func.attr)
+            if isinstance(n, ast.Call) and isinstance(n.func, (ast.Attribute, ast.Name)):
+                called = n.func.attr if isinstance(n.func, ast.Attribute) else n.func.id
+                if called not in seen:
+                    seen.append(called)
         return [_edge(c, "CALLS", "probabilistic", "call") for c in seen]
 
-    for node in tree.body:
+    functions = (ast.FunctionDef, ast.AsyncFunctionDef)
+
+    def members(body):
+        """Definitions of a body, those under if, try, with and loops included."""
+        for x in body:
+            if isinstance(x, (ast.ClassDef, *functions)):
+                yield x
+            else:
+                for part in ("body", "orelse", "finalbody"):
+                    yield from members(getattr(x, part, []))
+                for handler in getattr(x, "handlers", []):
+                    yield from members(handler.body)
+
+    for node in members(tree.body):
         if isinstance(node, ast.ClassDef):
             edges = [_edge(ast.unparse(b).split(".")[-1], "INHERITS", evidence="base class")
                      for b in node.bases]
             for item in node.body:
-                if isinstance(item, ast.FunctionDef) and item.name == "__init__":
+                if isinstance(item, functions) and item.name == "__init__":
                     for a in item.args.args[1:]:
                         if a.annotation is not None:
                             edges.append(_edge(ast.unparse(a.annotation), "INJECTS",
                                                evidence=f"constructor parameter {a.arg}"))
             out.append({"chunk_type": "class", "name": node.name,
                         "raw_cleaned": ast.get_source_segment(text, node) or "", "edges": edges})
-            for item in node.body:
-                if isinstance(item, ast.FunctionDef):
+            for item in members(node.body):
+                if isinstance(item, functions):
                     out.append({"chunk_type": "method", "name": f"{node.name}.{item.name}",
                                 "raw_cleaned": ast.get_source_segment(text, item) or "",
                                 "edges": [_edge(node.name, "BELONGS_TO")] + calls(item)})
-        elif isinstance(node, ast.FunctionDef):
+        else:
             out.append({"chunk_type": "function", "name": node.name,
                         "raw_cleaned": ast.get_source_segment(text, node) or "",
                         "edges": calls(node)})
@@ -123,8 +137,9 @@ def python_extractor(path: str, text: str) -> list[dict]:
 
 
 _TS_IMPORT = re.compile(r"import\s*\{([^}]*)\}\s*from\s*['\"]([^'\"]+)['\"]")
-_TS_TYPE = re.compile(r"(?:export\s+)?(class|interface)\s+(\w+)(?:\s+extends\s+([\w, ]+?))?"
-                      r"(?:\s+implements\s+([\w, ]+?))?\s*\{")
+_TS_TYPE = re.compile(r"(?:export\s+)?(class|interface)\s+(\w+)(?:<[^{}]*?>)?(?:\s+extends\s+([\w, <>]+?))?"
+                      r"(?:\s+implements\s+([\w, <>]+?))?\s*\{")
+_TS_FUNCTION = re.compile(r"^(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s*(\w+)", re.M)
 _TS_CTOR = re.compile(r"constructor\s*\(([^)]*)\)")
 _TS_PARAM = re.compile(r"(?:private|public|protected|readonly|\s)*\s*(\w+)\s*:\s*(\w+)")
 _TS_METHOD = re.compile(r"^\s*(?:public |private |protected |async |static )*(\w+)\s*\([^)]*\)\s*(?::\s*[^{]+)?\{",
@@ -153,13 +168,18 @@ def typescript_extractor(path: str, text: str) -> list[dict]:
     module = path.rsplit("/", 1)[-1]
     imports = [_edge(n.strip(), "IMPORTS", evidence=f"from {m.group(2)}")
                for m in _TS_IMPORT.finditer(text) for n in m.group(1).split(",") if n.strip()]
-    out = [{"chunk_type": "module", "name": module, "raw_cleaned": text[:3000], "edges": imports}]
+    out = [{"chunk_type": "module", "name": module, "raw_cleaned": text, "edges": imports}]
+    for m in _TS_FUNCTION.finditer(text):
+        body = _block(text, m.start())
+        out.append({"chunk_type": "function", "name": m.group(1), "raw_cleaned": body,
+                    "edges": [_edge(x, "CALLS", "probabilistic", "call")
+                              for x in dict.fromkeys(_TS_CALL.findall(body[body.find("{"):]))]})
     for m in _TS_TYPE.finditer(text):
         kind, name = m.group(1), m.group(2)
         body = _block(text, m.start())
-        edges = [_edge(b.strip(), "INHERITS", evidence="extends")
+        edges = [_edge(re.sub(r"<.*", "", b).strip(), "INHERITS", evidence="extends")
                  for b in (m.group(3) or "").split(",") if b.strip()]
-        edges += [_edge(b.strip(), "IMPLEMENTS", evidence="implements")
+        edges += [_edge(re.sub(r"<.*", "", b).strip(), "IMPLEMENTS", evidence="implements")
                   for b in (m.group(4) or "").split(",") if b.strip()]
         c = _TS_CTOR.search(body)
         if c:
@@ -180,7 +200,7 @@ def typescript_extractor(path: str, text: str) -> list[dict]:
     return out
 
 
-_SCSS_VAR = re.compile(r"^\s*\$([\w-]+)\s*:", re.M)
+_SCSS_VAR = re.compile(r"^\s*\$([\w-]+)\s*:[^;]*;?", re.M)
 _SCSS_MIXIN = re.compile(r"@mixin\s+([\w-]+)")
 _SCSS_IMPORT = re.compile(r"@(?:import|use)\s+['\"]([^'\"]+)['\"]")
 _SCSS_INCLUDE = re.compile(r"@include\s+([\w-]+)")
@@ -219,7 +239,7 @@ def scss_extractor(path: str, text: str) -> list[dict]:
     out = [{"chunk_type": "import", "name": m.group(1), "raw_cleaned": m.group(0),
             "edges": [_edge(m.group(1), "IMPORTS", evidence="@import")]}
            for m in _SCSS_IMPORT.finditer(text)]
-    out += [{"chunk_type": "variable", "name": f"${m.group(1)}", "raw_cleaned": m.group(0),
+    out += [{"chunk_type": "variable", "name": f"${m.group(1)}", "raw_cleaned": m.group(0).strip(),
              "edges": [_edge(module, "BELONGS_TO")]} for m in _SCSS_VAR.finditer(text)]
     out += [{"chunk_type": "mixin", "name": m.group(1), "raw_cleaned": _block(text, m.start()),
              "edges": [_edge(module, "BELONGS_TO")]} for m in _SCSS_MIXIN.finditer(text)]
@@ -253,7 +273,8 @@ def run_extractors(files: DataFrame,
                    extractors: dict[str, Extractor] | None = None) -> DataFrame:
     """X1 + X2: chunk rows for every file whose language has an extractor.
 
-    ``files(path, language, text)``.  Output follows ``CHUNKS``: one row per
+    ``files(path, language, text[, valid_utf8])``; a file that is not valid UTF-8 is
+    a reject row.  Output follows ``CHUNKS``: one row per
     chunk, or one reject row (``error_class`` set) per file that failed.
     Files without an extractor are not passed in (see ``match_extractors``).
     """
@@ -263,11 +284,16 @@ def run_extractors(files: DataFrame,
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for path, lang, text in zip(pdf["path"], pdf["language"], pdf["text"]):
+            for path, lang, text, valid in zip(pdf["path"], pdf["language"], pdf["text"], pdf["valid_utf8"]):
                 try:
+                    if not valid:
+                        raise ValueError("not valid UTF-8")
+                    seen: dict[tuple, int] = {}
                     for c in ex[lang](path, text or ""):
+                        # chunks of one type and name (a property's getter and setter) are numbered
+                        k = seen[c["chunk_type"], c["name"]] = seen.get((c["chunk_type"], c["name"]), 0) + 1
                         rows.append({"path": path,
-                                     "node_id": chunk_id(path, c["chunk_type"], c["name"]),
+                                     "node_id": chunk_id(path, c["chunk_type"], c["name"] if k == 1 else f"{c['name']}\u0001{k}"),
                                      "language": lang, "chunk_type": c["chunk_type"],
                                      "name": c["name"], "raw_cleaned": c.get("raw_cleaned", ""),
                                      "edges": c.get("edges", []), "error_class": None,
@@ -276,11 +302,12 @@ def run_extractors(files: DataFrame,
                     rows.append({"path": path, "node_id": None, "language": lang,
                                  "chunk_type": None, "name": None, "raw_cleaned": None,
                                  "edges": [], "error_class": type(err).__name__,
-                                 "error_message": str(err)[:500]})
+                                 "error_message": str(err)})
             yield pd.DataFrame(rows, columns=CHUNKS.fieldNames())
 
+    valid = F.coalesce(F.col("valid_utf8"), F.lit(True)) if "valid_utf8" in files.columns else F.lit(True)
     return (files.filter(F.col("language").isin(langs))
-            .select("path", "language", "text").mapInPandas(run, CHUNKS))
+            .select("path", "language", "text", valid.alias("valid_utf8")).mapInPandas(run, CHUNKS))
 
 
 def chunks_to_graph(chunks: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

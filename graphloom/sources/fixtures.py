@@ -103,10 +103,26 @@ def knn_edges(spark: SparkSession, sf_dir: str, k: int = 5) -> DataFrame:
     return knn_graph(embedding_vectors(spark, sf_dir), k=k, metric="dot")
 
 
-def knn_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The given labelling of the KNN nodes: ``id, comm``."""
-    return embedding_vectors(spark, sf_dir).select(F.col("vec_id").alias("id"),
-                                                   F.col("label").alias("comm"))
+def doc_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """DUP: the document graph, ``src < dst``, two edges a document at most.
+
+    Documents with the same normalised text, or with the same first line, are
+    linked to the smallest id among them: stars, so the edges grow with the
+    documents, not with the square of a group.
+    """
+    d = read_table(spark, sf_dir, "documents").filter(F.col("text").isNotNull())
+    plain = F.trim(F.regexp_replace(F.lower("text"), r"[ \t\n\x0B\f\r]+", " "))
+    keys = d.select("doc_id", F.explode(F.array(
+        F.sha2(F.concat(F.lit("text:"), plain), 256),
+        F.sha2(F.concat(F.lit("line:"), F.substring_index("text", "\n", 1)), 256))).alias("key"))
+    heads = keys.groupBy("key").agg(F.min("doc_id").alias("src"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return (keys.join(heads, "key").filter("doc_id <> src")
+            .select("src", F.col("doc_id").alias("dst")).distinct())
+
+
+def doc_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A given labelling of the document graph: ``id, comm`` (the language)."""
+    return read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("comm"))
 
 
 # ---------------------------------------------------------------- COR ----
@@ -144,7 +160,7 @@ def doc_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select(F.concat(F.lit("doc:"), _s("doc_id")).alias("node_id"),
                     F.col("lang").alias("language"), F.col("source").alias("source_file"),
                     F.lit("document").alias("chunk_type"), F.col("text").alias("raw_cleaned"),
-                    F.substring("text", 1, 400).alias("summary"),
+                    F.col("text").alias("summary"),
                     F.lit(None).cast("string").alias("community_id"), "embedding",
                     "doc_id"))
 
