@@ -537,25 +537,33 @@ def _scratch(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
+def _scattered(spark, sf_dir, name, folder, key, files=5):
+    """A table dealt over several files by a hash, so that neighbouring rows arrive in different batches."""
+    from graphloom.session import read_table
+    t = read_table(spark, sf_dir, name)
+    t.repartition(files, F.xxhash64(*key)).write.mode("overwrite").parquet(folder)
+    return t.schema
+
+
 @register("stream_corrections")
 def stream_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ST1: the dialogue table read as a stream; result equals the batch capture."""
+    """ST1: the dialogue table as a stream of five files, one a batch, turns of a dialogue
+    scattered over them; the result equals the batch capture (C1)."""
     from graphloom.streaming.corrections import read_corrections, run_correction_stream
-    sink = _scratch(spark, "stream-corrections")
-    run_correction_stream(spark, sf_dir, sink, glob="conversations.parquet")
+    src, sink = _scratch(spark, "stream-turns"), _scratch(spark, "stream-corrections")
+    _scattered(spark, sf_dir, "conversations", src, ["conv_id", "turn"])
+    run_correction_stream(spark, src, sink, max_files_per_trigger=1)
     return read_corrections(spark, sink).select(
         "correction_id", "session_id", "target_type", "target_id", "original", "corrected")
 
 
 @register("stream_ingest")
 def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ST2: documents read as a stream of files, content-hashed, newest version kept."""
+    """ST2: documents as a stream of five files, one a batch, content-hashed, newest version kept."""
     from graphloom.streaming.ingest import current_nodes, run_ingest_stream
-    from graphloom.session import read_table
-    schema = read_table(spark, sf_dir, "documents").schema
-    src = (spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet")
-           .parquet(sf_dir))
-    sink = _scratch(spark, "stream-ingest")
+    files, sink = _scratch(spark, "stream-docs"), _scratch(spark, "stream-ingest")
+    schema = _scattered(spark, sf_dir, "documents", files, ["doc_id"])
+    src = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(files)
 
     def to_nodes(b):
         return b.select(F.concat(F.lit("doc:"), F.col("doc_id").cast("string")).alias("node_id"),

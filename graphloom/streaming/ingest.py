@@ -1,10 +1,12 @@
 """ST2: incremental ingestion of changed files; the newest version of each wins.
 
 A stream of ``(path, content)`` rows is turned into node rows with a
-content hash.  A micro-batch appends only rows whose ``(node_id,
-content_hash)`` is not stored yet, so unchanged files cost a hash and an
-anti join, not an extraction.  ``current_nodes`` keeps the newest version
-per node (largest epoch, then hash) with an aggregation, not a window.
+content hash.  A micro-batch keeps the newest version of each node and
+appends it only if its hash differs from the node's *current* hash and it is
+not older, so unchanged files cost a hash and an anti join, and a file that
+goes back to an earlier content becomes current again.  Versions are ordered by
+modification time (``modified_at``, where the source gives it), then by batch.
+The winner is chosen on narrow columns; contents are joined to the winners.
 """
 
 from __future__ import annotations
@@ -18,26 +20,44 @@ from pyspark.sql import functions as F
 from graphloom.streaming.corrections import _exists
 
 BUCKETS = 64  # the node store is partitioned by a hash of node_id
+_VERSION = ["modified_at", "epoch", "content_hash"]
+
+
+def _newest(rows: DataFrame) -> DataFrame:
+    """``(node_id, modified_at, epoch, content_hash)`` of each node's newest version."""
+    return rows.groupBy("node_id").agg(F.max(F.struct(*_VERSION)).alias("v")).select("node_id", "v.*")
 
 
 def run_ingest_stream(spark: SparkSession, source: DataFrame, sink_dir: str,
-                      to_nodes: Callable[[DataFrame], DataFrame]) -> None:
+                      to_nodes: Callable[[DataFrame], DataFrame], buckets: int = BUCKETS) -> None:
     """``source``: a streaming DataFrame; ``to_nodes`` maps a batch to node rows
-    with at least ``node_id`` and ``content``."""
+    with at least ``node_id`` and ``content``, and ``modified_at`` if known."""
     out_dir = os.path.join(sink_dir, "nodes")
 
     def per_batch(batch: DataFrame, epoch_id: int) -> None:
-        nodes = (to_nodes(batch).withColumn("content_hash", F.sha2(F.col("content"), 256))
-                 .withColumn("bucket", F.pmod(F.xxhash64("node_id"), F.lit(BUCKETS)).cast("int")))
+        nodes = to_nodes(batch)
+        if "modified_at" not in nodes.columns:
+            nodes = nodes.withColumn("modified_at", F.lit(None).cast("timestamp"))
+        nodes = (nodes.withColumn("content_hash", F.sha2(F.col("content"), 256))
+                 .withColumn("epoch", F.lit(epoch_id).cast("long"))
+                 .withColumn("bucket", F.pmod(F.xxhash64("node_id"), F.lit(buckets)).cast("int")))
+        # the newest version of each node in this batch, then only what changes the store
+        won = _newest(nodes)
         if _exists(spark, out_dir):
-            # at most BUCKETS small integers: the stored partitions this batch touches
+            # at most ``buckets`` small integers: the stored partitions this batch touches
             touched = [r[0] for r in nodes.select("bucket").distinct().collect()]
-            seen = (spark.read.parquet(out_dir).filter(F.col("bucket").isin(touched))
-                    .select("node_id", "content_hash"))
-            nodes = nodes.join(seen, ["node_id", "content_hash"], "left_anti")
+            cur = _newest(spark.read.parquet(out_dir).filter(F.col("bucket").isin(touched))).select(
+                "node_id", F.col("content_hash").alias("cur_hash"), F.struct("modified_at", "epoch").alias("cur"))
+            stays = ((F.col("cur_hash") == F.col("content_hash"))
+                     | (F.struct("modified_at", "epoch") < F.col("cur")))
+            won = won.join(cur, "node_id", "left").filter(~F.coalesce(stays, F.lit(False)))
+        # equal hashes are equal contents: any row of the winner will do
+        keys = won.select("node_id", "content_hash", F.col("modified_at").alias("at"))
+        nodes = (nodes.join(keys, ["node_id", "content_hash"])
+                 .filter(F.col("modified_at").eqNullSafe(F.col("at"))).drop("at")
+                 .dropDuplicates(["node_id", "content_hash"]))
         # one writer per bucket, so a batch adds at most one file per bucket
-        (nodes.withColumn("epoch", F.lit(epoch_id)).repartition("bucket")
-         .write.mode("append").partitionBy("bucket").parquet(out_dir))
+        nodes.repartition("bucket").write.mode("append").partitionBy("bucket").parquet(out_dir)
 
     q = (source.writeStream.foreachBatch(per_batch)
          .option("checkpointLocation", os.path.join(sink_dir, "_checkpoint"))
@@ -46,8 +66,9 @@ def run_ingest_stream(spark: SparkSession, source: DataFrame, sink_dir: str,
 
 
 def current_nodes(spark: SparkSession, sink_dir: str) -> DataFrame:
-    v = spark.read.parquet(os.path.join(sink_dir, "nodes"))
-    cols = [c for c in v.columns if c not in ("node_id", "bucket")]
-    return (v.groupBy("node_id")
-            .agg(F.max_by(F.struct(*cols), F.struct("epoch", "content_hash")).alias("_v"))
-            .select("node_id", "_v.*"))
+    """The newest version of every node."""
+    v = spark.read.parquet(os.path.join(sink_dir, "nodes")).drop("bucket")
+    won = _newest(v).select("node_id", "content_hash", F.col("modified_at").alias("at"), F.col("epoch").alias("won_epoch"))
+    return (v.join(won, ["node_id", "content_hash"])
+            .filter((F.col("epoch") == F.col("won_epoch")) & F.col("modified_at").eqNullSafe(F.col("at")))
+            .drop("at", "won_epoch").dropDuplicates(["node_id"]))
