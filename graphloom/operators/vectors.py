@@ -1,104 +1,126 @@
 """Exact vector top-k for a whole table of queries (K1, K2, F11) and the KNN graph.
 
-The reference does an exact flat scan per question.  Here all questions are
-answered in one job without a cross join: queries and corpus are cut into
-hash blocks, each query block meets each corpus block in one co-group
-(``(qb, cb)`` is an equi-join key), a vectorised NumPy kernel keeps at most
-``k`` candidates per query and block, and a window keeps the best ``k`` per
-query.  Block sizes bound the memory of every task whatever the table
-sizes are; the total work is the inherent ``|Q| x |C| x dim``.
+The reference does an exact flat scan per question.  Here one side is cut into
+blocks of bounded bytes that every task receives, and the other side is
+scanned in parallel, batch by batch: a task keeps at most ``k`` candidates per
+query, and a window keeps the best ``k``.  The smaller side is the one sent out: a
+question table against a large corpus, or many vectors against a few
+centroids.  The work is the inherent ``|Q| x |C| x dim``; it is meant for a
+bounded table of questions or of items (``approx_topk`` is for node x node).
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from graphloom.session import cut_lineage
 
 METRICS = ("dot", "cosine", "l2")
+BLOCK_BYTES = 32 << 20  # of vectors sent to every task at a time
+
+
+def _stack(vectors, metric: str) -> np.ndarray:
+    x = np.array(list(vectors), dtype=np.float64)
+    if metric == "cosine":
+        n = np.linalg.norm(x, axis=1, keepdims=True)
+        x = np.divide(x, n, out=np.zeros_like(x), where=n > 0)
+    return x
+
+
+def _scores(q: np.ndarray, c: np.ndarray, metric: str) -> np.ndarray:
+    """Larger is better: dot product, cosine, or the negative distance (exact differences for ties near 0)."""
+    if metric != "l2":
+        return q @ c.T
+    out = np.empty((len(q), len(c)))
+    for i, x in enumerate(q):
+        d = c - x
+        out[i] = -np.sqrt(np.einsum("ij,ij->i", d, d))
+    return out
 
-_CAND_SCHEMA = T.StructType([
-    T.StructField("query_id", T.LongType()),
-    T.StructField("item_id", T.LongType()),
-    T.StructField("score", T.DoubleType()),
-])
-
-
-def _kernel(k: int, metric: str, exclude_self: bool):
-    larger_better = metric != "l2"
-
-    def run(qdf: pd.DataFrame, cdf: pd.DataFrame) -> pd.DataFrame:
-        if qdf.empty or cdf.empty:
-            return pd.DataFrame({"query_id": pd.Series([], dtype="int64"),
-                                 "item_id": pd.Series([], dtype="int64"),
-                                 "score": pd.Series([], dtype="float64")})
-        qv = np.stack([np.asarray(v, dtype=np.float64) for v in qdf["vec"]])
-        cv = np.stack([np.asarray(v, dtype=np.float64) for v in cdf["vec"]])
-        qid = qdf["query_id"].to_numpy(np.int64)
-        cid = cdf["item_id"].to_numpy(np.int64)
-        if metric == "cosine":
-            qn = np.linalg.norm(qv, axis=1, keepdims=True)
-            cn = np.linalg.norm(cv, axis=1, keepdims=True)
-            qv = np.divide(qv, qn, out=np.zeros_like(qv), where=qn > 0)
-            cv = np.divide(cv, cn, out=np.zeros_like(cv), where=cn > 0)
-        out_q, out_c, out_s = [], [], []
-        step = max(1, 4_000_000 // max(1, len(cid) * (qv.shape[1] if metric == "l2" else 1)))
-        for lo in range(0, len(qid), step):
-            qb = qv[lo:lo + step]
-            if metric == "l2":
-                s = np.sqrt(((qb[:, None, :] - cv[None, :, :]) ** 2).sum(axis=2))
-            else:
-                s = qb @ cv.T
-            key = -s if larger_better else s
-            if exclude_self:
-                key = np.where(qid[lo:lo + step, None] == cid[None, :], np.inf, key)
-            # order by (key, item id); lexsort on every row of the block
-            order = np.lexsort((np.broadcast_to(cid, key.shape), key), axis=1)[:, :k]
-            rows = np.arange(order.shape[0])[:, None]
-            kk = key[rows, order]
-            keep = np.isfinite(kk)
-            out_q.append(np.broadcast_to(qid[lo:lo + step, None], order.shape)[keep])
-            out_c.append(cid[order][keep])
-            out_s.append(s[rows, order][keep])
-        return pd.DataFrame({"query_id": np.concatenate(out_q),
-                             "item_id": np.concatenate(out_c),
-                             "score": np.concatenate(out_s)})
-    return run
+
+def _best(scores: np.ndarray, items: np.ndarray, k: int) -> list[np.ndarray]:
+    """Per row the places of the k best, ties at the border resolved to the smaller item."""
+    out = []
+    for row in scores:
+        place = np.flatnonzero(row > -np.inf)
+        if len(place) > k:
+            edge = np.partition(row[place], len(place) - k)[len(place) - k]
+            place = place[row[place] >= edge]
+        out.append(place[np.lexsort((items[place], -row[place]))[:k]])
+    return out
+
+
+def _usable(vec: str):
+    v = F.col(vec)
+    return v.isNotNull() & F.forall(v, lambda x: x.isNotNull())
 
 
 def topk(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "dot",
-         exclude_self: bool = False, query_block_rows: int = 4096,
-         corpus_block_rows: int = 16384) -> DataFrame:
+         exclude_self: bool = False, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """K1: the ``k`` best corpus items for every query.
 
-    ``queries(query_id long, vec array<float>)``, ``corpus(item_id long,
-    vec array<float>)``.  Returns ``query_id, item_id, score, rank``;
-    ``score`` is the dot product, cosine similarity (larger is better) or
-    Euclidean distance (smaller is better), in double precision.  Ties go to
-    the smaller ``item_id``.
+    ``queries(query_id, vec array)``, ``corpus(item_id, vec array)``; ids of any
+    orderable type.  Rows whose vector is null or holds a null are skipped on either
+    side.  Returns ``query_id, item_id, score, rank``; ``score`` is the
+    dot product, cosine similarity (larger is better) or Euclidean distance
+    (smaller is better), in double precision.  Ties go to the smaller ``item_id``.
     """
     if metric not in METRICS:
         raise ValueError(f"metric must be one of {METRICS}")
-    n_q = queries.count()
-    n_c = corpus.count()
-    qb = max(1, math.ceil(n_q / query_block_rows))
-    cb = max(1, math.ceil(n_c / corpus_block_rows))
-    q = (queries.select(F.col("query_id").cast("long"), F.col("vec"))
-         .withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(qb)).cast("int"))
-         .withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(cb - 1)))))
-    c = (corpus.select(F.col("item_id").cast("long"), F.col("vec"))
-         .withColumn("cb", F.pmod(F.xxhash64("item_id"), F.lit(cb)).cast("int"))
-         .withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(qb - 1)))))
-    cands = (q.groupBy("qb", "cb").cogroup(c.groupBy("qb", "cb"))
-             .applyInPandas(_kernel(k, metric, exclude_self), _CAND_SCHEMA))
+    vec = F.col("vec").cast("array<double>").alias("vec")
+    q = cut_lineage(queries.filter(_usable("vec")).select("query_id", vec))
+    c = cut_lineage(corpus.filter(_usable("vec")).select("item_id", vec))
+    size = lambda d: d.agg(F.coalesce(F.sum(8 * F.size("vec")), F.lit(0))).first()[0]
+    q_bytes, c_bytes = size(q), size(c)
+    send_queries = q_bytes <= c_bytes
+    sent, scanned, name = (q, c, "query_id") if send_queries else (c, q, "item_id")
+    blocks = max(1, math.ceil(min(q_bytes, c_bytes) / block_bytes))
+    q_type, c_type = (d.schema[n].dataType.simpleString() for d, n in ((q, "query_id"), (c, "item_id")))
+    schema = f"query_id {q_type}, item_id {c_type}, score double"
+    sign = -1.0 if metric == "l2" else 1.0
+
+    def scan(rows: pd.DataFrame):
+        ids, x = rows[name].to_numpy(), _stack(rows["vec"], metric)
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for frame in batches:
+                if not len(frame):
+                    continue
+                step = max(1, 8_000_000 // max(1, len(ids)))
+                for lo in range(0, len(frame), step):
+                    part = frame.iloc[lo:lo + step]
+                    y = _stack(part["vec"], metric)
+                    own = part["item_id" if send_queries else "query_id"].to_numpy()
+                    qi, qx, ci, cx = (ids, x, own, y) if send_queries else (own, y, ids, x)
+                    s = _scores(qx, cx, metric)
+                    if exclude_self:
+                        s[qi[:, None] == ci[None, :]] = -np.inf
+                    found = _best(s, ci, k)
+                    n = [len(f) for f in found]
+                    at = np.concatenate(found) if found else np.zeros(0, int)
+                    yield pd.DataFrame({"query_id": np.repeat(qi, n), "item_id": ci[at],
+                                        "score": sign * s[np.repeat(np.arange(len(qi)), n), at]})
+        return run
+
+    parts = []
+    for b in range(blocks):  # blocks of bounded bytes, dealt by a hash of the id
+        rows = (sent if blocks == 1 else sent.filter(F.pmod(F.xxhash64(name), F.lit(blocks)) == b)).toPandas()
+        if len(rows):
+            parts.append(scanned.mapInPandas(scan(rows), schema))
+    if not parts:
+        return queries.sparkSession.createDataFrame([], f"{schema}, rank int")
+    found = parts[0]
+    for p in parts[1:]:
+        found = found.unionAll(p)
     order = F.col("score").asc() if metric == "l2" else F.col("score").desc()
     w = Window.partitionBy("query_id").orderBy(order, F.col("item_id").asc())
-    return (cands.withColumn("rank", F.row_number().over(w))
-            .filter(F.col("rank") <= k))
+    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
 def centroids(vectors: DataFrame, group_col: str, vec_col: str = "vec") -> DataFrame:
@@ -126,31 +148,41 @@ def dot(a, b) -> F.Column:
                        F.lit(0.0).cast("double"), lambda acc, v: acc + v)
 
 
-def approx_topk(queries: DataFrame, corpus: DataFrame, k: int, bucket_length: float = 2.0,
-                num_hash_tables: int = 3, threshold: float = 1.5) -> DataFrame:
+def approx_topk(queries: DataFrame, corpus: DataFrame, k: int, bucket_length: float | None = None,
+                num_hash_tables: int = 8) -> DataFrame:
     """K3: approximate nearest neighbours by Euclidean distance (L2).
 
-    Candidates come from ``BucketedRandomProjectionLSH.approxSimilarityJoin``
-    (pairs that share an LSH bucket and lie within ``threshold``); each is
-    re-ranked with the exact distance and the best ``k`` per query kept.
-    Recall is measured against ``topk(..., "l2")``; queries without a
-    candidate get no row (that is the approximation).
+    Candidates share a bucket of ``BucketedRandomProjectionLSH`` in at least one of
+    the hash tables; each is ranked by its exact distance and the best ``k`` per query are
+    kept, without a distance limit.  The default bucket length shrinks with the corpus
+    (``n ** (-1 / dim)`` of the vectors' spread), as Spark's documentation recommends, so buckets
+    do not fill up as the table grows.  Recall is measured against ``topk(..., "l2")``.
+    Queries without a candidate get no row; ``missing_queries`` lists them.
     """
     from pyspark.ml.feature import BucketedRandomProjectionLSH
     from pyspark.ml.functions import array_to_vector
-    q = queries.select(F.col("query_id").cast("long").alias("id"),
-                       array_to_vector(F.col("vec")).alias("features"))
-    c = corpus.select(F.col("item_id").cast("long").alias("id"),
-                      array_to_vector(F.col("vec")).alias("features"))
+    vec = array_to_vector(F.col("vec").cast("array<double>")).alias("features")
+    q = queries.filter(_usable("vec")).select(F.col("query_id").alias("id"), vec)
+    c = corpus.filter(_usable("vec")).select(F.col("item_id").alias("id"), vec)
+    if bucket_length is None:
+        n, dim, spread = corpus.filter(_usable("vec")).agg(
+            F.count(F.lit(1)), F.max(F.size("vec")),
+            F.avg(F.aggregate(F.col("vec").cast("array<double>"), F.lit(0.0), lambda s, x: s + x * x))).first()
+        bucket_length = 2.0 * math.sqrt(spread or 1.0) * max(1, n) ** (-1.0 / max(1, dim or 1)) / 4
     model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes",
                                         bucketLength=bucket_length, numHashTables=num_hash_tables,
                                         seed=42).fit(c)
-    pairs = model.approxSimilarityJoin(q, c, threshold, distCol="score").select(
+    pairs = model.approxSimilarityJoin(q, c, float("inf"), distCol="score").select(
         F.col("datasetA.id").alias("query_id"), F.col("datasetB.id").alias("item_id"), "score")
     w = Window.partitionBy("query_id").orderBy(F.col("score").asc(), F.col("item_id").asc())
     return pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+def missing_queries(queries: DataFrame, found: DataFrame) -> DataFrame:
+    """Queries that ``approx_topk`` has no row for."""
+    return queries.select("query_id").join(found.select("query_id").distinct(), "query_id", "left_anti")
+
+
 def embed_text(df: DataFrame, text_col: str, dim: int = 64, out_col: str = "vec") -> DataFrame:
     """EM1 default: feature hashing of lower-cased word tokens, L2-normalised
     (``RegexTokenizer`` -> ``HashingTF`` -> ``Normalizer``, all JVM-side).

@@ -114,9 +114,9 @@ WHERE source_node_id IN (SELECT node_id FROM ent_nodes)
 
 def _topk_sql(score_expr: str, order: str) -> str:
     return f"""
-WITH emb AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
-p AS (SELECT a.vec_id AS query_id, b.vec_id AS item_id, {score_expr} AS score
-      FROM emb a JOIN emb b ON a.vec_id <> b.vec_id),
+WITH emb AS (SELECT vec_id, 'doc:' || CAST(vec_id AS VARCHAR) AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+p AS (SELECT a.id AS query_id, b.id AS item_id, {score_expr} AS score
+      FROM emb a JOIN emb b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score {order}, item_id)
                      AS INTEGER) AS rank FROM p)
 SELECT query_id, item_id, round(score, 6) AS score, rank FROM r WHERE rank <= 5

@@ -29,7 +29,7 @@ def test_topk_matches_brute_force_with_many_blocks(spark):
     df = spark.createDataFrame([(i, v.tolist()) for i, v in vecs.items()], "id long, vec array<float>")
     for metric in ("dot", "cosine", "l2"):
         got = topk(df.withColumnRenamed("id", "query_id"), df.withColumnRenamed("id", "item_id"),
-                   4, metric, exclude_self=True, query_block_rows=7, corpus_block_rows=11)
+                   4, metric, exclude_self=True, block_bytes=7 * 8 * 8)
         res = {}
         for r in got.orderBy("query_id", "rank").collect():
             res.setdefault(r.query_id, []).append((r.item_id, r.score))
@@ -46,3 +46,30 @@ def test_centroids(spark):
                                "g int, vec array<float>")
     got = {r.g: list(r.vec) for r in centroids(df, "g").collect()}
     assert got == {1: [2.0, 1.0], 2: [0.0, 4.0]}
+
+
+def test_topk_takes_string_ids_and_skips_null_vectors(spark):
+    from graphloom.operators.vectors import topk
+    schema = "id string, vec array<float>"
+    rows = [("doc:1", [1.0, 0.0]), ("doc:2", [0.9, 0.1]), ("doc:3", None), ("doc:4", [0.0, 1.0]), ("doc:5", [None, 1.0]), ("doc:0", [0.9, 0.1])]
+    t = spark.createDataFrame(rows, schema)
+    got = topk(t.withColumnRenamed("id", "query_id"), t.withColumnRenamed("id", "item_id"), 2, "dot", exclude_self=True)
+    assert got.schema["item_id"].dataType.simpleString() == "string"
+    by = {}
+    for r in got.orderBy("query_id", "rank").collect():
+        by.setdefault(r.query_id, []).append(r.item_id)
+    assert by == {"doc:1": ["doc:0", "doc:2"], "doc:2": ["doc:1", "doc:0"], "doc:0": ["doc:1", "doc:2"], "doc:4": ["doc:0", "doc:2"]}
+    assert topk(t.limit(0).withColumnRenamed("id", "query_id"), t.withColumnRenamed("id", "item_id"), 2).count() == 0
+
+
+def test_approx_topk_recall_on_the_embeddings(spark):
+    """K3: stated query set against all vectors; the exact neighbours that lie closer than the typical distance are found."""
+    from graphloom.operators.vectors import approx_topk, missing_queries, topk
+    v = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
+    q = v.filter("vec_id % 100 = 0").selectExpr("vec_id AS query_id", "embedding AS vec")
+    c = v.selectExpr("vec_id AS item_id", "embedding AS vec")
+    exact = {(r.query_id, r.item_id) for r in topk(q, c, 5, "l2").collect()}
+    found = approx_topk(q, c, 5).cache()
+    near = {(r.query_id, r.item_id) for r in found.collect()}
+    assert len(near & exact) / len(exact) >= 0.9
+    assert missing_queries(q, found).count() == 0
