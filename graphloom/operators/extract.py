@@ -16,7 +16,7 @@ from graphloom.schemas import coerce_confidence
 HTML_PATTERNS = {
     "title": r"(?is)<title[^>]*>(.*?)</title>",
     "heading": r"(?is)<h[1-6][^>]*>(.*?)</h[1-6]>",
-    "link": r"(?is)<a\s[^>]*href=\"([^\"]*)\"",
+    "link": r"(?is)<a(?:\s[^>]*)?\shref\s*=\s*[\"']([^\"'>]*)[\"']",
     "paragraph": r"(?is)<p(?:\s[^>]*)?>(.*?)</p>",
 }
 

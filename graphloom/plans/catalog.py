@@ -397,6 +397,15 @@ def cross_site_segment_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return route_matches(fx.lnk_nodes(spark, sf_dir), fx.lnk_edges(spark, sf_dir))
 
 
+@register("cross_file_edges")
+def cross_file_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as references to brand names, suppliers and customers as definitions of nation
+    names: local, unique, ambiguous and unresolved references all occur."""
+    from graphloom.operators.infer import infer_cross_file_edges
+    refs, defs = fx.symbol_tables(spark, sf_dir)
+    return infer_cross_file_edges(refs, defs).select("source_node_id", "target_node_id", "type", "confidence", "evidence")
+
+
 @register("registry_match")
 def registry_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P4 + J6: every document file with the extractor registered for its type."""
@@ -485,10 +494,31 @@ def json_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("question_routing")
 def question_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Route of every benchmark question (rule table, first match wins)."""
+    """Route of every question form about every nation and supplier (all routes occur)
+    and of every benchmark item (rule table, first match wins)."""
+    from graphloom.operators.context import route_questions
+    q = fx.entity_questions(spark, sf_dir).select("question_id", "text").unionByName(
+        fx.benchmark_questions(spark, sf_dir).select(
+            F.concat(F.lit("item:"), F.col("question_id").cast("string")).alias("question_id"), "text"))
+    return route_questions(q).select("question_id", "route", "target", "direction", "depth")
+
+
+@register("question_walks")
+def question_walks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R1 -> GR1: the questions that ask for a walk, walked from their entity in the routed
+    direction and to the routed depth; edges counted by question and hop."""
     from graphloom.operators.context import route_questions
-    return route_questions(fx.benchmark_questions(spark, sf_dir)).select(
-        "question_id", "route", "target", "direction", "depth")
+    from graphloom.session import cut_lineage
+    routed = cut_lineage(route_questions(fx.entity_questions(spark, sf_dir).filter("node_id LIKE 's:%' AND form IN (0, 2, 4)"))
+                         .select("question_id", "node_id", "direction", "depth"))
+    edges = fx.ent_edges(spark, sf_dir)
+    parts = []
+    for direction, depth in [("inbound", 3), ("inbound", 2), ("outbound", 2)]:
+        asked = routed.filter((F.col("direction") == direction) & (F.col("depth") == depth))
+        walk = tv.traverse(edges, asked.select(F.col("node_id").alias("root_id")).distinct(), depth, direction)
+        n = walk.edges.groupBy("root_id", "hop").agg(F.count(F.lit(1)).alias("n_edges"))
+        parts.append(asked.join(n, asked.node_id == n.root_id).select("question_id", "hop", "n_edges"))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 @register("quality_checks")

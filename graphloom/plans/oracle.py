@@ -403,26 +403,62 @@ SELECT conv_id, turn, role,
 FROM conversations
 """
 
-_ROUTES = [
-    ("blast_radius", "blast radius|impact of|what breaks|affected by|if i change", "node", "inbound", 3),
-    ("dependents", "what depends on|who uses|used by|callers of|depends on it", "node", "inbound", 2),
-    ("dependencies", "depend on|depends on|what does .* use|calls to|imports of", "node", "outbound", 2),
-    ("connection", "connect|relat|between|link", "node", "both", 2),
-    ("domain", "domain|overview|architecture|responsib|module|subsystem", "community", "none", 0),
-]
-
-
-def _route_case(i: int) -> str:
-    whens = " ".join(f"WHEN regexp_matches(lower(COALESCE(text, '')), '{r[1]}') THEN "
-                     f"{repr(r[i]) if isinstance(r[i], str) else r[i]}" for r in _ROUTES)
-    default = {0: "'lookup'", 2: "'node'", 3: "'none'", 4: "0"}[i]
-    return f"CASE {whens} ELSE {default} END"
+_ROUTE_VALUES = """routes(route, target, direction, depth) AS (VALUES
+  ('blast_radius', 'node', 'inbound', 3), ('dependents', 'node', 'inbound', 2),
+  ('dependencies', 'node', 'outbound', 2), ('behaviour', 'node', 'outbound', 2),
+  ('connection', 'node', 'both', 2), ('domain', 'community', 'none', 0), ('lookup', 'node', 'none', 0))"""
 
+# the routes that each question form must take are stated, not matched; no benchmark item asks for a walk
+_FORM_ROUTES = """forms(form, route) AS (VALUES (0, 'blast_radius'), (1, 'blast_radius'), (2, 'dependents'), (3, 'dependents'),
+  (4, 'dependencies'), (5, 'behaviour'), (6, 'connection'), (7, 'domain'), (8, 'lookup'))"""
 
 ORACLE["question_routing"] = f"""
-SELECT item_id AS question_id, {_route_case(0)} AS route, {_route_case(2)} AS target,
-       {_route_case(3)} AS direction, CAST({_route_case(4)} AS INTEGER) AS depth
-FROM benchmark
+WITH {_ROUTE_VALUES}, {_FORM_ROUTES},
+e AS (SELECT 'n:' || CAST(n_nationkey AS VARCHAR) AS id FROM nation
+      UNION ALL SELECT 's:' || CAST(s_suppkey AS VARCHAR) FROM supplier),
+q AS (SELECT id || '#' || CAST(form AS VARCHAR) AS question_id, route FROM e CROSS JOIN forms
+      UNION ALL SELECT 'item:' || CAST(item_id AS VARCHAR), 'lookup' FROM benchmark)
+SELECT question_id, q.route, target, direction, CAST(depth AS INTEGER) AS depth FROM q JOIN routes ON routes.route = q.route
+"""
+
+
+def _question_walk(form: int, direction: str, depth: int) -> str:
+    return f"""SELECT root_id || '#{form}' AS question_id, hop, COUNT(*) AS n_edges FROM (
+WITH {_walk('supplier', direction, depth)}
+{sv.visited_edges_sql(direction, depth)}) w GROUP BY root_id, hop"""
+
+
+ORACLE["question_walks"] = "\nUNION ALL\n".join([
+    _question_walk(0, "inbound", 3), _question_walk(2, "inbound", 2), _question_walk(4, "outbound", 2)])
+
+ORACLE["cross_file_edges"] = """
+WITH defs AS (
+  SELECT DISTINCT 's:' || CAST(s_suppkey AS VARCHAR) AS node, 'nation' || CAST(s_nationkey AS VARCHAR) || '.py' AS file,
+         unnest([s_name, CASE WHEN s_suppkey % 3 = 0 THEN n_name END]) AS name
+  FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+d AS (SELECT * FROM defs WHERE name IS NOT NULL),
+refs AS (
+  SELECT 'o:' || CAST(o_orderkey AS VARCHAR) AS node, 'nation' || CAST(c_nationkey AS VARCHAR) || '.py' AS file,
+         CASE o_orderkey % 4 WHEN 0 THEN n_name WHEN 1 THEN 'Unknown#name'
+           ELSE 'Supplier#' || lpad(CAST(o_orderkey % (SELECT COUNT(*) FROM supplier) + 1 AS VARCHAR), 9, '0') END AS name,
+         (['IMPORTS', 'CALLS', 'INHERITS', 'MENTIONS'])[o_orderkey % 4 + 1] AS kind
+  FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey),
+l AS (SELECT name, file, COUNT(DISTINCT node) AS n, MIN(node) AS target FROM d GROUP BY name, file),
+g AS (SELECT name, COUNT(DISTINCT node) AS n, MIN(node) AS target, MIN(file) AS file FROM d GROUP BY name),
+r AS (SELECT r.*, l.n AS ln, l.target AS lt, g.n AS gn, g.target AS gt, g.file AS gf,
+             coalesce(l.n > 1, false) OR (l.n IS NULL AND coalesce(g.n > 1, false)) AS many
+      FROM refs r LEFT JOIN l ON l.name = r.name AND l.file = r.file LEFT JOIN g ON g.name = r.name)
+SELECT node AS source_node_id,
+       CASE WHEN ln = 1 THEN lt WHEN many THEN 'name:' || name WHEN gn = 1 THEN gt ELSE name END AS target_node_id,
+       kind AS type,
+       CASE WHEN many THEN 'inferred' WHEN kind = 'CALLS' THEN 'probabilistic' WHEN kind = 'MENTIONS' THEN 'inferred'
+            ELSE 'deterministic' END AS confidence,
+       file || ' references ' || name || ' defined in '
+         || CASE WHEN ln = 1 THEN file WHEN many THEN CAST(gn AS VARCHAR) || ' candidates' WHEN gn = 1 THEN gf ELSE 'nowhere' END AS evidence
+FROM r
+UNION ALL
+SELECT 'name:' || d.name, d.node, 'DEFINES', 'inferred', d.name || ' defined in ' || d.file
+FROM d JOIN g ON g.name = d.name WHERE g.n > 1
 """
 
 ORACLE["quality_checks"] = f"""

@@ -195,7 +195,7 @@ members AS (
 
 URL_PATH = "regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1)"
 FIRST_SEG = "regexp_extract({c}, '^/*([^/]*)', 1)"
-LINK_RX = "(?is)<a\\s[^>]*href=\"([^\"]*)\""
+LINK_RX = "(?is)<a(?:\\s[^>]*)?\\shref\\s*=\\s*[\"'']([^\"''>]*)[\"'']"
 
 LNK = f"""lnk_nodes AS (SELECT DISTINCT {URL_PATH} AS node_id FROM pages),
 lnk_edges AS (

@@ -149,6 +149,31 @@ def benchmark_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("item_id").alias("question_id"), "text")
 
 
+# Question forms about one entity (or two), with the route each must take.
+QUESTION_FORMS = [
+    ("blast_radius", "What is the blast radius of %s?"),
+    ("blast_radius", "Which classes would be impacted if %s changes?"),
+    ("dependents", "What classes depend on %s?"),
+    ("dependents", "Who uses %s?"),
+    ("dependencies", "What does %s depend on? What are its dependencies?"),
+    ("behaviour", "What does class %s do?"),
+    ("connection", "How are %s and its region connected?"),
+    ("domain", "Give me an overview of the %s domain and how its parts relate"),
+    ("lookup", "Where is the blinking cursor of %s?"),
+]
+
+
+def entity_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(question_id, node_id, form, text)``: every question form about every nation and supplier."""
+    named = (read_table(spark, sf_dir, "nation").select(F.concat(F.lit("n:"), _s("n_nationkey")).alias("node_id"), F.col("n_name").alias("name"))
+             .unionByName(read_table(spark, sf_dir, "supplier").select(F.concat(F.lit("s:"), _s("s_suppkey")), F.col("s_name"))
+                          .toDF("node_id", "name")))
+    forms = F.array(*[F.struct(F.lit(i).alias("form"), F.format_string(t, F.col("name")).alias("text"))
+                      for i, (_, t) in enumerate(QUESTION_FORMS)])
+    return (named.select("node_id", F.explode(forms).alias("f"))
+            .select(F.concat_ws("#", "node_id", F.col("f.form").cast("string")).alias("question_id"), "node_id", "f.form", "f.text"))
+
+
 # --------------------------------------------------------------- DOCN ----
 
 def doc_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -217,6 +242,33 @@ def lnk_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("deterministic").alias("confidence"), F.lit("href").alias("evidence"), "page_id")
 
 
+# --------------------------------------------------------------- SYM ----
+
+def symbol_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """SYM: ``(references, definitions)`` of names, as extractors give them.
+
+    Every supplier defines its name and, in the file of its nation, the name of
+    that nation; every order refers to a supplier name (by its key), to the name of its
+    customer's nation or to an unknown name.
+    """
+    sup = read_table(spark, sf_dir, "supplier").join(read_table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    file_of = F.concat(F.lit("nation"), _s("s_nationkey"), F.lit(".py"))
+    defs = sup.select(F.concat(F.lit("s:"), _s("s_suppkey")).alias("node_id"), file_of.alias("source_file"), F.explode(
+        F.array("s_name", F.when(F.pmod("s_suppkey", F.lit(3)) == 0, F.col("n_name")))).alias("name")).filter("name IS NOT NULL")
+    cust = read_table(spark, sf_dir, "customer").join(read_table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    orders = read_table(spark, sf_dir, "orders").join(cust, F.col("o_custkey") == F.col("c_custkey"))
+    key = F.col("o_orderkey")
+    n_suppliers = read_table(spark, sf_dir, "supplier").count()  # one scalar
+    name = (F.when(F.pmod(key, F.lit(4)) == 0, F.col("n_name"))
+            .when(F.pmod(key, F.lit(4)) == 1, F.lit("Unknown#name"))
+            .otherwise(F.concat(F.lit("Supplier#"), F.lpad((F.pmod(key, F.lit(n_suppliers)) + 1).cast("string"), 9, "0"))))
+    kinds = F.element_at(F.array(*[F.lit(k) for k in ("IMPORTS", "CALLS", "INHERITS", "MENTIONS")]), (F.pmod(key, F.lit(4)) + 1).cast("int"))
+    refs = orders.select(F.concat(F.lit("o:"), key.cast("string")).alias("node_id"),
+                         F.concat(F.lit("nation"), _s("c_nationkey"), F.lit(".py")).alias("source_file"),
+                         name.alias("name"), kinds.alias("kind"))
+    return refs, defs
+
+
 # ---------------------------------------------------------------- REG ----
 
 def registry(spark: SparkSession) -> DataFrame:

@@ -41,12 +41,16 @@ def test_routing_precedence(spark):
         (3, "What does OrderController depend on?"),
         (4, "How do OrderService and Order connect?"),
         (5, "Give me an overview of the payments domain"),
-        (6, "Show Order")], "question_id long, text string")
+        (6, "Show Order"), (7, "What classes depend on X?"), (8, "Which classes would be impacted if X changes?"),
+        (9, "What does class X do?"), (10, "Where is the blinking cursor?"),
+        (11, "How does the order domain relate to payments?")], "question_id long, text string")
     got = {r.question_id: (r.route, r.direction, r.depth) for r in route_questions(q).collect()}
     assert got == {1: ("blast_radius", "inbound", 3), 2: ("dependents", "inbound", 2),
                    3: ("dependencies", "outbound", 2), 4: ("connection", "both", 2),
-                   5: ("domain", "none", 0), 6: ("lookup", "none", 0)}
-    assert len(ROUTING_RULES) == 5
+                   5: ("domain", "none", 0), 6: ("lookup", "none", 0), 7: ("dependents", "inbound", 2),
+                   8: ("blast_radius", "inbound", 3), 9: ("behaviour", "outbound", 2), 10: ("lookup", "none", 0),
+                   11: ("domain", "none", 0)}
+    assert len(ROUTING_RULES) == 6
 
 
 def test_embed_and_approx_topk(spark):
