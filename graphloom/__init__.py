@@ -6,4 +6,12 @@ Sub-packages: ``sources`` (file scans, store tables, fixture views),
 SQL oracles) and ``streaming`` (incremental corrections and ingestion).
 """
 
-__version__ = "0.1.0"
+import sys
+
+from pyspark import cloudpickle
+
+__version__ = "0.2.0"
+
+# Functions of the package that run inside tasks are pickled by value, so the
+# executors need not have the package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

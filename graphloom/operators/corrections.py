@@ -160,11 +160,12 @@ def with_correction_context(chunks: DataFrame, by_file: DataFrame) -> DataFrame:
 
     ``chunks(node_id, source_file, ...)`` and ``by_file`` from
     ``corrections_by_file``; the result has one row per (chunk, correction)
-    plus the chunks without any (left join), ready for a summariser that
+    plus the chunks without any (left join on the node, so a file's chunks
+    never meet all corrections of the file), ready for a summariser that
     takes corrections as extra input.  No per-file list is built.
     """
-    c = by_file.select("source_file", "correction_id", "original", "corrected")
-    return chunks.join(c, "source_file", "left")
+    c = by_file.select("node_id", "correction_id", "original", "corrected")
+    return chunks.join(c, "node_id", "left")
 
 
 def community_corrections(members: DataFrame, corrections: DataFrame) -> DataFrame:

@@ -119,9 +119,11 @@ def assign_versions(snapshots: DataFrame, suite_col: str, time_col: str,
     (ties by hash).  Suites are matched by equality (not by name prefix).
     """
     first = snapshots.groupBy(suite_col, hash_col).agg(F.min(time_col).alias("_first"))
-    w = Window.partitionBy(suite_col).orderBy("_first", hash_col)
-    ver = first.withColumn("version", F.format_string(
-        VERSION_FORMAT, F.col(suite_col).cast("string"), F.row_number().over(w)))
+    # numbered over all suites at once and then counted from each suite's start: no suite is one task
+    n = cut_lineage(global_row_number(first, [suite_col, "_first", hash_col], "_n"))
+    start = n.groupBy(suite_col).agg(F.min("_n").alias("_start"))
+    ver = n.join(start, suite_col).withColumn("version", F.format_string(
+        VERSION_FORMAT, F.col(suite_col).cast("string"), (F.col("_n") - F.col("_start") + 1).cast("int")))
     return snapshots.join(ver.select(suite_col, hash_col, "version"), [suite_col, hash_col])
 
 
@@ -188,7 +190,7 @@ def model_call_rollup(calls: DataFrame, key: str = "run_id") -> DataFrame:
             .agg(F.count(F.lit(1)).alias("iterations"),
                  F.sum(F.coalesce("in_tokens", F.lit(0))).cast("long").alias("in_tokens"),
                  F.sum(F.coalesce("out_tokens", F.lit(0))).cast("long").alias("out_tokens"),
-                 F.round(F.sum(F.coalesce(F.col("cost_usd").cast("decimal(18,6)"),
+                 F.bround(F.sum(F.coalesce(F.col("cost_usd").cast("decimal(18,6)"),
                                           F.lit(0).cast("decimal(18,6)"))), 6).alias("cost_usd")))
 
 
@@ -197,29 +199,20 @@ def previous_in_order(df: DataFrame, key: str, order: str, cols: list[str]) -> D
     ``key`` in ``order`` (null on a key's first row) - a ``lag`` without a
     window partitioned by ``key``.
 
-    The rows are range-partitioned by a global sort on ``(key, order)``, so a
-    key holding a third of all rows is spread over many tasks.  Inside a
-    partition the previous row is the neighbour; the first row of a
-    partition takes the last row of the nearest earlier non-empty partition
-    (a table with one row per partition, broadcast).
+    Only the narrow keys are sorted: they are numbered over a range partitioning
+    (``global_row_number``), so a key holding a third of all rows is spread over
+    many tasks, and each key is paired with the number before it.  The
+    columns come from one equi-join on ``(key, previous order)``.  Rows of equal
+    (key, order) have the same previous row; if there are several rows there, the largest of them
+    by its columns.  A row with a null key or order has no previous row.
     """
-    s = cut_lineage(df.orderBy(key, order)
-                    .withColumn("_p", F.spark_partition_id())
-                    .withColumn("_mid", F.monotonically_increasing_id()))
-    w = Window.partitionBy("_p").orderBy("_mid")
-    t = s.withColumn("_pk", F.lag(key).over(w))
-    for c in cols:
-        t = t.withColumn(f"_l_{c}", F.lag(c).over(w))
-    last = s.groupBy("_p").agg(F.max_by(F.struct(key, *cols), "_mid").alias("_last"))
-    lastp = last.select("_p", F.lag("_last").over(Window.orderBy("_p")).alias("_before"))
-    t = t.join(F.broadcast(lastp), "_p")
-    first = F.col("_pk").isNull()
-    same = F.col(f"_before.{key}") == F.col(key)
-    for c in cols:
-        t = t.withColumn(f"prev_{c}", F.when(~first, F.col(f"_l_{c}"))
-                         .when(same, F.col(f"_before.{c}")))
-    # a key change inside a partition: the neighbour belongs to another key
-    t = t.withColumn("_samekey", F.when(~first, F.col("_pk") == F.col(key)).otherwise(same))
-    for c in cols:
-        t = t.withColumn(f"prev_{c}", F.when(F.col("_samekey"), F.col(f"prev_{c}")))
-    return t.drop("_p", "_mid", "_pk", "_before", "_samekey", *[f"_l_{c}" for c in cols])
+    keys = df.select(F.col(key).alias("_k"), F.col(order).alias("_o")).filter("_k IS NOT NULL AND _o IS NOT NULL").distinct()
+    n = cut_lineage(global_row_number(keys, ["_k", "_o"], "_n"))
+    before = n.select((F.col("_n") + 1).alias("_n"), F.col("_k").alias("_bk"), F.col("_o").alias("_bo"))
+    link = cut_lineage(n.join(before, "_n").filter("_k = _bk").select("_k", "_o", "_bo"))
+    rows = (df.groupBy(F.col(key).alias("_rk"), F.col(order).alias("_ro"))
+            .agg(F.max(F.struct(*cols)).alias("_r")))
+    # (key, order) -> the columns of the row before: the text travels in one join only
+    prev = link.join(rows, (F.col("_k") == F.col("_rk")) & (F.col("_bo") == F.col("_ro"))).select("_k", "_o", "_r")
+    return (df.join(prev, (F.col(key) == F.col("_k")) & (F.col(order) == F.col("_o")), "left")
+            .select(*[F.col(c) for c in df.columns], *[F.col("_r").getField(c).alias(f"prev_{c}") for c in cols]))

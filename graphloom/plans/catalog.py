@@ -232,7 +232,7 @@ def correction_before_after(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _runlog_rollup(spark, sf_dir, key):
     from graphloom.operators.ledger import aggregate_runs
     a = aggregate_runs(fx.run_log(spark, sf_dir), key)
-    return a.withColumn("cost_usd", F.round("cost_usd", 6).cast("double"))
+    return a.withColumn("cost_usd", F.bround("cost_usd", 6).cast("double"))
 
 
 @register("runlog_aggregate")

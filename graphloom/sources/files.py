@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from graphloom.functions.text import ext_language, extension
+from graphloom.operators.extract import INFRA_SELECTOR
 
 EDGE = T.StructType([T.StructField("target", T.StringType()), T.StructField("type", T.StringType()),
                      T.StructField("confidence", T.StringType()),
@@ -234,7 +235,6 @@ def scss_extractor(path: str, text: str) -> list[dict]:
     """X3 + X7: variables, mixins, imports, top-level style rules, BEM elements;
     IMPORTS, INCLUDES, EXTENDS (deterministic), STYLES (probabilistic), BELONGS_TO.
     ``*``/``html``/``body``/pseudo-element rules are ``infrastructure-rule``."""
-    from graphloom.operators.extract import INFRA_SELECTOR
     module = path.rsplit("/", 1)[-1]
     out = [{"chunk_type": "import", "name": m.group(1), "raw_cleaned": m.group(0),
             "edges": [_edge(m.group(1), "IMPORTS", evidence="@import")]}
@@ -252,7 +252,8 @@ def scss_extractor(path: str, text: str) -> list[dict]:
         edges += [_edge(x.strip(), "EXTENDS", evidence="@extend") for x in _SCSS_EXTEND.findall(block)]
         edges += [_edge(f"${v}", "USES_VARIABLE", "deterministic", "variable")
                   for v in dict.fromkeys(_SCSS_VAR_USE.findall(block))]
-        edges.append(_edge(sel, "STYLES", "probabilistic", "selector"))
+        edges += [_edge(c, "STYLES", "probabilistic", "selector")
+                  for c in dict.fromkeys(re.findall(r"\.([\w-]+)", sel)) or [sel]]
         out.append({"chunk_type": "style-rule", "name": sel, "raw_cleaned": block, "edges": edges})
         for e in _SCSS_BEM.finditer(block):
             out.append({"chunk_type": "bem-element", "name": sel + e.group(1),

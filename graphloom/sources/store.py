@@ -1,4 +1,4 @@
-"""The store: five Parquet tables under one base path (S4-S8, S11, S12, P8, P10, P11, GR11).
+"""The store: Parquet tables under one base path (S4-S8, S11, S12, P8, P10, P11, GR11).
 
 Writes are appends of whole DataFrames with the reference defaults filled
 in by column expressions.  Mutations (community write-back) write a new
@@ -9,6 +9,7 @@ overwritten.  The base path is a shared file system path on a cluster.
 from __future__ import annotations
 
 import os
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,8 +18,11 @@ from pyspark.sql import types as T
 
 from graphloom import schemas as S
 
+#: GR11: members of communities as rows.
+MEMBERS = T.StructType([T.StructField("community_id", T.StringType()), T.StructField("node_id", T.StringType()),
+                        T.StructField("level", T.IntegerType())])
 TABLES = {"nodes": S.NODES, "edges": S.EDGES, "communities": S.COMMUNITIES,
-          "corrections": S.CORRECTIONS, "registry": S.REGISTRY}
+          "corrections": S.CORRECTIONS, "registry": S.REGISTRY, "community_members": MEMBERS}
 
 
 def _fs(spark: SparkSession, path: str):
@@ -49,21 +53,24 @@ class Store:
     base: str
 
     # -- layout -------------------------------------------------------------
-    def _pointer(self, table: str) -> str:
-        return f"{self.base.rstrip('/')}/{table}/CURRENT"
+    def _versions(self, table: str) -> list[str]:
+        """Complete versions of a table, oldest first.
+
+        A version folder counts once its job has committed (``_SUCCESS``), so
+        there is no pointer to overwrite and a half-written version is never read.
+        One writer at a time makes new versions; appends go to the newest one.
+        """
+        fs, p = _fs(self.spark, f"{self.base.rstrip('/')}/{table}")
+        if not fs.exists(p):
+            return []
+        found = [f.getPath().getName() for f in fs.listStatus(p) if f.isDirectory()]
+        return sorted((v for v in found if re.fullmatch(r"v\d+", v)
+                       and _exists(self.spark, f"{self.base.rstrip('/')}/{table}/{v}/_SUCCESS")), key=lambda v: int(v[1:]))
 
     def path(self, table: str) -> str:
-        """Directory of the current version of a table."""
-        ptr = self._pointer(table)
-        if _exists(self.spark, ptr):
-            v = self.spark.read.text(ptr).first()[0].strip()
-        else:
-            v = "v0001"
-        return f"{self.base.rstrip('/')}/{table}/{v}"
-
-    def _set_current(self, table: str, version: str) -> None:
-        self.spark.createDataFrame([(version,)], "value string").coalesce(1) \
-            .write.mode("overwrite").text(self._pointer(table))
+        """Directory of the current (newest complete) version of a table."""
+        versions = self._versions(table)
+        return f"{self.base.rstrip('/')}/{table}/{versions[-1] if versions else 'v0001'}"
 
     # -- S4 -----------------------------------------------------------------
     def ensure_tables(self) -> list[str]:
@@ -85,7 +92,7 @@ class Store:
         n = _conform(nodes, S.NODES, S.NODE_DEFAULTS)
         n = (n.withColumn("created_at", F.coalesce("created_at", F.current_timestamp()))
              .withColumn("updated_at", F.coalesce("updated_at", F.current_timestamp())))
-        ok = F.col("node_id").isNotNull() & (F.length(F.trim("summary")) > 0)
+        ok = F.col("node_id").isNotNull() & (F.length("summary") > 0)
         n.filter(ok).write.mode("append").parquet(self.path("nodes"))
         return n.filter(~ok)
 
@@ -101,7 +108,7 @@ class Store:
     def append_communities(self, communities: DataFrame) -> DataFrame:
         c = _conform(communities, S.COMMUNITIES, {"level": 0})
         c = c.withColumn("updated_at", F.coalesce("updated_at", F.current_timestamp()))
-        ok = F.length(F.trim(F.coalesce("summary", F.lit("")))) > 0
+        ok = F.length(F.coalesce("summary", F.lit(""))) > 0
         c.filter(ok).write.mode("append").parquet(self.path("communities"))
         return c.filter(~ok)
 
@@ -123,7 +130,6 @@ class Store:
         version = "v%04d" % (int(os.path.basename(cur)[1:]) + 1)
         new_path = f"{self.base.rstrip('/')}/nodes/{version}"
         write_back_membership(self.read("nodes"), members).write.mode("overwrite").parquet(new_path)
-        self._set_current("nodes", version)
         return new_path
 
     def store_communities(self, members: DataFrame, summaries: DataFrame, embed=None) -> str:
@@ -132,16 +138,16 @@ class Store:
 
         ``members(community_id, node_id, level)``, ``summaries(community_id, summary)``;
         ``embed`` maps a DataFrame with a ``summary`` column to one with ``vec``
-        (default: ``embed_text``).  Member ids stay rows until the final
-        ``collect_list``, which is per community in the communities table only.
+        (default: ``embed_text``).  Members are stored as rows of the
+        ``community_members`` table; the communities' ``member_node_ids`` stays
+        null, because a community may hold a large share of all nodes.
         """
         from graphloom.operators.vectors import embed_text
         emb = (embed or (lambda d: embed_text(d, "summary")))(summaries)
-        ids = members.groupBy("community_id").agg(
-            F.first("level").alias("level"),
-            F.sort_array(F.collect_list("node_id")).alias("member_node_ids"))
+        ids = members.groupBy("community_id").agg(F.min("level").alias("level"))
         rows = ids.join(emb.select("community_id", "summary", F.col("vec").alias("embedding")),
                         "community_id")
+        _conform(members, MEMBERS, {"level": 0}).write.mode("append").parquet(self.path("community_members"))
         self.append_communities(rows)
         return self.write_back_membership(members.select("node_id", "community_id"))
 

@@ -8,7 +8,7 @@ from graphloom.sources.store import Store, registry_from_json_columns
 
 def test_store_create_append_writeback(spark):
     st = Store(spark, tempfile.mkdtemp(prefix="gl-store-"))
-    assert st.ensure_tables() == ["communities", "corrections", "edges", "nodes", "registry"]
+    assert st.ensure_tables() == ["communities", "community_members", "corrections", "edges", "nodes", "registry"]
     assert st.read("registry").count() == 0
     nodes = spark.createDataFrame([("a", "s1"), ("b", ""), ("c", "s3")], "node_id string, summary string")
     rejected = st.append_nodes(nodes)
@@ -78,7 +78,8 @@ def test_store_communities_embeds_appends_and_writes_back(spark):
                                       "community_id string, summary string")
     st.store_communities(members, summaries)
     c = st.read("communities").first()
-    assert c.member_node_ids == ["a", "b"] and len(c.embedding) == 64
+    assert c.member_node_ids is None and len(c.embedding) == 64
+    assert sorted((r.community_id, r.node_id, r.level) for r in st.read("community_members").collect()) == [("comm:a", "a", 0), ("comm:a", "b", 0)]
     got = {r.node_id: r.community_id for r in st.read("nodes").collect()}
     assert got == {"a": "comm:a", "b": "comm:a", "c": None}
 
@@ -95,7 +96,7 @@ def test_extractive_summary_and_correction_rows(spark):
                                 "correction_id string, target_id string, original string, corrected string")
     assert [r.correction_id for r in community_corrections(m, cor).collect()] == ["x1"]
     chunks = spark.createDataFrame([("n1", "f.py"), ("n2", "g.py")], "node_id string, source_file string")
-    by_file = spark.createDataFrame([("f.py", "x1", "old", "new")],
-                                    "source_file string, correction_id string, original string, corrected string")
+    by_file = spark.createDataFrame([("f.py", "n1", "x1", "old", "new")],
+                                    "source_file string, node_id string, correction_id string, original string, corrected string")
     got = {(r.node_id, r.correction_id) for r in with_correction_context(chunks, by_file).collect()}
     assert got == {("n1", "x1"), ("n2", None)}
