@@ -6,13 +6,15 @@ matches when **any** word is a substring of ``lower(original + " " +
 corrected + " " + target_id)``.  That is a theta join; here it runs as an
 equi-join without pairing every question with every correction:
 
-1. distinct words are anchored on their rarest character trigram
-   (trigram frequencies come from the corrections side);
-2. every trigram occurrence of every correction text is listed with its
-   position, and joined to the anchors on the trigram;
-3. each candidate is confirmed by comparing the text at the implied start
-   position with the whole word, so the result is exact (no false hits,
-   no misses) and the work follows the number of real occurrences.
+1. every correction text sends each of its distinct trigrams once, and only
+   those that occur in some question word;
+2. each distinct word is looked up by its rarest trigram;
+3. each candidate is confirmed by looking for the whole word in the whole
+   text, so the result is exact.
+
+``correction_postings`` gives the matches in factorised form (word to
+correction); ``search_corrections`` expands them to (question, correction) pairs, for
+tables of selective questions.
 """
 
 from __future__ import annotations
@@ -20,6 +22,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.session import cut_lineage
+
 WORD_SPLIT = r"(?U)[\s\x1C-\x1F]+"  # white space as Python's split() knows it
 MIN_WORD_LEN = 3  # words with more than two characters
 
@@ -42,65 +46,41 @@ def searchable_text(corrections: DataFrame) -> DataFrame:
         F.lower(F.concat_ws(" ", nz("original"), nz("corrected"), nz("target_id"))).alias("s"))
 
 
-def _trigrams(df: DataFrame, key: str, text: str) -> DataFrame:
-    """Every trigram of ``text`` with its 1-based position: ``(key, tri, pos)``."""
-    n = F.length(F.col(text))
-    return (df.filter(n >= MIN_WORD_LEN)
-            .select(key, text, F.explode(F.sequence(F.lit(1), n - 2)).alias("pos"))
-            .select(key, F.expr(f"substring({text}, pos, 3)").alias("tri"), "pos"))
-
-
-CONTEXT = 32  # characters kept on each side of a trigram occurrence for confirmation
-SEGMENT = 1 << 16  # trigram positions per generated row group of one long text
+def _trigrams(text) -> F.Column:
+    """Distinct trigrams of a text of at least MIN_WORD_LEN characters."""
+    c = F.col(text)
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - 2), lambda i: F.substring(c, i, F.lit(3))))
 
 
 def word_matches(words: DataFrame, corrections: DataFrame) -> DataFrame:
     """``(word, correction_id)`` for every word that occurs in a correction's searchable text."""
     s = searchable_text(corrections)
-    n = F.length("s")
-    # Every trigram occurrence with a short context around it (no full text per
-    # row).  Long texts are first cut into segments of SEGMENT positions (with
-    # the context overlap), so no row ever holds more than SEGMENT positions.
-    seg = (s.filter(n >= MIN_WORD_LEN)
-           .select("correction_id", "s", n.alias("n"),
-                   F.explode(F.sequence(F.lit(1), n - 2, F.lit(SEGMENT))).alias("seg_start"))
-           .select("correction_id", "n", "seg_start",
-                   F.greatest(F.col("seg_start") - CONTEXT, F.lit(1)).alias("piece_start"),
-                   F.expr(f"substring(s, greatest(seg_start - {CONTEXT}, 1), "
-                          f"{SEGMENT + 2 * CONTEXT + 3})").alias("piece")))
-    occ = (seg.select("correction_id", "piece", "piece_start",
-                      F.explode(F.sequence(F.col("seg_start"),
-                                           F.least(F.col("seg_start") + SEGMENT - 1,
-                                                   F.col("n") - 2))).alias("pos"))
-           .select("correction_id", "pos",
-                   F.expr("substring(piece, pos - piece_start + 1, 3)").alias("tri"),
-                   F.greatest(F.col("pos") - CONTEXT, F.lit(1)).alias("ctx_start"),
-                   F.expr(f"substring(piece, greatest(pos - {CONTEXT}, 1) - piece_start + 1, "
-                          f"{2 * CONTEXT + 3})").alias("ctx")))
-    # trigram frequencies only steer which trigram of a word is looked up; any choice is exact
-    freq = _trigrams(s, "correction_id", "s").groupBy("tri").agg(F.count(F.lit(1)).alias("freq"))
-    w = words.select("word").distinct()
-    wt = _trigrams(w, "word", "word").withColumnRenamed("pos", "off")
-    # rarest trigram of each word (ties: earliest offset); a trigram never
-    # seen in the sample counts as rarest.
+    w = cut_lineage(words.select("word").distinct())
+    wt = cut_lineage(w.filter(F.length("word") >= MIN_WORD_LEN).select("word", F.explode(_trigrams("word")).alias("tri")))
+    # a text sends each of its trigrams once, and only those that some word has
+    ct = cut_lineage(s.filter(F.length("s") >= MIN_WORD_LEN).select("correction_id", F.explode(_trigrams("s")).alias("tri"))
+                     .join(wt.select("tri").distinct(), "tri", "left_semi"))
+    freq = ct.groupBy("tri").agg(F.count(F.lit(1)).alias("freq"))
+    # the rarest trigram of each word; a word with a trigram that no text has matches nothing
     anchor = (wt.join(freq, "tri", "left").fillna(0, subset=["freq"])
-              .groupBy("word")
-              .agg(F.min(F.struct("freq", "off", "tri")).alias("a"))
-              .select("word", F.col("a.tri").alias("tri"), F.col("a.off").alias("off")))
-    cand = (anchor.join(occ, "tri")
-            .withColumn("start", F.col("pos") - F.col("off") + 1)
-            .filter(F.col("start") >= 1))
-    # Words that fit the context are confirmed in place; longer ones (rare)
-    # against the full text.  Either way the match is the exact substring test.
-    fits = F.length("word") <= CONTEXT + 2
-    short = (cand.filter(fits)
-             .filter(F.expr("substring(ctx, start - ctx_start + 1, length(word)) = word"))
-             .select("word", "correction_id"))
-    long_ = (cand.filter(~fits).select("word", "correction_id", "start")
-             .join(s, "correction_id")
-             .filter(F.expr("substring(s, start, length(word)) = word"))
-             .select("word", "correction_id"))
-    return short.unionByName(long_).distinct()
+              .groupBy("word").agg(F.min(F.struct("freq", "tri")).alias("a"))
+              .filter("a.freq > 0").select("word", F.col("a.tri").alias("tri")))
+    cand = anchor.join(ct, "tri").select("word", "correction_id")
+    # the text travels once, to its candidates, and the whole word is looked for in it
+    return cand.join(s, "correction_id").filter(F.expr("contains(s, word)")).select("word", "correction_id").distinct()
+
+
+def correction_postings(questions: DataFrame, corrections: DataFrame, id_col: str = "question_id",
+                        text_col: str = "text") -> DataFrame:
+    """P6 in factorised form: ``(word, correction_id, n_questions)``.
+
+    The matches of all questions are ``question_words`` joined to these postings on the
+    word; the postings grow with words and corrections, while the pairs of
+    common words grow with questions times corrections.
+    """
+    qw = cut_lineage(question_words(questions, id_col, text_col))
+    n = qw.groupBy("word").agg(F.count(F.lit(1)).alias("n_questions"))
+    return word_matches(qw, corrections).join(n, "word").select("word", "correction_id", "n_questions")
 
 
 def search_corrections(questions: DataFrame, corrections: DataFrame,

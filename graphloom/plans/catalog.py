@@ -200,6 +200,13 @@ def corrections_search(spark: SparkSession, sf_dir: str) -> DataFrame:
                               fx.cor_corrections(spark, sf_dir))
 
 
+@register("correction_postings")
+def correction_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P6, factorised: question words and the corrections whose text holds them (linear output)."""
+    from graphloom.operators.corrections import correction_postings as cp
+    return cp(fx.benchmark_questions(spark, sf_dir), fx.cor_corrections(spark, sf_dir))
+
+
 @register("corrections_by_source")
 def corrections_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J3 + A7: corrections of the document nodes of every source file."""
@@ -610,23 +617,18 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("context_assembly")
 def context_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """R2: context rows for every document that has a vector, used as a question
-    (its first 120 characters): corrections, 3 communities, 5 nodes, edges of the best node."""
+    """R2: context rows for every benchmark item (its whole text, and the vector of its number):
+    corrections, 3 communities, 5 nodes, the links of the best node in the document graph."""
     from graphloom.operators.context import assemble_context
     from graphloom.operators.vectors import centroids
-    from graphloom.session import read_table
-    docs = read_table(spark, sf_dir, "documents")
     v = fx.embedding_vectors(spark, sf_dir)
-    questions = docs.join(v, docs.doc_id == v.vec_id).select(
-        F.col("doc_id").alias("question_id"), F.substring("text", 1, 120).alias("text"),
-        F.col("embedding").alias("vec"))
+    questions = fx.benchmark_questions(spark, sf_dir).join(
+        v.select(F.col("vec_id").alias("question_id"), F.col("embedding").alias("vec")), "question_id")
     nodes = v.select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vec"))
     comms = centroids(v.select("label", F.col("embedding").alias("vec")), "label").select(
         F.col("label").alias("item_id"), "vec")
-    knn = fx.knn_edges(spark, sf_dir).select(
-        "src", "dst", F.when(F.col("score") >= KNN_COMPONENT_THRESHOLD, F.lit("deterministic"))
-        .otherwise(F.lit("probabilistic")).alias("confidence"))
-    return assemble_context(questions, fx.cor_corrections(spark, sf_dir), nodes, comms, knn)
+    links = fx.doc_links(spark, sf_dir).withColumn("confidence", F.lit("deterministic"))
+    return assemble_context(questions, fx.cor_corrections(spark, sf_dir), nodes, comms, links)
 
 
 @register("file_diagnostics")

@@ -197,6 +197,11 @@ WITH {sv.COR}, {sv.QWORDS}
 {sv.search_sql()}
 """
 
+ORACLE["correction_postings"] = f"""
+WITH {sv.COR}, {sv.QWORDS}, m AS ({sv.search_sql().replace('SELECT DISTINCT qw.question_id, c.correction_id', 'SELECT DISTINCT qw.question_id, qw.word, c.correction_id')})
+SELECT word, correction_id, COUNT(*) AS n_questions FROM m GROUP BY word, correction_id
+"""
+
 ORACLE["corrections_by_source"] = f"""
 WITH {sv.COR}
 SELECT d.source AS source_file, 'doc:' || CAST(d.doc_id AS VARCHAR) AS node_id,
@@ -510,13 +515,9 @@ FROM documents
 """
 
 ORACLE["context_assembly"] = f"""
-WITH {sv.COR}, {sv.KNN},
-q AS (SELECT d.doc_id AS question_id, substring(d.text, 1, 120) AS text,
-             CAST(e.embedding AS DOUBLE[]) AS v
-      FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id),
-qw AS (SELECT DISTINCT question_id, w AS word
-       FROM (SELECT question_id, unnest(regexp_split_to_array(lower(text), '\\s+')) AS w FROM q) t
-       WHERE length(w) > 2),
+WITH {sv.COR}, {sv.QWORDS}, {sv.DUP},
+emb AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+q AS (SELECT item_id AS question_id, v FROM benchmark JOIN emb ON vec_id = item_id),
 x AS (SELECT label, unnest(CAST(embedding AS DOUBLE[])) AS x,
              generate_subscripts(embedding, 1) AS pos FROM embeddings),
 cent AS (SELECT label, list(m ORDER BY pos) AS v
@@ -528,9 +529,9 @@ nod AS (SELECT question_id, vec_id, CAST(row_number() OVER (PARTITION BY questio
                ORDER BY list_dot_product(q.v, emb.v) DESC, vec_id) AS INTEGER) AS rank
         FROM q JOIN emb ON emb.vec_id <> q.question_id),
 best AS (SELECT question_id, vec_id AS best FROM nod WHERE rank = 1),
-ke AS (SELECT src, dst, CASE WHEN score >= 0.35 THEN 0 ELSE 1 END AS tier FROM knn)
+ke AS (SELECT src, dst, 0 AS tier FROM dup)
 SELECT question_id, 'correction' AS kind, 0 AS kind_order, 0 AS rank, correction_id AS item
-FROM ({sv.search_sql().replace('FROM qw JOIN', 'FROM qw JOIN')}) s
+FROM ({sv.search_sql()}) s WHERE question_id IN (SELECT question_id FROM q)
 UNION ALL
 SELECT question_id, 'community', 1, rank, CAST(label AS VARCHAR) FROM com WHERE rank <= 3
 UNION ALL
