@@ -369,6 +369,40 @@ def membership_writeback(spark: SparkSession, sf_dir: str) -> DataFrame:
         "node_id", "community_id")
 
 
+@register("community_corrections")
+def community_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """GR12: corrections of the members of every community, as rows."""
+    from graphloom.operators.communities import community_rows
+    from graphloom.operators.corrections import community_corrections as cc
+    members = community_rows(_doc_component_labels(spark, sf_dir), fx.doc_nodes(spark, sf_dir))
+    return cc(members, fx.cor_corrections(spark, sf_dir, doc_target=True)).select("community_id", "node_id", "correction_id")
+
+
+@register("corrections_for_documents")
+def corrections_for_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P5 + J10: corrections whose target is an English document node (semi join on the target)."""
+    from graphloom.operators.corrections import corrections_for_targets
+    nodes = fx.doc_nodes(spark, sf_dir).filter("language = 'en'").select(F.col("node_id").alias("target_id"))
+    return corrections_for_targets(nodes, fx.cor_corrections(spark, sf_dir, doc_target=True)).select(
+        "correction_id", "target_id", "corrected")
+
+
+@register("chunk_correction_context")
+def chunk_correction_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """EM3: every document node with the corrections that concern it (left join on the node)."""
+    from graphloom.operators.corrections import corrections_by_file, with_correction_context
+    nodes = fx.doc_nodes(spark, sf_dir).select("node_id", "source_file")
+    by_file = corrections_by_file(nodes.select("source_file"), nodes, fx.cor_corrections(spark, sf_dir, doc_target=True))
+    return with_correction_context(nodes, by_file).select("node_id", "source_file", "correction_id")
+
+
+@register("document_summaries")
+def document_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """EM2: lead summary of every document (the leading sentences within 400 characters are the feature)."""
+    from graphloom.operators.communities import lead_summary
+    return lead_summary(fx.doc_nodes(spark, sf_dir)).select("node_id", "summary")
+
+
 # ----------------------------------------------- extraction, files, gaps ----
 
 @register("html_chunks")
@@ -429,6 +463,25 @@ def files_without_extractor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unmatched.groupBy("file_type").agg(F.count(F.lit(1)).alias("n_files"))
 
 
+@register("language_samples")
+def language_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S3: per language the head of its first document file by path (the head is the feature)."""
+    from graphloom.functions.text import ext_language, extension
+    from graphloom.sources.files import sample_heads
+    return sample_heads(fx.document_files(spark, sf_dir).select(
+        "path", "text", ext_language(extension("path")).alias("language")))
+
+
+@register("normalised_paths")
+def normalised_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """document file paths written with a scheme or a leading ./ compare equal after normalising."""
+    from graphloom.functions.text import normalise_path
+    f = fx.document_files(spark, sf_dir)
+    raw = F.concat(F.element_at(F.array(F.lit(""), F.lit("./"), F.lit("file://"), F.lit("file:./")),
+                                (F.pmod(F.col("doc_id"), F.lit(4)) + 1).cast("int")), F.col("path"))
+    return f.select("doc_id", raw.alias("written"), normalise_path(raw).alias("path"))
+
+
 @register("ext_language_map")
 def ext_language_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P7 + F2: extension and language of every document file path."""

@@ -589,3 +589,43 @@ SELECT COALESCE(g1.section, g2.section) AS section, COALESCE(g1.key, g2.key) AS
        COALESCE(g2.n, 0) - COALESCE(g1.n, 0) AS delta
 FROM g1 FULL OUTER JOIN g2 ON g1.section = g2.section AND g1.key = g2.key
 """
+
+_COR_DOC = f"""{sv.COR},
+cord AS (SELECT *, 'doc:' || CAST(conv_id % (SELECT COUNT(*) FROM documents) AS VARCHAR) AS doc_target FROM cor)"""
+
+ORACLE["community_corrections"] = f"""
+WITH RECURSIVE {sv.DUP}, {sv.DUP_COMPONENTS}, {_COR_DOC}
+SELECT m.community_id, m.node_id, c.correction_id FROM members m JOIN cord c ON c.doc_target = m.node_id
+"""
+
+ORACLE["corrections_for_documents"] = f"""
+WITH {_COR_DOC}
+SELECT correction_id, doc_target AS target_id, corrected FROM cord
+WHERE doc_target IN (SELECT 'doc:' || CAST(doc_id AS VARCHAR) FROM documents WHERE lang = 'en')
+"""
+
+ORACLE["chunk_correction_context"] = f"""
+WITH {_COR_DOC}
+SELECT 'doc:' || CAST(d.doc_id AS VARCHAR) AS node_id, d.source AS source_file, c.correction_id
+FROM documents d LEFT JOIN cord c ON c.doc_target = 'doc:' || CAST(d.doc_id AS VARCHAR)
+"""
+
+ORACLE["document_summaries"] = r"""
+WITH c AS (SELECT doc_id, substring(trim(regexp_replace(text, '[ \t\n\x0B\f\r]+', ' ', 'g')), 1, 400) AS cut FROM documents),
+e AS (SELECT doc_id, cut, regexp_extract(cut, '^(.*[.!?])[ \t\n\x0B\f\r]', 1) AS lead FROM c)
+SELECT 'doc:' || CAST(doc_id AS VARCHAR) AS node_id, CASE WHEN length(lead) > 0 THEN lead ELSE cut END AS summary FROM e
+"""
+
+ORACLE["language_samples"] = f"""
+WITH {sv.DOC_FILES},
+f AS (SELECT path, (SELECT text FROM documents d WHERE d.doc_id = files.doc_id) AS text,
+       CASE regexp_extract(path, '\\.([^./]+)$', 1) WHEN 'cs' THEN 'csharp' WHEN 'ts' THEN 'typescript'
+         WHEN 'tsx' THEN 'typescript' WHEN 'py' THEN 'python' WHEN 'yml' THEN 'yaml' WHEN 'proto' THEN 'protobuf'
+         ELSE regexp_extract(path, '\\.([^./]+)$', 1) END AS language FROM files)
+SELECT language, MIN(path) AS path, substring(arg_min(text, path), 1, 2000) AS sample FROM f GROUP BY language
+"""
+
+ORACLE["normalised_paths"] = f"""
+WITH {sv.DOC_FILES}
+SELECT doc_id, (['', './', 'file://', 'file:./'])[doc_id % 4 + 1] || path AS written, path FROM files
+"""
