@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.session import cut_lineage
+from graphloom.session import cut_lineage, release
 
 #: White space of the word rule ``[^\x20\x09-\x0D]+``.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -67,7 +67,8 @@ def connected(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         pairs = large.join(low2, "u")
         small = (pairs.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"),
                               F.col("m").alias("v")).filter("u <> v").distinct())
-        e = cut_lineage(small)
+        e, old = cut_lineage(small), e
+        release(old)
         # at the fixpoint the edges are stars whose centres are nobody's leaf
         state = e.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")),
                                                     F.lit(0).cast("decimal(38,0)"))).first()
