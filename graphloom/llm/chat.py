@@ -50,7 +50,7 @@ def format_chat(turns: DataFrame, trained: str = TRAINED) -> DataFrame:
             .agg(F.sort_array(F.collect_list("t")).alias("ts")))
     # runs of one role: a turn opens a block when its role differs from the turn before
     first = F.filter(F.sequence(F.lit(0), F.size("ts") - 1),
-                     lambda i: (i == 0) | (F.col("ts")[i]["role"] != F.col("ts")[i - 1]["role"]))
+                     lambda i: (i == 0) | (F.col("ts")[i]["role"] != F.get(F.col("ts"), i - 1)["role"]))
     blocks = F.transform("firsts", lambda lo, k: F.struct(
         F.col("ts")[lo]["role"].alias("role"),
         F.transform(F.slice(F.col("ts"), lo + 1, F.coalesce(F.get(F.col("firsts"), k + 1), F.size("ts")) - lo),

@@ -21,7 +21,9 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = digestindex.fresh_index(spark)
-    return digestindex.dedup(spark, table(spark, sf_dir, "documents"), index)
+    found = digestindex.dedup(spark, table(spark, sf_dir, "documents"), index)
+    index.close()  # the result reads written tables, not the index
+    return found
 
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
