@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from graphloom.session import cut_lineage
+
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the split pattern of this vocabulary's pre-tokenizer.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -98,4 +100,5 @@ def truncated_totals(limit_rows: DataFrame, asked: list[int]) -> DataFrame:
 
 def token_counts(docs: DataFrame, path: str = RANKS) -> DataFrame:
     """The limits table of ``docs.text``.  Null and empty texts have length 0; repeated rows count each."""
-    return limits(histogram(docs.select(encoded_length(F.col("text"), path).alias("n_tokens"))))
+    lengths = docs.select(encoded_length(F.col("text"), path).alias("n_tokens"))
+    return limits(cut_lineage(histogram(lengths)))  # written, so that texts are encoded once
