@@ -144,13 +144,27 @@ def scan(docs: DataFrame) -> DataFrame:
                         F.col("text").cast("string").alias("text")).mapInArrow(run, _FOUND))
 
 
+def _chunks(batches: Iterator[pa.RecordBatch], size: int = 2_000_000) -> Iterator[list[str | None]]:
+    """Texts of the first column, some ``size`` characters at a time."""
+    for batch in batches:
+        part, n = [], 0
+        for t in batch.column(0).to_pylist():
+            part.append(t)
+            n += len(t or "")
+            if n >= size:
+                yield part
+                part, n = [], 0
+        if part:
+            yield part
+
+
 def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """``(term, df)``: documents that contain each of ``terms``, over all ``docs``."""
     flags = bitmap(terms.select(F.pmod(F.crc32("term"), F.lit(BITS)).cast("long").alias("p")), BITS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            words = [{x.strip(_EDGES) for x in set(t.lower().split())} if t else set() for t in batch.column(0).to_pylist()]
+        for texts in _chunks(batches):
+            words = [{x.strip(_EDGES) for x in set(t.lower().split())} if t else set() for t in texts]
             maybe = set()
             for w in set().union(*words):
                 h = zlib.crc32(w.encode("utf-8", "replace")) % BITS
