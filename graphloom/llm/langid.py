@@ -179,14 +179,13 @@ def predict(text: Column, network: Network) -> Column:
         for s in batches:
             pred, score = np.full(len(s), UNKNOWN, dtype=object), np.zeros(len(s))
             pos = [i for i, t in enumerate(s) if t and any(map(str.isalpha, t))] if net.langs else []
-            texts = [s.iloc[i].encode("utf-8", "replace") for i in pos]
             lo = 0
-            while lo < len(pos):  # windows of some 8 MB of text at a time
+            while lo < len(pos):  # windows of some 2 MB of text at a time
                 hi, size = lo, 0
-                while hi < len(pos) and (hi == lo or size + len(texts[hi]) <= 8 << 20):
-                    size += len(texts[hi])
+                while hi < len(pos) and (hi == lo or size + len(s.iloc[pos[hi]]) <= 2 << 20):
+                    size += len(s.iloc[pos[hi]])
                     hi += 1
-                w, n = windows(texts[lo:hi])
+                w, n = windows([s.iloc[i].encode("utf-8", "replace") for i in pos[lo:hi]])
                 p = np.add.reduceat(net.probabilities(w, tables), np.cumsum(n) - n, axis=0) / n[:, None]
                 pred[pos[lo:hi]] = np.array(net.langs, dtype=object)[p.argmax(axis=1)]
                 score[pos[lo:hi]] = np.minimum(p.max(axis=1), 1.0)

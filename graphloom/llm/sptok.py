@@ -22,13 +22,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Characters of distinct words that are indexed at a time, and of documents that are put together.
-INDEX_CHARS, TEXT_CHARS = 600_000, 4_000_000
+INDEX_CHARS, TEXT_CHARS = 300_000, 4_000_000
 
 
 class Vocabulary:
@@ -125,7 +126,7 @@ class Encoder:
 
     def __init__(self, v: Vocabulary):
         self.v = v
-        self.length = np.ones(v.size + 1, dtype=np.int64)
+        self.length = np.ones(v.size + 1, dtype=np.int32)
         self.length[:v.size] = [max(1, len(p)) for p in v.pieces]
         self.depth = max(len(v.pieces[i]) for i in v.usable)
         self.points = [np.frombuffer(v.pieces[i].encode("utf-32-le"), dtype=np.uint32) for i in v.usable]
@@ -136,7 +137,7 @@ class Encoder:
 
     def _apart(self, u: np.ndarray, t: np.ndarray) -> np.ndarray:
         """For each pair of neighbours whether BPE leaves both as they are."""
-        key = u * np.int64(self.v.size + 1) + t
+        key = u.astype(np.int64) * (self.v.size + 1) + t
         slot = (key * np.int64(0x9E3779B97F4A7C1 | 1) >> 20) & (self.CACHE - 1)
         new = self.known[slot] != key
         out = self.value[slot]
@@ -167,7 +168,7 @@ class Encoder:
                 open_ &= c > 0
                 key = (key << np.uint64(bits)) | np.where(open_, c, np.uint64(0))
             keys.append(key)
-        starts = np.flatnonzero(code)
+        starts = np.flatnonzero(code).astype(np.int32)
         suffixes = starts[np.lexsort([k[starts] for k in reversed(keys)])]
         keys = [k[suffixes] for k in keys]
         # the pieces whose characters all occur, as keys: least and greatest continuation
@@ -176,7 +177,7 @@ class Encoder:
         begin = np.cumsum(self.plen) - self.plen
         take = np.flatnonzero(np.logical_and.reduceat(good, begin))
         if not len(take) or not len(suffixes):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+            return np.zeros(0, np.int32), np.zeros(0, np.int32)
         pad = np.concatenate([pc.astype(np.uint64) + np.uint64(1), np.zeros(n_keys * per, np.uint64)])
         low, high, top = [], [], np.uint64((1 << bits) - 1)
         for k in range(n_keys):
@@ -192,8 +193,9 @@ class Encoder:
         lo = self._search(keys, low, False)
         hi = self._search(keys, high, True)
         n = hi - lo
-        at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        return suffixes[at], np.repeat(np.array(self.v.usable)[take], n)
+        at = np.repeat((lo - (np.cumsum(n) - n)).astype(np.int32), n)
+        at += np.arange(len(at), dtype=np.int32)
+        return suffixes[at], np.repeat(np.array(self.v.usable, dtype=np.int32)[take], n)
 
     @staticmethod
     def _search(keys: list[np.ndarray], wanted: list[np.ndarray], after: bool) -> np.ndarray:
@@ -219,21 +221,22 @@ class Encoder:
         size = np.array([len(w) for w in words], dtype=np.int64)
         begin = np.cumsum(size + 1) - (size + 1)
         end = begin + size
-        offset = np.arange(len(text)) - np.repeat(begin, size + 1)
+        offset = (np.arange(len(text)) - np.repeat(begin, size + 1)).astype(np.int32)
         inside = np.ones(len(text), dtype=bool)
         inside[end] = False
         pos, piece = self._occurrences(np.where(inside, text, 0))
         covered = np.zeros(len(text), dtype=bool)
         covered[pos[self.length[piece] == 1]] = True
         other = np.flatnonzero(inside & ~covered)  # characters that only bytes can spell
-        pos = np.concatenate([pos, other])
-        piece = np.concatenate([piece, np.full(len(other), self.v.size)])
+        pos = np.concatenate([pos, other.astype(np.int32)])
+        piece = np.concatenate([piece, np.full(len(other), self.v.size, dtype=np.int32)])
         # sorted by where they end in their word, all words are relaxed side by side
         level = offset[pos] + self.length[piece]
         order = np.argsort(level.astype(np.uint16) if level.max(initial=0) < 65536 else level, kind="stable")
         pos, piece, level = pos[order], piece[order], level[order]
+        del order
         cuts = np.flatnonzero(np.diff(level)) + 1
-        last = np.full(len(text), -1, dtype=np.int64)
+        last = np.full(len(text), -1, dtype=np.int32)
         last[begin] = -2
         none = self.v.size
         for s, t in zip(np.split(pos, cuts), np.split(piece, cuts), strict=True):
@@ -243,7 +246,7 @@ class Encoder:
             ok[check] = self._apart(u[check], t[check])
             last[s[ok] + self.length[t[ok]]] = t[ok]
         # back from every word's end; byte spellings are put in at the end
-        mark = np.full(len(text), -1, dtype=np.int64)
+        mark = np.full(len(text), -1, dtype=np.int32)
         at, word = end[size > 0], np.flatnonzero(size > 0)
         while len(at):
             t = last[at]
@@ -322,17 +325,14 @@ def encode(docs: DataFrame, vocabulary: Vocabulary | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(v)
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
+            size = np.cumsum(pc.fill_null(pc.utf8_length(batch.column(1)), 0).to_numpy(zero_copy_only=False))
             lo = 0
-            while lo < len(texts):
-                hi, n = lo, 0
-                while hi < len(texts) and (hi == lo or n + len(texts[hi]) <= TEXT_CHARS):
-                    n += len(texts[hi])
-                    hi += 1
-                ids, sizes = encoder.texts(texts[lo:hi])
+            while lo < batch.num_rows:
+                hi = max(lo + 1, int(np.searchsorted(size, (size[lo - 1] if lo else 0) + TEXT_CHARS, side="right")))
+                texts = [t or "" for t in batch.column(1).slice(lo, hi - lo).to_pylist()]
+                ids, sizes = encoder.texts(texts)
                 ends = np.concatenate([[0], np.cumsum(sizes)])
-                flat = ids.tolist()
-                same = [decode_ids(v, flat[a:b]) == t for a, b, t in zip(ends, ends[1:], texts[lo:hi], strict=False)]
+                same = [decode_ids(v, ids[a:b].tolist()) == t for a, b, t in zip(ends, ends[1:], texts, strict=False)]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(lo, hi - lo), pa.array(sizes), pa.array(same, pa.bool_()),
                      pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))],
