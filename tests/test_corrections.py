@@ -56,9 +56,8 @@ def test_capture_from_dialogue(spark):
     assert got == [("1-2", "A says x", "no, y", "conv:1")]
 
 
-def test_search_with_tiny_segments(spark, monkeypatch):
-    import graphloom.operators.corrections as C
-    monkeypatch.setattr(C, "SEGMENT", 5)
+def test_search_words_longer_than_their_trigrams(spark):
+    """The same cases as before the search was rewritten; texts are no longer cut into segments."""
     questions = [(1, "abcdefghijkl"), (2, "xyz qrs"), (3, "mnopqrstuvwxyz0123 nothere")]
     corrections = [("c1", "s", "t", "zzzz abcdefghijkl zzz", ""),
                    ("c2", "s", "t", "....mnopqrstuvwxyz0123", "qrs")]
