@@ -5,17 +5,22 @@ threshold, then under any global order of the tokens their prefixes (the first
 ``n - ceil(t * n) + 1`` tokens) share one.  Candidates are found under a first order and
 must share prefix tokens under two further orders, before whole sets are compared.
 
-* Order 1: rare tokens first (by a counting sketch of the whole corpus, a fixed 2 ** 20
+* Order 1: rare tokens first (by a counting sketch of the whole corpus, a fixed 2 ** 22
   counters), then by hash.  A passage on a third of all pages is so frequent that it is in
   hardly any prefix.
 * Order 2: rare first, another hash.  Order 3: a third hash alone.
 
-Equal sets are one class, found by a 128-bit fingerprint, so copies never meet.
-Prefix tokens of order 1 are joined by token with the size and position filters; a pair that
-shares the preceding tokens too is emitted there already, so near copies come once, not once a token.
-A parity bitmap of 256 bits bounds the symmetric difference of a pair from below and
-drops more pairs without loss.  All joins are plain equi-joins that AQE splits when a
-token, class or document is frequent; nothing is grouped into a list.
+Equal sets are one class, found by a 128-bit fingerprint, so copies never meet.  Large groups of
+near copies never form all their pairs either.  First every class is compared with one centre
+for each prefix token it shares (the class that has the token earliest); the links found make components.  Only
+classes of different components that share a token are then joined by it,
+with the size and position filters, so no link between components is lost.  A pair that shares the
+preceding tokens too is emitted there already.  A parity bitmap of 256 bits bounds the
+symmetric difference of a pair from below and drops more pairs without loss.
+
+All joins are equi-joins of written tables, which AQE splits when a token, class or
+document is frequent; counts are combined before they are shuffled; nothing is grouped into a list.
+Texts are never shuffled: tasks find the rows concerned by a bitmap of ids (16 MB at most).
 """
 
 from __future__ import annotations
@@ -24,13 +29,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import connected
+from graphloom.llm.common import bitmap, connected
 from graphloom.session import cut_lineage
 
-COUNTERS, CHUNK, PARITY = 1 << 20, 1 << 10, 256
+COUNTERS, CHUNK, PARITY = 1 << 22, 1 << 12, 256
 #: Bytes of text that are hashed at a time.
 BATCH_BYTES = 1 << 20
 
@@ -51,18 +57,19 @@ def mix(x: np.ndarray, k: int = 0) -> np.ndarray:
     return x ^ (x >> _U(29))
 
 
-def shingles(texts: list[bytes], words: int) -> list[np.ndarray]:
+def shingles(raw: np.ndarray, bounds: np.ndarray, words: int) -> list[np.ndarray]:
     """Shingle hashes of each text in order of place, repeats included.
 
+    ``raw`` holds the texts' bytes one after another, text i from ``bounds[i]`` to ``bounds[i + 1]``.
     Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lowered.  A text with fewer words is one shingle of all of them.
     """
-    raw = np.frombuffer(b" ".join([*texts, b""]), dtype=np.uint8)
-    bounds = np.cumsum([0, *[len(t) + 1 for t in texts]])
     blank = _BLANK[raw]
-    before = np.concatenate([[True], blank[:-1]])
+    before = np.empty(len(raw), dtype=bool)
+    before[1:] = blank[:-1]
+    before[bounds[:-1][bounds[:-1] < len(raw)]] = True  # a text's first word begins with it
     starts = np.flatnonzero(~blank & before)
     if not len(starts):
-        return [np.zeros(0, np.uint64) for _ in texts]
+        return [np.zeros(0, np.uint64)] * (len(bounds) - 1)
     size = np.diff(np.concatenate([starts, [len(raw)]]))
     place = np.arange(starts[0], len(raw)) - np.repeat(starts, size)
     power = np.multiply.accumulate(np.full(int(size.max()), _FACTOR[15]))
@@ -86,136 +93,255 @@ def shingles(texts: list[bytes], words: int) -> list[np.ndarray]:
     return out
 
 
-def _groups(texts: list[bytes]) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of some BATCH_BYTES together."""
+def _texts(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Ranges (lo, hi) of texts of some BATCH_BYTES together, with their bytes and bounds, straight from Arrow."""
+    column = pc.fill_null(column, "").cast(pa.large_string())
+    if not len(column):
+        return
+    _, places, data = column.buffers()
+    at = np.frombuffer(places, dtype=np.int64)[column.offset:column.offset + len(column) + 1]
+    raw = np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, np.uint8)
     lo = 0
-    while lo < len(texts):
-        hi, n = lo, 0
-        while hi < len(texts) and (hi == lo or n + len(texts[hi]) <= BATCH_BYTES):
-            n += len(texts[hi])
-            hi += 1
-        yield lo, hi
+    while lo < len(column):
+        hi = max(lo + 1, int(np.searchsorted(at, at[lo] + BATCH_BYTES, side="right")) - 1)
+        yield lo, hi, raw[at[lo]:at[hi]], at[lo:hi + 1] - at[lo]
         lo = hi
 
 
-def _bytes(column: pa.Array) -> list[bytes]:
-    return [t or b"" for t in column.cast(pa.binary()).to_pylist()]
+def survey(docs: DataFrame, words: int) -> DataFrame:
+    """Set size and fingerprint of every row, and each task's shingle counters in chunks.
 
-
-def rarity(docs: DataFrame, words: int) -> np.ndarray:
-    """Class (bits of the count) of each of COUNTERS counters of the corpus's shingles.
-
-    Every task counts its whole input; counters are summed in chunks, streaming, and come to the
-    driver as one byte each (1 MB).
+    Rows with a null ``chunk`` are documents; the others hold CHUNK counters each, of one
+    byte that stops at 255.  The counts only order the tokens, and any order is exact.
     """
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(COUNTERS, dtype=np.int64)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["doc_id", "n", "f1", "f2", "chunk", "counts"]
+        total = np.zeros(COUNTERS, dtype=np.int32)
         for batch in batches:
-            texts = _bytes(batch.column(0))
-            for lo, hi in _groups(texts):
-                total += np.bincount((np.concatenate(shingles(texts[lo:hi], words)) & _U(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
-        parts = total.astype(np.uint32).reshape(-1, CHUNK)
+            for lo, hi, raw, bounds in _texts(batch.column(1)):
+                n, f1, f2 = [], [], []
+                every = shingles(raw, bounds, words)
+                for s in every:
+                    t = np.unique(s)
+                    n.append(len(t))
+                    f1.append(mix(t, 3).sum(dtype=np.uint64))
+                    f2.append(np.bitwise_xor.reduce(mix(t, 4)) if len(t) else _U(0))
+                at, times = np.unique(np.concatenate(every) & _U(COUNTERS - 1), return_counts=True)
+                total[at.astype(np.int64)] += times.astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(lo, hi - lo), pa.array(n, pa.int32()), _signed(f1), _signed(f2),
+                     pa.nulls(hi - lo, pa.int32()), pa.nulls(hi - lo, pa.binary())], names)
+        parts = np.minimum(total, 255).astype(np.uint8).reshape(-1, CHUNK)
         full = np.flatnonzero(parts.any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([parts[i].tobytes() for i in full], pa.binary())], ["chunk", "counts"])
+        k = len(full)
+        yield pa.RecordBatch.from_arrays(
+            [pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()),
+             pa.array(full, pa.int32()), pa.array([parts[i].tobytes() for i in full], pa.binary())], names)
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n int, f1 long, f2 long, chunk int, counts binary")
+
+
+def rarity(surveyed: DataFrame) -> np.ndarray:
+    """Class (bits of the count) of each of the COUNTERS counters, summed over all tasks.
+
+    Counters are summed in chunks, streaming, and come to the driver as one byte each (4 MB).
+    """
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for chunk, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                total[chunk] = total.get(chunk, 0) + np.frombuffer(counts, dtype=np.uint32).astype(np.int64)
+                total[chunk] = total.get(chunk, 0) + np.frombuffer(counts, dtype=np.uint8).astype(np.int64)
         bits = [np.ceil(np.log2(t + 1)).astype(np.uint8).tobytes() for t in total.values()]
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(bits, pa.binary())], ["chunk", "bits"])
 
-    rows = (docs.select(F.col("text").cast("string")).mapInArrow(count, "chunk int, counts binary")
-            .repartition("chunk").mapInArrow(add, "chunk int, bits binary").collect())  # COUNTERS bytes in all
+    rows = (surveyed.filter("chunk IS NOT NULL").select("chunk", "counts").repartition("chunk")
+            .mapInArrow(add, "chunk int, bits binary").collect())  # COUNTERS bytes in all
     out = np.zeros((COUNTERS // CHUNK, CHUNK), dtype=np.uint8)
     for chunk, bits in rows:
         out[chunk] = np.frombuffer(bits, dtype=np.uint8)
     return out.ravel()
 
 
-_SIGNED = np.int64
-_PROFILE = ("doc_id long, n int, f1 long, f2 long, p1 array<long>, p2 array<int>, p3 array<int>, "
-            "b0 long, b1 long, b2 long, b3 long")
+def _signed(values: list) -> pa.Array:
+    return pa.array(np.array(values, np.uint64).view(np.int64))
+
+
+def _ragged(parts: list[np.ndarray], kind) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, parts)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(parts) if parts else np.zeros(0), kind))
+
+
+def _head(keys: np.ndarray, percent: int) -> np.ndarray:
+    """Places of the prefix under the order of the keys, in no order."""
+    n = len(keys)
+    head = n - -(-percent * n // 100) + 1
+    return np.argpartition(keys, head - 1)[:head] if head < n else np.arange(n)
+
+
+def _rare(t: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    return classes[(t & _U(COUNTERS - 1)).astype(np.int64)].astype(np.uint64) << _U(58)
+
+
+class IdSet:
+    """A bitmap of a column of longs: tells surely which values are not in it, and of few others that they may be.
+
+    Some 16 bits for each value, 16 MB at most; beyond that more values pass, and what follows stays exact.
+    """
+
+    def __init__(self, values: DataFrame):
+        bits = 1 << min(27, max(16, int(16 * values.count()).bit_length()))
+        self.modulus = bits - 1
+        self.flags = bitmap(values.select(F.pmod(F.col(values.columns[0]), F.lit(self.modulus)).alias("p")), bits)
+
+    def holds(self, values: np.ndarray) -> np.ndarray:
+        p = np.mod(values, self.modulus)
+        flags = np.frombuffer(self.flags, dtype=np.uint8)
+        return (flags[p >> 3] >> (p & 7).astype(np.uint8) & 1) > 0
 
+    def may_hold(self, ids: pa.Array) -> np.ndarray:
+        known = ids.is_valid().to_numpy(zero_copy_only=False)
+        return known & self.holds(ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
 
-def profiles(docs: DataFrame, classes: np.ndarray, words: int, percent: int) -> DataFrame:
-    """Set size, fingerprint, prefixes under the three orders and parity bitmap of every row."""
 
-    def ragged(parts: list[np.ndarray], kind) -> pa.ListArray:
-        ends = np.cumsum([0, *map(len, parts)])
-        flat = np.concatenate(parts) if parts else np.zeros(0)
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, kind))
+def profiles(docs: DataFrame, classes: np.ndarray, words: int, percent: int, copies: IdSet | None = None) -> DataFrame:
+    """Set size, fingerprint and prefix under order 1 of rows with an id and a set; ``copy``: may be in ``copies``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = _bytes(batch.column(1))
-            for lo, hi in _groups(texts):
-                n, f1, f2, p1, p2, p3, bits = [], [], [], [], [], [], []
-                for s in shingles(texts[lo:hi], words):
+            copy = copies.may_hold(batch.column(0)) if copies else np.zeros(batch.num_rows, dtype=bool)
+            for lo, hi, raw, bounds in _texts(batch.column(1)):
+                n, f1, f2, p1 = [], [], [], []
+                for s in shingles(raw, bounds, words):
                     t = np.unique(s)
-                    k = len(t)
-                    n.append(k)
+                    n.append(len(t))
                     f1.append(mix(t, 3).sum(dtype=np.uint64))
-                    f2.append(np.bitwise_xor.reduce(mix(t, 4)) if k else _U(0))
-                    head = k - -(-percent * k // 100) + 1 if k else 0
-                    rare = classes[(t & _U(COUNTERS - 1)).astype(np.int64)].astype(np.uint64) << _U(58)
-                    k1 = rare | mix(t, 5) >> _U(6)
-                    first = np.argpartition(k1, head - 1)[:head] if head and head < k else np.arange(k)[:head]
-                    p1.append(t[first[np.argsort(k1[first], kind="stable")]].view(_SIGNED))
-                    for keys, into in ((rare | mix(t, 6) >> _U(6), p2), (mix(t, 7), p3)):
-                        part = np.argpartition(keys, head - 1)[:head] if head and head < k else np.arange(k)[:head]
-                        into.append(t[part].astype(np.uint32).view(np.int32))
+                    f2.append(np.bitwise_xor.reduce(mix(t, 4)) if len(t) else _U(0))
+                    keys = _rare(t, classes) | mix(t, 5) >> _U(6)
+                    first = _head(keys, percent) if len(t) else np.zeros(0, np.int64)
+                    p1.append(t[first[np.argsort(keys[first], kind="stable")]].view(np.int64))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(lo, hi - lo), pa.array(n, pa.int32()), _signed(f1), _signed(f2),
+                     _ragged(p1, pa.int64()), pa.array(copy[lo:hi])], ["doc", "n", "f1", "f2", "p1", "copy"])
+
+    return (docs.filter("doc_id IS NOT NULL").select("doc_id", "text")
+            .mapInArrow(run, "doc long, n int, f1 long, f2 long, p1 array<long>, copy boolean").filter("n > 0"))
+
+
+_DETAIL = "doc long, n int, tokens array<long>, p2 array<int>, p3 array<int>, b0 long, b1 long, b2 long, b3 long"
+
+
+def details(docs: DataFrame, classes: np.ndarray, words: int, percent: int, wanted: IdSet) -> DataFrame:
+    """Whole sets, prefixes under orders 2 and 3 and parity bitmaps of the wanted rows (and a few others)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = batch.filter(pa.array(wanted.may_hold(batch.column(0))))
+            for lo, hi, raw, bounds in _texts(batch.column(1)):
+                sets, p2, p3, bits = [], [], [], []
+                for s in shingles(raw, bounds, words):
+                    t = np.unique(s)
+                    sets.append(t.view(np.int64))
+                    for keys, into in ((_rare(t, classes) | mix(t, 6) >> _U(6), p2), (mix(t, 7), p3)):
+                        into.append(t[_head(keys, percent)].astype(np.uint32).view(np.int32) if len(t) else np.zeros(0, np.int32))
                     odd = np.bincount((mix(t, 8) >> _U(56)).astype(np.int64), minlength=PARITY) & 1
                     bits.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
                 b = np.stack(bits)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), pa.array(n, pa.int32()),
-                     pa.array(np.array(f1, np.uint64).view(_SIGNED)), pa.array(np.array(f2, np.uint64).view(_SIGNED)),
-                     ragged(p1, pa.int64()), ragged(p2, pa.int32()), ragged(p3, pa.int32()), *[pa.array(b[:, i]) for i in range(4)]],
-                    ["doc_id", "n", "f1", "f2", "p1", "p2", "p3", "b0", "b1", "b2", "b3"])
+                    [batch.column(0).slice(lo, hi - lo), pa.array([len(t) for t in sets], pa.int32()), _ragged(sets, pa.int64()),
+                     _ragged(p2, pa.int32()), _ragged(p3, pa.int32()), *[pa.array(b[:, i]) for i in range(4)]],
+                    ["doc", "n", "tokens", "p2", "p3", "b0", "b1", "b2", "b3"])
+
+    return docs.filter("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(run, _DETAIL)
+
 
-    return docs.select("doc_id", "text").mapInArrow(run, _PROFILE)
+def need(na: str, nb: str, percent: int):
+    """Tokens that sets of these sizes must share to link."""
+    return F.expr(f"({percent}L * ({na} + {nb}) + {99 + percent}) div {100 + percent}")
 
 
-def token_sets(docs: DataFrame, words: int) -> DataFrame:
-    """``(doc, tokens)``: the whole set of every row."""
+def postings(reps: DataFrame) -> DataFrame:
+    """``(token, doc, n, pos, prev)`` of the prefix tokens that two classes or more have.
+
+    Most prefix tokens are one class's own.  Only the bare tokens are shuffled to be counted;
+    a bitmap of those found twice then tells tasks which postings to emit (and lets a few others through, which meet
+    nothing).
+    """
+    twice = cut_lineage(reps.select(F.explode("p1").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("docs"))
+                        .filter("docs > 1").select("token"))
+    known = IdSet(twice)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = _bytes(batch.column(1))
-            for lo, hi in _groups(texts):
-                sets = [np.unique(s).view(_SIGNED) for s in shingles(texts[lo:hi], words)]
-                ends = np.cumsum([0, *map(len, sets)])
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo),
-                     pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets), pa.int64()))], ["doc", "tokens"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc long, tokens array<long>")
-
-
-def candidates(reps: DataFrame, percent: int) -> DataFrame:
-    """``(a, b, need)`` of classes that pass the filters of all orders; ``need``: tokens they must share."""
-    post = reps.filter("n > 0").select("doc", "n", F.posexplode("p1").alias("pos", "token"),
-                                       "p1").select("token", "doc", "n", "pos", F.get("p1", F.col("pos") - 1).alias("prev"))
-    x = post.select("token", F.col("doc").alias("a"), F.col("n").alias("na"), F.col("pos").alias("ia"), F.col("prev").alias("qa"))
-    y = post.select("token", F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("ib"), F.col("prev").alias("qb"))
-    whole = 100 + percent
-    need = F.expr(f"({percent}L * (na + nb) + {whole - 1}) div {whole}")
-    pairs = (x.join(y, "token")
-             .filter((F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b"))))
-             .filter((F.col("na") - F.col("ia") >= need) & (F.col("nb") - F.col("ib") >= need))
-             .filter(~F.coalesce(F.col("qa") == F.col("qb"), F.lit(False)))
-             .select("a", "b", "na", "nb").distinct().withColumn("need", need))
-    pairs = cut_lineage(pairs)
-    met = cut_lineage(pairs.select(F.col("a").alias("doc")).unionByName(pairs.select(F.col("b").alias("doc"))).distinct())
-    side = cut_lineage(reps.select("doc", "p2", "p3", "b0", "b1", "b2", "b3").join(met, "doc", "left_semi"))
-    own = lambda s: side.select(*[F.col(c).alias(f"{s}_{c}") for c in side.columns])
-    both = (pairs.join(own("a"), F.col("a") == F.col("a_doc")).join(own("b"), F.col("b") == F.col("b_doc")))
+            lists = batch.column(2)
+            size = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            first = np.cumsum(size) - size
+            row = np.repeat(np.arange(len(size)), size)
+            pos = np.arange(len(flat)) - first[row]
+            keep = np.flatnonzero(known.holds(flat))
+            prev = pa.array(flat[keep - 1], mask=pos[keep] == 0)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(flat[keep]), batch.column(0).take(pa.array(row[keep])), batch.column(1).take(pa.array(row[keep])),
+                 pa.array(pos[keep].astype(np.int32)), prev], ["token", "doc", "n", "pos", "prev"])
+
+    return cut_lineage(reps.select("doc", "n", "p1").mapInArrow(run, "token long, doc long, n int, pos int, prev long"))
+
+
+def shared(post: DataFrame) -> DataFrame:
+    """Postings with their token's centre: the class that has the token earliest."""
+    centres = cut_lineage(post.groupBy("token").agg(F.min(F.struct("pos", "doc", "n")).alias("c"), F.count(F.lit(1)).alias("docs"))
+                          .filter("docs > 1").select("token", F.col("c.doc").alias("cdoc"), F.col("c.n").alias("cn"), F.col("c.pos").alias("cpos")))
+    return cut_lineage(post.join(centres, "token"))
+
+
+def star_pairs(common: DataFrame, percent: int) -> DataFrame:
+    """``(a, na, b, nb)``: each class with the centres of its tokens, as far as sizes and positions allow."""
+    least = need("n", "cn", percent)
+    return (common.filter("doc <> cdoc").filter((F.col("n") - F.col("pos") >= least) & (F.col("cn") - F.col("cpos") >= least))
+            .select(F.col("doc").alias("a"), F.col("n").alias("na"), F.col("cdoc").alias("b"), F.col("cn").alias("nb")).distinct())
+
+
+def cross_pairs(common: DataFrame, percent: int) -> DataFrame:
+    """``(a, na, b, nb)``: all classes of different ``part`` that share a token, sizes and positions allowing."""
+    side = lambda s: common.select("token", *[F.col(c).alias(f"{s}_{c}") for c in ("doc", "n", "pos", "prev", "part")])
+    least = need("a_n", "b_n", percent)
+    return (side("a").join(side("b"), "token")
+            .filter((F.col("a_n") < F.col("b_n")) | ((F.col("a_n") == F.col("b_n")) & (F.col("a_doc") < F.col("b_doc"))))
+            .filter("a_part <> b_part").filter((F.col("a_n") - F.col("a_pos") >= least) & (F.col("b_n") - F.col("b_pos") >= least))
+            .filter(~F.coalesce(F.col("a_prev") == F.col("b_prev"), F.lit(False)))
+            .select(F.col("a_doc").alias("a"), F.col("a_n").alias("na"), F.col("b_doc").alias("b"), F.col("b_n").alias("nb")).distinct())
+
+
+def verified(docs: DataFrame, pairs: DataFrame, classes: np.ndarray, words: int, percent: int) -> DataFrame:
+    """``(a, b)`` of the pairs that pass the other orders' filters and link."""
+    pairs = cut_lineage(pairs.withColumn("need", need("na", "nb", percent)))
+    ids = pairs.select(F.col("a").alias("doc")).unionByName(pairs.select(F.col("b").alias("doc"))).distinct()
+    facts = cut_lineage(details(docs, classes, words, percent, IdSet(cut_lineage(ids))))
+    light = ["p2", "p3", "b0", "b1", "b2", "b3"]
+    side = lambda s, cols: facts.select(F.col("doc").alias(s), F.col("n").alias(f"n{s}"), *[F.col(c).alias(f"{s}_{c}") for c in cols])
     differ = sum((F.bit_count(F.col(f"a_b{i}").bitwiseXOR(F.col(f"b_b{i}"))) for i in range(4)), F.lit(0))
-    return both.filter((differ <= F.col("na") + F.col("nb") - 2 * F.col("need"))
-                       & F.arrays_overlap("a_p2", "b_p2") & F.arrays_overlap("a_p3", "b_p3")).select("a", "b", "need")
+    left = (pairs.join(side("a", light), ["a", "na"]).join(side("b", light), ["b", "nb"])
+            .filter(differ <= F.col("na") + F.col("nb") - 2 * F.col("need"))
+            .filter(F.arrays_overlap("a_p2", "b_p2") & F.arrays_overlap("a_p3", "b_p3")).select("a", "na", "b", "nb", "need"))
+    left = cut_lineage(left)
+    # whole sets are sent only for the documents of pairs that are left
+    ids = left.select(F.col("a").alias("doc")).unionByName(left.select(F.col("b").alias("doc"))).distinct()
+    chosen = IdSet(cut_lineage(ids))
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(chosen.may_hold(batch.column(0))))
+
+    facts = facts.select("doc", "n", "tokens").mapInArrow(pick, "doc long, n int, tokens array<long>")
+    return cut_lineage(left.join(side("a", ["tokens"]), ["a", "na"]).join(side("b", ["tokens"]), ["b", "nb"])
+                       .filter(F.size(F.array_intersect("a_tokens", "b_tokens")) >= F.col("need")).select("a", "b"))
+
+
+def _parts(links: DataFrame) -> DataFrame:
+    nodes = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).distinct()
+    return cut_lineage(connected(nodes, links))
 
 
 def jaccard_groups(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:
@@ -228,25 +354,26 @@ def jaccard_groups(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFr
     without doc_id links with nothing and has a null component.  No rows give no rows.
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    every = cut_lineage(profiles(base, rarity(base, words), words, percent))
-    own = every.filter("doc_id IS NOT NULL")
+    surveyed = cut_lineage(survey(base, words))
+    classes = rarity(surveyed)
+    every = surveyed.filter("chunk IS NULL").select("doc_id", "n", "f1", "f2")
     key = ["n", "f1", "f2"]
+    own = every.filter("doc_id IS NOT NULL")
     groups = cut_lineage(own.filter("n > 0").groupBy(*key).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
                          .filter("copies > 1").drop("copies"))
-    members = cut_lineage(own.select("doc_id", *key).join(groups, key, "left")
-                          .select("doc_id", *key, F.coalesce("rep", "doc_id").alias("rep")))
-    copies = cut_lineage(members.filter("doc_id <> rep").select("doc_id", *key))
-    reps = cut_lineage(own.join(copies, ["doc_id", *key], "left_anti").withColumnRenamed("doc_id", "doc"))
-    pairs = cut_lineage(candidates(reps, percent))
-    met = cut_lineage(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct())
-    sets = cut_lineage(token_sets(base.join(met, "doc_id", "left_semi"), words))
-    links = (pairs.join(sets.select(F.col("doc").alias("a"), F.col("tokens").alias("ta")), "a")
-             .join(sets.select(F.col("doc").alias("b"), F.col("tokens").alias("tb")), "b")
-             .filter(F.size(F.array_intersect("ta", "tb")) >= F.col("need")).select("a", "b"))
-    links = cut_lineage(links)
-    nodes = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).distinct()
-    parts = cut_lineage(connected(nodes, links))
-    answer = (members.join(parts, F.col("rep") == F.col("node"), "left")
+    members = cut_lineage(own.join(groups, key, "left").select("doc_id", *key, F.coalesce("rep", "doc_id").alias("rep")))
+    copies = cut_lineage(members.filter("doc_id <> rep").select(F.col("doc_id").alias("doc"), *key))
+    found = cut_lineage(profiles(base, classes, words, percent, IdSet(copies)))
+    # rows that the bitmap clears are representatives; only the others take part in the exact join
+    reps = found.filter("NOT copy").unionByName(found.filter("copy").join(copies, ["doc", *key], "left_anti").select(*found.columns))
+    common = shared(postings(reps))
+    stars = verified(base, star_pairs(common, percent), classes, words, percent)
+    rest = cut_lineage(common.join(_parts(stars), F.col("doc") == F.col("node"), "left")
+                       .select("token", "doc", "n", "pos", "prev", F.coalesce("component", "doc").alias("part")))
+    several = cut_lineage(rest.groupBy("token").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo <> hi").select("token"))
+    rest = cut_lineage(rest.join(several, "token", "left_semi"))
+    links = stars.unionByName(verified(base, cross_pairs(rest, percent), classes, words, percent))
+    answer = (members.join(_parts(links), F.col("rep") == F.col("node"), "left")
               .select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id")))
     unnamed = every.filter("doc_id IS NULL").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return answer.unionByName(unnamed)
