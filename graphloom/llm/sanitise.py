@@ -8,8 +8,14 @@ df(e), df(t) and df(t, e),
     IC(e) = log2(N / df(e)),   PMI(t; e) = log2(N * df(t, e) / (df(t) * df(e)))
 
 and a term that tells at least the share ``DISCLOSED`` of the entity's information
-(PMI >= share * IC) and was seen with it in ``SUPPORT`` documents or more is a
-span of its own near that entity.  Documents without an entity are left alone.
+(PMI >= share * IC) is a span of its own near that entity.  No number of
+documents is asked for: df(t, e) / df(t), the share of the term's documents that
+have the entity, is smoothed by ``PRIOR`` documents at the entity's own rate,
+
+    (df(t, e) + PRIOR * df(e) / N) / (df(t) + PRIOR)
+
+so a word of one document tells much of an entity of one document in a large corpus
+and little in a small one.  Documents without an entity are left alone.
 
 All counts cover the whole corpus.  (entity, term) pairs and term counts are
 pre-aggregated before each shuffle.  df(t) is needed for terms near entities
@@ -38,7 +44,7 @@ KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
 #: Characters on either side of a mention that are its context.
 CONTEXT = 80
-DISCLOSED, SUPPORT = 0.9, 3
+DISCLOSED, PRIOR = 0.9, 1.0
 BITS = 1 << 23
 
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
@@ -179,21 +185,21 @@ def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
     return seen.groupBy("term").agg(F.sum("df").alias("df")).join(terms, "term", "left_semi")
 
 
-def disclosing(docs: DataFrame, found: DataFrame, share: float = DISCLOSED, support: int = SUPPORT) -> DataFrame:
+def disclosing(docs: DataFrame, found: DataFrame, share: float = DISCLOSED, prior: float = PRIOR) -> DataFrame:
     """``(entity, term)`` pairs whose term tells ``share`` of the entity's information or more."""
     total = found.count()
     pairs = found.select(F.explode(F.array_distinct(F.transform("near", lambda x: F.struct(x["entity"], x["term"])))).alias("p"))
-    both = cut_lineage(pairs.groupBy("p.entity", "p.term").agg(F.count(F.lit(1)).alias("df_both")).filter(F.col("df_both") >= support))
+    both = cut_lineage(pairs.groupBy("p.entity", "p.term").agg(F.count(F.lit(1)).alias("df_both")))
     df_term = term_counts(docs, both.select("term").distinct())
     df_entity = (found.select(F.explode(F.array_distinct(F.transform("near", lambda x: x["entity"]))).alias("entity"))
-                 .groupBy("entity").agg(F.count(F.lit(1)).alias("df_entity")).filter(F.col("df_entity") >= support))
+                 .groupBy("entity").agg(F.count(F.lit(1)).alias("df_entity")))
     ic = F.log2(F.lit(float(total)) / F.col("df_entity"))
-    told = ic + F.log2(F.least(F.col("df_both") / F.col("df"), F.lit(1.0)))
+    told = ic + F.log2((F.col("df_both") + F.lit(float(prior) / max(1, total)) * F.col("df_entity")) / (F.col("df") + F.lit(float(prior))))
     return (both.join(cut_lineage(df_term), "term").join(cut_lineage(df_entity), "entity")
             .filter((ic > 0) & (told >= F.lit(share) * ic)).select("entity", "term"))
 
 
-def sanitise(docs: DataFrame, share: float = DISCLOSED, support: int = SUPPORT) -> DataFrame:
+def sanitise(docs: DataFrame, share: float = DISCLOSED, prior: float = PRIOR) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans.
 
     ``spans`` joins the base spans (kind:start:end, by kind and start) and then the disclosing
@@ -201,7 +207,7 @@ def sanitise(docs: DataFrame, share: float = DISCLOSED, support: int = SUPPORT)
     null text counts as empty and has no spans; rows that repeat a doc_id count as documents of their own.
     """
     found = cut_lineage(scan(docs))
-    told = cut_lineage(disclosing(docs, found, share, support))
+    told = cut_lineage(disclosing(docs, found, share, prior))
     near = (found.select("row", F.explode("near").alias("x")).select("row", "x.*")
             .join(told, ["entity", "term"], "left_semi")
             .groupBy("row").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("terms")))

@@ -306,6 +306,22 @@ def test_sanitise_adds_disclosing_terms_and_keeps_base_spans(spark):
     assert sanitise.sanitise(docs.limit(0)).count() == 0
 
 
+def term_words(docs, rows):
+    """Words marked as terms, by doc_id."""
+    text = {i: t or "" for i, t, *_ in rows}
+    return {r.doc_id: {text[r.doc_id][int(s):int(e)] for k, s, e in (x.split(":") for x in r.spans.split(",") if x) if k == "term"}
+            for r in sanitise.sanitise(docs).select("doc_id", "spans").collect()}
+
+
+def test_terms_tell_entities_of_one_or_two_documents(spark):
+    rows = [(i, f"the plan of day {i} is about the weather", None, None, None) for i in range(2000)]
+    rows += [(5000, "the plan of Zorblatt is with z@corp.org about the weather", None, None, None)]
+    rows += [(5001 + i, f"the plan of Quimby is call +1 212 555 0199 about day {i}", None, None, None) for i in range(2)]
+    got = term_words(spark.createDataFrame(rows, DOCS), rows)
+    assert got[5000] == {"Zorblatt", "with"} and got[5001] == got[5002] == {"Quimby", "call"}
+    assert not any(got[i] for i in range(2000))
+
+
 # ---- SQL and entry
 
 @pytest.mark.parametrize("name", sorted(sql.ORACLE))
