@@ -1,39 +1,39 @@
 r"""PII: information-theoretic sanitisation.
 
 Personal data found by pattern (email, ip, card, phone) are the protected
-entities.  Words near a mention may reveal the entity even when the mention itself is
+entities.  Other words may reveal the entity even when its mentions are
 masked.  How strongly is estimated from the corpus: with document counts N,
 df(e), df(t) and df(t, e),
 
     IC(e) = log2(N / df(e)),   PMI(t; e) = log2(N * df(t, e) / (df(t) * df(e)))
 
 and a term that tells at least the share ``DISCLOSED`` of the entity's information
-(PMI >= share * IC) is a span of its own near that entity.  No number of
-documents is asked for: df(t, e) / df(t), the share of the term's documents that
-have the entity, is smoothed by ``PRIOR`` documents at the entity's own rate,
+(PMI >= share * IC) is a span wherever it occurs: anywhere in a document that
+mentions the entity, and in documents that do not.  No number of documents is asked for:
+df(t, e) / df(t), the share of the term's documents that have the entity, is smoothed by
+``PRIOR`` documents at the entity's own rate,
 
     (df(t, e) + PRIOR * df(e) / N) / (df(t) + PRIOR)
 
 so a word of one document tells much of an entity of one document in a large corpus
-and little in a small one.  Documents without an entity are left alone.
+and little in a small one.
 
-All counts cover the whole corpus.  (entity, term) pairs and term counts are
-pre-aggregated before each shuffle.  df(t) is needed for terms near entities
-only: a bitmap of fixed size (1 MB) built by aggregation tells tasks which words may be
-such terms, and a join makes it exact.
+All counts cover the whole corpus and whole documents.  As df(t, e) <= df(e), a term of
+too many documents cannot tell enough of an entity; only the others are paired.  Bitmaps of
+bounded size tell tasks which words may be in a table of terms, and a join makes it exact.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,10 +42,7 @@ from graphloom.session import cut_lineage
 
 KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
-#: Characters on either side of a mention that are its context.
-CONTEXT = 80
 DISCLOSED, PRIOR = 0.9, 1.0
-BITS = 1 << 23
 
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
@@ -106,97 +103,145 @@ def term(word: str) -> str:
     return word.lower().strip(_EDGES)
 
 
-def contexts(text: str, spans: list[tuple[str, int, int]]) -> list[dict]:
-    """Terms near the mentions, with their places: words with a letter that touch no base span."""
+def words(text: str, spans: list[tuple[str, int, int]]) -> Iterator[tuple[str, int, int]]:
+    """(term, start, end) of the words with a letter that touch no base span."""
     taken = sorted((s, e) for _, s, e in spans)
-    starts = np.array([s for s, _ in taken])
-    reach = np.maximum.accumulate(np.array([e for _, e in taken])) if taken else starts
-    out = []
-    for kind, s, e in spans:
-        who, lo, hi = entity(kind, text[s:e]), max(0, s - CONTEXT), min(len(text), e + CONTEXT)
-        for m in _WORD.finditer(text, lo, hi):
-            a, b = m.span()
-            cut = (a == lo and lo and not text[lo - 1].isspace()) or (b == hi and hi < len(text) and not text[hi].isspace())
-            k = int(np.searchsorted(starts, b)) - 1
-            if cut or (k >= 0 and reach[k] > a):
-                continue
-            t = term(m[0])
-            if t and any(map(str.isalpha, t)):
-                out.append({"entity": who, "term": t, "start": a, "end": b})
-    return out
-
-
-_FOUND = ("row long, doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base string, "
-          "near array<struct<entity:string,term:string,start:int,end:int>>")
-_NEAR = pa.list_(pa.struct([("entity", pa.string()), ("term", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
+    k, reach = 0, -1
+    for m in _WORD.finditer(text):
+        a, b = m.span()
+        while k < len(taken) and taken[k][0] < b:
+            reach = max(reach, taken[k][1])
+            k += 1
+        if reach > a:
+            continue
+        t = term(m[0])
+        if any(map(str.isalpha, t)):
+            yield t, a, b
+
+
+class Sketch:
+    """Which terms may be in a table of ``n`` terms: a bitmap of some 16 bits a term, 16 MB at most, four bits set for each."""
+
+    def __init__(self, terms: DataFrame, n: int):
+        self.bits = min(1 << 27, max(1 << 16, 1 << (16 * n).bit_length()))
+        part = [F.pmod(F.conv(F.substring(F.md5("term"), 8 * i + 1, 8), 16, 10).cast("long"), F.lit(self.bits)) for i in range(4)]
+        self.flags = bitmap(terms.select(F.explode(F.array(*part)).alias("p")), self.bits)
+
+    def __contains__(self, term: str) -> bool:
+        h = hashlib.md5(term.encode("utf-8", "replace"), usedforsecurity=False).digest()
+        at = [int.from_bytes(h[i:i + 4], "big") % self.bits for i in (0, 4, 8, 12)]
+        return all(self.flags[p >> 3] >> (p & 7) & 1 for p in at)
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], size: int = 2_000_000) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Parts of the batches and the texts of their last column, some ``size`` characters at a time; null texts are empty."""
+    for batch in batches:
+        lengths = np.cumsum(pc.fill_null(pc.utf8_length(batch.column(batch.num_columns - 1)), 0).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < batch.num_rows:
+            end = max(at + 1, int(np.searchsorted(lengths, (lengths[at - 1] if at else 0) + size, "right")))
+            part = batch.slice(at, end - at)
+            yield part, [t or "" for t in part.column(part.num_columns - 1).to_pylist()]
+            at = end
 
 
-def scan(docs: DataFrame) -> DataFrame:
-    """Base spans of every row of ``docs`` and the terms near them, under a row number of its own."""
+def mentions(docs: DataFrame) -> DataFrame:
+    """``(entities, terms)``, each distinct, of every document with an entity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [t or "" for t in batch.column(2).to_pylist()]
-            spans = [find(t) for t in texts]
-            base = [joined(x) for x in spans]
-            counts = [Counter(k for k, _, _ in x) for x in spans]
-            near = [contexts(t, x) if x else [] for t, x in zip(texts, spans, strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), *[pa.array([c[k] for c in counts], pa.int64()) for k in KINDS],
-                 pa.array([hashlib.sha256(b.encode()).hexdigest() for b in base]), pa.array(base, pa.string()), pa.array(near, _NEAR)],
-                ["row", "doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "base", "near"])
+        for _, texts in _chunks(batches):
+            who, told = [], []
+            for t in texts:
+                spans = find(t)
+                if spans:
+                    who.append(sorted({entity(k, t[s:e]) for k, s, e in spans}))
+                    told.append(sorted({w for w, _, _ in words(t, spans)}))
+            yield pa.RecordBatch.from_arrays([pa.array(who, pa.list_(pa.string())), pa.array(told, pa.list_(pa.string()))], ["entities", "terms"])
 
-    return (docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"),
-                        F.col("text").cast("string").alias("text")).mapInArrow(run, _FOUND))
-
-
-def _chunks(batches: Iterator[pa.RecordBatch], size: int = 2_000_000) -> Iterator[list[str | None]]:
-    """Texts of the first column, some ``size`` characters at a time."""
-    for batch in batches:
-        part, n = [], 0
-        for t in batch.column(0).to_pylist():
-            part.append(t)
-            n += len(t or "")
-            if n >= size:
-                yield part
-                part, n = [], 0
-        if part:
-            yield part
+    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "entities array<string>, terms array<string>")
 
 
-def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """``(term, df)``: documents that contain each of ``terms``, over all ``docs``."""
-    flags = bitmap(terms.select(F.pmod(F.crc32("term"), F.lit(BITS)).cast("long").alias("p")), BITS)
+def term_counts(docs: DataFrame, terms: DataFrame, n: int) -> DataFrame:
+    """``(term, df)``: documents that contain each of ``terms`` (``n`` of them), over all ``docs``."""
+    maybe = Sketch(terms, n)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for texts in _chunks(batches):
-            words = [{x.strip(_EDGES) for x in set(t.lower().split())} if t else set() for t in texts]
-            maybe = set()
-            for w in set().union(*words):
-                h = zlib.crc32(w.encode("utf-8", "replace")) % BITS
-                if flags[h >> 3] >> (h & 7) & 1:
-                    maybe.add(w)
+        for _, texts in _chunks(batches):
+            own = [{x.strip(_EDGES) for x in set(t.lower().split())} for t in texts]
+            known = {w for w in set().union(*own) if w in maybe}
             count: Counter[str] = Counter()
-            for w in words:
-                count.update(w & maybe)
+            for w in own:
+                count.update(w & known)
             yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.string()), pa.array(list(count.values()), pa.int64())], ["term", "df"])
 
     seen = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "term string, df long")
     return seen.groupBy("term").agg(F.sum("df").alias("df")).join(terms, "term", "left_semi")
 
 
-def disclosing(docs: DataFrame, found: DataFrame, share: float = DISCLOSED, prior: float = PRIOR) -> DataFrame:
-    """``(entity, term)`` pairs whose term tells ``share`` of the entity's information or more."""
-    total = found.count()
-    pairs = found.select(F.explode(F.array_distinct(F.transform("near", lambda x: F.struct(x["entity"], x["term"])))).alias("p"))
-    both = cut_lineage(pairs.groupBy("p.entity", "p.term").agg(F.count(F.lit(1)).alias("df_both")))
-    df_term = term_counts(docs, both.select("term").distinct())
-    df_entity = (found.select(F.explode(F.array_distinct(F.transform("near", lambda x: x["entity"]))).alias("entity"))
-                 .groupBy("entity").agg(F.count(F.lit(1)).alias("df_entity")))
+def disclosing(docs: DataFrame, share: float = DISCLOSED, prior: float = PRIOR) -> DataFrame:
+    """The terms that tell ``share`` of the information of some entity or more."""
+    total = max(1, docs.count())
+    named = cut_lineage(mentions(docs))
+    df_entity = cut_lineage(named.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("df_entity"))
+                            # df(t, e) is at most df(e), so no term of more documents than this can tell enough
+                            .withColumn("most", F.ceil((F.col("df_entity") + F.lit(prior / total) * F.col("df_entity"))
+                                                       / F.pow(F.col("df_entity") / F.lit(float(total)), F.lit(1.0 - share)) - F.lit(prior))))
+    most = df_entity.agg(F.max("most")).first()[0]
+    if most is None:
+        return docs.sparkSession.createDataFrame([], "term string")
+    near = cut_lineage(named.select(F.explode("terms").alias("term")).distinct())
+    df_term = cut_lineage(term_counts(docs, near, near.count()).filter(F.col("df") <= most))
+    rare = Sketch(df_term.select("term"), df_term.count())
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, bool] = {}
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 64):
+                part = batch.slice(lo, 64)
+                who, told = [], []
+                for es, ts in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    if len(known) > 200_000:
+                        known.clear()
+                    for t in ts:
+                        if t not in known:
+                            known[t] = t in rare
+                    few = [t for t in ts if known[t]]
+                    who += [e for e in es for _ in few]
+                    told += few * len(es)
+                yield pa.RecordBatch.from_arrays([pa.array(who, pa.string()), pa.array(told, pa.string())], ["entity", "term"])
+
+    both = (named.mapInArrow(pairs, "entity string, term string").groupBy("entity", "term").agg(F.count(F.lit(1)).alias("df_both"))
+            .join(df_term, "term").join(df_entity, "entity").filter(F.col("df") <= F.col("most")))
     ic = F.log2(F.lit(float(total)) / F.col("df_entity"))
-    told = ic + F.log2((F.col("df_both") + F.lit(float(prior) / max(1, total)) * F.col("df_entity")) / (F.col("df") + F.lit(float(prior))))
-    return (both.join(cut_lineage(df_term), "term").join(cut_lineage(df_entity), "entity")
-            .filter((ic > 0) & (told >= F.lit(share) * ic)).select("entity", "term"))
+    told = ic + F.log2((F.col("df_both") + F.lit(prior / total) * F.col("df_entity")) / (F.col("df") + F.lit(float(prior))))
+    return both.filter((ic > 0) & (told >= F.lit(share) * ic)).select("term").distinct()
+
+
+_FOUND = ("row long, doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base string, "
+          "maybe array<struct<term:string,start:int,end:int>>")
+_MAYBE = pa.list_(pa.struct([("term", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
+
+
+def scan(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """Base spans of every row of ``docs`` and the words that may be one of ``terms``, under a row number of its own."""
+    marked = Sketch(terms, terms.count())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in _chunks(batches):
+            spans = [find(t) for t in texts]
+            base = [joined(x) for x in spans]
+            counts = [Counter(k for k, _, _ in x) for x in spans]
+            own = [set(_WORD.findall(t)) for t in texts]
+            known = {w for w in set().union(*own) if term(w) in marked}
+            maybe = [[] if known.isdisjoint(w) else [{"term": x, "start": a, "end": b} for x, a, b in words(t, s) if t[a:b] in known]
+                     for t, s, w in zip(texts, spans, own, strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), part.column(1), *[pa.array([c[k] for c in counts], pa.int64()) for k in KINDS],
+                 pa.array([hashlib.sha256(b.encode()).hexdigest() for b in base]), pa.array(base, pa.string()), pa.array(maybe, _MAYBE)],
+                ["row", "doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "base", "maybe"])
+
+    return (docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+            .mapInArrow(run, _FOUND))
 
 
 def sanitise(docs: DataFrame, share: float = DISCLOSED, prior: float = PRIOR) -> DataFrame:
@@ -206,14 +251,14 @@ def sanitise(docs: DataFrame, share: float = DISCLOSED, prior: float = PRIOR) ->
     terms (``term:start:end`` by start); offsets are code points, ends exclusive.  A
     null text counts as empty and has no spans; rows that repeat a doc_id count as documents of their own.
     """
-    found = cut_lineage(scan(docs))
-    told = cut_lineage(disclosing(docs, found, share, prior))
-    near = (found.select("row", F.explode("near").alias("x")).select("row", "x.*")
-            .join(told, ["entity", "term"], "left_semi")
-            .groupBy("row").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("terms")))
+    told = cut_lineage(disclosing(docs, share, prior))
+    found = cut_lineage(scan(docs, told))
+    places = (found.select("row", F.explode("maybe").alias("x")).select("row", "x.*")
+              .join(told, "term", "left_semi")
+              .groupBy("row").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("terms")))
     more = F.transform("terms", lambda t: F.concat(F.lit(f"{TERM}:"), t["start"].cast("string"), F.lit(":"), t["end"].cast("string")))
     base = F.when(F.col("base") != "", F.array(F.col("base"))).otherwise(F.array().cast("array<string>"))
-    return (found.drop("near").join(near, "row", "left")
+    return (found.drop("maybe").join(places, "row", "left")
             .select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256",
                     F.array_join(F.concat(base, F.coalesce(more, F.array().cast("array<string>"))), ",").alias("spans")))
 

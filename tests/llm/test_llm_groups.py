@@ -322,6 +322,51 @@ def test_terms_tell_entities_of_one_or_two_documents(spark):
     assert not any(got[i] for i in range(2000))
 
 
+def disclosing_by_hand(rows):
+    """Every term's share of every entity's information, over whole documents."""
+    who, own = [], []
+    for _, t, *_ in rows:
+        t = t or ""
+        spans = spans_by_hand(t)
+        who.append({sanitise.entity(k, t[s:e]) for k, s, e in spans})
+        own.append({sanitise.term(m[0]) for m in re.finditer(r"[^\x20\x09-\x0D]+", t)
+                    if not any(s < m.end() and m.start() < e for _, s, e in spans)})
+    n, df_e, df_t = len(rows), Counter(e for x in who for e in x), Counter(t for x in own for t in x)
+    both = Counter((e, t) for x, y in zip(who, own) for e in x for t in y)
+    return {t for (e, t), k in both.items() if df_e[e] < n and any(c.isalpha() for c in t)
+            and np.log2((k + df_e[e] / n) / (df_t[t] + 1) * n / df_e[e]) >= 0.9 * np.log2(n / df_e[e])}
+
+
+def test_terms_far_from_a_mention_and_in_other_documents(spark):
+    day = "the plan of day is about the weather "
+    rows = [(i, day, None, None, None) for i in range(300)]
+    rows += [(1000 + i, f"Zorblatt {day * 5}wrote from z@corp.org {day * 5}Quimby", None, None, None) for i in range(6)]
+    rows += [(2000, f"{day}by Zorblatt", None, None, None)]
+    docs = spark.createDataFrame(rows, DOCS)
+    got = term_words(docs, rows)
+    assert all(got[1000 + i] == {"Zorblatt", "wrote", "from", "Quimby"} for i in range(6))
+    assert got[2000] == {"Zorblatt"} and not any(got[i] for i in range(300))
+
+
+def test_terms_equal_plain_counts(spark):
+    rnd = random.Random(3)
+    names = [f"w{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(400)]
+    rows = []
+    for i in range(1500):
+        text = [rnd.choice(names[:1 + int(400 * rnd.random() ** 2)]) for _ in range(rnd.randint(0, 40))]
+        if rnd.random() < 0.1:
+            text.insert(rnd.randint(0, len(text)), rnd.choice(["a@b.cd", "10.0.0.1", "(x@y.zz)", f"u{i}@b.cd", f"+1 212 555 0{rnd.randint(100, 130)}"]))
+            text.append(rnd.choice(["Odd", "odd,", "rare" + str(i), "few" + chr(97 + i % 20)]))
+        rows.append((i, " ".join(text), None, None, None))
+    got = term_words(spark.createDataFrame(rows, DOCS).repartition(5), rows)
+    want = disclosing_by_hand(rows)
+    for i, t, *_ in rows:
+        spans = spans_by_hand(t)
+        assert got[i] == {m[0] for m in re.finditer(r"[^\x20\x09-\x0D]+", t) if sanitise.term(m[0]) in want
+                          and not any(s < m.end() and m.start() < e for _, s, e in spans)}
+    assert want
+
+
 # ---- SQL and entry
 
 @pytest.mark.parametrize("name", sorted(sql.ORACLE))
