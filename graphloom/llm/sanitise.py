@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -120,17 +121,52 @@ def words(text: str, spans: list[tuple[str, int, int]]) -> Iterator[tuple[str, i
 
 
 class Sketch:
-    """Which terms may be in a table of ``n`` terms: a bitmap of some 16 bits a term, 16 MB at most, four bits set for each."""
+    """Which terms may be in a table of ``n`` terms: a bitmap of some 16 bits a term, 16 MB at most, five bits set for each."""
 
     def __init__(self, terms: DataFrame, n: int):
         self.bits = min(1 << 27, max(1 << 16, 1 << (16 * n).bit_length()))
-        part = [F.pmod(F.conv(F.substring(F.md5("term"), 8 * i + 1, 8), 16, 10).cast("long"), F.lit(self.bits)) for i in range(4)]
+        part = [F.pmod(F.crc32("term"), F.lit(self.bits)).cast("long")]
+        part += [F.pmod(F.conv(F.substring(F.md5("term"), 8 * i + 1, 8), 16, 10).cast("long"), F.lit(self.bits)) for i in range(4)]
         self.flags = bitmap(terms.select(F.explode(F.array(*part)).alias("p")), self.bits)
 
     def __contains__(self, term: str) -> bool:
-        h = hashlib.md5(term.encode("utf-8", "replace"), usedforsecurity=False).digest()
-        at = [int.from_bytes(h[i:i + 4], "big") % self.bits for i in (0, 4, 8, 12)]
-        return all(self.flags[p >> 3] >> (p & 7) & 1 for p in at)
+        word, flags, bits = term.encode(), self.flags, self.bits
+        p = zlib.crc32(word) % bits
+        if not flags[p >> 3] >> (p & 7) & 1:
+            return False
+        h = hashlib.md5(word, usedforsecurity=False).digest()
+        return all(flags[p >> 3] >> (p & 7) & 1 for p in (int.from_bytes(h[i:i + 4], "big") % bits for i in (0, 4, 8, 12)))
+
+
+class Known:
+    """The terms of texts as far as ``terms`` may hold them.
+
+    Words are those of ``_WORD``, which is how bytes are split; what a word was found to be is kept for later texts.
+    """
+
+    def __init__(self, terms: Sketch):
+        self.terms = terms
+        self.full: set[str] = set()  # terms that are no longer asked for
+        self.none: set[bytes] = set()
+        self.term: dict[bytes, str] = {}
+
+    def of(self, text: str) -> set[str]:
+        out = set()
+        for w in set(text.encode().split()) - self.none:
+            t = self.term.get(w)
+            new = t is None
+            if new:
+                t = term(w.decode())
+            if t in self.full or (new and t not in self.terms):
+                self.none.add(w)
+                self.term.pop(w, None)
+            else:
+                self.term[w] = t
+                out.add(t)
+        if len(self.none) + len(self.term) > 500_000:
+            self.none.clear()
+            self.term.clear()
+        return out
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], size: int = 2_000_000) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
@@ -161,21 +197,24 @@ def mentions(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "entities array<string>, terms array<string>")
 
 
-def term_counts(docs: DataFrame, terms: DataFrame, n: int) -> DataFrame:
-    """``(term, df)``: documents that contain each of ``terms`` (``n`` of them), over all ``docs``."""
+def term_counts(docs: DataFrame, terms: DataFrame, n: int, most: int) -> DataFrame:
+    """``(term, df)``: documents that contain each of ``terms`` (``n`` of them), over all ``docs``.
+
+    Terms of more than ``most`` documents are left out; a task stops counting those that it alone finds in more.
+    """
     maybe = Sketch(terms, n)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Known(maybe)
         for _, texts in _chunks(batches):
-            own = [{x.strip(_EDGES) for x in set(t.lower().split())} for t in texts]
-            known = {w for w in set().union(*own) if w in maybe}
             count: Counter[str] = Counter()
-            for w in own:
-                count.update(w & known)
+            for t in texts:
+                count.update(known.of(t))
+            known.full.update(t for t, k in count.items() if k > most)
             yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.string()), pa.array(list(count.values()), pa.int64())], ["term", "df"])
 
     seen = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "term string, df long")
-    return seen.groupBy("term").agg(F.sum("df").alias("df")).join(terms, "term", "left_semi")
+    return seen.groupBy("term").agg(F.sum("df").alias("df")).filter(F.col("df") <= most).join(terms, "term", "left_semi")
 
 
 def disclosing(docs: DataFrame, share: float = DISCLOSED, prior: float = PRIOR) -> DataFrame:
@@ -190,7 +229,7 @@ def disclosing(docs: DataFrame, share: float = DISCLOSED, prior: float = PRIOR)
     if most is None:
         return docs.sparkSession.createDataFrame([], "term string")
     near = cut_lineage(named.select(F.explode("terms").alias("term")).distinct())
-    df_term = cut_lineage(term_counts(docs, near, near.count()).filter(F.col("df") <= most))
+    df_term = cut_lineage(term_counts(docs, near, near.count(), most))
     rare = Sketch(df_term.select("term"), df_term.count())
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,13 +266,13 @@ def scan(docs: DataFrame, terms: DataFrame) -> DataFrame:
     marked = Sketch(terms, terms.count())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Known(marked)
         for part, texts in _chunks(batches):
             spans = [find(t) for t in texts]
             base = [joined(x) for x in spans]
             counts = [Counter(k for k, _, _ in x) for x in spans]
-            own = [set(_WORD.findall(t)) for t in texts]
-            known = {w for w in set().union(*own) if term(w) in marked}
-            maybe = [[] if known.isdisjoint(w) else [{"term": x, "start": a, "end": b} for x, a, b in words(t, s) if t[a:b] in known]
+            own = [known.of(t) for t in texts]
+            maybe = [[{"term": x, "start": a, "end": b} for x, a, b in words(t, s) if x in w] if w else []
                      for t, s, w in zip(texts, spans, own, strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), part.column(1), *[pa.array([c[k] for c in counts], pa.int64()) for k in KINDS],

@@ -367,6 +367,12 @@ def test_terms_equal_plain_counts(spark):
     assert want
 
 
+def test_words_are_parted_by_ascii_blanks_in_every_count(spark):
+    rows = [(i, f"le plan du jour {i}", None, None, None) for i in range(1100)]
+    rows += [(2000, "le plan de Zor\u00a0blatt est a@b.cd\x0bQuim\x1cby le jour", None, None, None)]
+    assert term_words(spark.createDataFrame(rows, DOCS), rows)[2000] == {"Zor\u00a0blatt", "Quim\x1cby", "de", "est"}
+
+
 # ---- SQL and entry
 
 @pytest.mark.parametrize("name", sorted(sql.ORACLE))
