@@ -7,6 +7,8 @@ of the multi-sequence traversal (rising sum of the two halves' distances to the
 How many cells are visited is measured, not guessed: for a bounded sample of
 vectors all true links in the whole table are counted by the rank of the
 neighbour's cell, and the least number of cells that reaches the target recall is taken.
+Where few of them have links, as many neighbours at exactly the threshold are made from the
+vectors by noise, and the number of cells must reach the target for these as well.
 Every candidate is verified by cosine in double precision.
 
 Copies (equal label and vector) are one class with a multiplicity.  Candidates never
@@ -29,9 +31,9 @@ from pyspark.sql import functions as F
 from graphloom.llm.common import connected
 from graphloom.session import cut_lineage
 
-#: Bounds: vectors the codebooks are fitted on, vectors whose links measure the recall,
-#: codes of a half, cells that a vector may visit, rows of a side in a block.
-FIT_ROWS, PROBE_ROWS, MAX_CODES, MAX_CELLS, BLOCK = 8192, 256, 1024, 2048, 2048
+#: Bounds: vectors the codebooks are fitted on, vectors whose links measure the recall, of which
+#: so many must have links or made neighbours are measured too, codes of a half, cells that a vector may visit, rows of a side in a block.
+FIT_ROWS, PROBE_ROWS, LINKED, MAX_CODES, MAX_CELLS, BLOCK = 8192, 256, 64, 1024, 2048, 2048
 PER_CELL, MIN_CELLS = 16, 8
 THRESHOLD, RECALL = 0.93, 0.99
 
@@ -134,13 +136,38 @@ def fit(classes: DataFrame, n: int, fit_rows: int = FIT_ROWS) -> dict[int, Grid]
     return grids
 
 
+def made_ranks(grid: Grid, unit: np.ndarray, threshold: float) -> np.ndarray:
+    """For each vector and a neighbour at cosine ``threshold``, made by noise in a random direction, the lesser of
+    the ranks of the one's cell for the other (a link is found from either side); ``MAX_CELLS`` if beyond."""
+    noise = np.random.default_rng(7).normal(size=unit.shape)
+    noise -= (noise * unit).sum(axis=1)[:, None] * unit
+    size = np.sqrt((noise * noise).sum(axis=1))[:, None]
+    # in one dimension nothing but the vector itself is that near
+    other = np.where(size > 1e-9, threshold * unit + math.sqrt(max(0.0, 1 - threshold * threshold)) * noise / np.maximum(size, 1e-9), unit)
+    ranks = np.full(len(unit), MAX_CELLS)
+    for a, b in ((unit, other), (other, unit)):
+        for lo in range(0, len(a), 64):
+            found = grid.nearest(a[lo:lo + 64], MAX_CELLS)[0] == grid.cells(b[lo:lo + 64])[:, None]
+            ranks[lo:lo + 64] = np.minimum(ranks[lo:lo + 64], np.where(found.any(axis=1), found.argmax(axis=1), MAX_CELLS))
+    return ranks
+
+
+def _least(reached: np.ndarray, target: float) -> tuple[int, float]:
+    """The least number of cells whose recall is ``target`` or more, else all, and the recall; ``reached``: by rank."""
+    enough = np.flatnonzero(reached >= target - 1e-9)
+    cells = max(MIN_CELLS, int(enough[0]) + 1) if len(enough) else len(reached)
+    return cells, float(reached[min(cells, len(reached)) - 1])
+
+
 def visits_needed(classes: DataFrame, grids: dict[int, Grid], n: int, threshold: float = THRESHOLD,
                   target: float = RECALL, probe_rows: int = PROBE_ROWS) -> tuple[int, float]:
     """Cells to visit and the recall that this number reaches, as a mean over probes.
 
     About ``probe_rows`` probes, drawn by hash, meet every class of the table by brute force; tasks
     return how many links of which probe have their cell at which rank.  Each probe counts
-    alike, so that large groups do not hide the small ones.
+    alike, so that large groups do not hide the small ones.  If fewer than ``LINKED`` probes have
+    links, made neighbours of all probes are measured too; the larger number of cells and the
+    lesser recall hold.  Without any probe the recall is not a number.
     """
     share = min(1.0, probe_rows / max(1, n))
     draw = F.pmod(F.xxhash64(F.lit("probe"), "h1", "h2"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))
@@ -171,13 +198,17 @@ def visits_needed(classes: DataFrame, grids: dict[int, Grid], n: int, threshold:
     # at most PROBE_ROWS * (MAX_CELLS + 1) rows, as a rule a few for each probe
     got = (classes.select("node", "label", "v").mapInPandas(run, "probe long, rank long, n long")
            .groupBy("probe", "rank").agg(F.sum("n").alias("n")).toPandas())
-    if not len(got):
-        return MIN_CELLS, 1.0
-    got["part"] = got["n"] / got.groupby("probe")["n"].transform("sum") / got["probe"].nunique()
-    reached = np.cumsum(np.bincount(got["rank"], got["part"], MAX_CELLS + 1)[:MAX_CELLS])
-    enough = np.flatnonzero(reached >= target)
-    cells = max(MIN_CELLS, int(enough[0]) + 1) if len(enough) else MAX_CELLS
-    return cells, float(reached[cells - 1])
+    measured = []
+    if len(got):
+        got["part"] = got["n"] / got.groupby("probe")["n"].transform("sum") / got["probe"].nunique()
+        measured.append(np.cumsum(np.bincount(got["rank"], got["part"], MAX_CELLS + 1)[:MAX_CELLS]))
+    if got["probe"].nunique() < LINKED and by:
+        ranks = np.concatenate([made_ranks(grids[dim], unit, threshold) for (_, dim), (_, unit, _) in by.items()])
+        measured.append(np.cumsum(np.bincount(ranks, minlength=MAX_CELLS + 1)[:MAX_CELLS]) / len(ranks))
+    if not measured:
+        return MIN_CELLS, math.nan
+    cells = max(_least(x, target)[0] for x in measured)
+    return cells, float(min(x[min(cells, MAX_CELLS) - 1] for x in measured))
 
 
 def near_dedup(table: DataFrame, threshold: float = THRESHOLD, target: float = RECALL) -> DataFrame:

@@ -161,6 +161,27 @@ def test_embeddings_recall_and_blocks(spark, monkeypatch):
     assert links(got) >= 0.9 * links(want) and sum((got - want).values()) <= 0.02 * len(rows)
 
 
+def test_rare_near_copies_are_found(spark):
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(12_000, 32))
+    x /= np.sqrt((x * x).sum(axis=1))[:, None]
+    noise = rng.normal(size=(40, 32))
+    noise -= (noise * x[:40]).sum(axis=1)[:, None] * x[:40]
+    noise /= np.sqrt((noise * noise).sum(axis=1))[:, None]
+    near = 0.94 * x[:40] + np.sqrt(1 - 0.94 ** 2) * noise
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(np.concatenate([x, near]))]
+    t = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: r for r in imi.near_dedup(t).collect()}
+    # fewer than one vector in 256 has a link, so next to no probe has one
+    assert sum(got[12_000 + i].component_id == i for i in range(40)) >= 38
+    classes = imi.vectors(t).withColumn("node", F.col("vec_id"))
+    grids = imi.fit(classes, len(rows))
+    cells, recall = imi.visits_needed(classes, grids, len(rows))
+    assert cells > imi.MIN_CELLS and 0.99 <= recall <= 1
+    none, unknown = imi.visits_needed(classes.limit(0), {}, 0)
+    assert np.isnan(unknown)
+
+
 def test_multi_sequence_order_is_exact():
     rng = np.random.default_rng(2)
     grid = imi.Grid(rng.normal(size=(300, 8)), 12)
