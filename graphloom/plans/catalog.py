@@ -581,6 +581,28 @@ def question_walks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+@register("question_walks_routed")
+def question_walks_routed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R1 -> GR1 as `question_walks`, for every question that is routed to a walk: nations and
+    suppliers, every form, both directions too.  Each root is walked once a direction and depth."""
+    from graphloom.operators.context import ROUTING_RULES, route_questions
+    from graphloom.session import cut_lineage
+    routed = cut_lineage(route_questions(fx.entity_questions(spark, sf_dir)).filter("direction <> 'none'")
+                         .select("question_id", "node_id", "direction", "depth"))
+    edges = fx.ent_edges(spark, sf_dir)
+    counts = []
+    for direction, depth in sorted({rule[3:] for rule in ROUTING_RULES if rule[3] != "none"}):
+        roots = (routed.filter((F.col("direction") == direction) & (F.col("depth") == depth))
+                 .select(F.col("node_id").alias("root_id")).distinct())
+        walk = tv.traverse(edges, roots, depth, direction)
+        counts.append(walk.edges.groupBy("root_id", "hop").agg(F.count(F.lit(1)).alias("n_edges"))
+                      .select(F.col("root_id").alias("node_id"), F.lit(direction).alias("direction"), F.lit(depth).alias("depth"), "hop", "n_edges"))
+    every = counts[0]
+    for c in counts[1:]:
+        every = every.unionByName(c)
+    return routed.join(every, ["node_id", "direction", "depth"]).select("question_id", "hop", "n_edges")
+
+
 @register("quality_checks")
 def quality_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Q1 + U1 + F10: run assertions on ENT and on benchmark texts used as answers."""
