@@ -19,6 +19,7 @@ many members or visitors is dealt over many blocks.
 
 from __future__ import annotations
 
+import logging
 import math
 from collections.abc import Iterator
 
@@ -31,6 +32,8 @@ from pyspark.sql import functions as F
 from graphloom.llm.common import connected
 from graphloom.session import cut_lineage
 
+log = logging.getLogger(__name__)
+
 #: Bounds: vectors the codebooks are fitted on, vectors whose links measure the recall, of which
 #: so many must have links or made neighbours are measured too, codes of a half, cells that a vector may visit, rows of a side in a block.
 FIT_ROWS, PROBE_ROWS, LINKED, MAX_CODES, MAX_CELLS, BLOCK = 8192, 256, 64, 1024, 2048, 2048
@@ -215,7 +218,8 @@ def near_dedup(table: DataFrame, threshold: float = THRESHOLD, target: float = R
     """One row per row of ``table``: vec_id, n_links, component_id, kept.
 
     Rows link when their labels are equal and not null and the cosine is at least
-    ``threshold``.  A vector that is null, zero or holds a null or non-finite
+    ``threshold``; if ``MAX_CELLS`` cells do not reach the recall ``target``, all vectors of a
+    label are compared in blocks.  A vector that is null, zero or holds a null or non-finite
     component, and a row without vec_id or label, links with nothing; its component is
     its own id.  Vectors of different lengths do not link.  Equal vectors link with
     each other; rows that repeat a vec_id are vectors of their own with one id.  No rows give no rows.
@@ -227,14 +231,19 @@ def near_dedup(table: DataFrame, threshold: float = THRESHOLD, target: float = R
         .withColumn("node", F.monotonically_increasing_id()))
     n = classes.count()
     grids = fit(classes, n)
-    cells = visits_needed(classes, grids, n, threshold, target)[0]
+    cells, recall = visits_needed(classes, grids, n, threshold, target)
+    if recall < target - 1e-9:
+        log.warning("recall %.4f with %d cells is below %.2f: all vectors of a label are compared", recall, cells, target)
+        grids = {}  # one cell: exact, in blocks
+    else:
+        log.info("recall %.4f with %d cells", recall, cells)
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches:
             frame = frame.reset_index(drop=True)
             out = []
             for dim, part in frame.groupby(frame["v"].map(len)):
-                if dim not in grids:  # a length the sample did not hold: one cell
+                if dim not in grids:  # a length the sample did not hold, or no grid is good enough: one cell
                     out.append(part[["node", "label", "copies", "v"]].assign(cell=0, visits=[[0]] * len(part)))
                     continue
                 for lo in range(0, len(part), 256):

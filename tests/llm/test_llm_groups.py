@@ -182,6 +182,20 @@ def test_rare_near_copies_are_found(spark):
     assert np.isnan(unknown)
 
 
+def test_exact_where_the_cells_do_not_reach_the_recall(spark, monkeypatch, caplog):
+    monkeypatch.setattr(imi, "MAX_CELLS", 1)
+    monkeypatch.setattr(imi, "MIN_CELLS", 1)
+    monkeypatch.setattr(imi, "BLOCK", 64)
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(300, 16))
+    x = np.concatenate([base, base + rng.normal(size=(300, 16)) * 0.3])
+    rows = [(i, [float(np.float32(c)) for c in v], i % 2) for i, v in enumerate(x)]
+    t = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    with caplog.at_level("WARNING", logger=imi.__name__):
+        assert Counter(tuple(r) for r in imi.near_dedup(t).collect()) == vectors_by_hand(rows)
+    assert "below 0.99" in caplog.text
+
+
 def test_multi_sequence_order_is_exact():
     rng = np.random.default_rng(2)
     grid = imi.Grid(rng.normal(size=(300, 8)), 12)
