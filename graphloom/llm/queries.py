@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import chat, digestindex, imi, jaccard, langid, lengths, linededup, mixing, sanitise, sptok
+from graphloom.llm import (chat, collocations, digestindex, imi, jaccard, langid, lengths, linededup, mixing, sanitise, sptok,
+                           urltrie, variants)
 from graphloom.llm.common import table
 
 
@@ -57,6 +58,24 @@ def op10_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sanitise.sanitise(table(spark, sf_dir, "documents"))
 
 
+#: The rules of op11's contract (host, path, verdict).
+URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
+             ("net", "/es/", "block"), ("net", "/fr/", "block")]
+
+
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return urltrie.filter_urls(table(spark, sf_dir, "pages"), rules)
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.group_variants(variants.word_counts(table(spark, sf_dir, "documents"), misspell_every=97))
+
+
+def op13_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.top_phrases(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_line_dedup": op2_line_dedup,
@@ -68,4 +87,7 @@ QUERIES = {
     "op8_mix_sources": op8_mix_sources,
     "op9_chat_format": op9_chat_format,
     "op10_sanitise": op10_sanitise,
+    "op11_url_filter": op11_url_filter,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_phrase_mining": op13_phrase_mining,
 }

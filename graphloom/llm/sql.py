@@ -67,4 +67,45 @@ SELECT conv_id, n_turns, turns_sha256, length(loss)::BIGINT AS loss_chars, sha25
        formatted_chars::BIGINT AS formatted_chars FROM g
 """
 
-ORACLE = {"op2_line_dedup": OP2, "op3_exact_dedup": OP3, "op8_mix_sources": OP8, "op9_chat_format": OP9}
+OP11 = r"""
+WITH u AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)([^?#]*)', 1),
+                                     'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                  regexp_extract(coalesce(url, ''), '://([^/?#]*)([^?#]*)', 2) AS path FROM pages),
+r AS (SELECT * FROM (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'),
+                            ('net', '/es/', 'block'), ('net', '/fr/', 'block')) AS r(rule_host, rule_path, verdict)),
+p AS (SELECT DISTINCT host, path FROM u),
+m AS (SELECT host, path, rule_host || rule_path AS rule, verdict,
+             row_number() OVER (PARTITION BY host, path ORDER BY length(rule_host) DESC, length(rule_path) DESC) AS k
+      FROM p JOIN r ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path))
+SELECT u.page_id, u.host, u.path, m.rule, coalesce(m.verdict, 'allow') AS verdict
+FROM u LEFT JOIN m ON m.host = u.host AND m.path = u.path AND m.k = 1
+"""
+
+OP13 = r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM (
+  SELECT lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                            '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
+o AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM p),
+f1 AS (SELECT lang, w[i] AS a, count(*) AS f FROM o GROUP BY ALL),
+f2 AS (SELECT lang, w[i] AS a, w[i + 1] AS b, count(*) AS f FROM o WHERE i + 1 <= len(w) GROUP BY ALL HAVING count(*) >= 10),
+f3 AS (SELECT lang, w[i] AS a, w[i + 1] AS b, w[i + 2] AS c, count(*) AS f FROM o WHERE i + 2 <= len(w) GROUP BY ALL HAVING count(*) >= 10),
+c AS (
+  SELECT f2.lang, f2.a || ' ' || f2.b AS phrase, f2.f AS a, 1 AS k, l.f AS l, r.f AS r
+  FROM f2 JOIN f1 l ON l.lang = f2.lang AND l.a = f2.a JOIN f1 r ON r.lang = f2.lang AND r.a = f2.b
+  WHERE NOT EXISTS (SELECT 1 FROM f3 WHERE f3.lang = f2.lang AND f3.a = f2.a AND f3.b = f2.b AND 100 * f3.f >= 50 * f2.f)
+    AND NOT EXISTS (SELECT 1 FROM f3 WHERE f3.lang = f2.lang AND f3.b = f2.a AND f3.c = f2.b AND 100 * f3.f >= 50 * f2.f)
+  UNION ALL
+  SELECT f3.lang, f3.a || ' ' || f3.b || ' ' || f3.c, f3.f, 1, l.f, r.f
+  FROM f3 JOIN f1 l ON l.lang = f3.lang AND l.a = f3.a JOIN f2 r ON r.lang = f3.lang AND r.a = f3.b AND r.b = f3.c
+  UNION ALL
+  SELECT f3.lang, f3.a || ' ' || f3.b || ' ' || f3.c, f3.f, 2, l.f, r.f
+  FROM f3 JOIN f2 l ON l.lang = f3.lang AND l.a = f3.a AND l.b = f3.b JOIN f1 r ON r.lang = f3.lang AND r.a = f3.c),
+s AS (SELECT *, ((1000000::HUGEINT * a * a) // (l::HUGEINT * r))::BIGINT AS score FROM c),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+t AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM b),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM f1 GROUP BY lang)
+SELECT t.lang, t.rank, t.phrase, t.a, t.l, t.r, n.n, t.score FROM t JOIN n ON n.lang = t.lang WHERE rank <= 2000
+"""
+
+ORACLE = {"op2_line_dedup": OP2, "op3_exact_dedup": OP3, "op8_mix_sources": OP8, "op9_chat_format": OP9,
+          "op11_url_filter": OP11, "op13_phrase_mining": OP13}
