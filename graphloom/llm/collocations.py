@@ -30,8 +30,9 @@ from pyspark.sql import functions as F
 from graphloom.llm.jaccard import IdSet, mix
 from graphloom.session import cut_lineage, release
 
-#: Bytes of text that are cut to words at a time, words of a block, bytes of a word that are hashed by place.
-PART, BLOCK, PLACES = 2 << 20, 1 << 16, 64
+#: Bytes of text that are cut to words at a time, words of a block (so that 16 bits number those of a block and the
+#: few behind it), bytes of a word that are hashed by place.
+PART, BLOCK, PLACES = 1 << 20, (1 << 16) - 256, 64
 #: A scale of scores: 1 counts as this.
 SCALE = 1_000_000
 #: Candidates of which the best are found apart before they are ranked together.
@@ -159,20 +160,22 @@ def word_counts(texts: DataFrame, seed: int) -> DataFrame:
             .groupBy("id", "lang", "word").agg(F.sum("f").alias("f")))
 
 
-_RELATION = "own int, words binary, first binary, alive binary"
+_RELATION = "own int, words binary, codes binary, first binary, alive binary"
 
 
 def _row(own: int, words: np.ndarray, first: np.ndarray, alive: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([own], pa.int32()), pa.array([words.tobytes()], pa.binary()),
-                                       *[pa.array([np.packbits(x).tobytes()], pa.binary()) for x in (first, alive)]],
-                                      ["own", "words", "first", "alive"])
+    """A block: its distinct ids and each word's number among them (2 bytes), so common words cost little."""
+    ids, codes = np.unique(words, return_inverse=True)
+    parts = [ids.tobytes(), codes.astype(np.uint16).tobytes(), np.packbits(first).tobytes(), np.packbits(alive).tobytes()]
+    return pa.RecordBatch.from_arrays([pa.array([own], pa.int32()), *[pa.array([x], pa.binary()) for x in parts]],
+                                      ["own", "words", "codes", "first", "alive"])
 
 
 def occurrences(texts: DataFrame, frequent: IdSet, seed: int, longest: int) -> DataFrame:
     """Blocks of words in order of piece and position; a word that is left out ends its piece.
 
-    ``words`` are ids (8 bytes each), ``first`` a bit for each that begins a piece, ``alive`` a bit for each where a
-    phrase of the relation begins, ``own`` the number of words that are the block's own.
+    ``codes`` number each word among the distinct ``words`` (ids), ``first`` has a bit for each that begins a
+    piece, ``alive`` a bit for each where a phrase of the relation begins; ``own`` words are the block's own.
     """
     halo = longest - 1
 
@@ -200,16 +203,16 @@ def occurrences(texts: DataFrame, frequent: IdSet, seed: int, longest: int) -> D
     return texts.mapInArrow(run, _RELATION)
 
 
-def _blocks(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """Own words, words, places (piece * 2 ** 32 + position) and alive places of the blocks of a batch."""
-    for own, words, first, alive in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-        words = np.frombuffer(words, np.uint64)
-        bits = [np.unpackbits(np.frombuffer(x, np.uint8))[:len(words)].astype(bool) for x in (first, alive)]
+def _blocks(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Own words, ids, codes, places (piece * 2 ** 32 + position) and alive flags of the blocks of a batch."""
+    for i in range(batch.num_rows):
+        own, ids, codes, first, alive = (c[i].as_py() for c in batch.columns)
+        ids, codes = np.frombuffer(ids, np.uint64), np.frombuffer(codes, np.uint16)
+        bits = [np.unpackbits(np.frombuffer(x, np.uint8))[:len(codes)].astype(bool) for x in (first, alive)]
         starts = np.flatnonzero(bits[0])
         piece = np.cumsum(bits[0])
         begin = np.concatenate([[0], starts])[piece]
-        places = (piece.astype(np.int64) << 32) + np.arange(len(words)) - begin
-        yield own, words, places, bits[1]
+        yield own, ids, codes, (piece.astype(np.int64) << 32) + np.arange(len(codes)) - begin, bits[1]
 
 
 def _merge_join(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -237,21 +240,17 @@ def phrase_counts(relation: DataFrame, k: int, least: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            every: list[list[np.ndarray]] = []
-            for own, words, places, alive in _blocks(batch):
+            for own, ids, codes, places, alive in _blocks(batch):
                 at = _joined(places, alive)
                 at = at[at < own]
-                every.append([words[at + i] for i in range(k)])
-            columns = [np.concatenate([e[i] for e in every]) for i in range(k)]
-            order = np.lexsort(columns)
-            columns = [c[order] for c in columns]
-            new = np.zeros(len(order), bool)
-            new[:1] = True
-            for c in columns:
-                new[1:] |= c[1:] != c[:-1]
-            begin = np.flatnonzero(new)
-            f = np.diff(np.append(begin, len(order)))
-            yield pa.RecordBatch.from_arrays([*[_long(c[begin]) for c in columns], pa.array(f)], [*names, "f"])
+                key = codes[at].astype(np.uint64)
+                for i in range(1, k):
+                    if i > 2:  # as ranks, two more bytes always fit
+                        key = np.unique(key, return_inverse=True)[1].astype(np.uint64)
+                    key = (key << _U(16)) + codes[at + i]
+                _, where, f = np.unique(key, return_index=True, return_counts=True)
+                yield pa.RecordBatch.from_arrays([*[_long(ids[codes[at[where] + i]]) for i in range(k)], pa.array(f.astype(np.int64))],
+                                                 [*names, "f"])
 
     return (relation.mapInArrow(run, ", ".join(f"{n} long" for n in [*names, "f"]))
             .groupBy(*names).agg(F.sum("f").alias("f")).filter(F.col("f") >= least))
@@ -274,7 +273,8 @@ def kept_occurrences(relation: DataFrame, frequent: IdSet, k: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for own, words, places, alive in _blocks(batch):
+            for own, ids, codes, places, alive in _blocks(batch):
+                words = ids[codes]
                 at = _joined(places, alive)
                 at = at[frequent.holds(_phrase_key([words[at + i] for i in range(k)]).view(np.int64))] if len(at) else at
                 now, covered = np.zeros(len(words), bool), np.zeros(len(words), bool)
