@@ -48,7 +48,9 @@ class DigestIndex:
                .repartition(self.buckets, "digest")
                .join(self.rows().select("digest").hint("merge"), "digest", "left_anti")
                .select("digest", "keep_id"))
-        new.write.insertInto(self.name)
+        # dealt by the bucket number itself, one task writes a bucket whatever the session's number of partitions is
+        bucket = F.pmod(F.hash("digest"), F.lit(self.buckets))
+        new.repartition(self.buckets, bucket).write.insertInto(self.name)
 
     def close(self) -> None:
         """Forget the table's name; the stored files stay."""
