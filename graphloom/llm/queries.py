@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from graphloom.llm import (chat, collocations, digestindex, imi, jaccard, langid, lengths, linededup, mixing, sanitise, sptok,
                            urltrie, variants)
 from graphloom.llm.common import table
+from graphloom.session import cut_lineage
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,7 +17,8 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    p = pages.select("page_id", linededup.url_host(F.col("url")).alias("site"), linededup.html_lines(F.col("html")).alias("text"))
+    # both the counts and the filter read the lines: pages are turned to lines once
+    p = cut_lineage(pages.select("page_id", linededup.url_host(F.col("url")).alias("site"), linededup.html_lines(F.col("html")).alias("text")))
     return linededup.drop_lines(p, F.col("site"), F.col("text")).select("page_id", "site", "n_lines", "n_dropped", "clean_text")
 
 
