@@ -39,8 +39,8 @@ def _strength(arcs: DataFrame, loops: DataFrame) -> DataFrame:
 
 
 def _modularity(arcs: DataFrame, loops: DataFrame, k: DataFrame, labels: DataFrame,
-                two_m: int) -> tuple[float, int]:
-    """Modularity of ``labels(id, comm, k[, moved])`` and the number of moved nodes, one job."""
+                two_m: int) -> tuple[int, int]:
+    """Modularity of ``labels(id, comm, k[, moved])`` times (2m)^2, an exact integer, and the moved nodes; one job."""
     if "moved" not in labels.columns:
         labels = labels.withColumn("moved", F.lit(0))
     lab_s = labels.select(F.col("id").alias("src"), F.col("comm").alias("cs"))
@@ -58,11 +58,9 @@ def _modularity(arcs: DataFrame, loops: DataFrame, k: DataFrame, labels: DataFra
     per = (inner.unionByName(loop_rows).unionByName(k_rows)
            .groupBy("comm").agg(F.sum("inw").alias("inw"), F.sum("kw").alias("tot"),
                                 F.sum("mv").alias("mv")))
-    row = per.agg((F.sum("inw") / F.lit(float(two_m))
-                   - F.sum(F.col("tot").cast("double") * F.col("tot"))
-                   / F.lit(float(two_m) * float(two_m))).alias("q"),
-                  F.sum("mv").alias("mv")).first()
-    return float(row["q"] or 0.0), int(row["mv"] or 0)
+    square = F.col("tot").cast("decimal(19,0)") * F.col("tot").cast("decimal(19,0)")
+    row = per.agg(F.sum("inw").alias("inw"), F.sum(square.cast(DEC)).alias("squares"), F.sum("mv").alias("mv")).first()
+    return int(row["inw"] or 0) * two_m - int(row["squares"] or 0), int(row["mv"] or 0)
 
 
 def _round(arcs: DataFrame, k: DataFrame, labels: DataFrame, two_m: int, parity: int,
@@ -169,9 +167,9 @@ def louvain(edges: DataFrame, nodes: DataFrame | None = None, max_levels: int |
             bits = bits_by_parity[parity]
             cand = cut_lineage(_round(arcs, k, labels, two_m, parity, bits, rnd))
             q_new, n_moved = _modularity(arcs, loops, k, cand, two_m)
-            accepted = bool(n_moved) and q_new >= q - 1e-12
+            accepted = bool(n_moved) and q_new >= q  # exact integers: no order of sums can change the result
             if accepted:
-                progress = q_new - q > min_gain
+                progress = (q_new - q) / two_m ** 2 > min_gain
                 old, state = state, cand
                 labels, q = cand.select("id", "comm", "k"), q_new
                 if old is not None:
@@ -188,7 +186,7 @@ def louvain(edges: DataFrame, nodes: DataFrame | None = None, max_levels: int |
             rnd += 1
         n_comm = labels.select("comm").distinct().count()
         history.append({"level": level, "rounds": rnd, "moves": moved_level,
-                        "communities": n_comm, "modularity": round(q, 6)})
+                        "communities": n_comm, "modularity": round(q / two_m ** 2, 6)})
         if moved_level == 0:
             break
         # contract: communities become nodes, inner edges become self-loops
@@ -207,8 +205,11 @@ def louvain(edges: DataFrame, nodes: DataFrame | None = None, max_levels: int |
         old_loops = loops.join(labels, "id").select(F.col("comm").alias("id"), "wl")
         new_loops = (inner_loops.unionByName(old_loops).groupBy("id")
                      .agg(F.sum("wl").cast("long").alias("wl")))
+        old = [arcs, loops, k, cur_ids]
         arcs, loops = cut_lineage(new_arcs), cut_lineage(new_loops)
         cur_ids = cut_lineage(labels.select(F.col("comm").alias("id")).distinct())
+        for t in [*old, *([state] if state is not None else [])]:  # the level below is in the new tables
+            release(t)
 
     out = member.select("id", F.col("node").alias("community"),
                         F.lit(len(levels)).alias("level"))
