@@ -1,12 +1,11 @@
 """Exact vector top-k for a whole table of queries (K1, K2, F11) and the KNN graph.
 
-The reference does an exact flat scan per question.  Here one side is cut into
-blocks of bounded bytes that every task receives, and the other side is
-scanned in parallel, batch by batch: a task keeps at most ``k`` candidates per
-query, and a window keeps the best ``k``.  The smaller side is the one sent out: a
-question table against a large corpus, or many vectors against a few
-centroids.  The work is the inherent ``|Q| x |C| x dim``; it is meant for a
-bounded table of questions or of items (``approx_topk`` is for node x node).
+The reference does an exact flat scan per question.  Here a smaller side of at most
+``BLOCK_BYTES`` is sent to every task and the other side is scanned in
+parallel, batch by batch.  Where both sides are larger, both are cut into blocks of
+bounded bytes and each pair of blocks meets in a task; neither passes through the driver.
+A task keeps at most ``k`` candidates per query, and a window keeps the best
+``k``.  The work is the inherent ``|Q| x |C| x dim`` (``approx_topk`` is for node x node).
 """
 
 from __future__ import annotations
@@ -80,11 +79,20 @@ def topk(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "dot",
     q_bytes, c_bytes = size(q), size(c)
     send_queries = q_bytes <= c_bytes
     sent, scanned, name = (q, c, "query_id") if send_queries else (c, q, "item_id")
-    blocks = max(1, math.ceil(min(q_bytes, c_bytes) / block_bytes))
     q_type, c_type = (d.schema[n].dataType.simpleString() for d, n in ((q, "query_id"), (c, "item_id")))
     schema = f"query_id {q_type}, item_id {c_type}, score double"
     sign = -1.0 if metric == "l2" else 1.0
 
+    def match(qi, qx, ci, cx) -> pd.DataFrame:
+        s = _scores(qx, cx, metric)
+        if exclude_self:
+            s[qi[:, None] == ci[None, :]] = -np.inf
+        found = _best(s, ci, k)
+        n = [len(f) for f in found]
+        at = np.concatenate(found) if found else np.zeros(0, int)
+        return pd.DataFrame({"query_id": np.repeat(qi, n), "item_id": ci[at],
+                             "score": sign * s[np.repeat(np.arange(len(qi)), n), at]})
+
     def scan(rows: pd.DataFrame):
         ids, x = rows[name].to_numpy(), _stack(rows["vec"], metric)
 
@@ -97,27 +105,31 @@ def topk(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "dot",
                     part = frame.iloc[lo:lo + step]
                     y = _stack(part["vec"], metric)
                     own = part["item_id" if send_queries else "query_id"].to_numpy()
-                    qi, qx, ci, cx = (ids, x, own, y) if send_queries else (own, y, ids, x)
-                    s = _scores(qx, cx, metric)
-                    if exclude_self:
-                        s[qi[:, None] == ci[None, :]] = -np.inf
-                    found = _best(s, ci, k)
-                    n = [len(f) for f in found]
-                    at = np.concatenate(found) if found else np.zeros(0, int)
-                    yield pd.DataFrame({"query_id": np.repeat(qi, n), "item_id": ci[at],
-                                        "score": sign * s[np.repeat(np.arange(len(qi)), n), at]})
+                    yield match(*((ids, x, own, y) if send_queries else (own, y, ids, x)))
         return run
 
-    parts = []
-    for b in range(blocks):  # blocks of bounded bytes, dealt by a hash of the id
-        rows = (sent if blocks == 1 else sent.filter(F.pmod(F.xxhash64(name), F.lit(blocks)) == b)).toPandas()
-        if len(rows):
-            parts.append(scanned.mapInPandas(scan(rows), schema))
-    if not parts:
-        return queries.sparkSession.createDataFrame([], f"{schema}, rank int")
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionAll(p)
+    def pair(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame({"query_id": [], "item_id": [], "score": []})
+        ci, cx = right["item_id"].to_numpy(), _stack(right["vec"], metric)
+        step = max(1, 8_000_000 // len(ci))
+        parts = [match(left["query_id"].to_numpy()[lo:lo + step], _stack(left["vec"].iloc[lo:lo + step], metric), ci, cx)
+                 for lo in range(0, len(left), step)]
+        return pd.concat(parts, ignore_index=True)
+
+    if min(q_bytes, c_bytes) <= block_bytes:
+        rows = sent.toPandas()  # at most block_bytes of vectors
+        if not len(rows):
+            return queries.sparkSession.createDataFrame([], f"{schema}, rank int")
+        found = scanned.mapInPandas(scan(rows), schema)
+    else:
+        # every row knows its block by a hash of its id and goes to each block of the other side
+        nq, nc = (math.ceil(b / block_bytes) for b in (q_bytes, c_bytes))
+        own = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        left = q.select("*", own("query_id", nq).alias("bq"), every(nc).alias("bc"))
+        right = c.select("*", every(nq).alias("bq"), own("item_id", nc).alias("bc"))
+        found = left.groupBy("bq", "bc").cogroup(right.groupBy("bq", "bc")).applyInPandas(pair, schema)
     order = F.col("score").asc() if metric == "l2" else F.col("score").desc()
     w = Window.partitionBy("query_id").orderBy(order, F.col("item_id").asc())
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
