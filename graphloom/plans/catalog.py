@@ -80,6 +80,25 @@ def connect_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tv.connect_pairs(fx.ent_edges(spark, sf_dir), pairs)
 
 
+@register("connect_paths")
+def connect_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """GR3: paths of one and two edges between the customer and the supplier of each order line and between each customer and
+    its region: edge ids, types, directions, weakest confidence."""
+    from graphloom.session import read_table
+    li = read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey")
+    od = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    customer = lambda c: F.concat(F.lit("c:"), F.col(c).cast("string")).alias("a")
+    pairs = (li.join(od, li.l_orderkey == od.o_orderkey)
+             .select(customer("o_custkey"), F.concat(F.lit("s:"), F.col("l_suppkey").cast("string")).alias("b")))
+    nation = read_table(spark, sf_dir, "nation")
+    home = (read_table(spark, sf_dir, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+            .select(customer("c_custkey"), F.explode(F.array(F.concat(F.lit("r:"), F.col("n_regionkey").cast("string")),
+                                                             F.concat(F.lit("n:"), F.col("n_nationkey").cast("string")))).alias("b")))
+    found = tv.connect_paths(fx.ent_edges(spark, sf_dir), pairs.unionByName(home))
+    return found.select("a", "b", "hops", *[F.array_join(F.col(c).cast("array<string>"), " ").alias(c) for c in ("nodes", "edge_ids", "types", "forward")],
+                        "weakest_confidence", "n_parallel")
+
+
 # ------------------------------------------------------- graph reports ----
 
 @register("degrees_density")
@@ -151,6 +170,29 @@ def vector_topk_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _vector_topk(spark, sf_dir, "cosine")
 
 
+@register("vector_topk_approx")
+def vector_topk_approx(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K3: the query vectors' 5 best by sign hashes against the exact ones, for cosine and dot: queries, queries without
+    five rows, whether nine tenths of the neighbours are found and whether all scores are exact."""
+    from graphloom.operators.signhash import approx_topk, recall
+    from graphloom.operators.vectors import topk
+    from graphloom.session import cut_lineage
+    q, c = _node_vectors(spark, sf_dir, "query_id").filter("vec_id % 100 = 0"), _node_vectors(spark, sf_dir, "item_id")
+    out = None
+    for metric in ("cosine", "dot"):
+        exact = cut_lineage(topk(q, c, 5, metric, exclude_self=True))
+        found = cut_lineage(approx_topk(q, c, 5, metric, exclude_self=True))
+        both = found.join(exact.select("query_id", "item_id", F.col("score").alias("right")), ["query_id", "item_id"])
+        wrong = both.agg(F.count_if(F.abs(F.col("score") - F.col("right")) > 1e-9).alias("n_wrong"), F.lit(1).alias("one"))
+        full = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_rows"))
+        rows = (recall(found, exact).join(full, "query_id", "left")
+                .agg(F.count(F.lit(1)).alias("n_queries"), F.count_if(F.coalesce("n_rows", F.lit(0)) < F.col("n_exact")).alias("n_short"),
+                     (F.sum("n_found") >= 0.9 * F.sum("n_exact")).alias("recall_ok"), F.lit(1).alias("one"))
+                .join(wrong, "one").select(F.lit(metric).alias("metric"), "n_queries", "n_short", "recall_ok", "n_wrong"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 @register("vector_topk_communities")
 def vector_topk_communities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K2: 3 best community centroids (mean vector per label) for every vector."""
@@ -305,6 +347,35 @@ def version_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vn(c)
 
 
+def _canonical_versions(spark, sf_dir):
+    """Validity of prompt versions per sprint, from the canonical runs."""
+    from graphloom.operators.versions import validity
+    runs = fx.run_log(spark, sf_dir)
+    return runs, validity(runs.filter("canonical").select(F.col("sprint").alias("suite"), F.col("ts").alias("at"), F.col("prompt_version").alias("version")))
+
+
+@register("version_intervals")
+def version_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q2: when each prompt version was in force in a sprint (canonical runs); a version that returns has several intervals."""
+    return _canonical_versions(spark, sf_dir)[1]
+
+
+@register("version_index")
+def version_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q2: one row per sprint and prompt version: first and last start, intervals, snapshots, whether it is in force."""
+    from graphloom.operators.versions import version_index as vi
+    return vi(_canonical_versions(spark, sf_dir)[1])
+
+
+@register("runs_as_of")
+def runs_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q2: every run with the canonical prompt version that was in force in its sprint when it ran."""
+    from graphloom.operators.versions import as_of
+    runs, intervals = _canonical_versions(spark, sf_dir)
+    found = as_of(runs.select("event_id", "sprint", "ts", "prompt_version"), intervals, "sprint", "ts")
+    return found.select("event_id", "sprint", "prompt_version", F.col("version").alias("version_in_force"), "valid_from")
+
+
 # ----------------------------------------------------------- communities ----
 
 def _doc_component_labels(spark, sf_dir):
@@ -352,6 +423,60 @@ def louvain_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
                       (F.col("q") >= F.col("component_modularity") - 1e-9).alias("modularity_ok"))
 
 
+@register("community_tree")
+def community_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """GR7: parents, sizes, children and edge weights of the trade hierarchy (kind in a nation, nation, region)."""
+    from graphloom.operators.hierarchy import community_tree as ct
+    return ct(fx.trade_levels(spark, sf_dir), fx.trade_edges(spark, sf_dir))
+
+
+@register("community_closure")
+def community_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """GR7: every community with all communities above it, and the members and inner edges found below each."""
+    from graphloom.operators.hierarchy import ancestors, community_tree as ct, rolled_up
+    from graphloom.session import cut_lineage
+    tree = cut_lineage(ct(fx.trade_levels(spark, sf_dir), fx.trade_edges(spark, sf_dir)))
+    closure = cut_lineage(ancestors(tree))
+    below = rolled_up(closure, tree.filter("level = 0"), "n_members", "inner_weight")
+    return (closure.join(below.select(F.col("community_id").alias("ancestor_id"), F.col("n_members").alias("n_below"),
+                                      F.col("inner_weight").alias("inner_below")), "ancestor_id")
+            .select("community_id", "ancestor_id", "distance", "n_below", "inner_below"))
+
+
+@register("louvain_tree")
+def louvain_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """GR5 + GR7 on a graph with communities inside its components (entities and what they belong to):
+    what every right Louvain hierarchy has, next to the modularity of components and of nations."""
+    from graphloom.operators.graph import modularity
+    from graphloom.operators.hierarchy import community_tree as ct, louvain_levels
+    from graphloom.session import cut_lineage
+    nodes, edges = (cut_lineage(t) for t in fx.forest(spark, sf_dir))
+    levels = cut_lineage(louvain_levels(edges, nodes.select("id")))
+    tree = cut_lineage(ct(levels, edges))
+    top = levels.agg(F.max("level")).first()[0]
+    up = tree.filter("parent_id IS NOT NULL").groupBy(F.col("parent_id").alias("community_id")).agg(F.sum("n_members").alias("below"))
+    sums = tree.join(up, "community_id", "left").agg(
+        F.sum(F.when(F.col("level") == top, F.col("n_members"))).alias("n_assigned"),
+        F.count_if((F.col("level") > 0) & ~F.col("below").eqNullSafe(F.col("n_members"))).alias("n_wrong_sums"),
+        (F.max("level") >= 2).alias("three_levels"))
+    final = levels.filter(F.col("level") == top)
+    mixed = (final.join(nodes.select("id", "region"), "id").groupBy("community").agg(F.countDistinct("region").alias("n"))
+             .agg(F.count_if("n > 1").alias("n_mixed")))
+    q = {}
+    for name, labels in (("q", final.select("id", F.col("community").alias("comm"))),
+                         ("component_modularity", nodes.select("id", F.col("region").alias("comm"))),
+                         ("nation_modularity", nodes.select("id", F.coalesce("nation", F.lit(-1) - F.col("region")).alias("comm")))):
+        q[name] = modularity(edges, labels).select(F.col("modularity").alias(name))
+    total = nodes.agg(F.count(F.lit(1)).alias("n_nodes"))
+    rows = [t.withColumn("one", F.lit(1)) for t in (total, sums, mixed, *q.values())]  # one row each
+    out = rows[0]
+    for t in rows[1:]:
+        out = out.join(t, "one")
+    return out.select("n_nodes", "n_assigned", "n_wrong_sums", "n_mixed", "three_levels", "component_modularity", "nation_modularity",
+                      (F.col("q") > F.col("component_modularity") + 0.05).alias("above_components"),
+                      (F.col("q") >= 0.98 * F.col("nation_modularity")).alias("near_nations"))
+
+
 @register("community_members")
 def community_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     """GR6 + A8 + U4 + K8: member rows of the document graph's components (singletons dropped)."""
@@ -438,6 +563,22 @@ def cross_site_segment_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return route_matches(fx.lnk_nodes(spark, sf_dir), fx.lnk_edges(spark, sf_dir))
 
 
+@register("api_calls")
+def api_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order's call matched to a contract by operation, fixed path, route template or its fixed segments."""
+    from graphloom.operators.routes import match_calls
+    routes, specs, calls = fx.api_tables(spark, sf_dir)
+    return match_calls(calls, routes, specs)
+
+
+@register("api_contracts")
+def api_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contract nodes, from specs or made from the route, with the edge from every route."""
+    from graphloom.operators.routes import contract_edges, contracts
+    routes, specs, _ = fx.api_tables(spark, sf_dir)
+    return contract_edges(contracts(routes, specs))
+
+
 @register("cross_file_edges")
 def cross_file_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as references to brand names, suppliers and customers as definitions of nation
@@ -690,6 +831,72 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return current_nodes(spark, sink).select("node_id", "source_file", "language", "content_hash")
 
 
+def _email_edges(text: str) -> list[dict]:
+    import re
+    return [{"target": m, "type": "MENTIONS", "confidence": "probabilistic", "evidence": "address"}
+            for m in re.findall(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", text)]
+
+
+def record_chunks(path: str, text: str) -> list[dict]:
+    """A user's extractor: one chunk per line ``<id> TAB <text>``, which belongs to its file and mentions addresses."""
+    out = []
+    for line in text.split("\n"):
+        if line:
+            name, _, body = line.partition("\t")
+            out.append({"chunk_type": "record", "name": name, "raw_cleaned": body, "edges": [
+                {"target": path, "type": "BELONGS_TO", "confidence": "deterministic", "evidence": "file"}, *_email_edges(body)]})
+    return out
+
+
+def line_chunks(path: str, text: str) -> list[dict]:
+    """A user's extractor: one chunk per line that is not blank; a file with a secret is an error."""
+    import re
+    out = []
+    for i, line in enumerate(text.split("\n"), 1):
+        if re.search(r"(?i)(token|secret|password|api_key)\s*=\s*\"[0-9a-f]{16,}\"", line):
+            raise ValueError(f"secret in line {i}")
+        if line.strip(" "):
+            edges = _email_edges(line)
+            out.append({"chunk_type": "contact" if edges else "paragraph", "name": f"line {i}", "raw_cleaned": line, "edges": edges})
+    return out
+
+
+@register("stream_files")
+def stream_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ST2 over files + X1: four drops of files (changed, deleted, brought back) that arrive in the order 4, 2, 1,
+    3, some files a batch, with compactions on the way; the chunks and edges of the files that are there at the end."""
+    from graphloom.sources.extractors import extract_files, register_extractor
+    from graphloom.streaming.files import compact, current_chunks, current_edges, run_file_stream
+    root, sink = _scratch(spark, "stream-drops"), _scratch(spark, "stream-files")
+    drops = fx.document_drops(spark, sf_dir)
+    name = register_extractor(spark, "record_chunks", record_chunks)
+    for batch, arriving in enumerate([(4,), (2,), (1,), (3,)]):
+        (drops.filter(F.col("drop").isin(*arriving)).repartition("drop", "file").sortWithinPartitions("drop", "file", "n")
+         .select("drop", "file", "value").write.mode("append").partitionBy("drop", "file").text(root))
+        run_file_stream(spark, root, sink, lambda files: extract_files(files, {"txt": name}),
+                        logical=lambda place: F.regexp_extract(place, "^file=([^/]+)/", 1))
+        if batch == 1:
+            compact(spark, sink)
+    chunks = current_chunks(spark, sink).select(F.lit("chunk").alias("kind"), "path", "name", F.sha2("raw_cleaned", 256).alias("detail"),
+                                                F.lit(1).cast("long").alias("n"))
+    edges = (current_edges(spark, sink).groupBy("path", F.col("type").alias("name"), F.col("target_node_id").alias("detail"))
+             .agg(F.count(F.lit(1)).alias("n")).select(F.lit("edge").alias("kind"), "path", "name", "detail", "n"))
+    return chunks.unionByName(edges)
+
+
+@register("extract_user_function")
+def extract_user_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's line extractor as a table function over every document file, called in a lateral join;
+    files with a secret give a reject row."""
+    from graphloom.functions.text import ext_language, extension
+    from graphloom.sources.extractors import extract_files, register_extractor
+    files = fx.document_files(spark, sf_dir).select("path", ext_language(extension("path")).alias("language"), "text")
+    name = register_extractor(spark, "line_chunks", line_chunks)
+    languages = ["python", "typescript", "scss", "csharp", "md", "json", "yaml", "protobuf", "txt"]
+    found = extract_files(files, {lang: name for lang in languages})
+    return found.select("path", "language", "chunk_type", "name", "raw_cleaned", F.size("edges").alias("n_edges"), "error_class", "error_message")
+
+
 @register("context_assembly")
 def context_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """R2: context rows for every benchmark item (its whole text, and the vector of its number):
@@ -706,6 +913,24 @@ def context_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assemble_context(questions, fx.cor_corrections(spark, sf_dir), nodes, comms, links)
 
 
+@register("context_retrieval")
+def context_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R2: every question form about every nation and supplier and every benchmark item, routed: ranked
+    corrections, communities or nodes by the vectors of the named entity, and the walk from the best node."""
+    from graphloom.operators.retrieval import letter_pairs, retrieve
+    nodes = fx.ent_nodes(spark, sf_dir).select("node_id", letter_pairs("summary").alias("vec"))
+    comms = fx.region_communities(spark, sf_dir).select("community_id", letter_pairs("summary").alias("vec"))
+    return retrieve(fx.all_questions(spark, sf_dir), fx.cor_corrections(spark, sf_dir), nodes, comms, fx.ent_edges(spark, sf_dir))
+
+
+@register("context_changes")
+def context_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corrections that questions get before and after later turns are captured, compared by rank."""
+    from graphloom.operators.retrieval import correction_changes
+    cor = fx.cor_corrections(spark, sf_dir)
+    return correction_changes(fx.all_questions(spark, sf_dir), cor.filter(F.col("turn") < CORRECTION_SPLIT_TURN), cor)
+
+
 @register("file_diagnostics")
 def file_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License lines, secrets and personal data found per document line."""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from graphloom.plans import sqlviews as sv
+from graphloom.sources.fixtures import QUESTION_FORMS
 
 ORACLE: dict[str, str] = {}
 
@@ -436,6 +437,289 @@ WITH {_walk('supplier', direction, depth)}
 ORACLE["question_walks"] = "\nUNION ALL\n".join([
     _question_walk(0, "inbound", 3), _question_walk(2, "inbound", 2), _question_walk(4, "outbound", 2)])
 
+_ENTITIES = """entities AS (SELECT 'n:' || CAST(n_nationkey AS VARCHAR) AS id, n_name AS name FROM nation
+      UNION ALL SELECT 's:' || CAST(s_suppkey AS VARCHAR), s_name FROM supplier)"""
+
+ORACLE["question_walks_routed"] = "\nUNION ALL\n".join(
+    f"""SELECT root_id || '#' || form AS question_id, hop, n_edges FROM (
+SELECT root_id, hop, COUNT(*) AS n_edges FROM (
+WITH {_ENTITIES}, {sv.ENT_NODES}, {sv.ENT_EDGES}, roots AS MATERIALIZED (SELECT id AS root_id FROM entities),
+{sv.arcs_cte(direction)}, {sv.bfs_ctes(depth)}
+{sv.visited_edges_sql(direction, depth)}) w GROUP BY root_id, hop) n, (VALUES {forms}) f(form)"""
+    for direction, depth, forms in [("inbound", 3, "('0'), ('1')"), ("inbound", 2, "('2'), ('3')"),
+                                    ("outbound", 2, "('4'), ('5')"), ("both", 2, "('6')")])
+
+_FORM_TEXTS = "texts(form, form_text) AS (VALUES " + ", ".join(
+    f"({i}, '{text}')" for i, (_, text) in enumerate(QUESTION_FORMS)) + ")"
+
+_ALL_QUESTIONS = f"""{_ROUTE_VALUES}, {_FORM_ROUTES}, {_FORM_TEXTS}, {_ENTITIES},
+aq AS MATERIALIZED (
+  SELECT id || '#' || CAST(forms.form AS VARCHAR) AS question_id, route, replace(form_text, '%s', name) AS text
+  FROM entities, forms JOIN texts ON texts.form = forms.form
+  UNION ALL SELECT 'item:' || CAST(item_id AS VARCHAR), 'lookup', text FROM benchmark)"""
+
+
+def _ranked_corrections(name: str, condition: str) -> str:
+    """CTE of the 5 best corrections of each question by the sum of N * 1000 // df of the words they have."""
+    return f"""{name}_text AS MATERIALIZED (
+  SELECT correction_id, lower(concat_ws(' ', COALESCE(original, ''), COALESCE(corrected, ''), COALESCE(target_id, ''))) AS s
+  FROM cor WHERE {condition}),
+{name}_post AS MATERIALIZED (SELECT word, correction_id FROM (SELECT DISTINCT word FROM aw) w JOIN {name}_text c ON contains(c.s, w.word)),
+{name}_df AS (SELECT word, (SELECT COUNT(*) FROM {name}_text) * 1000 // COUNT(*) AS weight FROM {name}_post GROUP BY word),
+{name}_score AS (SELECT question_id, correction_id, CAST(SUM(weight) AS BIGINT) AS score
+  FROM aw JOIN {name}_df USING (word) JOIN {name}_post USING (word) GROUP BY question_id, correction_id),
+{name} AS MATERIALIZED (SELECT *, CAST(row_number() OVER (PARTITION BY question_id ORDER BY score DESC, correction_id) AS INTEGER) AS rank
+  FROM {name}_score QUALIFY rank <= 5)"""
+
+
+_ALL_WORDS = r"""aw AS MATERIALIZED (
+  SELECT DISTINCT question_id, w AS word FROM (SELECT question_id, unnest(regexp_split_to_array(lower(text), '\s+')) AS w FROM aq) t
+  WHERE length(w) > 2)"""
+
+ORACLE["context_changes"] = f"""
+WITH {sv.COR}, {_ALL_QUESTIONS}, {_ALL_WORDS}, {_ranked_corrections('early', 'turn < 4')}, {_ranked_corrections('late', 'TRUE')}
+SELECT question_id, correction_id,
+       CASE WHEN e.rank IS NULL THEN 'added' WHEN l.rank IS NULL THEN 'removed' ELSE 'moved' END AS change,
+       e.rank AS old_rank, l.rank AS new_rank
+FROM early e FULL JOIN late l USING (question_id, correction_id) WHERE e.rank IS DISTINCT FROM l.rank
+"""
+
+
+def _pairs(text: str) -> str:
+    """Vector of hashed neighbouring characters of a text column without null."""
+    return f"""list_transform(range(0, 64), lambda d: CAST(len(list_filter(
+      list_transform(range(1, length({text})), lambda i: (ascii(substr({text}, i, 1)) * 31 + ascii(substr({text}, i + 1, 1))) % 64),
+      lambda h: h = d)) AS DOUBLE))"""
+
+
+def _routed_walk(direction: str, depth: int) -> str:
+    return f"""SELECT w.*, '{direction}' AS direction, {depth} AS depth FROM (
+  WITH roots AS MATERIALIZED (SELECT DISTINCT root_id FROM starts WHERE direction = '{direction}' AND depth = {depth}),
+  {sv.arcs_cte(direction)}, {sv.bfs_ctes(depth)}
+  SELECT root_id, edge_id, hop, {sv.TIER.format(c='confidence')} AS tier FROM ({sv.visited_edges_sql(direction, depth)}) v) w"""
+
+
+ORACLE["context_retrieval"] = rf"""
+WITH {sv.COR}, {sv.ENT_NODES}, {sv.ENT_EDGES}, {_ALL_QUESTIONS}, {_ALL_WORDS}, {_ranked_corrections('cr', 'TRUE')},
+named AS (SELECT question_id, route, text, regexp_extract_all(
+            regexp_replace(text, '(^|[.?!]\s+)[A-Za-z]+', ' ', 'g'), '[A-Z][A-Za-z0-9_#]*') AS names FROM aq),
+t AS MATERIALIZED (
+  SELECT question_id, n.route, target, direction, depth,
+         CASE WHEN len(names) > 0 THEN array_to_string(names, ' ') ELSE text END AS terms
+  FROM named n JOIN routes ON routes.route = n.route),
+tv AS MATERIALIZED (SELECT terms, target, {_pairs('x')} AS v FROM (
+  SELECT DISTINCT terms, target, regexp_replace(terms, '[^ -~]', '', 'g') AS x FROM t) d),
+nv AS MATERIALIZED (SELECT node_id, {_pairs('x')} AS v FROM (
+  SELECT node_id, regexp_replace(COALESCE(summary, ''), '[^ -~]', '', 'g') AS x FROM ent_nodes) d),
+cs AS (SELECT 'comm:r:' || CAST(r_regionkey AS VARCHAR) AS community_id, concat_ws(' ', r_name, nations) AS x
+       FROM region LEFT JOIN (SELECT n_regionkey, string_agg(n_name, ' ' ORDER BY n_name) AS nations FROM nation GROUP BY 1) n
+       ON n_regionkey = r_regionkey),
+cv AS (SELECT community_id, {_pairs('x')} AS v FROM cs),
+dn AS (SELECT terms, node_id, list_distance(tv.v, nv.v) AS d FROM tv, nv WHERE target = 'node'),
+nn AS MATERIALIZED (SELECT *, CAST(row_number() OVER (PARTITION BY terms ORDER BY d, node_id) AS INTEGER) AS rank FROM dn QUALIFY rank <= 5),
+dc AS (SELECT terms, community_id, list_distance(tv.v, cv.v) AS d FROM tv, cv WHERE target = 'community'),
+nc AS MATERIALIZED (SELECT *, CAST(row_number() OVER (PARTITION BY terms ORDER BY d, community_id) AS INTEGER) AS rank FROM dc QUALIFY rank <= 3),
+starts AS MATERIALIZED (SELECT question_id, route, node_id AS root_id, direction, depth FROM t JOIN nn ON nn.terms = t.terms AND nn.rank = 1
+  WHERE direction <> 'none' AND target = 'node'),
+walks AS MATERIALIZED (
+  {_routed_walk('inbound', 3)} UNION ALL {_routed_walk('inbound', 2)} UNION ALL
+  {_routed_walk('outbound', 2)} UNION ALL {_routed_walk('both', 2)}),
+we AS (SELECT *, CAST(row_number() OVER (PARTITION BY root_id, direction, depth ORDER BY tier, hop, edge_id) AS INTEGER) AS rank,
+              COUNT(*) OVER (PARTITION BY root_id, direction, depth) AS n_edges FROM walks QUALIFY rank <= 10)
+SELECT question_id, route, 'correction' AS kind, 0 AS kind_order, rank, correction_id AS item, score FROM cr JOIN t USING (question_id)
+UNION ALL SELECT question_id, route, 'community', 1, rank, community_id, CAST(round(d * d) AS BIGINT) FROM t JOIN nc USING (terms) WHERE target = 'community'
+UNION ALL SELECT question_id, route, 'node', 2, rank, node_id, CAST(round(d * d) AS BIGINT) FROM t JOIN nn USING (terms) WHERE target = 'node'
+UNION ALL SELECT question_id, route, 'edge', 3, rank, edge_id, n_edges
+  FROM starts s JOIN we ON we.root_id = s.root_id AND we.direction = s.direction AND we.depth = s.depth
+"""
+
+_ADDRESS = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
+
+ORACLE["stream_files"] = f"""
+WITH d AS (SELECT doc_id, concat_ws('.', source, lang, 'txt') AS path, lang, CAST(regexp_extract(source, '([0-9]+)$', 1) AS INTEGER) AS number,
+                  translate(COALESCE(text, ''), chr(10) || chr(13) || chr(9), '   ') AS body FROM documents),
+c AS MATERIALIZED (
+  SELECT path, CAST(doc_id AS VARCHAR) AS name,
+         CASE WHEN (lang = 'fr' AND number % 2 = 1) OR lang = 'de' THEN body || ' (edited)' ELSE body END AS body
+  FROM d WHERE lang <> 'de' OR number % 4 = 0),
+e AS (SELECT path, 'BELONGS_TO' AS name, path AS detail FROM c
+      UNION ALL SELECT path, 'MENTIONS', unnest(regexp_extract_all(body, '{_ADDRESS}')) FROM c)
+SELECT 'chunk' AS kind, path, name, sha256(body) AS detail, CAST(1 AS BIGINT) AS n FROM c
+UNION ALL SELECT 'edge', path, name, detail, COUNT(*) FROM e GROUP BY ALL
+"""
+
+ORACLE["extract_user_function"] = rf"""
+WITH {sv.DOC_FILES},
+x AS (SELECT path, COALESCE(m.language, ext) AS language, string_split(COALESCE(text, ''), chr(10)) AS lines
+      FROM (SELECT *, regexp_extract(path, '\.([^./]+)$', 1) AS ext FROM files) f
+      LEFT JOIN (VALUES ('cs', 'csharp'), ('ts', 'typescript'), ('tsx', 'typescript'), ('py', 'python'), ('scss', 'scss'), ('json', 'json'),
+                        ('yml', 'yaml'), ('proto', 'protobuf')) m(e, language) ON m.e = f.ext),
+l AS MATERIALIZED (SELECT path, language, i, lines[i] AS line,
+                          regexp_matches(lines[i], '(?i)(token|secret|password|api_key)\s*=\s*"[0-9a-f]{{16,}}"') AS bad
+                   FROM x, LATERAL (SELECT unnest(range(1, len(lines) + 1)) AS i) r),
+b AS (SELECT path, language, MIN(i) AS i FROM l WHERE bad GROUP BY path, language)
+SELECT path, language, CASE WHEN n > 0 THEN 'contact' ELSE 'paragraph' END AS chunk_type, 'line ' || i AS name, line AS raw_cleaned,
+       CAST(n AS INTEGER) AS n_edges, CAST(NULL AS VARCHAR) AS error_class, CAST(NULL AS VARCHAR) AS error_message
+FROM (SELECT *, len(regexp_extract_all(line, '{_ADDRESS}')) AS n FROM l WHERE path NOT IN (SELECT path FROM b) AND trim(line, ' ') <> '') t
+UNION ALL SELECT path, language, NULL, NULL, NULL, 0, 'ValueError', 'secret in line ' || i FROM b
+"""
+
+ORACLE["connect_paths"] = f"""
+WITH {sv.ENT_EDGES},
+ends AS (SELECT source_node_id AS u, target_node_id AS v, {sv.TIER.format(c='confidence')} AS tier, edge_id, type, 'true' AS forward
+         FROM ent_edges WHERE source_node_id <> target_node_id
+         UNION ALL SELECT target_node_id, source_node_id, {sv.TIER.format(c='confidence')}, edge_id, type, 'false'
+         FROM ent_edges WHERE source_node_id <> target_node_id),
+st AS MATERIALIZED (SELECT u, v, count(*) AS n, arg_min(tier, (tier, edge_id)) AS tier, arg_min(edge_id, (tier, edge_id)) AS edge_id,
+                           arg_min(type, (tier, edge_id)) AS type, arg_min(forward, (tier, edge_id)) AS forward FROM ends GROUP BY u, v),
+pairs AS (SELECT 'c:' || o_custkey AS a, 's:' || l_suppkey AS b FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+          UNION SELECT 'c:' || c_custkey, 'n:' || c_nationkey FROM customer
+          UNION SELECT 'c:' || c_custkey, 'r:' || n_regionkey FROM customer JOIN nation ON n_nationkey = c_nationkey),
+f AS (SELECT a, b, 1 AS hops, a || ' ' || b AS nodes, edge_id AS edge_ids, type AS types, forward, tier, n AS n_parallel
+      FROM pairs JOIN st ON u = a AND v = b
+      UNION ALL
+      SELECT a, b, 2, a || ' ' || x.v || ' ' || b, x.edge_id || ' ' || y.edge_id, x.type || ' ' || y.type, x.forward || ' ' || y.forward,
+             greatest(x.tier, y.tier), x.n * y.n
+      FROM pairs JOIN st x ON x.u = a JOIN st y ON y.u = x.v AND y.v = b)
+SELECT a, b, hops, nodes, edge_ids, types, forward,
+       CASE tier WHEN 0 THEN 'deterministic' WHEN 1 THEN 'probabilistic' ELSE 'inferred' END AS weakest_confidence, n_parallel FROM f
+"""
+
+
+def _segments(url: str) -> str:
+    return (rf"list_transform(list_filter(string_split(regexp_replace(regexp_replace({url}, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*', ''), "
+            rf"'[?#].*$', ''), '/'), lambda s: s <> ''), lambda s: CASE WHEN regexp_matches(s, '\$\{{|^\{{.*\}}$|^:[A-Za-z_]|^\*$') THEN '*' ELSE s END)")
+
+
+_API = f"""ns AS (SELECT COUNT(*) AS n FROM supplier),
+routes AS (
+  SELECT 'rt:s' || s_suppkey AS route_id, CASE s_suppkey % 3 WHEN 0 THEN '/api/suppliers/' || s_suppkey
+         WHEN 1 THEN '/api/nations/' || s_nationkey || '/suppliers/{{id}}' ELSE '/api/suppliers/:id/parts/' || (s_suppkey % 7) END AS template FROM supplier
+  UNION ALL SELECT 'rt:n' || n_nationkey, '/api/{{kind}}/' || n_nationkey FROM nation
+  UNION ALL SELECT 'rt:r' || r_regionkey, '/api/{{kind}}/{{id}}' FROM region),
+specs AS (
+  SELECT 'getSupplier' || s_suppkey AS operation, '/api/suppliers/' || s_suppkey AS template FROM supplier WHERE s_suppkey % 6 = 0
+  UNION ALL SELECT 'listNation' || n_nationkey, '/api/nations/' || n_nationkey || '/suppliers/{{id}}' FROM nation WHERE n_nationkey % 2 = 0),
+calls AS (
+  SELECT 'o:' || o_orderkey AS call_id,
+         CASE o_custkey % 8 WHEN 0 THEN '/api/suppliers/' || (o_orderkey % n + 1) || '?x=1' WHEN 1 THEN '/api/nations/' || (o_orderkey % 25) || '/suppliers/${{sid}}'
+           WHEN 2 THEN 'https://host.example/api/suppliers/' || (o_orderkey % n + 1) || '/parts/' || (o_orderkey % 9)
+           WHEN 4 THEN '/api/${{kind}}/' || (o_orderkey % 25) WHEN 5 THEN '/${{base}}/suppliers/' || (o_orderkey % n + 1)
+           WHEN 6 THEN '/api/orders/' || o_orderkey || '/lines' WHEN 7 THEN '/api/nations/' || (o_orderkey % 25) || '#top' END AS url,
+         CASE o_custkey % 8 WHEN 3 THEN 'getSupplier' || (o_orderkey % n + 1) WHEN 7 THEN 'op' || o_orderkey END AS operation
+  FROM orders, ns),
+rp AS (SELECT route_id, {_segments('template')} AS p FROM routes),
+sp AS (SELECT operation, {_segments('template')} AS p FROM specs),
+node AS (SELECT route_id, p, CASE WHEN operation IS NULL THEN 'contract:/' || array_to_string(p, '/') ELSE 'spec:' || operation END AS contract_id,
+                CASE WHEN operation IS NULL THEN 'synthetic' ELSE 'spec' END AS source
+         FROM rp LEFT JOIN (SELECT p, MIN(operation) AS operation FROM sp GROUP BY p) s USING (p))"""
+
+ORACLE["api_contracts"] = f"""
+WITH {_API}
+SELECT route_id AS source_node_id, contract_id AS target_node_id, 'IMPLEMENTS' AS type, 'deterministic' AS confidence,
+       source || ' contract' AS evidence FROM node
+"""
+
+ORACLE["api_calls"] = f"""
+WITH {_API},
+cp AS (SELECT DISTINCT {_segments('url')} AS c FROM calls WHERE url IS NOT NULL),
+m AS (SELECT c, p, len(list_filter(range(1, len(c) + 1), lambda i: c[i] <> '*' AND p[i] <> '*')) AS same,
+             len(list_filter(p, lambda x: x = '*')) AS wild
+      FROM cp JOIN (SELECT DISTINCT p FROM rp) r ON len(c) = len(p)
+      AND len(list_filter(range(1, len(c) + 1), lambda i: c[i] <> '*' AND p[i] <> '*' AND c[i] <> p[i])) = 0),
+b AS (SELECT c, MIN(array_to_string(p, '/')) AS r, COUNT(*) AS n_routes FROM (
+        SELECT *, rank() OVER (PARTITION BY c ORDER BY same DESC, wild) AS k FROM m) x WHERE k = 1 GROUP BY c),
+q AS (SELECT call_id, array_to_string(b.c, '/') AS text, r, n_routes, list_contains(b.c, '*') AS dyn,
+             (SELECT 'spec:' || MIN(s.operation) FROM specs s WHERE s.operation = calls.operation) AS op,
+             (SELECT MIN(contract_id) FROM node WHERE array_to_string(p, '/') = r) AS contract_id
+      FROM calls LEFT JOIN b ON b.c = {_segments('url')}),
+k AS (SELECT *, CASE WHEN op IS NOT NULL THEN 'contract' WHEN r IS NULL THEN 'none' WHEN NOT dyn AND r = text THEN 'path'
+                     WHEN NOT dyn THEN 'template' ELSE 'dynamic' END AS kind FROM q)
+SELECT call_id, kind, COALESCE(op, contract_id) AS contract_id, CAST(CASE WHEN op IS NOT NULL THEN 1 ELSE COALESCE(n_routes, 0) END AS BIGINT) AS n_routes,
+       CASE WHEN kind = 'contract' THEN 'deterministic' WHEN kind = 'none' THEN NULL WHEN n_routes > 1 THEN 'inferred'
+            WHEN kind = 'dynamic' THEN 'probabilistic' ELSE 'deterministic' END AS confidence FROM k
+"""
+
+ORACLE["vector_topk_approx"] = """
+SELECT metric, COUNT(*) AS n_queries, CAST(0 AS BIGINT) AS n_short, true AS recall_ok, CAST(0 AS BIGINT) AS n_wrong
+FROM embeddings, (VALUES ('cosine'), ('dot')) m(metric) WHERE vec_id % 100 = 0 GROUP BY metric
+"""
+
+_VALIDITY = f"""{sv.RUN},
+snap AS (SELECT sprint AS suite, ts AS t, MAX(prompt_version) AS version FROM runs WHERE canonical GROUP BY sprint, ts),
+chg AS (SELECT *, lag(version) OVER w IS DISTINCT FROM version AS changed FROM snap WINDOW w AS (PARTITION BY suite ORDER BY t)),
+isl AS (SELECT *, SUM(CASE WHEN changed THEN 1 ELSE 0 END) OVER (PARTITION BY suite ORDER BY t) AS i FROM chg),
+grp AS (SELECT suite, i, MIN(version) AS version, MIN(t) AS valid_from, COUNT(*) AS n_snapshots FROM isl GROUP BY suite, i),
+val AS MATERIALIZED (SELECT suite, version, valid_from, lead(valid_from) OVER (PARTITION BY suite ORDER BY valid_from) AS valid_to, n_snapshots FROM grp)"""
+
+ORACLE["version_intervals"] = f"WITH {_VALIDITY} SELECT * FROM val"
+
+ORACLE["version_index"] = f"""
+WITH {_VALIDITY}
+SELECT suite, version, MIN(valid_from) AS first_from, MAX(valid_from) AS last_from, COUNT(*) AS n_intervals,
+       CAST(SUM(n_snapshots) AS BIGINT) AS n_snapshots, bool_or(valid_to IS NULL) AS in_force FROM val GROUP BY suite, version
+"""
+
+ORACLE["runs_as_of"] = f"""
+WITH {_VALIDITY}
+SELECT event_id, sprint, prompt_version, v.version AS version_in_force, v.valid_from
+FROM runs r ASOF LEFT JOIN val v ON v.suite = r.sprint AND r.ts >= v.valid_from
+"""
+
+_TRADE = """nations AS (SELECT n_nationkey AS nk, n_regionkey AS rk FROM nation),
+mem AS MATERIALIZED (
+  SELECT id, nk || '/' || kind AS l0, CAST(nk AS VARCHAR) AS l1, 'region ' || rk AS l2 FROM (
+    SELECT 'c:' || c_custkey AS id, c_nationkey AS nk, c_mktsegment AS kind FROM customer
+    UNION ALL SELECT 's:' || s_suppkey, s_nationkey, 'supplier' FROM supplier) m JOIN nations USING (nk)),
+lv AS MATERIALIZED (SELECT id, 0 AS level, 'comm:0:' || l0 AS c, 'comm:1:' || l1 AS p FROM mem
+  UNION ALL SELECT id, 1, 'comm:1:' || l1, 'comm:2:' || l2 FROM mem UNION ALL SELECT id, 2, 'comm:2:' || l2, NULL FROM mem),
+trade AS MATERIALIZED (SELECT 'c:' || o_custkey AS src, 's:' || l_suppkey AS dst, COUNT(*) AS w
+  FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY ALL),
+ends AS MATERIALIZED (SELECT a.level, a.c AS ca, b.c AS cb, w FROM trade JOIN lv a ON a.id = src JOIN lv b ON b.id = dst AND b.level = a.level),
+inside AS (SELECT ca AS c, SUM(w) AS w FROM ends WHERE ca = cb GROUP BY 1),
+outside AS (SELECT c, SUM(w) AS w FROM (SELECT ca AS c, w FROM ends WHERE ca <> cb UNION ALL SELECT cb, w FROM ends WHERE ca <> cb) e GROUP BY 1),
+kids AS (SELECT p AS c, COUNT(DISTINCT c) AS n FROM lv WHERE p IS NOT NULL GROUP BY 1),
+tree AS MATERIALIZED (
+  SELECT lv.c AS community_id, level, MIN(p) AS parent_id, COUNT(*) AS n_members,
+         CAST(COALESCE(MIN(kids.n), 0) AS BIGINT) AS n_children, CAST(COALESCE(MIN(inside.w), 0) AS BIGINT) AS inner_weight,
+         CAST(COALESCE(MIN(outside.w), 0) AS BIGINT) AS cut_weight
+  FROM lv LEFT JOIN kids ON kids.c = lv.c LEFT JOIN inside ON inside.c = lv.c LEFT JOIN outside ON outside.c = lv.c
+  GROUP BY lv.c, level)"""
+
+ORACLE["community_tree"] = f"WITH {_TRADE} SELECT * FROM tree"
+
+ORACLE["community_closure"] = f"""
+WITH RECURSIVE {_TRADE},
+up AS (SELECT community_id, community_id AS ancestor_id, CAST(0 AS BIGINT) AS distance FROM tree
+       UNION ALL SELECT up.community_id, tree.parent_id, distance + 1 FROM up JOIN tree ON tree.community_id = up.ancestor_id
+       WHERE tree.parent_id IS NOT NULL),
+below AS (SELECT ancestor_id, CAST(SUM(n_members) AS BIGINT) AS n_below, CAST(SUM(inner_weight) AS BIGINT) AS inner_below
+          FROM up JOIN tree ON tree.community_id = up.community_id AND tree.level = 0 GROUP BY ancestor_id)
+SELECT community_id, up.ancestor_id, distance, n_below, inner_below FROM up JOIN below ON below.ancestor_id = up.ancestor_id
+"""
+
+_FOREST_MODULARITY = """SELECT round(SUM(l) / (SELECT COUNT(*) FROM fe) - SUM(d * d) / (4.0 * (SELECT COUNT(*) FROM fe) * (SELECT COUNT(*) FROM fe)), 9)
+  FROM (SELECT c, SUM(l)::DOUBLE AS l, SUM(d)::DOUBLE AS d FROM (
+    SELECT a.{c} AS c, CASE WHEN a.{c} = b.{c} THEN 1 ELSE 0 END AS l, 1 AS d FROM fe JOIN fn a ON a.id = src JOIN fn b ON b.id = dst
+    UNION ALL SELECT b.{c}, 0, 1 FROM fe JOIN fn b ON b.id = dst) x GROUP BY c) y"""
+
+ORACLE["louvain_tree"] = f"""
+WITH place AS (SELECT n_nationkey AS nk, n_regionkey AS rk FROM nation),
+cust AS (SELECT c_custkey AS ck, nk, rk FROM customer JOIN place ON nk = c_nationkey),
+fn AS MATERIALIZED (
+  SELECT 'r' || r_regionkey AS id, -1 - r_regionkey AS nat, r_regionkey AS reg FROM region
+  UNION ALL SELECT 'n' || nk, nk, rk FROM place UNION ALL SELECT 'c' || ck, nk, rk FROM cust
+  UNION ALL SELECT 's' || s_suppkey, nk, rk FROM supplier JOIN place ON nk = s_nationkey
+  UNION ALL SELECT 'o' || o_orderkey, nk, rk FROM orders JOIN cust ON ck = o_custkey),
+fe AS MATERIALIZED (
+  SELECT 'r' || rk AS src, 'n' || nk AS dst FROM place UNION ALL SELECT 'n' || nk, 'c' || ck FROM cust
+  UNION ALL SELECT 'n' || s_nationkey, 's' || s_suppkey FROM supplier
+  UNION ALL SELECT 'c' || o_custkey, 'o' || o_orderkey FROM orders)
+SELECT COUNT(*) AS n_nodes, COUNT(*) AS n_assigned, CAST(0 AS BIGINT) AS n_wrong_sums, CAST(0 AS BIGINT) AS n_mixed, true AS three_levels,
+       ({_FOREST_MODULARITY.format(c='reg')}) AS component_modularity, ({_FOREST_MODULARITY.format(c='nat')}) AS nation_modularity,
+       true AS above_components, true AS near_nations FROM fn
+"""
+
 ORACLE["cross_file_edges"] = """
 WITH defs AS (
   SELECT DISTINCT 's:' || CAST(s_suppkey AS VARCHAR) AS node, 'nation' || CAST(s_nationkey AS VARCHAR) || '.py' AS file,

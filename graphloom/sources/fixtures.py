@@ -174,6 +174,74 @@ def entity_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select(F.concat_ws("#", "node_id", F.col("f.form").cast("string")).alias("question_id"), "node_id", "f.form", "f.text"))
 
 
+def all_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(question_id, text)``: every question form about every entity, and every benchmark item."""
+    items = benchmark_questions(spark, sf_dir)
+    return (entity_questions(spark, sf_dir).select("question_id", "text")
+            .unionByName(items.select(F.concat(F.lit("item:"), _s("question_id")).alias("question_id"), "text")))
+
+
+def region_communities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(community_id, summary)``: one community per region, summarised by its name and its nations' names."""
+    nation = (read_table(spark, sf_dir, "nation").groupBy(F.col("n_regionkey").alias("r_regionkey"))
+              .agg(F.array_join(F.sort_array(F.collect_list("n_name")), " ").alias("nations")))  # some nations a region
+    return read_table(spark, sf_dir, "region").join(nation, "r_regionkey", "left").select(
+        F.concat(F.lit("comm:r:"), _s("r_regionkey")).alias("community_id"),
+        F.concat_ws(" ", "r_name", "nations").alias("summary"))
+
+
+# -------------------------------------------------------------- TRADE ----
+
+def trade_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TRADE: customers and suppliers in a hierarchy ``(id, community, level)``: kind in a nation, nation, region."""
+    nation = read_table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
+    customer = read_table(spark, sf_dir, "customer").select(
+        F.concat(F.lit("c:"), _s("c_custkey")).alias("id"), F.col("c_nationkey").alias("n_nationkey"), F.col("c_mktsegment").alias("kind"))
+    supplier = read_table(spark, sf_dir, "supplier").select(
+        F.concat(F.lit("s:"), _s("s_suppkey")).alias("id"), F.col("s_nationkey").alias("n_nationkey"), F.lit("supplier").alias("kind"))
+    member = customer.unionByName(supplier).join(nation, "n_nationkey")
+    levels = F.array(F.struct(F.lit(0).alias("level"), F.concat_ws("/", _s("n_nationkey"), F.col("kind")).alias("community")),
+                     F.struct(F.lit(1).alias("level"), _s("n_nationkey").alias("community")),
+                     F.struct(F.lit(2).alias("level"), F.concat(F.lit("region "), _s("n_regionkey")).alias("community")))
+    return member.select("id", F.explode(levels).alias("l")).select("id", "l.community", "l.level")
+
+
+def trade_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TRADE: customer - supplier pairs ``(src, dst, w)`` with w line items between them."""
+    orders = read_table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
+    return (read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey").join(orders, "l_orderkey")
+            .groupBy(F.concat(F.lit("c:"), _s("o_custkey")).alias("src"), F.concat(F.lit("s:"), _s("l_suppkey")).alias("dst"))
+            .agg(F.count(F.lit(1)).alias("w")))
+
+
+# ------------------------------------------------------------- FOREST ----
+
+def forest(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """FOREST: ``nodes(id, nation, region)`` and ``edges(src, dst)`` of regions, nations, customers, suppliers and orders.
+
+    Every entity is linked to the one it belongs to, so a region is one component and its nations are
+    communities inside it.  Ids are key * 5 + kind.
+    """
+    def own(c, kind):
+        return (F.col(c).cast("long") * 5 + kind)
+    nation = read_table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
+    customer = read_table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("n_nationkey")).join(nation, "n_nationkey")
+    supplier = read_table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").alias("n_nationkey")).join(nation, "n_nationkey")
+    orders = (read_table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("c_custkey")).join(customer, "c_custkey"))
+    place = (F.col("n_nationkey").cast("long").alias("nation"), F.col("n_regionkey").cast("long").alias("region"))
+    none = F.lit(None).cast("long")
+    nodes = (read_table(spark, sf_dir, "region").select(own("r_regionkey", 0).alias("id"), none.alias("nation"), F.col("r_regionkey").cast("long").alias("region"))
+             .unionByName(nation.select(own("n_nationkey", 1).alias("id"), *place))
+             .unionByName(customer.select(own("c_custkey", 2).alias("id"), *place))
+             .unionByName(supplier.select(own("s_suppkey", 3).alias("id"), *place))
+             .unionByName(orders.select(own("o_orderkey", 4).alias("id"), *place)))
+    edges = (nation.select(own("n_regionkey", 0).alias("src"), own("n_nationkey", 1).alias("dst"))
+             .unionByName(customer.select(own("n_nationkey", 1).alias("src"), own("c_custkey", 2).alias("dst")))
+             .unionByName(supplier.select(own("n_nationkey", 1).alias("src"), own("s_suppkey", 3).alias("dst")))
+             .unionByName(orders.select(own("c_custkey", 2).alias("src"), own("o_orderkey", 4).alias("dst"))))
+    return nodes, edges
+
+
 # --------------------------------------------------------------- DOCN ----
 
 def doc_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -190,6 +258,28 @@ def doc_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
                     "doc_id"))
 
 
+def document_drops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """DROPS: ``(drop, file, n, value)``, the lines of files that change over four drops.
+
+    One file per source and language, one line per document.  Drop 1 has all files, drop 2 the French ones edited,
+    drop 3 deletes the German ones, drop 4 brings back the French ones of even sources as they were and, edited,
+    the German ones of every fourth source.
+    """
+    d = read_table(spark, sf_dir, "documents")
+    number = F.regexp_extract("source", "([0-9]+)$", 1).cast("int")
+    body = F.translate(F.coalesce("text", F.lit("")), "\n\r\t", "   ")
+    d = d.select(F.concat_ws(".", "source", "lang", F.lit("txt")).alias("file"), F.col("doc_id").alias("n"), "lang", number.alias("number"),
+                 F.concat_ws("\t", _s("doc_id"), body).alias("value"))
+    edited = F.concat("value", F.lit(" (edited)"))
+    lines = (d.select(F.lit(1).alias("drop"), "file", "n", "value")
+             .unionByName(d.filter("lang = 'fr'").select(F.lit(2).alias("drop"), "file", "n", edited.alias("value")))
+             .unionByName(d.filter("lang = 'fr' AND number % 2 = 0").select(F.lit(4).alias("drop"), "file", "n", "value"))
+             .unionByName(d.filter("lang = 'de' AND number % 4 = 0").select(F.lit(4).alias("drop"), "file", "n", edited.alias("value"))))
+    gone = d.filter("lang = 'de'").select("file").distinct().select(
+        F.lit(3).alias("drop"), F.concat("file", F.lit(".deleted")).alias("file"), F.lit(0).cast("long").alias("n"), F.lit("").alias("value"))
+    return lines.unionByName(gone)
+
+
 # ---------------------------------------------------------------- RUN ----
 
 def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -269,6 +359,43 @@ def symbol_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
     return refs, defs
 
 
+# ---------------------------------------------------------------- API ----
+
+def api_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """API: ``routes(route_id, template)``, ``specs(operation, template)`` and ``calls(call_id, url, operation)``.
+
+    Suppliers, nations and regions give routes with fixed and parameter segments, some suppliers and nations a spec, and
+    every order makes a call: fixed, partly dynamic, by operation or to no route.
+    """
+    sup = read_table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_nationkey").alias("n"))
+    nation = read_table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("n"))
+    k, n = _s("k"), _s("n")
+    kind = F.pmod("k", F.lit(3))
+    routes = sup.select(F.concat(F.lit("rt:s"), k).alias("route_id"),
+                        F.when(kind == 0, F.concat(F.lit("/api/suppliers/"), k))
+                        .when(kind == 1, F.concat(F.lit("/api/nations/"), n, F.lit("/suppliers/{id}")))
+                        .otherwise(F.concat(F.lit("/api/suppliers/:id/parts/"), F.pmod("k", F.lit(7)).cast("string"))).alias("template"))
+    routes = (routes.unionByName(nation.select(F.concat(F.lit("rt:n"), n), F.concat(F.lit("/api/{kind}/"), n)).toDF("route_id", "template"))
+              .unionByName(read_table(spark, sf_dir, "region").select(F.concat(F.lit("rt:r"), _s("r_regionkey")).alias("route_id"),
+                                                                       F.lit("/api/{kind}/{id}").alias("template"))))
+    specs = (sup.filter("k % 6 = 0").select(F.concat(F.lit("getSupplier"), k).alias("operation"), F.concat(F.lit("/api/suppliers/"), k).alias("template"))
+             .unionByName(nation.filter("n % 2 = 0").select(F.concat(F.lit("listNation"), n).alias("operation"),
+                                                            F.concat(F.lit("/api/nations/"), n, F.lit("/suppliers/{id}")).alias("template"))))
+    n_suppliers = sup.count()  # one scalar
+    key, form = F.col("o_orderkey"), F.pmod("o_custkey", F.lit(8))
+    supplier, place = (F.pmod(key, F.lit(n_suppliers)) + 1).cast("string"), F.pmod(key, F.lit(25)).cast("string")
+    url = (F.when(form == 0, F.concat(F.lit("/api/suppliers/"), supplier, F.lit("?x=1")))
+           .when(form == 1, F.concat(F.lit("/api/nations/"), place, F.lit("/suppliers/${sid}")))
+           .when(form == 2, F.concat(F.lit("https://host.example/api/suppliers/"), supplier, F.lit("/parts/"), F.pmod(key, F.lit(9)).cast("string")))
+           .when(form == 4, F.concat(F.lit("/api/${kind}/"), place)).when(form == 5, F.concat(F.lit("/${base}/suppliers/"), supplier))
+           .when(form == 6, F.concat(F.lit("/api/orders/"), key.cast("string"), F.lit("/lines")))
+           .when(form == 7, F.concat(F.lit("/api/nations/"), place, F.lit("#top"))))
+    operation = (F.when(form == 3, F.concat(F.lit("getSupplier"), supplier)).when(form == 7, F.concat(F.lit("op"), key.cast("string"))))
+    calls = read_table(spark, sf_dir, "orders").select(F.concat(F.lit("o:"), key.cast("string")).alias("call_id"), url.alias("url"),
+                                                       operation.alias("operation"))
+    return routes, specs, calls
+
+
 # ---------------------------------------------------------------- REG ----
 
 def registry(spark: SparkSession) -> DataFrame:
