@@ -29,13 +29,12 @@ def parent_links(levels: DataFrame) -> DataFrame:
     level (then the smallest is the parent) or in none; the top level has no parent and is nested.
     """
     above = levels.select("id", F.col("community").alias("up"), (F.col("level") - 1).alias("level"))
-    top = levels.agg(F.max("level").alias("top"))
+    top = levels.agg(F.max("level")).first()[0]
     return (levels.join(above, ["id", "level"], "left")
             .groupBy("community", "level")
             .agg(F.min("up").alias("parent"), F.max("up").alias("last"), F.count(F.lit(1)).alias("n"), F.count("up").alias("n_up"))
-            .join(top)  # one row
             .select("community", "level", "parent",
-                    ((F.col("level") == F.col("top"))
+                    ((F.col("level") == F.lit(top))
                      | ((F.col("n_up") == F.col("n")) & (F.col("parent") == F.col("last")))).alias("nested")))
 
 

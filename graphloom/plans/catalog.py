@@ -258,6 +258,22 @@ def corrections_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corrections_by_file(files, nodes, fx.cor_corrections(spark, sf_dir, doc_target=True))
 
 
+@register("corrections_named")
+def corrections_named(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each correction's target names: a node id, a path with a scheme, a concept name, its last part, or nothing."""
+    from graphloom.operators.aliases import resolve_targets
+    return resolve_targets(fx.named_corrections(spark, sf_dir), fx.named_nodes(spark, sf_dir))
+
+
+@register("corrections_of_files")
+def corrections_of_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Corrections of every document file, found by path, node id or concept name."""
+    from graphloom.operators.aliases import corrections_of_files as cf
+    nodes = fx.named_nodes(spark, sf_dir)
+    written = nodes.select(F.concat(F.lit("file:./"), F.col("source_file")).alias("source_file"))
+    return cf(written, nodes, fx.named_corrections(spark, sf_dir))
+
+
 CORRECTION_SPLIT_TURN = 4
 
 
@@ -477,6 +493,32 @@ def louvain_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
                       (F.col("q") >= 0.98 * F.col("nation_modularity")).alias("near_nations"))
 
 
+@register("store_communities")
+def store_communities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """GR4 -> GR5 -> GR7 -> GR6 -> EM2 -> EM1 -> GR11 -> J7 on a store with the documents and their links, as one release: every
+    document with its stored community, that community's members, and whether a summary and a vector were stored."""
+    from graphloom.operators.community_build import build_communities
+    from graphloom.sources.store import Store
+    store = Store(spark, _scratch(spark, "community-store"))
+    store.ensure_tables()
+    node = lambda c: F.concat(F.lit("doc:"), F.col(c).cast("string"))
+    docs = fx.doc_nodes(spark, sf_dir)
+    store.append_nodes(docs.select("node_id", "language", "source_file", "chunk_type", "raw_cleaned",
+                                   F.concat(F.lit("doc "), F.coalesce(F.substring("summary", 1, 100), F.lit(""))).alias("summary")))
+    store.append_edges(fx.doc_links(spark, sf_dir).select(
+        F.concat_ws("-", F.col("src").cast("string"), F.col("dst").cast("string")).alias("edge_id"), node("src").alias("source_node_id"),
+        node("dst").alias("target_node_id"), F.lit("SAME").alias("type"), F.lit("deterministic").alias("confidence")))
+    build_communities(store)
+    sizes = store.read("community_tree").select("community_id", "n_members")
+    listed = store.read("community_members").groupBy("community_id").agg(F.count(F.lit(1)).alias("n_listed"))
+    texts = store.read("communities").select("community_id", (F.length("summary") > 0).alias("has_summary"),
+                                             (F.size("embedding") == 64).alias("has_vector"))
+    own = store.read("nodes").select("node_id", "community_id")
+    facts = sizes.join(listed, "community_id").join(texts, "community_id")
+    return own.join(facts, "community_id", "left").select(
+        "node_id", F.regexp_replace("community_id", "^comm:[0-9]+:", "").alias("first_member"), "n_members", "n_listed", "has_summary", "has_vector")
+
+
 @register("community_members")
 def community_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     """GR6 + A8 + U4 + K8: member rows of the document graph's components (singletons dropped)."""
@@ -756,6 +798,35 @@ def quality_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
               keywords=("order", "service", "the"), min_answer_length=100)
 
 
+@register("run_assertions")
+def run_assertions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q1 + A12: the whole rule table on an extractor per nation, ENT, region communities and benchmark texts as answers;
+    passing and failing rows of every rule with a subject."""
+    from graphloom.operators.assertions import answer_rules, check_run, community_rules, extractor_rules, graph_rules
+    comms = fx.region_communities(spark, sf_dir).withColumn(
+        "summary", F.when(F.col("community_id") == "comm:r:3", F.lit(None).cast("string")).otherwise(F.col("summary")))
+    tables = {"registry": fx.checked_registry(spark, sf_dir), "nodes": fx.ent_nodes(spark, sf_dir), "edges": fx.ent_edges(spark, sf_dir),
+              "communities": comms, "answers": fx.benchmark_questions(spark, sf_dir).withColumnRenamed("question_id", "answer_id")}
+    rules = (extractor_rules("native-parser", "python") + graph_rules(8, 7, 1, ("IMPORTS", "CALLS")) + community_rules(4)
+             + answer_rules(("order", "service", "thth"), 100))
+    return check_run(rules, tables)
+
+
+@register("run_summary")
+def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A5: a run that stores ENT and the region communities, with the events as its model calls: counted while written."""
+    from graphloom.session import read_table
+    from graphloom.sources.store import Store
+    store = Store(spark, _scratch(spark, "run-store"))
+    store.ensure_tables()
+    edges = fx.ent_edges(spark, sf_dir).withColumn("confidence", F.when(F.col("confidence") == "inferred", "guessed").otherwise(F.col("confidence")))
+    calls = read_table(spark, sf_dir, "events").select(F.get_json_object("props", "$.k").cast("long").alias("in_tokens"),
+                                                       F.pmod("event_id", F.lit(1000)).alias("out_tokens"), F.col("value").alias("cost_usd"))
+    nodes = fx.ent_nodes(spark, sf_dir).withColumn("summary", F.when(F.col("node_id").startswith("r:"), "").otherwise(F.col("summary")))
+    row = store.write_run(nodes, edges, fx.region_communities(spark, sf_dir), calls)
+    return row.withColumn("cost_usd", F.col("cost_usd").cast("double")).withColumn("timed", F.col("duration_s") > 0).drop("duration_s")
+
+
 def _versioned_doc_nodes(spark, sf_dir):
     """An append-only node table with two versions of the English documents."""
     d = fx.doc_nodes(spark, sf_dir)

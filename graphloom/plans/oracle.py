@@ -666,6 +666,71 @@ SELECT event_id, sprint, prompt_version, v.version AS version_in_force, v.valid_
 FROM runs r ASOF LEFT JOIN val v ON v.suite = r.sprint AND r.ts >= v.valid_from
 """
 
+_NAMED = rf"""{sv.COR}, {sv.DOC_FILES},
+nn AS (SELECT 'doc:' || doc_id AS node_id, path AS source_file,
+              CASE WHEN doc_id % 10 = 0 THEN 'shared.' || COALESCE(file_type, 'none') ELSE source || '.Doc' || doc_id END AS name FROM files),
+nc AS (SELECT correction_id, CASE (conv_id + turn) % 6 WHEN 0 THEN 'doc:' || doc_id WHEN 1 THEN 'file://' || path
+              WHEN 2 THEN ' ' || upper(source) || '.DOC' || doc_id || ' ' WHEN 3 THEN 'DOC' || doc_id
+              WHEN 4 THEN 'Shared.' || COALESCE(file_type, 'none') ELSE 'Nothing#' || doc_id END AS t
+       FROM cor JOIN files ON doc_id = conv_id % (SELECT COUNT(*) FROM documents)),
+ali AS (SELECT 0 AS k, node_id AS alias, node_id, source_file FROM nn UNION SELECT 1, source_file, node_id, source_file FROM nn
+        UNION SELECT 2, lower(trim(name)), node_id, source_file FROM nn
+        UNION SELECT 3, regexp_extract(lower(trim(name)), '([^./:#]+)$', 1), node_id, source_file FROM nn),
+asked AS (SELECT correction_id, 0 AS k, t AS alias FROM nc
+          UNION ALL SELECT correction_id, 1, regexp_replace(regexp_replace(t, '^file:(//)?', ''), '^(\./)+', '') FROM nc
+          UNION ALL SELECT correction_id, 2, lower(trim(t)) FROM nc UNION ALL SELECT correction_id, 3, regexp_extract(lower(trim(t)), '([^./:#]+)$', 1) FROM nc),
+hit AS (SELECT correction_id, k, alias, COUNT(*) AS n, MIN(node_id) AS node_id, MIN(source_file) AS lo, MAX(source_file) AS hi
+        FROM asked JOIN ali USING (k, alias) GROUP BY correction_id, k, alias),
+res AS MATERIALIZED (
+  SELECT nc.correction_id, (['id', 'path', 'name', 'segment'])[h.k + 1] AS match_kind, h.alias, COALESCE(h.n, 0) AS n_nodes,
+         CASE WHEN h.n = 1 THEN h.node_id END AS node_id, CASE WHEN h.lo = h.hi THEN h.lo END AS source_file
+  FROM nc LEFT JOIN (SELECT * FROM hit QUALIFY row_number() OVER (PARTITION BY correction_id ORDER BY k) = 1) h USING (correction_id))"""
+
+ORACLE["corrections_named"] = f"WITH {_NAMED} SELECT * FROM res"
+
+ORACLE["corrections_of_files"] = f"WITH {_NAMED} SELECT source_file, correction_id, match_kind FROM res WHERE source_file IS NOT NULL"
+
+ORACLE["store_communities"] = f"""
+WITH RECURSIVE {sv.DUP}, {sv.DUP_COMPONENTS}
+SELECT 'doc:' || c.id AS node_id, k.first_member, k.n_members, k.n_members AS n_listed,
+       CASE WHEN k.n_members IS NOT NULL THEN true END AS has_summary, CASE WHEN k.n_members IS NOT NULL THEN true END AS has_vector
+FROM comp c LEFT JOIN keep k ON k.component = c.component
+"""
+
+ORACLE["run_assertions"] = f"""
+WITH {sv.ENT_NODES}, {sv.ENT_EDGES},
+reg AS (SELECT 'x-' || n_nationkey AS subject, n_nationkey AS n, lower('tool ' || n_name || chr(10) ||
+          CASE WHEN n_nationkey % 4 <> 0 THEN 'Uses the ' || CASE WHEN n_nationkey % 3 = 0 THEN 'Native-Parser' ELSE 'regex' END ELSE '' END || chr(10) ||
+          CASE WHEN n_nationkey % 5 = 0 THEN 'import native-parser' ELSE '' END) AS words FROM nation),
+one AS (SELECT 'registry' AS "table", 'parser_keyword' AS "check", subject, CAST(contains(words, 'native-parser') AS INT) AS o, 1 AS x FROM reg
+  UNION ALL SELECT 'registry', 'has_handbook', subject, CASE WHEN n % 4 <> 0 THEN 1 ELSE 0 END, 1 FROM reg
+  UNION ALL SELECT 'registry', 'has_summarisation_instructions', subject, 1, 1 FROM reg
+  UNION ALL SELECT 'registry', 'has_application_role', subject, CASE WHEN n % 7 = 0 THEN 0 ELSE 1 END, 1 FROM reg
+  UNION ALL SELECT 'nodes', 'min_nodes', NULL, (SELECT COUNT(*) FROM ent_nodes), 8
+  UNION ALL SELECT 'nodes', 'min_files', NULL, (SELECT COUNT(DISTINCT source_file) FROM ent_nodes), 7
+  UNION ALL SELECT 'edges', 'min_deterministic', NULL, (SELECT COUNT(*) FROM ent_edges WHERE confidence = 'deterministic'), 1
+  UNION ALL SELECT 'edges', 'expected_edge_types', NULL, (SELECT COUNT(*) FROM ent_edges WHERE type IN ('IMPORTS', 'CALLS')), 1
+  UNION ALL SELECT 'communities', 'min_communities', NULL, (SELECT COUNT(*) FROM region), 4
+  UNION ALL SELECT 'answers', 'answer_keywords', CAST(item_id AS VARCHAR), CAST(regexp_matches(lower(COALESCE(text, '')), 'order|service|thth') AS INT), 1 FROM benchmark)
+SELECT "table", "check", subject, CAST(o AS VARCHAR) AS observed, '>= ' || x AS expected, o >= x AS passed FROM one
+UNION ALL SELECT 'registry', 'environment', subject, CASE WHEN n % 6 = 0 THEN 'node' ELSE 'python' END, '= python', n % 6 <> 0 FROM reg
+UNION ALL SELECT 'edges', 'invalid_confidences', NULL, '0', '= 0', true
+UNION ALL SELECT 'communities', 'without_summary', NULL, '1', '= 0', false
+UNION ALL SELECT 'answers', 'answer_length', CAST(item_id AS VARCHAR), CAST(length(COALESCE(text, '')) AS VARCHAR), '> 100', length(COALESCE(text, '')) > 100 FROM benchmark
+"""
+
+ORACLE["run_summary"] = f"""
+WITH {sv.ENT_NODES}, {sv.ENT_EDGES}
+SELECT n.*, e.*, (SELECT COUNT(*) FROM region) AS communities, c.*, true AS timed
+FROM (SELECT COUNT(*) FILTER (WHERE chunk_type <> 'region' AND length(summary) > 0) AS nodes,
+             COUNT(*) FILTER (WHERE chunk_type = 'region' OR COALESCE(length(summary), 0) = 0) AS rejected FROM ent_nodes) n,
+     (SELECT COUNT(*) AS edges, COUNT(*) FILTER (WHERE confidence = 'deterministic') AS n_deterministic,
+             COUNT(*) FILTER (WHERE confidence = 'probabilistic') AS n_probabilistic, COUNT(*) FILTER (WHERE confidence = 'inferred') AS n_inferred,
+             COUNT(*) FILTER (WHERE confidence = 'inferred') AS coerced FROM ent_edges) e,
+     (SELECT COUNT(*) AS calls, CAST(SUM(COALESCE(CAST(json_extract_string(props, '$.k') AS BIGINT), 0)) AS BIGINT) AS in_tokens,
+             CAST(SUM(event_id % 1000) AS BIGINT) AS out_tokens, CAST(SUM(COALESCE(CAST(value AS DECIMAL(18,6)), 0)) AS DOUBLE) AS cost_usd FROM events) c
+"""
+
 _TRADE = """nations AS (SELECT n_nationkey AS nk, n_regionkey AS rk FROM nation),
 mem AS MATERIALIZED (
   SELECT id, nk || '/' || kind AS l0, CAST(nk AS VARCHAR) AS l1, 'region ' || rk AS l2 FROM (

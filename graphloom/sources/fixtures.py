@@ -280,6 +280,41 @@ def document_drops(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.unionByName(gone)
 
 
+def named_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """NAMED: document nodes ``(node_id, source_file, name)`` with a concept name; every tenth shares the name of its language."""
+    f = document_files(spark, sf_dir)
+    own = F.concat(F.col("source"), F.lit(".Doc"), _s("doc_id"))
+    shared = F.concat(F.lit("shared."), F.coalesce("file_type", F.lit("none")))
+    return f.select(F.concat(F.lit("doc:"), _s("doc_id")).alias("node_id"), F.col("path").alias("source_file"),
+                    F.when(F.pmod("doc_id", F.lit(10)) == 0, shared).otherwise(own).alias("name"))
+
+
+def named_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """NAMED: corrections whose target is an id, a path with a scheme, a concept name, its last part, a shared name or nothing known."""
+    cor = cor_corrections(spark, sf_dir)
+    files = document_files(spark, sf_dir)
+    n_docs = files.count()  # one scalar
+    docs = files.select("doc_id", "source", "path", F.coalesce("file_type", F.lit("none")).alias("lang"))
+    d = cor.withColumn("doc_id", F.pmod("conv_id", F.lit(n_docs))).join(docs, "doc_id")
+    key, own = _s("doc_id"), F.concat(F.lit("doc"), _s("doc_id"))
+    way = F.pmod(F.col("conv_id") + F.col("turn"), F.lit(6))
+    target = (F.when(way == 0, F.concat(F.lit("doc:"), key)).when(way == 1, F.concat(F.lit("file://"), "path"))
+              .when(way == 2, F.concat(F.lit(" "), F.upper("source"), F.lit("."), F.upper(own), F.lit(" "))).when(way == 3, F.upper(own))
+              .when(way == 4, F.concat(F.lit("Shared."), "lang")).otherwise(F.concat(F.lit("Nothing#"), key)))
+    return d.select("correction_id", target.alias("target_id"), "original", "corrected")
+
+
+def checked_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CHECKED: one extractor per nation; some lack a handbook, a role or the keyword, some run elsewhere."""
+    n, k = F.col("n_nationkey"), _s("n_nationkey")
+    return read_table(spark, sf_dir, "nation").select(
+        F.concat(F.lit("x-"), k).alias("skill_id"), F.concat(F.lit("tool "), "n_name").alias("tool_name"),
+        F.when(n % 4 != 0, F.concat(F.lit("Uses the "), F.when(n % 3 == 0, "Native-Parser").otherwise("regex"))).alias("handbook"),
+        F.when(n % 5 == 0, "import native-parser").otherwise("").alias("extraction_script"),
+        F.concat(F.lit("say "), k).alias("summarisation_instructions"), F.when(n % 7 == 0, " ").otherwise("role").alias("application_role"),
+        F.when(n % 6 == 0, "node").otherwise("python").alias("execution_environment"))
+
+
 # ---------------------------------------------------------------- RUN ----
 
 def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,8 +8,9 @@ overwritten.  The base path is a shared file system path on a cluster.
 
 from __future__ import annotations
 
-import os
 import re
+import time
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,9 +22,17 @@ from graphloom import schemas as S
 #: GR11: members of communities as rows.
 MEMBERS = T.StructType([T.StructField("community_id", T.StringType()), T.StructField("node_id", T.StringType()),
                         T.StructField("level", T.IntegerType())])
+#: GR7: one row per community of every level.
+TREE = T.StructType([T.StructField("community_id", T.StringType()), T.StructField("level", T.IntegerType()),
+                     T.StructField("parent_id", T.StringType()), T.StructField("n_members", T.LongType()),
+                     T.StructField("n_children", T.LongType()), T.StructField("inner_weight", T.LongType()),
+                     T.StructField("cut_weight", T.LongType())])
 TABLES = {"nodes": S.NODES, "edges": S.EDGES, "communities": S.COMMUNITIES,
           "corrections": S.CORRECTIONS, "registry": S.REGISTRY, "community_members": MEMBERS}
 
+#: Tables that a job writes as a whole; empty until then.
+DERIVED = {"community_tree": TREE}
+
 
 def _fs(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
@@ -64,8 +73,42 @@ class Store:
         if not fs.exists(p):
             return []
         found = [f.getPath().getName() for f in fs.listStatus(p) if f.isDirectory()]
-        return sorted((v for v in found if re.fullmatch(r"v\d+", v)
-                       and _exists(self.spark, f"{self.base.rstrip('/')}/{table}/{v}/_SUCCESS")), key=lambda v: int(v[1:]))
+        return sorted((v for v in found if re.fullmatch(r"v\d+", v) and self._complete(f"{self.base.rstrip('/')}/{table}/{v}")),
+                      key=lambda v: int(v[1:]))
+
+    def _complete(self, folder: str) -> bool:
+        """Whether a version's job has committed and, if it belongs to a release, the release has too."""
+        fs, p = _fs(self.spark, folder)
+        names = {f.getPath().getName() for f in fs.listStatus(p)}
+        release = next((n.removeprefix("_RELEASE-") for n in names if n.startswith("_RELEASE-")), None)
+        return "_SUCCESS" in names and (release is None or _exists(self.spark, f"{self.base.rstrip('/')}/_releases/{release}"))
+
+    def _next_version(self, table: str) -> str:
+        """Folder for the next version of a table, claimed by this writer; another writer that claims it fails."""
+        fs, p = _fs(self.spark, f"{self.base.rstrip('/')}/{table}")
+        names = [f.getPath().getName() for f in fs.listStatus(p)] if fs.exists(p) else []
+        number = max((int(n[1:]) for n in names if re.fullmatch(r"v\d+", n)), default=0) + 1
+        folder = f"{self.base.rstrip('/')}/{table}/v{number:04d}"
+        fs, claim = _fs(self.spark, f"{folder}/_CLAIMED")
+        fs.create(claim, False).close()
+        return folder
+
+    def commit_tables(self, tables: dict[str, DataFrame]) -> str:
+        """New versions of several tables that become readable together; returns the release's name.
+
+        Every version is marked as part of the release before it is written, and the release counts once all of them are there: a
+        job that dies halfway leaves the old versions in force.
+        """
+        release = uuid.uuid4().hex
+        for name, df in tables.items():
+            folder = self._next_version(name)
+            fs, mark = _fs(self.spark, f"{folder}/_RELEASE-{release}")
+            fs.create(mark, False).close()
+            _conform(df, (TABLES | DERIVED)[name], {}).write.mode("append").parquet(folder)
+        fs, done = _fs(self.spark, f"{self.base.rstrip('/')}/_releases/{release}")
+        fs.mkdirs(done.getParent())
+        fs.create(done, False).close()
+        return release
 
     def path(self, table: str) -> str:
         """Directory of the current (newest complete) version of a table."""
@@ -83,7 +126,9 @@ class Store:
 
     # -- S8 / P1 --------------------------------------------------------------
     def read(self, table: str, with_vectors: bool = True) -> DataFrame:
-        df = self.spark.read.schema(TABLES[table]).parquet(self.path(table))
+        if table in DERIVED and not self._versions(table):
+            return self.spark.createDataFrame([], DERIVED[table])
+        df = self.spark.read.schema((TABLES | DERIVED)[table]).parquet(self.path(table))
         return df if with_vectors else df.drop("embedding")
 
     # -- S5 / P10 ------------------------------------------------------------
@@ -126,10 +171,9 @@ class Store:
     def write_back_membership(self, members: DataFrame) -> str:
         """Set ``community_id`` of member nodes in a new version of ``nodes``."""
         from graphloom.operators.communities import write_back_membership
-        cur = self.path("nodes")
-        version = "v%04d" % (int(os.path.basename(cur)[1:]) + 1)
-        new_path = f"{self.base.rstrip('/')}/nodes/{version}"
-        write_back_membership(self.read("nodes"), members).write.mode("overwrite").parquet(new_path)
+        current = self.read("nodes")
+        new_path = self._next_version("nodes")
+        write_back_membership(current, members).write.mode("append").parquet(new_path)
         return new_path
 
     def store_communities(self, members: DataFrame, summaries: DataFrame, embed=None) -> str:
@@ -151,6 +195,39 @@ class Store:
         self.append_communities(rows)
         return self.write_back_membership(members.select("node_id", "community_id"))
 
+    # -- A5 -----------------------------------------------------------------
+    def write_run(self, nodes: DataFrame, edges: DataFrame, communities: DataFrame | None = None,
+                  calls: DataFrame | None = None) -> DataFrame:
+        """A5: appends a run's nodes, edges and communities and returns its summary, one row.
+
+        ``nodes, rejected, edges, n_deterministic, n_probabilistic, n_inferred, coerced, communities, calls, in_tokens, out_tokens, cost_usd,
+        duration_s``.  The counts are taken while the rows are written (``observe``), nothing is read again; ``calls`` holds
+        the run's model calls (in_tokens, out_tokens, cost_usd).  A retried task may write and count rows twice only where the sink
+        itself would keep them twice.
+        """
+        from pyspark.sql import Observation
+        start, one = time.monotonic(), F.count(F.lit(1))
+        bad = ~(F.col("node_id").isNotNull() & (F.length(F.coalesce(F.col("summary"), F.lit(""))) > 0))
+        seen_nodes, seen_edges, seen_comms, seen_calls = (Observation() for _ in range(4))
+        self.append_nodes(nodes.observe(seen_nodes, F.count_if(~bad).alias("nodes"), F.count_if(bad).alias("rejected")))
+        kept = F.length(F.coalesce(F.col("target_node_id"), F.lit(""))) > 0
+        level = S.coerce_confidence("confidence")
+        self.append_edges(edges.observe(
+            seen_edges, F.count_if(kept).alias("edges"), *[F.count_if(kept & (level == c)).alias(f"n_{c}") for c in S.CONFIDENCE_LEVELS],
+            F.count_if(kept & ~F.coalesce(F.col("confidence").isin(*S.CONFIDENCE_LEVELS), F.lit(False))).alias("coerced")))
+        row = {**seen_nodes.get, **seen_edges.get, "communities": 0, "calls": 0, "in_tokens": 0, "out_tokens": 0, "cost_usd": None}
+        if communities is not None:
+            self.append_communities(communities.observe(seen_comms, F.count_if(F.length(F.coalesce(F.col("summary"), F.lit(""))) > 0).alias("communities")))
+            row |= seen_comms.get
+        if calls is not None:
+            total = lambda c: F.sum(F.coalesce(F.col(c), F.lit(0))).cast("long").alias(c)
+            cost = F.sum(F.coalesce(F.col("cost_usd").cast("decimal(18,6)"), F.lit(0).cast("decimal(18,6)"))).cast("decimal(24,6)").alias("cost_usd")
+            calls.observe(seen_calls, one.alias("calls"), total("in_tokens"), total("out_tokens"), cost).write.format("noop").mode("overwrite").save()
+            row |= {k: v for k, v in seen_calls.get.items() if v is not None}
+        row["duration_s"] = round(time.monotonic() - start, 3)
+        kinds = {"cost_usd": "decimal(24,6)", "duration_s": "double"}
+        return self.spark.createDataFrame([tuple(row.values())], ", ".join(f"{k} {kinds.get(k, 'long')}" for k in row))
+
     # -- S11 ----------------------------------------------------------------
     def export_run(self, out_dir: str) -> None:
         """Nodes, edges and communities as JSON without vectors, plus a one-row meta table."""
