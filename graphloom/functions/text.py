@@ -86,7 +86,7 @@ def strip_fence(text) -> Column:
     return F.when(t.startswith("```"), F.trim(F.array_join(body, "\n"))).otherwise(t)
 
 
-def fix_triple_quotes(text) -> Column:
+def triple_quoted_to_json(text) -> Column:
     """Replace ``\"\"\"...\"\"\"`` by one JSON string with \\, \" and newline escaped."""
     toks = F.regexp_extract_all(_c(text), F.lit(TRIPLE_TOKEN), 0)
 
@@ -112,4 +112,4 @@ def escape_controls_in_strings(text) -> Column:
 
 def repair_json(raw) -> Column:
     """fence strip -> triple-quote fix -> control-character escaping."""
-    return escape_controls_in_strings(fix_triple_quotes(strip_fence(raw)))
+    return escape_controls_in_strings(triple_quoted_to_json(strip_fence(raw)))

@@ -22,9 +22,9 @@ def lookup_nodes(nodes: DataFrame, ids: DataFrame, id_col: str = "node_id") -> D
     n = without_vectors(nodes).join(ids.select(F.col(id_col).alias("node_id")).distinct(),
                                     "node_id", "left_semi")
     cols = [c for c in n.columns if c != "node_id"]
-    order = F.struct(F.col("updated_at"), *[F.col(c) for c in cols if c != "updated_at"])
-    return (n.groupBy("node_id").agg(F.max_by(F.struct(*cols), order).alias("_n"))
-            .select("node_id", "_n.*"))
+    # one struct is both the order and the row, so every text is in the shuffle once
+    newest = F.max(F.struct("updated_at", *[c for c in cols if c != "updated_at"]))
+    return n.groupBy("node_id").agg(newest.alias("_n")).select("node_id", *[F.col("_n").getField(c).alias(c) for c in cols])
 
 
 def list_nodes(nodes: DataFrame, limit: int = 200) -> DataFrame:
