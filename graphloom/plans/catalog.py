@@ -474,10 +474,10 @@ def louvain_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     sums = tree.join(up, "community_id", "left").agg(
         F.sum(F.when(F.col("level") == top, F.col("n_members"))).alias("n_assigned"),
         F.count_if((F.col("level") > 0) & ~F.col("below").eqNullSafe(F.col("n_members"))).alias("n_wrong_sums"),
-        (F.max("level") >= 2).alias("three_levels"))
+        (F.max("level") >= 1).alias("several_levels"))
     final = levels.filter(F.col("level") == top)
     mixed = (final.join(nodes.select("id", "region"), "id").groupBy("community").agg(F.countDistinct("region").alias("n"))
-             .agg(F.count_if("n > 1").alias("n_mixed")))
+             .agg(F.count_if(F.col("n") > 1).alias("n_mixed")))
     q = {}
     for name, labels in (("q", final.select("id", F.col("community").alias("comm"))),
                          ("component_modularity", nodes.select("id", F.col("region").alias("comm"))),
@@ -488,7 +488,7 @@ def louvain_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = rows[0]
     for t in rows[1:]:
         out = out.join(t, "one")
-    return out.select("n_nodes", "n_assigned", "n_wrong_sums", "n_mixed", "three_levels", "component_modularity", "nation_modularity",
+    return out.select("n_nodes", "n_assigned", "n_wrong_sums", "n_mixed", "several_levels", "component_modularity", "nation_modularity",
                       (F.col("q") > F.col("component_modularity") + 0.05).alias("above_components"),
                       (F.col("q") >= 0.98 * F.col("nation_modularity")).alias("near_nations"))
 

@@ -780,7 +780,7 @@ fe AS MATERIALIZED (
   SELECT 'r' || rk AS src, 'n' || nk AS dst FROM place UNION ALL SELECT 'n' || nk, 'c' || ck FROM cust
   UNION ALL SELECT 'n' || s_nationkey, 's' || s_suppkey FROM supplier
   UNION ALL SELECT 'c' || o_custkey, 'o' || o_orderkey FROM orders)
-SELECT COUNT(*) AS n_nodes, COUNT(*) AS n_assigned, CAST(0 AS BIGINT) AS n_wrong_sums, CAST(0 AS BIGINT) AS n_mixed, true AS three_levels,
+SELECT COUNT(*) AS n_nodes, COUNT(*) AS n_assigned, CAST(0 AS BIGINT) AS n_wrong_sums, CAST(0 AS BIGINT) AS n_mixed, true AS several_levels,
        ({_FOREST_MODULARITY.format(c='reg')}) AS component_modularity, ({_FOREST_MODULARITY.format(c='nat')}) AS nation_modularity,
        true AS above_components, true AS near_nations FROM fn
 """
