@@ -1060,6 +1060,116 @@ def gap_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
                         gap_report(unmatched_files=un2, scored_edges=e))
 
 
+# ------------------------------------------------------- store and files ----
+
+@register("store_round_trip")
+def store_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ENT, the region communities and the captured corrections appended to a new store and read back:
+    rows, rejected rows, rows whose empty values got a default, confidences coerced."""
+    from graphloom.sources.store import Store
+    store = Store(spark, _scratch(spark, "round-trip"))
+    store.ensure_tables()
+    nodes = fx.ent_nodes(spark, sf_dir).withColumn("chunk_type", F.when(F.col("chunk_type") != "part", F.col("chunk_type")))
+    bad_nodes = store.append_nodes(nodes.withColumn("summary", F.when(~F.col("chunk_type").eqNullSafe("region"), F.col("summary"))))
+    store.append_edges(fx.ent_edges(spark, sf_dir).select(
+        "edge_id", "source_node_id", F.when(F.col("type") != "INHERITS", F.col("target_node_id")).alias("target_node_id"), "type",
+        F.when(F.col("confidence") != "probabilistic", F.col("confidence")).alias("confidence")))
+    bad_comms = store.append_communities(fx.region_communities(spark, sf_dir).withColumn(
+        "summary", F.when(F.col("community_id") != "comm:r:0", F.col("summary"))))
+    store.append_corrections(fx.cor_corrections(spark, sf_dir))
+    n = F.count(F.lit(1))
+    rows = [store.read("nodes", with_vectors=False).agg(F.lit("nodes").alias("table"), n.alias("n"), F.count_if(F.col("chunk_type") == "unknown").alias("n_filled")),
+            store.read("edges").agg(F.lit("edges").alias("table"), n.alias("n"), F.count_if(F.col("confidence") == "inferred").alias("n_filled")),
+            store.read("communities", with_vectors=False).agg(F.lit("communities").alias("table"), n.alias("n"), F.count_if(F.col("level") == 0).alias("n_filled")),
+            store.read("corrections").agg(F.lit("corrections").alias("table"), n.alias("n"), F.count_if(F.col("captured_at").isNotNull()).alias("n_filled")),
+            bad_nodes.agg(F.lit("rejected nodes").alias("table"), n.alias("n"), F.lit(0).cast("long").alias("n_filled")),
+            bad_comms.agg(F.lit("rejected communities").alias("table"), n.alias("n"), F.lit(0).cast("long").alias("n_filled"))]
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    return out
+
+
+@register("files_scanned")
+def files_scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S1 + S2: a folder tree with the documents of each source and language, scanned recursively: name, extension, language, length."""
+    from graphloom.sources.files import scan_files
+    root = _scratch(spark, "scanned")
+    lines = fx.document_drops(spark, sf_dir).filter("drop = 1")
+    (lines.repartition("file").sortWithinPartitions("file", "n").select("file", "value").write.partitionBy("file").text(root))
+    found = scan_files(spark, root, "*.txt")
+    return found.select(F.regexp_extract("path", "/file=([^/]+)/", 1).alias("file"), "ext", "language", "valid_utf8",
+                        F.length("text").alias("n_chars"), F.sha2("text", 256).alias("content"))
+
+
+@register("run_log_round_trip")
+def run_log_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S9 + S10 + W1: the run log written as JSON arrays of about a thousand runs, loaded, appended to a Parquet log and numbered."""
+    from graphloom.operators.ledger import append_runs, global_row_number, load_run_log
+    folder, log = _scratch(spark, "run-json"), _scratch(spark, "run-log")
+    runs = fx.run_log(spark, sf_dir)
+    files = runs.count() // 1000 + 1  # one scalar
+    names = ["timestamp", "sprint", "nodes", "edges", "passed", "prompt_version", "suite_version", "run_dir", "cost_usd", "in_tokens", "out_tokens", "canonical"]
+    (runs.groupBy(F.pmod(F.xxhash64("run_dir"), F.lit(files)).alias("file")).agg(F.to_json(F.collect_list(F.struct(*names))).alias("value"))
+     .repartition(files, "file").write.partitionBy("file").text(folder))
+    append_runs(load_run_log(spark, folder).drop("file"), log)
+    numbered = global_row_number(spark.read.parquet(log).drop("run_num"), ["timestamp", "run_dir"])
+    return numbered.select("run_num", "run_dir", "sprint", "passed", "suite_version", F.col("cost_usd").cast("double").alias("cost_usd"),
+                           "in_tokens", "skill_id", "canonical")
+
+
+@register("registry_json")
+def registry_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P3 + S12 + F4: a registry of one extractor per nation written with JSON list columns, its entries for the even regions
+    looked up by id and decoded again."""
+    from graphloom.operators.search import get_extractors
+    from graphloom.session import read_table
+    from graphloom.sources.store import registry_to_json_columns
+    k = F.col("n_nationkey").cast("string")
+    reg = read_table(spark, sf_dir, "nation").select(
+        F.concat(F.lit("x-"), k).alias("skill_id"), "n_regionkey", F.array(F.concat(F.lit("t"), k), F.concat(F.lit('.t"'), k)).alias("file_types"),
+        F.array(F.struct(F.lit("CALLS").alias("type"), F.lit("inferred").alias("confidence"))).alias("edge_types"),
+        F.when(F.col("n_nationkey") % 2 == 0, F.array(F.lit("none"))).alias("limitations"))
+    written = registry_to_json_columns(reg)
+    found = get_extractors(written.drop("n_regionkey"), reg.filter("n_regionkey % 2 = 0"))
+    return (found.join(written.select("skill_id", F.col("file_types").alias("as_json")), "skill_id")
+            .select("skill_id", "as_json", F.array_join("file_types", "|").alias("file_types"), F.array_join("limitations", "|").alias("limitations"),
+                    F.col("edge_types")[0]["type"].alias("edge_type")))
+
+
+@register("stripped_lines")
+def stripped_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """X8 + X7: license and secret lines stripped from every document, and whether its first word would be a page-wide selector."""
+    from graphloom.operators.extract import is_infrastructure, strip_boilerplate
+    from graphloom.session import read_table
+    d = read_table(spark, sf_dir, "documents").filter("text IS NOT NULL")
+    clean = strip_boilerplate("text", [r"(?i)licensed under", r"(?i)(token|secret|password|api_key)\s*="])
+    selector = F.element_at(F.array(*[F.lit(x) for x in ("*", "html ", ".card", "body", "::before", "*::after", "body p", "#html")]),
+                            (F.pmod("doc_id", F.lit(8)) + 1).cast("int"))
+    return d.select("doc_id", F.length(clean).alias("n_chars"), F.sha2(clean, 256).alias("content"), is_infrastructure(selector).alias("page_wide"))
+
+
+@register("embedded_documents")
+def embedded_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """EM1: hashed vectors of every document: dimensions, whether the length is 1 (0 without words), and whether equal texts have
+    equal vectors."""
+    from graphloom.operators.vectors import dot, embed_text
+    from graphloom.session import read_table
+    d = read_table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    v = embed_text(d, "text").withColumn("key", F.sha2("text", 256))
+    length = dot("vec", "vec")
+    same = v.groupBy("key").agg(F.min(F.col("vec").cast("string")).alias("lo"), F.max(F.col("vec").cast("string")).alias("hi"))
+    return (v.join(same, "key").select("doc_id", F.size("vec").alias("dims"), (F.abs(length - 1) < 1e-5).alias("unit"),
+                                       (F.col("lo") == F.col("hi")).alias("same_for_copies")))
+
+
+@register("rejected_files")
+def rejected_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G1: files that the user's line extractor rejects, counted by extension and error class."""
+    from graphloom.operators.gaps import unparseable_by_type as ubt
+    return ubt(extract_user_function(spark, sf_dir).filter("error_class IS NOT NULL"))
+
+
 # ------------------------------------------------- registered extractors ----
 
 def _document_chunks(spark, sf_dir):

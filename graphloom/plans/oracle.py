@@ -731,6 +731,51 @@ FROM (SELECT COUNT(*) FILTER (WHERE chunk_type <> 'region' AND length(summary) >
              CAST(SUM(event_id % 1000) AS BIGINT) AS out_tokens, CAST(SUM(COALESCE(CAST(value AS DECIMAL(18,6)), 0)) AS DOUBLE) AS cost_usd FROM events) c
 """
 
+ORACLE["store_round_trip"] = f"""
+WITH {sv.ENT_NODES}, {sv.ENT_EDGES}, {sv.COR},
+n AS (SELECT CASE WHEN chunk_type <> 'region' THEN summary END AS summary, chunk_type FROM ent_nodes)
+SELECT 'nodes' AS "table", COUNT(*) AS n, COUNT(*) FILTER (WHERE chunk_type = 'part') AS n_filled FROM n WHERE length(summary) > 0
+UNION ALL SELECT 'rejected nodes', COUNT(*), 0 FROM n WHERE COALESCE(length(summary), 0) = 0
+UNION ALL SELECT 'edges', COUNT(*), COUNT(*) FILTER (WHERE confidence <> 'deterministic') FROM ent_edges WHERE type <> 'INHERITS'
+UNION ALL SELECT 'communities', COUNT(*), COUNT(*) FROM region WHERE r_regionkey <> 0
+UNION ALL SELECT 'rejected communities', COUNT(*), 0 FROM region WHERE r_regionkey = 0
+UNION ALL SELECT 'corrections', COUNT(*), COUNT(*) FROM cor
+"""
+
+ORACLE["files_scanned"] = """
+SELECT file, 'txt' AS ext, 'txt' AS language, true AS valid_utf8, CAST(length(t) AS INTEGER) AS n_chars, sha256(t) AS content FROM (
+  SELECT concat_ws('.', source, lang, 'txt') AS file,
+         string_agg(doc_id || chr(9) || translate(COALESCE(text, ''), chr(10) || chr(13) || chr(9), '   ') || chr(10), '' ORDER BY doc_id) AS t
+  FROM documents GROUP BY 1) f
+"""
+
+ORACLE["run_log_round_trip"] = f"""
+WITH {sv.RUN}
+SELECT row_number() OVER (ORDER BY timestamp, run_dir) AS run_num, run_dir, sprint, passed, suite_version, CAST(cost_usd AS DOUBLE) AS cost_usd,
+       in_tokens, CAST(NULL AS VARCHAR) AS skill_id, canonical FROM runs
+"""
+
+ORACLE["registry_json"] = """
+SELECT 'x-' || n_nationkey AS skill_id, '["t' || n_nationkey || '",".t\\"' || n_nationkey || '"]' AS as_json,
+       't' || n_nationkey || '|.t"' || n_nationkey AS file_types, CASE WHEN n_nationkey % 2 = 0 THEN 'none' END AS limitations, 'CALLS' AS edge_type
+FROM nation WHERE n_regionkey % 2 = 0
+"""
+
+ORACLE["stripped_lines"] = """
+WITH d AS (SELECT doc_id, array_to_string(list_filter(string_split(text, chr(10)), lambda x: NOT regexp_matches(x, '(?i)licensed under')
+             AND NOT regexp_matches(x, '(?i)(token|secret|password|api_key)\\s*=')), chr(10)) AS t FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, CAST(length(t) AS INTEGER) AS n_chars, sha256(t) AS content, doc_id % 8 IN (0, 1, 3, 4, 5) AS page_wide FROM d
+"""
+
+ORACLE["embedded_documents"] = """
+SELECT doc_id, 64 AS dims, regexp_matches(COALESCE(text, ''), '[A-Za-z0-9_]') AS unit, true AS same_for_copies FROM documents
+"""
+
+ORACLE["rejected_files"] = f"""
+SELECT regexp_extract(path, '\\.([^./]+)$', 1) AS ext, error_class, COUNT(*) AS n_files
+FROM ({ORACLE['extract_user_function']}) x WHERE error_class IS NOT NULL GROUP BY ALL
+"""
+
 _TRADE = """nations AS (SELECT n_nationkey AS nk, n_regionkey AS rk FROM nation),
 mem AS MATERIALIZED (
   SELECT id, nk || '/' || kind AS l0, CAST(nk AS VARCHAR) AS l1, 'region ' || rk AS l2 FROM (
