@@ -76,6 +76,12 @@ def edge_type_summary(edges: DataFrame) -> DataFrame:
     )
 
 
+def invalid_confidences(edges: DataFrame) -> DataFrame:
+    """A4: ``(confidence, type, n_edges, first_edge)`` of the edges whose confidence is outside the domain, null included."""
+    wrong = ~F.coalesce(F.col("confidence").isin(*CONFIDENCE_LEVELS), F.lit(False))
+    return edges.filter(wrong).groupBy("confidence", "type").agg(F.count(F.lit(1)).alias("n_edges"), F.min("edge_id").alias("first_edge"))
+
+
 def modularity(edges: DataFrame, labels: DataFrame) -> DataFrame:
     """GR8: Newman modularity of a labelling of an undirected simple graph.
 

@@ -44,6 +44,14 @@ def traverse_outbound_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.edges.select("root_id", "edge_id", "hop")
 
 
+@register("outbound_orders_by_hop")
+def outbound_orders_by_hop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """GR1 outbound, depth 3, every order is a root: edges per root and hop, with a checksum of their ids."""
+    t = tv.traverse(fx.ent_edges(spark, sf_dir), fx.ent_roots(spark, sf_dir, "orders"), 3, "outbound")
+    part = F.conv(F.substring(F.md5("edge_id"), 1, 8), 16, 10).cast("long")
+    return t.edges.groupBy("root_id", "hop").agg(F.count(F.lit(1)).alias("n_edges"), F.sum(part).alias("checksum"))
+
+
 @register("traverse_both_nations")
 def traverse_both_nations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """GR1 both directions, depth 2, every nation is a root (U2, times_seen)."""
@@ -129,6 +137,16 @@ def edge_type_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ets(fx.ent_edges(spark, sf_dir))
 
 
+@register("invalid_confidences")
+def invalid_confidences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A4: ENT edges of urgent orders and of returned lines with a confidence outside the domain, listed by value and type."""
+    from graphloom.operators.graph import invalid_confidences as ic
+    e = fx.ent_edges(spark, sf_dir)
+    odd = (F.when(F.col("evidence") == "1-URGENT", F.lit("certain")).when((F.col("evidence") == "F") & (F.col("confidence") == "inferred"), F.lit(None).cast("string"))
+           .otherwise(F.col("confidence")))
+    return ic(e.withColumn("confidence", odd))
+
+
 @register("simple_graph")
 def simple_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """GR4 + J4: undirected simple graph of ENT."""
@@ -1090,6 +1108,25 @@ def store_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+@register("run_export")
+def run_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S11 + A5: ENT stored as a run, exported as JSON without vectors and read back, with the run's meta row."""
+    from graphloom.session import read_table
+    from graphloom.sources.store import Store
+    out = _scratch(spark, "run-export")
+    store = Store(spark, _scratch(spark, "export-store"))
+    store.ensure_tables()
+    calls = read_table(spark, sf_dir, "events").select(F.get_json_object("props", "$.k").cast("long").alias("in_tokens"),
+                                                       F.pmod("event_id", F.lit(1000)).alias("out_tokens"), F.col("value").alias("cost_usd"))
+    summary = store.write_run(fx.ent_nodes(spark, sf_dir), fx.ent_edges(spark, sf_dir), fx.region_communities(spark, sf_dir), calls)
+    store.export_run(out, summary)
+    meta = spark.read.json(f"{out}/meta").withColumn("one", F.lit(1))
+    count = lambda name: spark.read.json(f"{out}/{name}").agg(F.count(F.lit(1)).alias(f"{name}_read"), F.lit(1).alias("one"))
+    read = count("nodes").join(count("edges"), "one").join(count("communities"), "one").join(meta, "one")  # one row each
+    return read.select("nodes_read", "edges_read", "communities_read", "nodes", "edges", "communities", "files", "edge_types", "n_deterministic",
+                       "n_invalid", "calls", "in_tokens", "out_tokens", "cost_usd", (F.col("duration_s") > 0).alias("timed"))
+
+
 @register("files_scanned")
 def files_scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S1 + S2: a folder tree with the documents of each source and language, scanned recursively: name, extension, language, length."""

@@ -776,6 +776,31 @@ SELECT regexp_extract(path, '\\.([^./]+)$', 1) AS ext, error_class, COUNT(*) AS
 FROM ({ORACLE['extract_user_function']}) x WHERE error_class IS NOT NULL GROUP BY ALL
 """
 
+ORACLE["outbound_orders_by_hop"] = f"""
+WITH {_walk('orders', 'outbound', 3)}
+SELECT root_id, hop, COUNT(*) AS n_edges, CAST(SUM(CAST('0x' || substr(md5(edge_id), 1, 8) AS BIGINT)) AS BIGINT) AS checksum
+FROM ({sv.visited_edges_sql('outbound', 3)}) e GROUP BY root_id, hop
+"""
+
+ORACLE["invalid_confidences"] = f"""
+WITH {sv.ENT_EDGES},
+e AS (SELECT edge_id, type, CASE WHEN evidence = '1-URGENT' THEN 'certain' WHEN evidence = 'F' AND confidence = 'inferred' THEN NULL ELSE confidence END AS confidence
+      FROM ent_edges)
+SELECT confidence, type, COUNT(*) AS n_edges, MIN(edge_id) AS first_edge FROM e
+WHERE confidence IS NULL OR confidence NOT IN ('deterministic', 'probabilistic', 'inferred') GROUP BY confidence, type
+"""
+
+ORACLE["run_export"] = f"""
+WITH {sv.ENT_NODES}, {sv.ENT_EDGES},
+n AS (SELECT COUNT(*) AS c, COUNT(DISTINCT source_file) AS f FROM ent_nodes WHERE length(summary) > 0),
+e AS (SELECT COUNT(*) AS c, COUNT(*) FILTER (WHERE confidence = 'deterministic') AS d, string_agg(DISTINCT type, ', ' ORDER BY type) AS t FROM ent_edges),
+r AS (SELECT COUNT(*) AS c FROM region),
+v AS (SELECT COUNT(*) AS calls, CAST(SUM(COALESCE(CAST(json_extract_string(props, '$.k') AS BIGINT), 0)) AS BIGINT) AS in_tokens,
+             CAST(SUM(event_id % 1000) AS BIGINT) AS out_tokens, CAST(SUM(COALESCE(CAST(value AS DECIMAL(18,6)), 0)) AS DOUBLE) AS cost_usd FROM events)
+SELECT n.c AS nodes_read, e.c AS edges_read, r.c AS communities_read, n.c AS nodes, e.c AS edges, r.c AS communities, n.f AS files, e.t AS edge_types,
+       e.d AS n_deterministic, CAST(0 AS BIGINT) AS n_invalid, v.*, true AS timed FROM n, e, r, v
+"""
+
 _TRADE = """nations AS (SELECT n_nationkey AS nk, n_regionkey AS rk FROM nation),
 mem AS MATERIALIZED (
   SELECT id, nk || '/' || kind AS l0, CAST(nk AS VARCHAR) AS l1, 'region ' || rk AS l2 FROM (

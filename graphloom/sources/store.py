@@ -229,18 +229,29 @@ class Store:
         return self.spark.createDataFrame([tuple(row.values())], ", ".join(f"{k} {kinds.get(k, 'long')}" for k in row))
 
     # -- S11 ----------------------------------------------------------------
-    def export_run(self, out_dir: str) -> None:
-        """Nodes, edges and communities as JSON without vectors, plus a one-row meta table."""
-        for t in ("nodes", "edges", "communities"):
-            self.read(t, with_vectors=False).write.mode("overwrite").json(f"{out_dir}/{t}")
+    def export_run(self, out_dir: str, summary: DataFrame | None = None) -> None:
+        """Nodes, edges and communities as JSON without vectors, plus a one-row meta table.
+
+        ``summary`` is the row that ``write_run`` returned: with it the meta row has the run's duration, tokens and cost
+        too.  The store's counts are taken while the files are written.
+        """
+        from pyspark.sql import Observation
+
         from graphloom.operators.graph import edge_type_summary
-        n = self.read("nodes", with_vectors=False).agg(
-            F.count(F.lit(1)).alias("nodes"), F.countDistinct("source_file").alias("files"))
-        e = edge_type_summary(self.read("edges"))
-        c = self.read("communities", with_vectors=False).agg(F.count(F.lit(1)).alias("communities"))
-        # three one-row aggregates (scalars) combined into the meta row
-        row = {**n.first().asDict(), **e.first().asDict(), **c.first().asDict()}
-        meta = self.spark.createDataFrame([row])
+        row: dict = {}
+        for name in ("nodes", "edges", "communities"):
+            seen = Observation()
+            rows = self.read(name, with_vectors=False).observe(seen, F.count(F.lit(1)).alias(name))
+            rows.write.mode("overwrite").json(f"{out_dir}/{name}")
+            row |= seen.get
+        nodes = self.read("nodes", with_vectors=False)
+        row["files"] = nodes.select("source_file").distinct().count()
+        row |= edge_type_summary(self.read("edges")).first().asDict()
+        if summary is not None:
+            run = summary.select("calls", "in_tokens", "out_tokens", F.col("cost_usd").cast("double").alias("cost_usd"), "duration_s")
+            row |= run.first().asDict()
+        kinds = {"edge_types": "string", "cost_usd": "double", "duration_s": "double"}
+        meta = self.spark.createDataFrame([tuple(row.values())], ", ".join(f"{k} {kinds.get(k, 'long')}" for k in row))
         meta.coalesce(1).write.mode("overwrite").json(f"{out_dir}/meta")
 
 

@@ -142,3 +142,17 @@ def test_run_summary_counts_what_is_written(spark, store):
     assert (store.read("nodes").count(), store.read("edges").count(), store.read("communities").count()) == (2, 3, 1)
     few = store.write_run(nodes.limit(0), edges.limit(0)).first()
     assert (few.nodes, few.edges, few.communities, few.calls, few.cost_usd) == (0, 0, 0, 0, None)
+
+
+def test_export_has_the_run_in_its_meta_row(spark, store):
+    ids = fill(spark, store)
+    out = tempfile.mkdtemp(prefix="gl-export-")
+    more = spark.createDataFrame([("x", "more")], "node_id string, summary string")
+    edges = spark.createDataFrame([("9", "x", "lone", "odd")], "edge_id string, source_node_id string, target_node_id string, confidence string")
+    summary = store.write_run(more, edges, None, spark.createDataFrame([(1, 2, 0.5)], "in_tokens long, out_tokens long, cost_usd double"))
+    store.export_run(out, summary)
+    meta = spark.read.json(f"{out}/meta").first()
+    assert (meta.nodes, meta.files, meta.communities, meta.calls, meta.out_tokens, meta.cost_usd) == (len(ids) + 2, 2, 0, 1, 2, 0.5)
+    assert spark.read.json(f"{out}/nodes").count() == meta.nodes and "embedding" not in spark.read.json(f"{out}/nodes").columns
+    store.export_run(out)
+    assert "calls" not in spark.read.json(f"{out}/meta").columns
