@@ -30,7 +30,7 @@ def plain_ranks(questions, texts, top):
     return out
 
 
-@pytest.mark.parametrize("top", [1, 3, 5])
+@pytest.mark.parametrize("top", [1, 4])
 def test_ranked_corrections_equal_plain_scoring(spark, top):
     rnd = random.Random(top)
     vocabulary = ["the", "order", "service", "pay", "payment", "refund", "ledger", "audit", "queue", "zeta", "of", "x"]
