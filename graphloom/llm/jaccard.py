@@ -33,12 +33,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import bitmap, connected
-from graphloom.session import cut_lineage
+from graphloom.llm.common import bitmap, connected, lean
+from graphloom.session import cut_lineage, release
 
 COUNTERS, CHUNK, PARITY = 1 << 22, 1 << 12, 256
-#: Bytes of text that are hashed at a time.
-BATCH_BYTES = 1 << 20
+#: Bytes of text that are hashed at a time, and rows that are looked at together.
+BATCH_BYTES, SLICE = 1 << 20, 512
 
 _U = np.uint64
 _RNG = np.random.default_rng(20240607)
@@ -95,17 +95,16 @@ def shingles(raw: np.ndarray, bounds: np.ndarray, words: int) -> list[np.ndarray
 
 def _texts(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Ranges (lo, hi) of texts of some BATCH_BYTES together, with their bytes and bounds, straight from Arrow."""
-    column = pc.fill_null(column, "").cast(pa.large_string())
-    if not len(column):
-        return
-    _, places, data = column.buffers()
-    at = np.frombuffer(places, dtype=np.int64)[column.offset:column.offset + len(column) + 1]
-    raw = np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, np.uint8)
-    lo = 0
-    while lo < len(column):
-        hi = max(lo + 1, int(np.searchsorted(at, at[lo] + BATCH_BYTES, side="right")) - 1)
-        yield lo, hi, raw[at[lo]:at[hi]], at[lo:hi + 1] - at[lo]
-        lo = hi
+    for begin in range(0, len(column), SLICE):  # a slice is copied, never the whole batch
+        part = pc.fill_null(column.slice(begin, SLICE), "").cast(pa.large_string())
+        _, places, data = part.buffers()
+        at = np.frombuffer(places, dtype=np.int64)[part.offset:part.offset + len(part) + 1]
+        raw = np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, np.uint8)
+        lo = 0
+        while lo < len(part):
+            hi = max(lo + 1, int(np.searchsorted(at, at[lo] + BATCH_BYTES, side="right")) - 1)
+            yield begin + lo, begin + hi, raw[at[lo]:at[hi]], at[lo:hi + 1] - at[lo]
+            lo = hi
 
 
 def survey(docs: DataFrame, words: int) -> DataFrame:
@@ -139,7 +138,7 @@ def survey(docs: DataFrame, words: int) -> DataFrame:
             [pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()),
              pa.array(full, pa.int32()), pa.array([parts[i].tobytes() for i in full], pa.binary())], names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n int, f1 long, f2 long, chunk int, counts binary")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), "doc_id long, n int, f1 long, f2 long, chunk int, counts binary")
 
 
 def rarity(surveyed: DataFrame) -> np.ndarray:
@@ -157,7 +156,7 @@ def rarity(surveyed: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(bits, pa.binary())], ["chunk", "bits"])
 
     rows = (surveyed.filter("chunk IS NOT NULL").select("chunk", "counts").repartition("chunk")
-            .mapInArrow(add, "chunk int, bits binary").collect())  # COUNTERS bytes in all
+            .mapInArrow(lean(add), "chunk int, bits binary").collect())  # COUNTERS bytes in all
     out = np.zeros((COUNTERS // CHUNK, CHUNK), dtype=np.uint8)
     for chunk, bits in rows:
         out[chunk] = np.frombuffer(bits, dtype=np.uint8)
@@ -226,7 +225,7 @@ def profiles(docs: DataFrame, classes: np.ndarray, words: int, percent: int, cop
                      _ragged(p1, pa.int64()), pa.array(copy[lo:hi])], ["doc", "n", "f1", "f2", "p1", "copy"])
 
     return (docs.filter("doc_id IS NOT NULL").select("doc_id", "text")
-            .mapInArrow(run, "doc long, n int, f1 long, f2 long, p1 array<long>, copy boolean").filter("n > 0"))
+            .mapInArrow(lean(run), "doc long, n int, f1 long, f2 long, p1 array<long>, copy boolean").filter("n > 0"))
 
 
 _DETAIL = "doc long, n int, tokens array<long>, p2 array<int>, p3 array<int>, b0 long, b1 long, b2 long, b3 long"
@@ -253,7 +252,7 @@ def details(docs: DataFrame, classes: np.ndarray, words: int, percent: int, want
                      _ragged(p2, pa.int32()), _ragged(p3, pa.int32()), *[pa.array(b[:, i]) for i in range(4)]],
                     ["doc", "n", "tokens", "p2", "p3", "b0", "b1", "b2", "b3"])
 
-    return docs.filter("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(run, _DETAIL)
+    return docs.filter("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(lean(run), _DETAIL)
 
 
 def need(na: str, nb: str, percent: int):
@@ -286,7 +285,7 @@ def postings(reps: DataFrame) -> DataFrame:
                 [pa.array(flat[keep]), batch.column(0).take(pa.array(row[keep])), batch.column(1).take(pa.array(row[keep])),
                  pa.array(pos[keep].astype(np.int32)), prev], ["token", "doc", "n", "pos", "prev"])
 
-    return cut_lineage(reps.select("doc", "n", "p1").mapInArrow(run, "token long, doc long, n int, pos int, prev long"))
+    return cut_lineage(reps.select("doc", "n", "p1").mapInArrow(lean(run), "token long, doc long, n int, pos int, prev long"))
 
 
 def shared(post: DataFrame) -> DataFrame:
@@ -297,10 +296,14 @@ def shared(post: DataFrame) -> DataFrame:
 
 
 def star_pairs(common: DataFrame, percent: int) -> DataFrame:
-    """``(a, na, b, nb)``: each class with the centres of its tokens, as far as sizes and positions allow."""
+    """``(a, na, b, nb, times)``: each class with the centres of its tokens, as far as sizes and positions allow.
+
+    ``times`` counts the tokens that led to the pair.
+    """
     least = need("n", "cn", percent)
     return (common.filter("doc <> cdoc").filter((F.col("n") - F.col("pos") >= least) & (F.col("cn") - F.col("cpos") >= least))
-            .select(F.col("doc").alias("a"), F.col("n").alias("na"), F.col("cdoc").alias("b"), F.col("cn").alias("nb")).distinct())
+            .groupBy(F.col("doc").alias("a"), F.col("n").alias("na"), F.col("cdoc").alias("b"), F.col("cn").alias("nb"))
+            .agg(F.count(F.lit(1)).alias("times")))
 
 
 def cross_pairs(common: DataFrame, percent: int) -> DataFrame:
@@ -314,29 +317,64 @@ def cross_pairs(common: DataFrame, percent: int) -> DataFrame:
             .select(F.col("a_doc").alias("a"), F.col("a_n").alias("na"), F.col("b_doc").alias("b"), F.col("b_n").alias("nb")).distinct())
 
 
-def verified(docs: DataFrame, pairs: DataFrame, classes: np.ndarray, words: int, percent: int) -> DataFrame:
-    """``(a, b)`` of the pairs that pass the other orders' filters and link."""
-    pairs = cut_lineage(pairs.withColumn("need", need("na", "nb", percent)))
-    ids = pairs.select(F.col("a").alias("doc")).unionByName(pairs.select(F.col("b").alias("doc"))).distinct()
-    facts = cut_lineage(details(docs, classes, words, percent, IdSet(cut_lineage(ids))))
-    light = ["p2", "p3", "b0", "b1", "b2", "b3"]
-    side = lambda s, cols: facts.select(F.col("doc").alias(s), F.col("n").alias(f"n{s}"), *[F.col(c).alias(f"{s}_{c}") for c in cols])
-    differ = sum((F.bit_count(F.col(f"a_b{i}").bitwiseXOR(F.col(f"b_b{i}"))) for i in range(4)), F.lit(0))
-    left = (pairs.join(side("a", light), ["a", "na"]).join(side("b", light), ["b", "nb"])
-            .filter(differ <= F.col("na") + F.col("nb") - 2 * F.col("need"))
-            .filter(F.arrays_overlap("a_p2", "b_p2") & F.arrays_overlap("a_p3", "b_p3")).select("a", "na", "b", "nb", "need"))
-    left = cut_lineage(left)
-    # whole sets are sent only for the documents of pairs that are left
-    ids = left.select(F.col("a").alias("doc")).unionByName(left.select(F.col("b").alias("doc"))).distinct()
-    chosen = IdSet(cut_lineage(ids))
+def facts_of(docs: DataFrame, pairs: DataFrame, classes: np.ndarray, words: int, percent: int) -> DataFrame:
+    """Details of the documents of the pairs (and of a few others)."""
+    ids = cut_lineage(pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct())
+    facts = cut_lineage(details(docs, classes, words, percent, IdSet(ids)))
+    release(ids)
+    return facts
+
+
+def _picked(facts: DataFrame, pairs: DataFrame, columns: list[str]) -> DataFrame:
+    """doc, n and some columns of the documents of the pairs (and of a few others), so only these are sent to them."""
+    ids = cut_lineage(pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct())
+    chosen = IdSet(ids)
+    release(ids)
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield batch.filter(pa.array(chosen.may_hold(batch.column(0))))
 
-    facts = facts.select("doc", "n", "tokens").mapInArrow(pick, "doc long, n int, tokens array<long>")
-    return cut_lineage(left.join(side("a", ["tokens"]), ["a", "na"]).join(side("b", ["tokens"]), ["b", "nb"])
-                       .filter(F.size(F.array_intersect("a_tokens", "b_tokens")) >= F.col("need")).select("a", "b"))
+    part = facts.select("doc", "n", *columns)
+    return part.mapInArrow(lean(pick), part.schema)
+
+
+def verified(facts: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """``(a, b)`` of the pairs that pass the other orders' filters and link; ``facts`` has their documents."""
+    light = ["p2", "p3", "b0", "b1", "b2", "b3"]
+    pairs = cut_lineage(pairs.select("a", "na", "b", "nb", need("na", "nb", percent).alias("need")))
+    side = lambda rows, s: rows.select(*[F.col(c).alias(s if c == "doc" else f"{s}_{c}" if c != "n" else f"n{s}") for c in rows.columns])
+    some = _picked(facts, pairs, light)
+    differ = sum((F.bit_count(F.col(f"a_b{i}").bitwiseXOR(F.col(f"b_b{i}"))) for i in range(4)), F.lit(0))
+    left = cut_lineage(pairs.join(side(some, "a"), ["a", "na"]).join(side(some, "b"), ["b", "nb"])
+                       .filter(differ <= F.col("na") + F.col("nb") - 2 * F.col("need"))
+                       .filter(F.arrays_overlap("a_p2", "b_p2") & F.arrays_overlap("a_p3", "b_p3")).select("a", "na", "b", "nb", "need"))
+    # whole sets are sent only for the documents of pairs that are left
+    sets = _picked(facts, left, ["tokens"])
+    links = cut_lineage(left.join(side(sets, "a"), ["a", "na"]).join(side(sets, "b"), ["b", "nb"])
+                        .filter(F.size(F.array_intersect("a_tokens", "b_tokens")) >= F.col("need")).select("a", "b"))
+    release(pairs)
+    release(left)
+    return links
+
+
+def star_links(docs: DataFrame, common: DataFrame, classes: np.ndarray, words: int, percent: int) -> DataFrame:
+    """Links of classes with their centres, each class with its most frequent centre first.
+
+    Most classes are then in their component, and of the other pairs only those between components are left.
+    """
+    pairs = cut_lineage(star_pairs(common, percent))
+    facts = facts_of(docs, pairs, classes, words, percent)
+    nearest = pairs.groupBy("a", "na").agg(F.max(F.struct("times", -F.col("b"), "b", "nb")).alias("c")).select("a", "na", "c.b", "c.nb")
+    first = verified(facts, nearest, percent)
+    parts = _parts(first)
+    of = lambda s: parts.select(F.col("node").alias(s), F.col("component").alias(f"p{s}"))
+    others = (pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
+              .filter(F.coalesce("pa", "a") != F.coalesce("pb", "b")).join(nearest.select("a", "b"), ["a", "b"], "left_anti"))
+    links = cut_lineage(first.unionByName(verified(facts, others, percent)))
+    for t in (pairs, facts, first, parts):
+        release(t)
+    return links
 
 
 def _parts(links: DataFrame) -> DataFrame:
@@ -367,12 +405,15 @@ def jaccard_groups(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFr
     # rows that the bitmap clears are representatives; only the others take part in the exact join
     reps = found.filter("NOT copy").unionByName(found.filter("copy").join(copies, ["doc", *key], "left_anti").select(*found.columns))
     common = shared(postings(reps))
-    stars = verified(base, star_pairs(common, percent), classes, words, percent)
+    stars = star_links(base, common, classes, words, percent)
     rest = cut_lineage(common.join(_parts(stars), F.col("doc") == F.col("node"), "left")
                        .select("token", "doc", "n", "pos", "prev", F.coalesce("component", "doc").alias("part")))
     several = cut_lineage(rest.groupBy("token").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo <> hi").select("token"))
     rest = cut_lineage(rest.join(several, "token", "left_semi"))
-    links = stars.unionByName(verified(base, cross_pairs(rest, percent), classes, words, percent))
+    cross = cut_lineage(cross_pairs(rest, percent))
+    links = stars.unionByName(verified(facts_of(base, cross, classes, words, percent), cross, percent))
+    for t in (common, rest, cross):
+        release(t)
     answer = (members.join(_parts(links), F.col("rep") == F.col("node"), "left")
               .select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id")))
     unnamed = every.filter("doc_id IS NULL").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
