@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 OPEN, HEAD, SEP, CLOSE = "<s>[INST]", "[/INST]", "[SEP]", "</s>"
 _LITERAL = {HEAD: r"\[/INST\]", SEP: r"\[SEP\]", CLOSE: r"</s>"}
 TRAINED = "assistant"
+#: Turns of a conversation that are placed, or read back, together.
+PART = 256
 
 
 def escape(text: Column) -> Column:
@@ -35,6 +37,11 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(text, r"([<\[\\])\\", "$1")
 
 
+def _parts(items: Column) -> Column:
+    """An array in slices of ``PART``: a running sum that is kept in slices costs PART for an item, not the whole array."""
+    return F.transform(F.sequence(F.lit(0), F.floor((F.size(items) - 1) / PART).cast("int")), lambda k: F.slice(items, k * PART + 1, F.lit(PART)))
+
+
 def format_chat(turns: DataFrame, trained: str = TRAINED) -> DataFrame:
     """``(conv_id, formatted, loss_spans)``, one row per conversation.
 
@@ -57,20 +64,24 @@ def format_chat(turns: DataFrame, trained: str = TRAINED) -> DataFrame:
                     lambda t: escape(t["text"])).alias("texts")))
     piece = F.transform("blocks", lambda b: F.concat(
         F.lit(OPEN), escape(b["role"]), F.lit(HEAD), F.array_join(b["texts"], SEP), F.lit(CLOSE)))
-    # (text, position of its first character) of every turn, with the block's role
-    empty = F.array().cast("array<struct<start:long,length:long,role:string>>")
+    # of every turn: what stands between the text before and its own, and how long it is
     head = len(OPEN) + len(HEAD)
+    cells = F.flatten(F.transform("blocks", lambda b, k: F.transform(b["texts"], lambda x, j: F.struct(
+        F.when(j > 0, len(SEP)).otherwise(F.when(k > 0, len(CLOSE)).otherwise(0) + head + F.length(escape(b["role"]))).cast("long").alias("lead"),
+        F.length(x).cast("long").alias("length"), b["role"].alias("role")))))
+    empty = F.array().cast("array<struct<start:long,length:long,role:string>>")
 
-    def block_spans(acc, b):
-        start = acc["at"] + head + F.length(escape(b["role"]))
-        inner = F.aggregate(b["texts"], F.struct(start.cast("long").alias("at"), acc["spans"].alias("spans")),
-                            lambda a, x: F.struct((a["at"] + F.length(x) + len(SEP)).cast("long").alias("at"),
-                                                  F.concat(a["spans"], F.array(F.struct(a["at"].alias("start"), F.length(x).cast("long").alias("length"),
-                                                                                        b["role"].alias("role")))).alias("spans")))
-        return F.struct((inner["at"] - len(SEP) + len(CLOSE)).cast("long").alias("at"), inner["spans"].alias("spans"))
+    def place(acc, c):
+        start = acc["at"] + c["lead"]
+        return F.struct((start + c["length"]).alias("at"),
+                        F.concat(acc["spans"], F.array(F.struct(start.alias("start"), c["length"].alias("length"), c["role"].alias("role")))).alias("spans"))
 
-    spans = F.aggregate("blocks", F.struct(F.lit(0).cast("long").alias("at"), empty.alias("spans")), block_spans)["spans"]
-    return (conv.withColumn("firsts", first).withColumn("blocks", blocks)
+    def place_part(acc, part):
+        inner = F.aggregate(part, F.struct(acc["at"].alias("at"), empty.alias("spans")), place)
+        return F.struct(inner["at"].alias("at"), F.concat(acc["spans"], F.array(inner["spans"])).alias("spans"))
+
+    spans = F.flatten(F.aggregate(_parts(F.col("cells")), F.struct(F.lit(0).cast("long").alias("at"), F.array(empty).alias("spans")), place_part)["spans"])
+    return (conv.withColumn("firsts", first).withColumn("blocks", blocks).withColumn("cells", cells)
             .select("conv_id", F.array_join(piece, "").alias("formatted"),
                     F.transform(F.filter(spans, lambda s: s["role"] == F.lit(trained)),
                                 lambda s: F.struct(s["start"], s["length"])).alias("loss_spans")))
@@ -85,9 +96,18 @@ def read_turns(formatted: Column) -> Column:
 
 
 def loss_text(formatted: Column, spans: Column) -> Column:
-    """The text under the loss mask, unescaped."""
-    return F.array_join(F.transform(spans, lambda s: unescape(F.substr(
-        formatted, (s["start"] + 1).cast("int"), s["length"].cast("int")))), "")
+    """The text under the loss mask, unescaped.
+
+    ``PART`` spans are read out of the stretch of the string that they lie in, as finding a place in a string takes as long as it
+    is far from its beginning.
+    """
+    def read(part):
+        first = F.get(part, F.lit(0))["start"]
+        last = F.element_at(part, -1)
+        stretch = F.substr(formatted, (first + 1).cast("int"), (last["start"] + last["length"] - first).cast("int"))
+        return F.transform(F.array(F.struct(stretch.alias("text"), part.alias("spans"))), lambda x: F.array_join(F.transform(
+            x["spans"], lambda s: unescape(F.substr(x["text"], (s["start"] - first + 1).cast("int"), s["length"].cast("int")))), ""))[0]
+    return F.when(F.size(spans) > 0, F.array_join(F.transform(_parts(spans), read), "")).otherwise(F.lit(""))
 
 
 def digests(chats: DataFrame) -> DataFrame:

@@ -428,3 +428,19 @@ def test_queries_are_registered():
     found = __spark_entry__.queries()
     assert set(queries.QUERIES) <= set(found) and "pipeline" in found
     assert {int(q[2:].split("_")[0]) for q in queries.QUERIES} == set(range(1, 11))
+
+
+def test_one_very_long_conversation(spark):
+    """50,000 turns: places and read-back texts do not take the square of the turns."""
+    import time
+    n = 50_000
+    rows = spark.range(n).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 3 == 0, "user").otherwise("assistant").alias("role"),
+                                 F.concat(F.lit("t\u00e9xt <b> "), F.col("id").cast("string")).alias("text"))
+    start = time.time()
+    got = chat.digests(chat.format_chat(rows)).first()
+    assert time.time() - start < 60
+    texts = [f"t\u00e9xt <b> {i}" for i in range(n)]
+    loss = "".join(t for i, t in enumerate(texts) if i % 3)
+    turns = "".join(f"{'assistant' if i % 3 else 'user'}\n{t}\n" for i, t in enumerate(texts))
+    assert (got.n_turns, got.loss_chars) == (n, len(loss))
+    assert got.loss_sha256 == hashlib.sha256(loss.encode()).hexdigest() and got.turns_sha256 == hashlib.sha256(turns.encode()).hexdigest()
