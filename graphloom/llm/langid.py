@@ -21,6 +21,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.llm.common import give_back
+
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 UNKNOWN = "und"
@@ -191,6 +193,8 @@ def predict(text: Column, network: Network) -> Column:
                 score[pos[lo:hi]] = np.minimum(p.max(axis=1), 1.0)
                 lo = hi
             yield pd.DataFrame({"lang_pred": pred, "score": score})
+        tables = s = w = p = pred = score = None
+        give_back()
 
     return run(text)
 
