@@ -54,8 +54,10 @@ def letter_pairs(text: str, dimensions: int = DIMENSIONS) -> Column:
     chars = F.transform(F.split(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), "[^ -~]", ""), ""), lambda c: F.ascii(c))
     pairs = F.zip_with(F.slice(chars, 1, F.greatest(F.size(chars) - 1, F.lit(0))), F.slice(chars, 2, F.greatest(F.size(chars) - 1, F.lit(0))),
                        lambda a, b: F.pmod(a * 31 + b, F.lit(dimensions)))
-    return F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)),
-                       lambda d: F.size(F.filter(pairs, lambda p: p == d)).cast("double"))
+    # bound to a variable: a column used inside a lambda is computed again for every dimension
+    return F.transform(F.array(pairs), lambda p: F.transform(
+        F.sequence(F.lit(0), F.lit(dimensions - 1)),
+        lambda d: (F.size(p) - F.size(F.array_remove(p, d))).cast("double")))[0]
 
 
 # ------------------------------------------------------------ corrections ----

@@ -22,6 +22,7 @@ from graphloom.session import cut_lineage
 
 METRICS = ("dot", "cosine", "l2")
 BLOCK_BYTES = 32 << 20  # of vectors sent to every task at a time
+TASK_PAIRS = 1 << 29  # of vectors that a task compares, about: some seconds
 
 
 def _stack(vectors, metric: str) -> np.ndarray:
@@ -55,6 +56,32 @@ def _best(scores: np.ndarray, items: np.ndarray, k: int) -> list[np.ndarray]:
     return out
 
 
+def _nearest(q: np.ndarray, c: np.ndarray, items: np.ndarray, k: int, self_pairs: np.ndarray | None) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Places and scores of the k nearest rows of ``c`` for each row of finite ``q``, as ``_best`` finds them among ``_scores``.
+
+    One matrix product gives each squared distance up to rounding; the exact differences are taken of those rows only that
+    the rounding leaves in question.
+    """
+    cc = np.einsum("ij,ij->i", c, c)
+    places, scores = [], []
+    near = q @ c.T
+    for i, x in enumerate(q):
+        qq = x @ x
+        d2 = qq + cc - 2.0 * near[i]
+        place = np.arange(len(c)) if self_pairs is None else np.flatnonzero(~self_pairs[i])
+        if len(place) > k:
+            # of a sum of n products, whatever its order
+            slack = 4.0 * (len(x) + 4) * np.finfo(float).eps * (qq + cc[place])
+            some = d2[place]
+            place = place[some - slack <= np.partition(some + slack, k - 1)[k - 1]]
+        d = c[place] - x
+        s = -np.sqrt(np.einsum("ij,ij->i", d, d))
+        keep = np.lexsort((items[place], -s))[:k]
+        places.append(place[keep])
+        scores.append(s[keep])
+    return places, scores
+
+
 def _usable(vec: str):
     v = F.col(vec)
     return v.isNotNull() & F.forall(v, lambda x: x.isNotNull())
@@ -75,8 +102,9 @@ def topk(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "dot",
     vec = F.col("vec").cast("array<double>").alias("vec")
     q = cut_lineage(queries.filter(_usable("vec")).select("query_id", vec))
     c = cut_lineage(corpus.filter(_usable("vec")).select("item_id", vec))
-    size = lambda d: d.agg(F.coalesce(F.sum(8 * F.size("vec")), F.lit(0))).first()[0]
-    q_bytes, c_bytes = size(q), size(c)
+    size = lambda d: d.agg(F.coalesce(F.sum(8 * F.size("vec")), F.lit(0)), F.count(F.lit(1))).first()
+    (q_bytes, n_q), (c_bytes, n_c) = size(q), size(c)
+    tasks = math.ceil(n_q * n_c / TASK_PAIRS)  # more vectors make more tasks, not longer ones
     send_queries = q_bytes <= c_bytes
     sent, scanned, name = (q, c, "query_id") if send_queries else (c, q, "item_id")
     q_type, c_type = (d.schema[n].dataType.simpleString() for d, n in ((q, "query_id"), (c, "item_id")))
@@ -84,14 +112,17 @@ def topk(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "dot",
     sign = -1.0 if metric == "l2" else 1.0
 
     def match(qi, qx, ci, cx) -> pd.DataFrame:
-        s = _scores(qx, cx, metric)
-        if exclude_self:
-            s[qi[:, None] == ci[None, :]] = -np.inf
-        found = _best(s, ci, k)
+        if metric == "l2" and max(np.abs(qx).max(initial=0.0), np.abs(cx).max(initial=0.0)) < 1e100:
+            found, best = _nearest(qx, cx, ci, k, qi[:, None] == ci[None, :] if exclude_self else None)
+        else:  # also l2 of values that are not finite or whose squares are not
+            s = _scores(qx, cx, metric)
+            if exclude_self:
+                s[qi[:, None] == ci[None, :]] = -np.inf
+            found = _best(s, ci, k)
+            best = [s[i, f] for i, f in enumerate(found)]
         n = [len(f) for f in found]
-        at = np.concatenate(found) if found else np.zeros(0, int)
-        return pd.DataFrame({"query_id": np.repeat(qi, n), "item_id": ci[at],
-                             "score": sign * s[np.repeat(np.arange(len(qi)), n), at]})
+        at, score = (np.concatenate(a) if a else np.zeros(0, t) for a, t in ((found, int), (best, float)))
+        return pd.DataFrame({"query_id": np.repeat(qi, n), "item_id": ci[at], "score": sign * score})
 
     def scan(rows: pd.DataFrame):
         ids, x = rows[name].to_numpy(), _stack(rows["vec"], metric)
@@ -121,6 +152,8 @@ def topk(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "dot",
         rows = sent.toPandas()  # at most block_bytes of vectors
         if not len(rows):
             return queries.sparkSession.createDataFrame([], f"{schema}, rank int")
+        if tasks > scanned.rdd.getNumPartitions():
+            scanned = scanned.repartition(tasks)
         found = scanned.mapInPandas(scan(rows), schema)
     else:
         # every row knows its block by a hash of its id and goes to each block of the other side
@@ -129,6 +162,7 @@ def topk(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "dot",
         every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
         left = q.select("*", own("query_id", nq).alias("bq"), every(nc).alias("bc"))
         right = c.select("*", every(nq).alias("bq"), own("item_id", nc).alias("bc"))
+        left, right = (d.repartition(nq * nc, "bq", "bc") for d in (left, right))
         found = left.groupBy("bq", "bc").cogroup(right.groupBy("bq", "bc")).applyInPandas(pair, schema)
     order = F.col("score").asc() if metric == "l2" else F.col("score").desc()
     w = Window.partitionBy("query_id").orderBy(order, F.col("item_id").asc())

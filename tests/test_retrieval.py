@@ -100,3 +100,32 @@ def test_topk_in_blocks_equals_one_block(spark):
     for metric in ("dot", "cosine", "l2"):
         one = {tuple(r) for r in topk(q, v, 3, metric, exclude_self=True).collect()}
         assert {tuple(r) for r in topk(q, v, 3, metric, exclude_self=True, block_bytes=1500).collect()} == one
+
+
+def test_nearest_by_products_equals_all_differences():
+    import numpy as np
+    from graphloom.operators.vectors import _best, _nearest, _scores
+    rng = np.random.default_rng(3)
+    for c in (rng.integers(0, 3, (400, 6)).astype(float), 1e6 + rng.normal(size=(400, 6)) * 1e-6, np.ones((40, 6))):
+        q = np.concatenate([c[:20], c[:5] + 1e-9])
+        items = rng.permutation(len(c))
+        for hidden in (None, np.arange(len(q))[:, None] == np.arange(len(c))[None, :]):
+            s = _scores(q, c, "l2")
+            places, scores = _nearest(q, c, items, 5, hidden)
+            if hidden is not None:
+                s[hidden] = -np.inf
+            want = _best(s, items, 5)
+            assert [p.tolist() for p in places] == [w.tolist() for w in want]
+            assert all((a == s[i, w]).all() for i, (a, w) in enumerate(zip(scores, want)))
+
+
+def test_pairs_of_letters_are_made_once_a_text(spark):
+    from graphloom.operators.retrieval import letter_pairs
+    df = spark.createDataFrame([("abab",), ("",), (None,), ("x",), ("\u00e9a b",)], "t string").select("t", letter_pairs("t", 8).alias("v"))
+    got = {r.t: r.v for r in df.collect()}
+    for t, v in got.items():
+        c = [ord(x) for x in t or "" if " " <= x <= "~"]
+        assert v == [float(sum((a * 31 + b) % 8 == d for a, b in zip(c, c[1:]))) for d in range(8)]
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    # a lambda would make the pairs again for each dimension
+    assert plan.index("regexp_replace") < plan.index("lambdafunction")
