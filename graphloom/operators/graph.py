@@ -21,13 +21,11 @@ def simple_graph(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     Edges with an endpoint that is not a node are dropped (two semi joins),
     multi-edges and both orientations collapse to one pair, self-loops stay.
     """
-    ids = nodes.select(F.col("node_id")).distinct()
-    # one row per pair before the joins; the written pairs are then read instead of the input
+    ids = cut_lineage(nodes.select("node_id").distinct())
     named = edges.filter(F.col("source_node_id").isNotNull() & F.col("target_node_id").isNotNull())
-    pairs = cut_lineage(named.select(F.least("source_node_id", "target_node_id").alias("src"),
-                                     F.greatest("source_node_id", "target_node_id").alias("dst")).distinct())
-    ids = cut_lineage(ids)
-    return (pairs.join(ids.withColumnRenamed("node_id", "src"), "src", "left_semi")
+    pairs = named.select(F.least("source_node_id", "target_node_id").alias("src"), F.greatest("source_node_id", "target_node_id").alias("dst"))
+    # the first join deals the pairs by src: collapsing them there moves nothing again
+    return (pairs.join(ids.withColumnRenamed("node_id", "src"), "src", "left_semi").distinct()
             .join(ids.withColumnRenamed("node_id", "dst"), "dst", "left_semi").select("src", "dst"))
 
 
@@ -119,7 +117,8 @@ def connected_components(edges: DataFrame, nodes: DataFrame | None = None,
 
     Min-label propagation with pointer jumping (label(u) <- label(label(u))),
     which cuts the rounds from the diameter to about its logarithm on most
-    graphs.  Runs until no label changes; a bound may be passed and raises
+    graphs.  Labels are never sent to every task, which each round would do again through
+    the driver.  Runs until no label changes; a bound may be passed and raises
     when it is hit.  Every round is a written table, and tables two
     rounds old are deleted; the driver only reads the number of changed
     labels.  Returns ``id, component``.
@@ -135,12 +134,12 @@ def connected_components(edges: DataFrame, nodes: DataFrame | None = None,
     while True:
         if max_rounds is not None and rounds == max_rounds:
             raise RuntimeError(f"components not settled after {max_rounds} rounds")
-        nb = (adj.join(labels.select(F.col("id").alias("v"), F.col("label").alias("lv")), "v")
+        nb = (adj.join(labels.select(F.col("id").alias("v"), F.col("label").alias("lv")).hint("merge"), "v")
               .groupBy(F.col("u").alias("id")).agg(F.min("lv").alias("m")))
-        step = (labels.join(nb, "id", "left")
+        step = (labels.join(nb.hint("merge"), "id", "left")
                 .select("id", "label", F.least("label", F.coalesce("m", "label")).alias("low")))
         heads = step.select(F.col("id").alias("head"), F.col("low").alias("next"))
-        new = cut_lineage(step.join(heads, F.col("low") == F.col("head"), "left")
+        new = cut_lineage(step.join(heads.hint("merge"), F.col("low") == F.col("head"), "left")
                           .select("id", F.col("label").alias("old"),
                                   F.least("low", F.coalesce("next", "low")).alias("label")))
         changed = new.filter(F.col("label") != F.col("old")).count()

@@ -29,11 +29,13 @@ from pyspark.sql import functions as F
 from graphloom.session import cut_lineage, release
 
 DEC = "decimal(38,0)"
+#: Tables that grow with the graph are never sent to every task: each round would pass them through the driver again.
+SPREAD = "merge"
 
 
 def _strength(arcs: DataFrame, loops: DataFrame) -> DataFrame:
     a = arcs.groupBy(F.col("src").alias("id")).agg(F.sum("w").alias("ka"))
-    return (loops.join(a, "id", "full")
+    return (loops.hint(SPREAD).join(a, "id", "full")
             .select("id", (F.coalesce("ka", F.lit(0)) + 2 * F.coalesce("wl", F.lit(0)))
                     .cast("long").alias("k")))
 
@@ -46,11 +48,11 @@ def _modularity(arcs: DataFrame, loops: DataFrame, k: DataFrame, labels: DataFra
     lab_s = labels.select(F.col("id").alias("src"), F.col("comm").alias("cs"))
     lab_d = labels.select(F.col("id").alias("dst"), F.col("comm").alias("cd"))
     zero = F.lit(0).cast("long")
-    inner = (arcs.join(lab_s, "src").join(lab_d, "dst")
+    inner = (arcs.join(lab_s.hint(SPREAD), "src").join(lab_d.hint(SPREAD), "dst")
              .filter(F.col("cs") == F.col("cd"))
              .select(F.col("cs").alias("comm"), F.col("w").cast("long").alias("inw"),
                      zero.alias("kw"), zero.alias("mv")))
-    loop_rows = (loops.join(labels, "id")
+    loop_rows = (loops.hint(SPREAD).join(labels, "id")
                  .select("comm", (2 * F.col("wl")).cast("long").alias("inw"),
                          zero.alias("kw"), zero.alias("mv")))
     k_rows = labels.select("comm", zero.alias("inw"), F.col("k").alias("kw"),
@@ -73,7 +75,7 @@ def _round(arcs: DataFrame, k: DataFrame, labels: DataFrame, two_m: int, parity:
     become rare and the next round can be kept.
     """
     lab_d = labels.select(F.col("id").alias("dst"), F.col("comm").alias("c"))
-    kin = (arcs.join(lab_d, "dst").groupBy(F.col("src").alias("id"), "c")
+    kin = (arcs.join(lab_d.hint(SPREAD), "dst").groupBy(F.col("src").alias("id"), "c")
            .agg(F.sum("w").alias("kic")))
     # labels carry each node's strength k, so no join with the strength table
     tot = labels.groupBy("comm").agg(F.sum("k").alias("tot"), F.count(F.lit(1)).alias("size"))
@@ -81,10 +83,10 @@ def _round(arcs: DataFrame, k: DataFrame, labels: DataFrame, two_m: int, parity:
           .filter(F.pmod(F.xxhash64(F.col("id"), F.lit("side")), F.lit(2)) == parity)
           .filter(F.pmod(F.xxhash64(F.col("id"), F.lit(salt)), F.lit(1 << sample_bits)) == 0)
           .join(tot.select(F.col("comm"), F.col("tot").alias("tot_own"),
-                           F.col("size").alias("size_own")), "comm"))
-    cand = (kin.join(me, "id")
+                           F.col("size").alias("size_own")).hint(SPREAD), "comm"))
+    cand = (kin.join(me.hint(SPREAD), "id")
             .join(tot.select(F.col("comm").alias("c"), F.col("tot").alias("tot_c"),
-                             F.col("size").alias("size_c")), "c"))
+                             F.col("size").alias("size_c")).hint(SPREAD), "c"))
     own = F.col("c") == F.col("comm")
     tot_eff = F.when(own, F.col("tot_c") - F.col("k")).otherwise(F.col("tot_c"))
     score = (F.lit(two_m).cast(DEC) * F.col("kic").cast(DEC)
@@ -104,7 +106,7 @@ def _round(arcs: DataFrame, k: DataFrame, labels: DataFrame, two_m: int, parity:
                     .alias("own_score")))
     moves = best.filter(F.col("best_score") > F.col("own_score")).select(
         "id", F.col("best_c").alias("new_comm"))
-    return (labels.join(moves, "id", "left")
+    return (labels.join(moves.hint(SPREAD), "id", "left")
             .select("id", F.coalesce("new_comm", "comm").alias("comm"), "k",
                     F.col("new_comm").isNotNull().cast("int").alias("moved")))
 
@@ -150,7 +152,7 @@ def louvain(edges: DataFrame, nodes: DataFrame | None = None, max_levels: int |
         level += 1
         if max_levels is not None and level == max_levels:
             raise RuntimeError(f"communities not settled after {max_levels} levels")
-        k = cut_lineage(_strength(arcs, loops).join(cur_ids, "id", "right")
+        k = cut_lineage(_strength(arcs, loops).hint(SPREAD).join(cur_ids, "id", "right")
                         .select("id", F.coalesce("k", F.lit(0)).cast("long").alias("k")))
         two_m = int(k.agg(F.sum("k")).first()[0] or 0)
         labels = k.select("id", F.col("id").alias("comm"), "k")
@@ -190,19 +192,19 @@ def louvain(edges: DataFrame, nodes: DataFrame | None = None, max_levels: int |
         if moved_level == 0:
             break
         # contract: communities become nodes, inner edges become self-loops
-        member = cut_lineage(member.join(labels.withColumnRenamed("id", "node"), "node")
+        member = cut_lineage(member.join(labels.withColumnRenamed("id", "node").hint(SPREAD), "node")
                              .select("id", F.col("comm").alias("node")))
         levels.append(member.select("id", F.col("node").alias("community"),
                                     F.lit(level).alias("level")))
         lab_s = labels.select(F.col("id").alias("src"), F.col("comm").alias("cs"))
         lab_d = labels.select(F.col("id").alias("dst"), F.col("comm").alias("cd"))
-        moved = arcs.join(lab_s, "src").join(lab_d, "dst")
+        moved = arcs.join(lab_s.hint(SPREAD), "src").join(lab_d.hint(SPREAD), "dst")
         new_arcs = (moved.filter(F.col("cs") != F.col("cd"))
                     .groupBy(F.col("cs").alias("src"), F.col("cd").alias("dst"))
                     .agg(F.sum("w").alias("w")))
         inner_loops = (moved.filter(F.col("cs") == F.col("cd"))
                        .groupBy(F.col("cs").alias("id")).agg((F.sum("w") / 2).cast("long").alias("wl")))
-        old_loops = loops.join(labels, "id").select(F.col("comm").alias("id"), "wl")
+        old_loops = loops.hint(SPREAD).join(labels, "id").select(F.col("comm").alias("id"), "wl")
         new_loops = (inner_loops.unionByName(old_loops).groupBy("id")
                      .agg(F.sum("wl").cast("long").alias("wl")))
         old = [arcs, loops, k, cur_ids]
