@@ -38,12 +38,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import bitmap
+from graphloom.llm.common import bitmap, lean
 from graphloom.session import cut_lineage
 
 KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
 DISCLOSED, PRIOR = 0.9, 1.0
+#: Distinct terms that a task counts before it gives them out.
+COUNTED = 300_000
 
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
@@ -52,6 +54,8 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"(?<![0-9])[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _NO_DIGIT = re.compile(r"[^0-9]+")
+# every ip and card lies in one of these: they begin with a digit and go on as long as any of the two could
+_NUMBERS = re.compile(r"[0-9][0-9 .-]*+")
 _WORD = re.compile(r"[^ \t\n\x0b\x0c\r]+")
 _EDGES = "".join(map(chr, range(33, 48))) + ":;<=>?@[\\]^_`{|}~«»„“”‘’¿¡…"
 
@@ -76,14 +80,19 @@ def find(text: str) -> list[tuple[str, int, int]]:
             spans.append(("email", start, domain.end()))
         done = domain.end() if domain else at + 1
         at = text.find("@", done)
-    for m in _IP.finditer(text):
-        if all(len(p) <= 3 and int(p) <= 255 for p in (x.lstrip("0") or "0" for x in m[0].split("."))):
-            spans.append(("ip", *m.span()))
-    for m in _CARD.finditer(text):
-        if m.end() - m.start() >= 13:
-            digits = _NO_DIGIT.sub("", m[0])
-            if 13 <= len(digits) <= 19 and _luhn(digits):
-                spans.append(("card", *m.span()))
+    numbers = [m.span() for m in _NUMBERS.finditer(text) if m.end() - m.start() >= 7]
+    for lo, hi in numbers:
+        for m in _IP.finditer(text, lo, hi):
+            if all(len(p) <= 3 and int(p) <= 255 for p in (x.lstrip("0") or "0" for x in m[0].split("."))):
+                spans.append(("ip", *m.span()))
+    for lo, hi in numbers:
+        if hi - lo < 13:
+            continue
+        for m in _CARD.finditer(text, lo, hi):
+            if m.end() - m.start() >= 13:
+                digits = _NO_DIGIT.sub("", m[0])
+                if 13 <= len(digits) <= 19 and _luhn(digits):
+                    spans.append(("card", *m.span()))
     if "+" in text:
         for m in _PHONE.finditer(text):
             if 9 <= len(_NO_DIGIT.sub("", m[0])) <= 15:
@@ -104,11 +113,13 @@ def term(word: str) -> str:
     return word.lower().strip(_EDGES)
 
 
-def words(text: str, spans: list[tuple[str, int, int]]) -> Iterator[tuple[str, int, int]]:
-    """(term, start, end) of the words with a letter that touch no base span."""
+def words(text: str, spans: list[tuple[str, int, int]], only: set[str] | None = None) -> Iterator[tuple[str, int, int]]:
+    """(term, start, end) of the words with a letter that touch no base span; ``only``: of these words as they stand."""
     taken = sorted((s, e) for _, s, e in spans)
     k, reach = 0, -1
     for m in _WORD.finditer(text):
+        if only is not None and m[0] not in only:
+            continue
         a, b = m.span()
         while k < len(taken) and taken[k][0] < b:
             reach = max(reach, taken[k][1])
@@ -150,24 +161,34 @@ class Known:
         self.none: set[bytes] = set()
         self.term: dict[bytes, str] = {}
 
-    def of(self, text: str) -> set[str]:
-        out = set()
-        for w in set(text.encode().split()) - self.none:
-            t = self.term.get(w)
-            new = t is None
-            if new:
-                t = term(w.decode())
-            if t in self.full or (new and t not in self.terms):
-                self.none.add(w)
-                self.term.pop(w, None)
-            else:
-                self.term[w] = t
-                out.add(t)
+    def words(self, text: str) -> set[bytes]:
+        """The text's distinct words whose terms may be held."""
         if len(self.none) + len(self.term) > 500_000:
             self.none.clear()
             self.term.clear()
+        out = set(text.encode().split())
+        out -= self.none
+        for w in out.difference(self.term):
+            t = term(w.decode())
+            if t in self.full or t not in self.terms:
+                self.none.add(w)
+                out.discard(w)
+            else:
+                self.term[w] = t
         return out
 
+    def of(self, text: str) -> set[str]:
+        return set(map(self.term.__getitem__, self.words(text)))
+
+    def drop(self, terms: set[str]) -> None:
+        """These terms are not asked for from now on."""
+        if terms:
+            self.full |= terms
+            gone = [w for w, t in self.term.items() if t in terms]
+            self.none.update(gone)
+            for w in gone:
+                del self.term[w]
+
 
 def _chunks(batches: Iterator[pa.RecordBatch], size: int = 2_000_000) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Parts of the batches and the texts of their last column, some ``size`` characters at a time; null texts are empty."""
@@ -194,26 +215,34 @@ def mentions(docs: DataFrame) -> DataFrame:
                     told.append(sorted({w for w, _, _ in words(t, spans)}))
             yield pa.RecordBatch.from_arrays([pa.array(who, pa.list_(pa.string())), pa.array(told, pa.list_(pa.string()))], ["entities", "terms"])
 
-    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "entities array<string>, terms array<string>")
+    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(lean(run), "entities array<string>, terms array<string>")
 
 
 def term_counts(docs: DataFrame, terms: DataFrame, n: int, most: int) -> DataFrame:
     """``(term, df)``: documents that contain each of ``terms`` (``n`` of them), over all ``docs``.
 
     Terms of more than ``most`` documents are left out; a task stops counting those that it alone finds in more.
+    It gives out its counts when they are ``COUNTED`` terms and at its end.
     """
     maybe = Sketch(terms, n)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Known(maybe)
+        count: Counter[str] = Counter()
+
+        def counted() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(count), pa.string()), pa.array(list(count.values()), pa.int64())], ["term", "df"])
+
         for _, texts in _chunks(batches):
-            count: Counter[str] = Counter()
             for t in texts:
                 count.update(known.of(t))
-            known.full.update(t for t, k in count.items() if k > most)
-            yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.string()), pa.array(list(count.values()), pa.int64())], ["term", "df"])
+            known.drop({t for t, k in count.items() if k > most} - known.full)
+            if len(count) > COUNTED:
+                yield counted()
+                count.clear()
+        yield counted()
 
-    seen = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "term string, df long")
+    seen = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(lean(run), "term string, df long")
     return seen.groupBy("term").agg(F.sum("df").alias("df")).filter(F.col("df") <= most).join(terms, "term", "left_semi")
 
 
@@ -271,8 +300,8 @@ def scan(docs: DataFrame, terms: DataFrame) -> DataFrame:
             spans = [find(t) for t in texts]
             base = [joined(x) for x in spans]
             counts = [Counter(k for k, _, _ in x) for x in spans]
-            own = [known.of(t) for t in texts]
-            maybe = [[{"term": x, "start": a, "end": b} for x, a, b in words(t, s) if x in w] if w else []
+            own = [{w.decode() for w in known.words(t)} for t in texts]
+            maybe = [[{"term": x, "start": a, "end": b} for x, a, b in words(t, s, w)] if w else []
                      for t, s, w in zip(texts, spans, own, strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), part.column(1), *[pa.array([c[k] for c in counts], pa.int64()) for k in KINDS],
@@ -280,7 +309,7 @@ def scan(docs: DataFrame, terms: DataFrame) -> DataFrame:
                 ["row", "doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "base", "maybe"])
 
     return (docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-            .mapInArrow(run, _FOUND))
+            .mapInArrow(lean(run), _FOUND))
 
 
 def sanitise(docs: DataFrame, share: float = DISCLOSED, prior: float = PRIOR) -> DataFrame:

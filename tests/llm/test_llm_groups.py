@@ -444,3 +444,34 @@ def test_one_very_long_conversation(spark):
     turns = "".join(f"{'assistant' if i % 3 else 'user'}\n{t}\n" for i, t in enumerate(texts))
     assert (got.n_turns, got.loss_chars) == (n, len(loss))
     assert got.loss_sha256 == hashlib.sha256(loss.encode()).hexdigest() and got.turns_sha256 == hashlib.sha256(turns.encode()).hexdigest()
+
+
+def test_words_are_asked_for_once_and_only_where_marked():
+    class Asked:
+        n = 0
+
+        def __contains__(self, t):
+            self.n += 1
+            return t != "none"
+
+    known = sanitise.Known(Asked())
+    assert known.of("Ann, (ann) none bob") == {"ann", "bob"} and known.of("none bob Ann,") == {"ann", "bob"}
+    assert known.terms.n == 4  # each word as it stands, once
+    known.drop({"ann"})
+    assert known.words("Ann, bob (ann) ann none") == {b"bob"}
+    assert list(sanitise.words("bob Ann, bob x@y.z", [("email", 13, 18)], {"bob", "x@y.z"})) == [("bob", 0, 3), ("bob", 9, 12)]
+
+
+def test_term_counts_cross_the_parts_of_a_task(spark, monkeypatch):
+    rows = [(i, f"often{i % 2} word{i} " + "x" * 50) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    terms = docs.selectExpr("explode(split(text, ' ')) term").distinct()
+    for size in (1, 100_000):
+        monkeypatch.setattr(sanitise, "COUNTED", size)
+        got = {r.term: r.df for r in sanitise.term_counts(docs, terms, 303, 150).collect()}
+        assert got == {f"word{i}": 1 for i in range(300)} | {"often0": 150, "often1": 150}
+
+
+def test_numbers_side_by_side_are_found():
+    for t in ("1.2.3.4 4111 1111 1111 1111", "12 4111-1111-1111-1111 5.6.7.8-9.9.9.9", "1.2.3.4.4111111111111111 1-2.3.4.5", "1.2.3.4\n5.6.7.8 . 9.9.9.9"):
+        assert sanitise.find(t) == spans_by_hand(t), t
