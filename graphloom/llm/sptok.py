@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +31,8 @@ from graphloom.llm.common import lean
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-#: Characters of distinct words that are indexed at a time, and of documents that are put together.
-INDEX_CHARS, TEXT_CHARS = 300_000, 4_000_000
+#: Characters of distinct words that are indexed at a time, of documents that are put together, and of words kept.
+INDEX_CHARS, TEXT_CHARS, KEPT_CHARS = 150_000, 1_000_000, 1_500_000
 
 
 class Vocabulary:
@@ -122,7 +123,7 @@ class Vocabulary:
 
 
 class Encoder:
-    """Encodes batches of words; lives in a task and remembers checked pairs of pieces."""
+    """Encodes batches of words; lives in a task and remembers checked pairs of pieces and the words of earlier texts."""
 
     CACHE = 1 << 20
 
@@ -131,11 +132,17 @@ class Encoder:
         self.length = np.ones(v.size + 1, dtype=np.int32)
         self.length[:v.size] = [max(1, len(p)) for p in v.pieces]
         self.depth = max(len(v.pieces[i]) for i in v.usable)
-        self.points = [np.frombuffer(v.pieces[i].encode("utf-32-le"), dtype=np.uint32) for i in v.usable]
-        self.flat = np.concatenate(self.points)
-        self.plen = np.array([len(x) for x in self.points])
+        self.flat = np.frombuffer("".join(v.pieces[i] for i in v.usable).encode("utf-32-le"), dtype=np.uint32)
+        self.plen = np.array([len(v.pieces[i]) for i in v.usable])
         self.known = np.full(self.CACHE, -1, dtype=np.int64)
         self.value = np.zeros(self.CACHE, dtype=bool)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.index: dict[str, int] = {}  # words by number; word i's ids are at start[i] in flat_ids, count[i] of them
+        self.kept = 0
+        self.flat_ids = np.zeros(0, np.int32)
+        self.start = self.count = np.zeros(0, np.int64)
 
     def _apart(self, u: np.ndarray, t: np.ndarray) -> np.ndarray:
         """For each pair of neighbours whether BPE leaves both as they are."""
@@ -272,12 +279,23 @@ class Encoder:
 
     def texts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and the number of ids of each."""
-        index: dict[str, int] = {}
+        if self.kept > KEPT_CHARS:
+            self._forget()
+        index, known = self.index, len(self.index)
         docs = []
         for t in texts:
             chunks = self.CHUNK.findall(SPACE + t.replace(" ", SPACE)) if t else []
-            docs.append(np.array([index.setdefault(c, len(index)) for c in chunks], dtype=np.int64))
-        chunks = list(index)
+            docs.append(np.array([index.setdefault(c, len(index)) for c in chunks], dtype=np.int32))
+        if len(index) > known:
+            self._learn(list(islice(index, known, None)))
+        sizes = np.array([int(self.count[d].sum()) for d in docs], dtype=np.int64)
+        every = np.concatenate(docs) if docs else np.zeros(0, np.int32)
+        n = self.count[every]
+        at = np.repeat(self.start[every] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        return self.flat_ids[at], sizes
+
+    def _learn(self, chunks: list[str]) -> None:
+        """Encodes words that were not met before and keeps their ids."""
         # a run of blanks only merges when all else is done: its last blank belongs to the word first
         runs = {i: len(c) - len(c.lstrip(SPACE)) for i, c in enumerate(chunks) if c.startswith(SPACE * 2)}
         words = [c[runs[i] - 1:] if i in runs else c for i, c in enumerate(chunks)]
@@ -290,23 +308,22 @@ class Encoder:
             x, c = self.words(words[i:j])
             ids.append(x)
             counts.append(c)
+            self.kept += n
             i = j
-        flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
-        count = np.concatenate(counts) if counts else np.zeros(0, np.int64)
+        flat, count = np.concatenate(ids), np.concatenate(counts)
         start = np.cumsum(count) - count
         if runs:
-            blank, extra = self.v.ids[SPACE], []
+            blank, extra, end = self.v.ids[SPACE], [], len(flat)
             for i, n in runs.items():
                 own = flat[start[i]:start[i] + count[i]]
                 own = np.concatenate([self.v.run(n), own[1:]]) if own[0] == blank else np.concatenate([self.v.run(n - 1), own])
-                start[i], count[i] = len(flat) + sum(map(len, extra)), len(own)
+                start[i], count[i] = end, len(own)
+                end += len(own)
                 extra.append(own.astype(np.int32))
             flat = np.concatenate([flat, *extra])
-        sizes = np.array([int(count[d].sum()) for d in docs], dtype=np.int64)
-        every = np.concatenate(docs) if docs else np.zeros(0, np.int64)
-        n = count[every]
-        at = np.repeat(start[every] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        return flat[at], sizes
+        self.start = np.concatenate([self.start, start + len(self.flat_ids)])
+        self.count = np.concatenate([self.count, count])
+        self.flat_ids = np.concatenate([self.flat_ids, flat])
 
 
 def decode_ids(v: Vocabulary, ids) -> str:

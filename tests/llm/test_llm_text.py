@@ -216,3 +216,16 @@ def test_token_counts_equal_brute_force(spark):
     q = {r.share: r.n_tokens for r in lengths.quantiles(got, [0.5, 0.9, 1.0]).collect()}
     assert q == {s: sorted(n)[int(np.ceil(s * len(n))) - 1] for s in (0.5, 0.9, 1.0)}
     assert lengths.token_counts(docs.limit(0)).count() == 0
+
+
+def test_words_of_earlier_texts_are_not_encoded_again(vocabulary, monkeypatch):
+    texts = ["the cat  sat", "the   cat é漢 sat", "", "a cat\nsat  "]
+    alone = [sptok.Encoder(vocabulary).texts([t])[0].tolist() for t in texts]
+    encoder, met = sptok.Encoder(vocabulary), []
+    words = encoder.words
+    monkeypatch.setattr(encoder, "words", lambda w: met.extend(w) or words(w))
+    for _ in range(2):
+        assert [encoder.texts([t])[0].tolist() for t in texts] == alone
+    assert met.count(sptok.SPACE + "the") == 1 and met.count(sptok.SPACE + "a") == 1
+    monkeypatch.setattr(sptok, "KEPT_CHARS", 0)
+    assert [encoder.texts([t])[0].tolist() for t in texts] == alone and encoder.kept <= max(map(len, texts)) + len(texts)
