@@ -230,7 +230,7 @@ class Store:
 
     # -- S11 ----------------------------------------------------------------
     def export_run(self, out_dir: str, summary: DataFrame | None = None) -> None:
-        """Nodes, edges and communities as JSON without vectors, plus a one-row meta table.
+        """Nodes, edges and communities as JSON lines without vectors (gzip: names repeat in every row), plus a one-row meta table.
 
         ``summary`` is the row that ``write_run`` returned: with it the meta row has the run's duration, tokens and cost
         too.  The store's counts are taken while the files are written.
@@ -242,7 +242,7 @@ class Store:
         for name in ("nodes", "edges", "communities"):
             seen = Observation()
             rows = self.read(name, with_vectors=False).observe(seen, F.count(F.lit(1)).alias(name))
-            rows.write.mode("overwrite").json(f"{out_dir}/{name}")
+            rows.write.mode("overwrite").json(f"{out_dir}/{name}", compression="gzip")
             row |= seen.get
         nodes = self.read("nodes", with_vectors=False)
         row["files"] = nodes.select("source_file").distinct().count()

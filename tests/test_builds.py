@@ -161,3 +161,16 @@ def test_export_has_the_run_in_its_meta_row(spark, store):
     assert spark.read.json(f"{out}/nodes").count() == meta.nodes and "embedding" not in spark.read.json(f"{out}/nodes").columns
     store.export_run(out)
     assert "calls" not in spark.read.json(f"{out}/meta").columns
+
+
+def test_export_is_compressed_and_whole(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    store.ensure_tables()
+    edges = spark.range(20_000).select(F.concat(F.lit("e:"), F.col("id")).alias("edge_id"), F.concat(F.lit("a:"), F.col("id")).alias("source_node_id"),
+                                       F.lit("b").alias("target_node_id"), F.lit("CALLS").alias("type"), F.lit("inferred").alias("confidence"))
+    store.append_edges(edges)
+    store.export_run(str(tmp_path / "out"))
+    back = spark.read.json(str(tmp_path / "out" / "edges"))
+    plain = back.select(F.sum(F.length(F.to_json(F.struct("*"))))).first()[0]
+    assert back.select("edge_id", "source_node_id").exceptAll(edges.select("edge_id", "source_node_id")).isEmpty() and back.count() == 20_000
+    assert sum(f.stat().st_size for f in (tmp_path / "out" / "edges").glob("part-*")) < plain / 4
