@@ -7,7 +7,7 @@ in ``graphloom.plans.oracle``.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -924,15 +924,22 @@ def _email_edges(text: str) -> list[dict]:
             for m in re.findall(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", text)]
 
 
-def record_chunks(path: str, text: str) -> list[dict]:
+def _lines(text: str) -> Iterator[str]:
+    """The parts of ``text.split("\\n")``, one at a time."""
+    at = 0
+    while (end := text.find("\n", at)) >= 0:
+        yield text[at:end]
+        at = end + 1
+    yield text[at:]
+
+
+def record_chunks(path: str, text: str) -> Iterator[dict]:
     """A user's extractor: one chunk per line ``<id> TAB <text>``, which belongs to its file and mentions addresses."""
-    out = []
-    for line in text.split("\n"):
+    for line in _lines(text):
         if line:
             name, _, body = line.partition("\t")
-            out.append({"chunk_type": "record", "name": name, "raw_cleaned": body, "edges": [
-                {"target": path, "type": "BELONGS_TO", "confidence": "deterministic", "evidence": "file"}, *_email_edges(body)]})
-    return out
+            yield {"chunk_type": "record", "name": name, "raw_cleaned": body, "edges": [
+                {"target": path, "type": "BELONGS_TO", "confidence": "deterministic", "evidence": "file"}, *_email_edges(body)]}
 
 
 def line_chunks(path: str, text: str) -> list[dict]:

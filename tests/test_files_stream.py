@@ -131,3 +131,18 @@ def test_table_function_equals_arrow_extractors(spark):
     key = lambda df: sorted((r.path, r.node_id or "", r.name or "", r.raw_cleaned or "", str(r.edges), r.error_class or "") for r in df.collect())
     name = register_extractor(spark, "words_fn", words)
     assert key(extract_files(files, {"txt": name})) == key(run_extractors(files, {"txt": words}))
+
+
+def test_records_are_given_line_by_line():
+    import tracemalloc
+
+    from graphloom.plans.catalog import record_chunks
+    for text in ("", "\n", "1\ta\n\n2\tb\tc\n", "x\n3\ta@b.cd", "no tab"):
+        want = [(name, body) for name, _, body in (line.partition("\t") for line in text.split("\n") if line)]
+        assert [(c["name"], c["raw_cleaned"]) for c in record_chunks("f", text)] == want
+    text = "\n".join(f"{i}\t" + "word " * 100 for i in range(20_000))
+    tracemalloc.start()
+    assert sum(1 for _ in record_chunks("f", text)) == 20_000
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < len(text) / 10
