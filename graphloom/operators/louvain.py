@@ -3,6 +3,9 @@
 Synchronous local moves (Blondel et al. 2008; parallel variant after Lu,
 Halappanavar and Kalyanaraman 2015):
 
+* first every node without a self-loop that has one neighbour follows it ("vertex following"
+  there): no partition of greatest modularity parts the two.  Where there are such nodes,
+  the followed nodes are level 0, and only they take part in the rounds;
 * state ``labels(id, comm)``, node strength ``k_i`` (a self-loop adds twice
   its weight), community totals ``tot_C``, total weight ``2m``;
 * every movable node scores each neighbouring community ``C`` (its own
@@ -10,7 +13,7 @@ Halappanavar and Kalyanaraman 2015):
   ``2m * k_i,C - k_i * tot_C`` and moves to the best one only if that is
   strictly better than staying; ties go to the smaller community id;
 * rounds alternate between two halves of the nodes (a hash bit of the id), and a singleton joins another
-  singleton only when the target id is smaller, so two nodes never swap;
+  singleton only when that is stronger (or as strong and of smaller id), so two nodes never swap;
 * a round is kept only if modularity does not fall; a level ends after two
   successive rounds without a kept move, then the graph is contracted
   (communities become nodes, inner edges self-loops) and the next level
@@ -91,7 +94,9 @@ def _round(arcs: DataFrame, k: DataFrame, labels: DataFrame, two_m: int, parity:
     tot_eff = F.when(own, F.col("tot_c") - F.col("k")).otherwise(F.col("tot_c"))
     score = (F.lit(two_m).cast(DEC) * F.col("kic").cast(DEC)
              - F.col("k").cast(DEC) * tot_eff.cast(DEC))
-    allowed = own | ~((F.col("size_own") == 1) & (F.col("size_c") == 1) & (F.col("c") > F.col("comm")))
+    # of two singletons the lighter joins the heavier, so a hub does not leave while its neighbours come to it
+    lighter = (F.col("tot_c") < F.col("k")) | ((F.col("tot_c") == F.col("k")) & (F.col("c") > F.col("comm")))
+    allowed = own | ~((F.col("size_own") == 1) & (F.col("size_c") == 1) & lighter)
     cand = cand.withColumn("score", score).filter(allowed)
     best = (cand.groupBy("id")
             .agg(F.max_by(F.struct(F.col("score"), (-F.col("c")).alias("neg_c")),
@@ -111,6 +116,36 @@ def _round(arcs: DataFrame, k: DataFrame, labels: DataFrame, two_m: int, parity:
                     F.col("new_comm").isNotNull().cast("int").alias("moved")))
 
 
+def _contracted(arcs: DataFrame, loops: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Arcs and loops of the graph whose nodes are the communities of ``labels(id, comm)``."""
+    lab_s = labels.select(F.col("id").alias("src"), F.col("comm").alias("cs"))
+    lab_d = labels.select(F.col("id").alias("dst"), F.col("comm").alias("cd"))
+    moved = arcs.join(lab_s.hint(SPREAD), "src").join(lab_d.hint(SPREAD), "dst")
+    new_arcs = (moved.filter(F.col("cs") != F.col("cd"))
+                .groupBy(F.col("cs").alias("src"), F.col("cd").alias("dst"))
+                .agg(F.sum("w").alias("w")))
+    inner_loops = (moved.filter(F.col("cs") == F.col("cd"))
+                   .groupBy(F.col("cs").alias("id")).agg((F.sum("w") / 2).cast("long").alias("wl")))
+    old_loops = loops.hint(SPREAD).join(labels, "id").select(F.col("comm").alias("id"), "wl")
+    new_loops = (inner_loops.unionByName(old_loops).groupBy("id")
+                 .agg(F.sum("wl").cast("long").alias("wl")))
+    return new_arcs, new_loops
+
+
+def _followers(arcs: DataFrame, loops: DataFrame) -> DataFrame:
+    """``(id, comm)`` of every node without a loop that has one neighbour only, and that neighbour.
+
+    Of two such nodes that are linked with each other the larger id follows the smaller.
+    """
+    ends = arcs.groupBy(F.col("src").alias("id")).agg(F.min("dst").alias("comm"), F.count(F.lit(1)).alias("n")).filter("n = 1")
+    leaves = cut_lineage(ends.join(loops.select("id").hint(SPREAD), "id", "left_anti").select("id", "comm"))
+    back = leaves.select(F.col("comm").alias("id"), F.col("id").alias("comm"))
+    both = leaves.hint(SPREAD).join(back.hint(SPREAD), ["id", "comm"]).filter("id < comm")
+    out = cut_lineage(leaves.join(both.select("id").hint(SPREAD), "id", "left_anti"))
+    release(leaves)
+    return out
+
+
 def louvain(edges: DataFrame, nodes: DataFrame | None = None, max_levels: int | None = None,
             max_rounds: int | None = None, return_levels: bool = False, min_gain: float = 1e-9,
             max_sample_bits: int = 8):
@@ -147,7 +182,22 @@ def louvain(edges: DataFrame, nodes: DataFrame | None = None, max_levels: int |
     levels: list[DataFrame] = []
     cur_ids = ids
 
-    level = -1
+    follow = _followers(arcs, loops)
+    n_follow = follow.count()
+    if n_follow:
+        labels = (ids.join(follow.hint(SPREAD), "id", "left")
+                  .select("id", F.coalesce("comm", "id").alias("comm")))
+        old = [member, arcs, loops, follow]
+        member = cut_lineage(labels.select("id", F.col("comm").alias("node")))
+        labels = member.select("id", F.col("node").alias("comm"))
+        levels.append(member.select("id", F.col("node").alias("community"), F.lit(0).alias("level")))
+        new_arcs, new_loops = _contracted(arcs, loops, labels)
+        arcs, loops = cut_lineage(new_arcs), cut_lineage(new_loops)
+        cur_ids = cut_lineage(labels.select(F.col("comm").alias("id")).distinct())
+        for t in old:
+            release(t)
+
+    level = len(levels) - 1
     while True:
         level += 1
         if max_levels is not None and level == max_levels:
@@ -159,6 +209,9 @@ def louvain(edges: DataFrame, nodes: DataFrame | None = None, max_levels: int |
         if two_m == 0:
             break
         q, _ = _modularity(arcs, loops, k, labels, two_m)
+        if levels and not history:
+            history.append({"level": 0, "rounds": 0, "moves": n_follow,
+                            "communities": cur_ids.count(), "modularity": round(q / two_m ** 2, 6)})
         quiet, moved_level, rnd = 0, 0, 0
         bits_by_parity = [0, 0]
         state = None  # the written table behind labels
@@ -196,17 +249,7 @@ def louvain(edges: DataFrame, nodes: DataFrame | None = None, max_levels: int |
                              .select("id", F.col("comm").alias("node")))
         levels.append(member.select("id", F.col("node").alias("community"),
                                     F.lit(level).alias("level")))
-        lab_s = labels.select(F.col("id").alias("src"), F.col("comm").alias("cs"))
-        lab_d = labels.select(F.col("id").alias("dst"), F.col("comm").alias("cd"))
-        moved = arcs.join(lab_s.hint(SPREAD), "src").join(lab_d.hint(SPREAD), "dst")
-        new_arcs = (moved.filter(F.col("cs") != F.col("cd"))
-                    .groupBy(F.col("cs").alias("src"), F.col("cd").alias("dst"))
-                    .agg(F.sum("w").alias("w")))
-        inner_loops = (moved.filter(F.col("cs") == F.col("cd"))
-                       .groupBy(F.col("cs").alias("id")).agg((F.sum("w") / 2).cast("long").alias("wl")))
-        old_loops = loops.hint(SPREAD).join(labels, "id").select(F.col("comm").alias("id"), "wl")
-        new_loops = (inner_loops.unionByName(old_loops).groupBy("id")
-                     .agg(F.sum("wl").cast("long").alias("wl")))
+        new_arcs, new_loops = _contracted(arcs, loops, labels)
         old = [arcs, loops, k, cur_ids]
         arcs, loops = cut_lineage(new_arcs), cut_lineage(new_loops)
         cur_ids = cut_lineage(labels.select(F.col("comm").alias("id")).distinct())

@@ -64,3 +64,23 @@ def test_louvain_isolated_nodes_stay_alone(spark):
     m, _ = louvain(e, nodes=n)
     got = {r.id: r.community for r in m.collect()}
     assert got[3] == 3 and got[1] == got[2]
+
+
+def test_louvain_nodes_of_one_neighbour_follow_it(spark):
+    """A root, five hubs, items of the hubs, parts of the items, a linked pair, a looped end: ends are settled before any round."""
+    from graphloom.operators.louvain import louvain
+    edges = [(0, h) for h in range(1, 6)]
+    edges += [(h, 100 * h + i) for h in range(1, 6) for i in range(40)]
+    edges += [(100 * h + i, 10000 * h + 100 * i + j) for h in range(1, 6) for i in range(40) for j in range(i % 2)]
+    edges += [(90000, 90001), (1, 90002), (90002, 90002)]
+    e = spark.createDataFrame(edges, "src long, dst long")
+    final, hist, levels = louvain(e, return_levels=True)
+    first = {r.id: r.community for r in levels.filter("level = 0").collect()}
+    ends = {10000 * h + 100 * i + j: 100 * h + i for h in range(1, 6) for i in range(40) for j in range(i % 2)}
+    ends |= {100 * h + i: h for h in range(1, 6) for i in range(0, 40, 2)} | {90001: 90000}
+    assert first == {n: ends.get(n, n) for n in first}
+    assert hist[0]["rounds"] == 0 and hist[0]["moves"] == len(ends) and sum(h["rounds"] for h in hist) <= 12
+    comm = {r.id: r.community for r in final.collect()}
+    for h in range(1, 6):  # hubs stay apart, with all that belongs to them
+        assert {comm[100 * h + i] for i in range(40)} | {comm[n] for n, item in ends.items() if item // 100 == h} == {comm[h]}
+    assert len({comm[h] for h in range(1, 6)}) == 5 and comm[90000] == comm[90001]
