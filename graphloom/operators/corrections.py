@@ -70,6 +70,36 @@ def word_matches(words: DataFrame, corrections: DataFrame) -> DataFrame:
     return cand.join(s, "correction_id").filter(F.expr("contains(s, word)")).select("word", "correction_id").distinct()
 
 
+def matches_of_states(words: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
+    """``(word, correction_id, old, new)``: the matches of two states of the corrections, and in which of them they are.
+
+    A correction whose text is the same in both states is looked for once.
+    """
+    cols = ["correction_id", "original", "corrected", "target_id"]
+    tagged = (before.select(*cols, F.lit(True).alias("old"), F.lit(False).alias("new"))
+              .unionByName(after.select(*cols, F.lit(False).alias("old"), F.lit(True).alias("new"))))
+    version = F.struct("correction_id", F.sha2(F.to_json(F.struct(*cols[1:])), 256).alias("text"))
+    states = cut_lineage(tagged.filter("correction_id IS NOT NULL").groupBy(*cols).agg(F.max("old").alias("old"), F.max("new").alias("new"))
+                         .withColumn("correction_id", version))
+    return (word_matches(words, states).join(states.select("correction_id", "old", "new"), "correction_id")
+            .groupBy("word", F.col("correction_id.correction_id").alias("correction_id")).agg(F.max("old").alias("old"), F.max("new").alias("new")))
+
+
+def new_matches(questions: DataFrame, before: DataFrame, after: DataFrame,
+                id_col: str = "question_id", text_col: str = "text") -> DataFrame:
+    """``search_corrections`` of ``after`` without the pairs that it finds in ``before``.
+
+    A correction all of whose words it had before has no such pair, so only the others are joined to the questions,
+    and each pair is made once.
+    """
+    qw = cut_lineage(question_words(questions, id_col, text_col))
+    hits = cut_lineage(matches_of_states(qw, before, after))
+    gained = hits.filter("new AND NOT old").select("correction_id").distinct()
+    return (qw.join(hits.join(gained, "correction_id", "left_semi"), "word")
+            .groupBy("question_id", "correction_id").agg(F.max("old").alias("old"), F.max("new").alias("new"))
+            .filter("new AND NOT old").select("question_id", "correction_id"))
+
+
 def correction_postings(questions: DataFrame, corrections: DataFrame, id_col: str = "question_id",
                         text_col: str = "text") -> DataFrame:
     """P6 in factorised form: ``(word, correction_id, n_questions)``.

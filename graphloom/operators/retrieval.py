@@ -62,7 +62,8 @@ def letter_pairs(text: str, dimensions: int = DIMENSIONS) -> Column:
 
 # ------------------------------------------------------------ corrections ----
 
-def rank_corrections(questions: DataFrame, corrections: DataFrame, top: int = TOP["correction"]) -> DataFrame:
+def rank_corrections(questions: DataFrame, corrections: DataFrame, top: int = TOP["correction"],
+                     qw: DataFrame | None = None, postings: DataFrame | None = None) -> DataFrame:
     """``(question_id, correction_id, score, rank)``: the best corrections of each question.
 
     The rule that makes a correction match is P6's.  A word that ``df`` of the N corrections have weighs
@@ -72,11 +73,13 @@ def rank_corrections(questions: DataFrame, corrections: DataFrame, top: int = TO
     Questions with the same words are one.  Their candidates come from their essential words only: if a word has
     ``df >= top``, then ``top`` corrections score at least its weight, so corrections that have nothing but words whose
     weights together are less cannot be among the best.  Words that most corrections have are thus looked up for the
-    candidates alone.
+    candidates alone.  Written ``question_words`` and ``word_matches`` may be passed as ``qw`` and ``postings``.
     """
     from graphloom.operators.corrections import question_words, word_matches
-    qw = cut_lineage(question_words(questions))
-    postings = cut_lineage(word_matches(qw, corrections))
+    if qw is None:
+        qw = cut_lineage(question_words(questions))
+    if postings is None:
+        postings = cut_lineage(word_matches(qw, corrections))
     n = corrections.count()
     weights = cut_lineage(postings.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
                           .withColumn("weight", F.expr(f"{n * WEIGHT}L div df")))
@@ -101,10 +104,14 @@ def correction_changes(questions: DataFrame, before: DataFrame, after: DataFrame
     """How each question's corrections differ between two states of the corrections.
 
     Returns ``question_id, correction_id, change, old_rank, new_rank`` with change ``added``, ``removed`` or ``moved``;
-    rows whose rank is the same are left out.
+    rows whose rank is the same are left out.  The words are looked for in both states at once.
     """
-    old, new = (rank_corrections(questions, c, top).select("question_id", "correction_id", F.col("rank").alias(r))
-                for c, r in ((before, "old_rank"), (after, "new_rank")))
+    from graphloom.operators.corrections import matches_of_states, question_words
+    qw = cut_lineage(question_words(questions))
+    hits = cut_lineage(matches_of_states(qw, before, after))
+    old, new = (rank_corrections(questions, c, top, qw, hits.filter(state).select("word", "correction_id"))
+                .select("question_id", "correction_id", F.col("rank").alias(r))
+                for c, state, r in ((before, "old", "old_rank"), (after, "new", "new_rank")))
     change = F.when(F.col("old_rank").isNull(), "added").when(F.col("new_rank").isNull(), "removed").otherwise("moved")
     return (old.join(new, ["question_id", "correction_id"], "full").filter("NOT (old_rank <=> new_rank)")
             .select("question_id", "correction_id", change.alias("change"), "old_rank", "new_rank"))

@@ -301,12 +301,10 @@ def correction_before_after(spark: SparkSession, sf_dir: str) -> DataFrame:
     "Before" holds the corrections captured from turns < 4 of each dialogue,
     "after" all of them; the result is after EXCEPT before.
     """
-    from graphloom.operators.corrections import search_corrections
-    q = fx.benchmark_questions(spark, sf_dir)
-    cor = fx.cor_corrections(spark, sf_dir)
-    before = search_corrections(q, cor.filter(F.col("turn") < CORRECTION_SPLIT_TURN))
-    after = search_corrections(q, cor)
-    return after.join(before, ["question_id", "correction_id"], "left_anti")
+    from graphloom.operators.corrections import new_matches
+    from graphloom.session import cut_lineage
+    cor = cut_lineage(fx.cor_corrections(spark, sf_dir))  # both states are read from it
+    return new_matches(fx.benchmark_questions(spark, sf_dir), cor.filter(F.col("turn") < CORRECTION_SPLIT_TURN), cor)
 
 
 # ---------------------------------------------------------------- ledger ----
@@ -1021,7 +1019,8 @@ def context_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
 def context_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The corrections that questions get before and after later turns are captured, compared by rank."""
     from graphloom.operators.retrieval import correction_changes
-    cor = fx.cor_corrections(spark, sf_dir)
+    from graphloom.session import cut_lineage
+    cor = cut_lineage(fx.cor_corrections(spark, sf_dir))  # both states are read from it
     return correction_changes(fx.all_questions(spark, sf_dir), cor.filter(F.col("turn") < CORRECTION_SPLIT_TURN), cor)
 
 

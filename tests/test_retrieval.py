@@ -129,3 +129,26 @@ def test_pairs_of_letters_are_made_once_a_text(spark):
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     # a lambda would make the pairs again for each dimension
     assert plan.index("regexp_replace") < plan.index("lambdafunction")
+
+
+def test_both_states_are_searched_at_once(spark, monkeypatch):
+    """Corrections that come, go, change their text, repeat or have no id; the words are looked for once."""
+    from graphloom.operators import corrections as C
+    calls, plain = [], C.word_matches
+    monkeypatch.setattr(C, "word_matches", lambda *a: calls.append(1) or plain(*a))
+    schema = "correction_id string, original string, corrected string, target_id string"
+    old = [("a", "refund payment", "", None), ("b", "queue", "", None), ("b", "ledger", "", None), ("gone", "refund", "", None), ("same", "audit", None, "t")]
+    new = [("a", "refund", "queue", None), ("b", "ledger", "audit", None), ("c", "payment", "", None), ("c", "payment", "", None), (None, "refund", "", None),
+           ("same", "audit", None, "t")]
+    q = [("q1", "refund queue"), ("q2", "audit"), ("q3", "payment ledger"), ("q4", None), ("q4", "ledger")]
+    text = lambda r: " ".join(x or "" for x in r[1:])
+    pairs = lambda rows: {(i, r[0]) for i, t in q for w in (t or "").split() for r in rows if r[0] and w in text(r)}
+    b, a = spark.createDataFrame(old, schema), spark.createDataFrame(new, schema)
+    questions = spark.createDataFrame(q, "question_id string, text string")
+    got = [tuple(r) for r in C.new_matches(questions, b, a).collect()]
+    assert sorted(got) == sorted(pairs(new) - pairs(old)) and len(calls) == 1
+    both = [{tuple(r) for r in rank_corrections(questions, c, 2).select("question_id", "correction_id", "rank").collect()} for c in (b, a)]
+    calls.clear()
+    got = {tuple(r) for r in correction_changes(questions, b, a, 2).select("question_id", "correction_id", "old_rank", "new_rank").collect()}
+    ranks = [{(i, c): r for i, c, r in s} for s in both]
+    assert got == {(*k, ranks[0].get(k), ranks[1].get(k)) for k in ranks[0] | ranks[1] if ranks[0].get(k) != ranks[1].get(k)} and len(calls) == 1
