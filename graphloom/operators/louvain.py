@@ -3,9 +3,9 @@
 Synchronous local moves (Blondel et al. 2008; parallel variant after Lu,
 Halappanavar and Kalyanaraman 2015):
 
-* first every node without a self-loop that has one neighbour follows it ("vertex following"
-  there): no partition of greatest modularity parts the two.  Where there are such nodes,
-  the followed nodes are level 0, and only they take part in the rounds;
+* with ``follow``, first every node without a self-loop that has one neighbour follows it
+  ("vertex following" there): no partition of greatest modularity parts the two.  Where there
+  are such nodes, the followed nodes are level 0, and only they take part in the rounds;
 * state ``labels(id, comm)``, node strength ``k_i`` (a self-loop adds twice
   its weight), community totals ``tot_C``, total weight ``2m``;
 * every movable node scores each neighbouring community ``C`` (its own
@@ -13,7 +13,8 @@ Halappanavar and Kalyanaraman 2015):
   ``2m * k_i,C - k_i * tot_C`` and moves to the best one only if that is
   strictly better than staying; ties go to the smaller community id;
 * rounds alternate between two halves of the nodes (a hash bit of the id), and a singleton joins another
-  singleton only when that is stronger (or as strong and of smaller id), so two nodes never swap;
+  singleton only when the target id is smaller (with ``follow``: when the target is stronger, or
+  as strong and of smaller id), so two nodes never swap;
 * a round is kept only if modularity does not fall; a level ends after two
   successive rounds without a kept move, then the graph is contracted
   (communities become nodes, inner edges self-loops) and the next level
@@ -69,7 +70,7 @@ def _modularity(arcs: DataFrame, loops: DataFrame, k: DataFrame, labels: DataFra
 
 
 def _round(arcs: DataFrame, k: DataFrame, labels: DataFrame, two_m: int, parity: int,
-           sample_bits: int = 0, salt: int = 0) -> DataFrame:
+           sample_bits: int = 0, salt: int = 0, by_strength: bool = False) -> DataFrame:
     """One synchronous move round; returns new labels (lazy).
 
     Only nodes of the given id parity may move, and with ``sample_bits > 0``
@@ -94,9 +95,10 @@ def _round(arcs: DataFrame, k: DataFrame, labels: DataFrame, two_m: int, parity:
     tot_eff = F.when(own, F.col("tot_c") - F.col("k")).otherwise(F.col("tot_c"))
     score = (F.lit(two_m).cast(DEC) * F.col("kic").cast(DEC)
              - F.col("k").cast(DEC) * tot_eff.cast(DEC))
-    # of two singletons the lighter joins the heavier, so a hub does not leave while its neighbours come to it
-    lighter = (F.col("tot_c") < F.col("k")) | ((F.col("tot_c") == F.col("k")) & (F.col("c") > F.col("comm")))
-    allowed = own | ~((F.col("size_own") == 1) & (F.col("size_c") == 1) & lighter)
+    later = F.col("c") > F.col("comm")
+    if by_strength:  # the lighter joins the heavier, so a hub does not leave while its neighbours come to it
+        later = (F.col("tot_c") < F.col("k")) | ((F.col("tot_c") == F.col("k")) & later)
+    allowed = own | ~((F.col("size_own") == 1) & (F.col("size_c") == 1) & later)
     cand = cand.withColumn("score", score).filter(allowed)
     best = (cand.groupBy("id")
             .agg(F.max_by(F.struct(F.col("score"), (-F.col("c")).alias("neg_c")),
@@ -148,7 +150,7 @@ def _followers(arcs: DataFrame, loops: DataFrame) -> DataFrame:
 
 def louvain(edges: DataFrame, nodes: DataFrame | None = None, max_levels: int | None = None,
             max_rounds: int | None = None, return_levels: bool = False, min_gain: float = 1e-9,
-            max_sample_bits: int = 8):
+            max_sample_bits: int = 8, follow: bool = False):
     """Communities of an undirected graph given as ``edges(src, dst)`` (long ids).
 
     ``nodes(id)`` adds isolated nodes (each stays alone).  Returns
@@ -159,7 +161,8 @@ def louvain(edges: DataFrame, nodes: DataFrame | None = None, max_levels: int |
     A level ends when neither parity yields a kept move any more (rejected
     rounds are retried with 1/2, 1/4, ... of the movers, down to
     ``2 ** -max_sample_bits``), and the run when a level moves nothing.  A bound on
-    levels or rounds may be passed; it raises when it is hit.
+    levels or rounds may be passed; it raises when it is hit.  ``follow`` is for graphs of
+    hubs and many nodes of one neighbour, where rounds over all nodes take long to settle.
     """
     e = edges.select(F.col("src").cast("long").alias("a"), F.col("dst").cast("long").alias("b"))
     # the input may be an expensive lazy plan (e.g. a KNN join): compute it once
@@ -182,12 +185,12 @@ def louvain(edges: DataFrame, nodes: DataFrame | None = None, max_levels: int |
     levels: list[DataFrame] = []
     cur_ids = ids
 
-    follow = _followers(arcs, loops)
-    n_follow = follow.count()
+    leaves = _followers(arcs, loops) if follow else None
+    n_follow = leaves.count() if follow else 0
     if n_follow:
-        labels = (ids.join(follow.hint(SPREAD), "id", "left")
+        labels = (ids.join(leaves.hint(SPREAD), "id", "left")
                   .select("id", F.coalesce("comm", "id").alias("comm")))
-        old = [member, arcs, loops, follow]
+        old = [member, arcs, loops, leaves]
         member = cut_lineage(labels.select("id", F.col("comm").alias("node")))
         labels = member.select("id", F.col("node").alias("comm"))
         levels.append(member.select("id", F.col("node").alias("community"), F.lit(0).alias("level")))
@@ -220,7 +223,7 @@ def louvain(edges: DataFrame, nodes: DataFrame | None = None, max_levels: int |
                 raise RuntimeError(f"level {level} not settled after {max_rounds} rounds")
             parity = rnd % 2
             bits = bits_by_parity[parity]
-            cand = cut_lineage(_round(arcs, k, labels, two_m, parity, bits, rnd))
+            cand = cut_lineage(_round(arcs, k, labels, two_m, parity, bits, rnd, follow))
             q_new, n_moved = _modularity(arcs, loops, k, cand, two_m)
             accepted = bool(n_moved) and q_new >= q  # exact integers: no order of sums can change the result
             if accepted:

@@ -482,7 +482,7 @@ def louvain_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphloom.operators.hierarchy import community_tree as ct, louvain_levels
     from graphloom.session import cut_lineage
     nodes, edges = (cut_lineage(t) for t in fx.forest(spark, sf_dir))
-    levels = cut_lineage(louvain_levels(edges, nodes.select("id")))
+    levels = cut_lineage(louvain_levels(edges, nodes.select("id"), follow=True))
     tree = cut_lineage(ct(levels, edges))
     top = levels.agg(F.max("level")).first()[0]
     up = tree.filter("parent_id IS NOT NULL").groupBy(F.col("parent_id").alias("community_id")).agg(F.sum("n_members").alias("below"))

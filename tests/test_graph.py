@@ -74,7 +74,7 @@ def test_louvain_nodes_of_one_neighbour_follow_it(spark):
     edges += [(100 * h + i, 10000 * h + 100 * i + j) for h in range(1, 6) for i in range(40) for j in range(i % 2)]
     edges += [(90000, 90001), (1, 90002), (90002, 90002)]
     e = spark.createDataFrame(edges, "src long, dst long")
-    final, hist, levels = louvain(e, return_levels=True)
+    final, hist, levels = louvain(e, return_levels=True, follow=True)
     first = {r.id: r.community for r in levels.filter("level = 0").collect()}
     ends = {10000 * h + 100 * i + j: 100 * h + i for h in range(1, 6) for i in range(40) for j in range(i % 2)}
     ends |= {100 * h + i: h for h in range(1, 6) for i in range(0, 40, 2)} | {90001: 90000}
