@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.functions.idset import bitmap  # noqa: F401 (operators take it from here)
 from graphloom.session import cut_lineage, release
 
 #: White space of the word rule ``[^\x20\x09-\x0D]+``.
@@ -55,20 +56,6 @@ def word_count(text: Column) -> Column:
     return F.length(F.regexp_replace(body, f"{WORD}++{BLANK}*+", "x")).cast("long")
 
 
-def bitmap(positions: DataFrame, bits: int) -> bytes:
-    """Bits at the positions (a long column ``p``, 0 to bits - 1), built by aggregation: ``bits / 8`` bytes in all.
-
-    The bit of position p is ``out[p >> 3] >> (p & 7) & 1``.
-    """
-    place = F.col("p") + 1  # Spark's bitmap functions count from 1
-    out = bytearray(bits // 8)
-    for bucket, part in (positions.groupBy(F.bitmap_bucket_number(place).alias("b"))
-                         .agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("m")).collect()):
-        at = (bucket - 1) * len(part)
-        out[at:at + len(part)] = part[:len(out) - at]
-    return bytes(out)
-
-
 def connected(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``(node, component)`` of every node; ``edges`` has ``a`` and ``b`` (long).
 
