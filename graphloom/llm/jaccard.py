@@ -38,7 +38,7 @@ from graphloom.session import cut_lineage, release
 
 COUNTERS, CHUNK, PARITY = 1 << 22, 1 << 12, 256
 #: Bytes of text that are hashed at a time, and rows that are looked at together.
-BATCH_BYTES, SLICE = 1 << 20, 512
+BATCH_BYTES, SLICE = 1 << 18, 128
 
 _U = np.uint64
 _RNG = np.random.default_rng(20240607)
@@ -270,6 +270,7 @@ def postings(reps: DataFrame) -> DataFrame:
     twice = cut_lineage(reps.select(F.explode("p1").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("docs"))
                         .filter("docs > 1").select("token"))
     known = IdSet(twice)
+    release(twice)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -292,7 +293,9 @@ def shared(post: DataFrame) -> DataFrame:
     """Postings with their token's centre: the class that has the token earliest."""
     centres = cut_lineage(post.groupBy("token").agg(F.min(F.struct("pos", "doc", "n")).alias("c"), F.count(F.lit(1)).alias("docs"))
                           .filter("docs > 1").select("token", F.col("c.doc").alias("cdoc"), F.col("c.n").alias("cn"), F.col("c.pos").alias("cpos")))
-    return cut_lineage(post.join(centres, "token"))
+    common = cut_lineage(post.join(centres, "token"))
+    release(centres)
+    return common
 
 
 def star_pairs(common: DataFrame, percent: int) -> DataFrame:
@@ -401,19 +404,29 @@ def jaccard_groups(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFr
                          .filter("copies > 1").drop("copies"))
     members = cut_lineage(own.join(groups, key, "left").select("doc_id", *key, F.coalesce("rep", "doc_id").alias("rep")))
     copies = cut_lineage(members.filter("doc_id <> rep").select(F.col("doc_id").alias("doc"), *key))
+    release(groups)
     found = cut_lineage(profiles(base, classes, words, percent, IdSet(copies)))
     # rows that the bitmap clears are representatives; only the others take part in the exact join
     reps = found.filter("NOT copy").unionByName(found.filter("copy").join(copies, ["doc", *key], "left_anti").select(*found.columns))
-    common = shared(postings(reps))
+    post = postings(reps)
+    release(found)  # each table goes when the next is written
+    release(copies)
+    common = shared(post)
+    release(post)
     stars = star_links(base, common, classes, words, percent)
     rest = cut_lineage(common.join(_parts(stars), F.col("doc") == F.col("node"), "left")
                        .select("token", "doc", "n", "pos", "prev", F.coalesce("component", "doc").alias("part")))
+    release(common)
     several = cut_lineage(rest.groupBy("token").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo <> hi").select("token"))
-    rest = cut_lineage(rest.join(several, "token", "left_semi"))
+    rest, whole = cut_lineage(rest.join(several, "token", "left_semi")), rest
+    release(whole)
+    release(several)
     cross = cut_lineage(cross_pairs(rest, percent))
-    links = stars.unionByName(verified(facts_of(base, cross, classes, words, percent), cross, percent))
-    for t in (common, rest, cross):
-        release(t)
+    release(rest)
+    facts = facts_of(base, cross, classes, words, percent)
+    links = stars.unionByName(verified(facts, cross, percent))
+    release(facts)
+    release(cross)
     answer = (members.join(_parts(links), F.col("rep") == F.col("node"), "left")
               .select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id")))
     unnamed = every.filter("doc_id IS NULL").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))

@@ -475,3 +475,20 @@ def test_term_counts_cross_the_parts_of_a_task(spark, monkeypatch):
 def test_numbers_side_by_side_are_found():
     for t in ("1.2.3.4 4111 1111 1111 1111", "12 4111-1111-1111-1111 5.6.7.8-9.9.9.9", "1.2.3.4.4111111111111111 1-2.3.4.5", "1.2.3.4\n5.6.7.8 . 9.9.9.9"):
         assert sanitise.find(t) == spans_by_hand(t), t
+
+
+def test_jaccard_drops_tables_it_has_read(spark, monkeypatch):
+    """When the pairs are made, only the documents, their classes and the shared postings are still on disk."""
+    import os
+
+    from graphloom.session import ensure_checkpoint_dir
+    folder = os.path.join(ensure_checkpoint_dir(spark).removeprefix("file:"), "graphloom-tables")
+    tables = lambda: set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    at_pairs, star_links = [], jaccard.star_links
+    monkeypatch.setattr(jaccard, "star_links", lambda *a: at_pairs.append(tables()) or star_links(*a))
+    before = tables()
+    words = [f"w{i}" for i in range(60)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words)), (3, " ".join([*words[:59], "x"])), (4, "a b c d e")], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in jaccard.jaccard_groups(docs).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 4}
+    assert len(at_pairs[0] - before) <= 3
