@@ -48,8 +48,9 @@ def searchable_text(corrections: DataFrame) -> DataFrame:
 
 def _trigrams(text) -> F.Column:
     """Distinct trigrams of a text of at least MIN_WORD_LEN characters."""
-    c = F.col(text)
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - 2), lambda i: F.substring(c, i, F.lit(3))))
+    # characters of an array are found at once; `substring` would count from the start of the text each time
+    return F.array_distinct(F.transform(F.array(F.split(F.col(text), "")), lambda c: F.transform(
+        F.sequence(F.lit(0), F.size(c) - 3), lambda i: F.concat(c[i], c[i + 1], c[i + 2])))[0])
 
 
 def word_matches(words: DataFrame, corrections: DataFrame) -> DataFrame:

@@ -18,7 +18,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.operators.context import route_questions
-from graphloom.schemas import confidence_tier
 from graphloom.session import cut_lineage
 
 #: Most rows of a kind that a question gets: corrections, communities, nodes, edges.
@@ -119,29 +118,52 @@ def correction_changes(questions: DataFrame, before: DataFrame, after: DataFrame
 
 # --------------------------------------------------------------- retrieval ----
 
+def _entries(items: DataFrame, k: int) -> DataFrame:
+    """``(item_id, vec, ids)``: the distinct vectors of ``items(item_id string, vec or text)``, each with its k smallest ids.
+
+    Of items that are alike only the k smallest ids can be among the k nearest.  ``item_id`` begins with the smallest of them, so that
+    entries are ordered as their items are, and is of one entry only.  A text that many items have is made a vector once.
+    """
+    from graphloom.operators.vectors import _usable
+    one = F.struct("item_id").alias("x")  # keeps an id that is null
+    if "text" in items.columns:
+        texts = best(items.select(F.coalesce("text", F.lit("")).alias("text"), "item_id"), ["text"], [F.col("item_id")], k)
+        texts = texts.groupBy("text").agg(F.collect_list(one).alias("ids"))  # k at most
+        items = cut_lineage(texts.select(letter_pairs("text").alias("vec"), "ids")).select("vec", F.explode("ids").alias("x")).select("vec", "x.item_id")
+    items = items.withColumn("vec", F.col("vec").cast("array<double>")).filter(_usable("vec"))
+    entries = best(items.select("vec", "item_id"), ["vec"], [F.col("item_id")], k).groupBy("vec").agg(F.sort_array(F.collect_list(one)).alias("ids"))
+    first = F.coalesce(F.col("ids")[0]["item_id"], F.lit(""))
+    return cut_lineage(entries.select(F.concat(first, F.lit("\0"), F.sha2(F.to_json("vec"), 256)).alias("item_id"), "vec", "ids"))
+
+
 def nearest(texts: DataFrame, items: DataFrame, k: int) -> DataFrame:
-    """``(terms, item_id, distance, rank)`` for distinct ``terms`` of ``texts`` with ``vec``: the k nearest items (L2)."""
+    """``(terms, item_id, distance, rank)`` for distinct ``terms`` of ``texts`` with ``vec``: the k nearest items (L2).
+
+    ``items(item_id, vec)``, or with ``text``, whose ``letter_pairs`` are the vector.
+    """
     from graphloom.operators.vectors import topk
-    found = topk(texts.select(F.col("terms").alias("query_id"), "vec"), items, k, "l2")
-    return found.select(F.col("query_id").alias("terms"), "item_id", F.col("score").alias("distance"), "rank")
+    queries = texts.select(F.col("terms").alias("query_id"), "vec")
+    if items.schema["item_id"].dataType.simpleString() != "string":
+        items = items if "vec" in items.columns else items.select("item_id", letter_pairs("text").alias("vec"))
+        found = topk(queries, items, k, "l2")
+        return found.select(F.col("query_id").alias("terms"), "item_id", F.col("score").alias("distance"), "rank")
+    entries = _entries(items, k)
+    # an item among the k nearest is of an entry among the k nearest
+    found = topk(queries, entries.select("item_id", "vec"), k, "l2").drop("rank")
+    found = found.join(entries.select("item_id", "ids"), "item_id").select(F.col("query_id").alias("terms"), F.col("score").alias("distance"), F.explode("ids").alias("x"))
+    return best(found.select("terms", "x.item_id", "distance"), ["terms"], [F.col("distance"), F.col("item_id")], k)
 
 
 def walk_edges(roots: DataFrame, edges: DataFrame, top: int) -> DataFrame:
     """The first edges of every walk: ``root_id, direction, depth, edge_id, confidence, hop, n_edges, rank``.
 
     ``roots(root_id, direction, depth)``.  Strong confidence first, then near edges, then ids; ``n_edges`` are all
-    edges of the walk.
+    edges of the walk.  Each root is walked once a direction, to the largest depth that is asked of any.
     """
-    from graphloom.operators.traverse import traverse
-    asked = [(r.direction, r.depth) for r in roots.select("direction", "depth").distinct().collect()]  # the routing rules' few
+    from graphloom.operators.traverse import first_edges
     out = None
-    for direction, depth in sorted(asked):
-        mine = roots.filter((F.col("direction") == direction) & (F.col("depth") == depth)).select("root_id").distinct()
-        walk = traverse(edges, mine, depth, direction).edges.withColumn("tier", confidence_tier("confidence"))
-        walk = cut_lineage(walk.select("root_id", "edge_id", "confidence", "tier", "hop"))
-        size = walk.groupBy("root_id").agg(F.count(F.lit(1)).alias("n_edges"))
-        first = best(walk, ["root_id"], [F.col("tier"), F.col("hop"), F.col("edge_id")], top)
-        rows = first.join(size, "root_id").withColumns({"direction": F.lit(direction), "depth": F.lit(depth)})
+    for (direction,) in sorted(roots.select("direction").distinct().collect()):  # the routing rules' few
+        rows = first_edges(edges, roots.filter(F.col("direction") == direction), direction, top).withColumn("direction", F.lit(direction))
         out = rows if out is None else out.unionByName(rows)
     return out
 
@@ -152,7 +174,7 @@ def retrieve(questions: DataFrame, corrections: DataFrame, nodes: DataFrame, com
 
     ``questions(question_id string, text)``, ``corrections`` as in P6, ``nodes(node_id, vec)`` and
     ``communities(community_id, vec)`` with vectors of ``letter_pairs`` (or any others, if the
-    questions have a ``vec`` column too), ``edges`` as in GR1.  Returns ``question_id, route, kind,
+    questions have a ``vec`` column too) or with a ``text`` that they are made of, ``edges`` as in GR1.  Returns ``question_id, route, kind,
     kind_order, rank, item, score``: corrections (score: weight of the matched words), then
     communities and nodes (score: squared distance), then edges of the walk (score: edges of the whole walk).  A question without
     any hit has no row; null texts count as empty.
@@ -180,7 +202,7 @@ def retrieve(questions: DataFrame, corrections: DataFrame, nodes: DataFrame, com
     hits = {}
     for target, items, name, kind in (("community", communities, "community_id", "community"), ("node", nodes, "node_id", "node")):
         asked = texts.filter(F.col("target") == target)
-        found = cut_lineage(nearest(asked, items.select(F.col(name).alias("item_id"), "vec"), top[kind]))
+        found = cut_lineage(nearest(asked, items.select(F.col(name).alias("item_id"), "vec" if "vec" in items.columns else "text"), top[kind]))
         hits[kind] = found
         mine = routed.filter(F.col("target") == target).select("question_id", "route", "terms")
         out = out.unionByName(rows(kind, mine.join(found, "terms"), "item_id", squared))

@@ -23,6 +23,7 @@ from graphloom.session import cut_lineage
 METRICS = ("dot", "cosine", "l2")
 BLOCK_BYTES = 32 << 20  # of vectors sent to every task at a time
 TASK_PAIRS = 1 << 29  # of vectors that a task compares, about: some seconds
+SAMPLE = 4096  # items that give each query a distance to begin with; the search itself is exact
 
 
 def _stack(vectors, metric: str) -> np.ndarray:
@@ -56,30 +57,72 @@ def _best(scores: np.ndarray, items: np.ndarray, k: int) -> list[np.ndarray]:
     return out
 
 
-def _nearest(q: np.ndarray, c: np.ndarray, items: np.ndarray, k: int, self_pairs: np.ndarray | None) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Places and scores of the k nearest rows of ``c`` for each row of finite ``q``, as ``_best`` finds them among ``_scores``.
+def _matched(q: np.ndarray, c: np.ndarray, items: np.ndarray, k: int, self_pairs: np.ndarray | None = None,
+             most: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of ``q`` and of ``c``, distance and place from 0 of the k nearest rows of ``c`` for each row of finite ``q``, ordered by it.
 
-    One matrix product gives each squared distance up to rounding; the exact differences are taken of those rows only that
-    the rounding leaves in question.
+    One matrix product gives each squared distance up to rounding; the exact differences are taken of those pairs only that
+    the rounding leaves in question.  ``most``: squared distances; rows of ``c`` that are farther may be left out.
     """
-    cc = np.einsum("ij,ij->i", c, c)
-    places, scores = [], []
-    near = q @ c.T
-    for i, x in enumerate(q):
-        qq = x @ x
-        d2 = qq + cc - 2.0 * near[i]
-        place = np.arange(len(c)) if self_pairs is None else np.flatnonzero(~self_pairs[i])
-        if len(place) > k:
-            # of a sum of n products, whatever its order
-            slack = 4.0 * (len(x) + 4) * np.finfo(float).eps * (qq + cc[place])
-            some = d2[place]
-            place = place[some - slack <= np.partition(some + slack, k - 1)[k - 1]]
-        d = c[place] - x
-        s = -np.sqrt(np.einsum("ij,ij->i", d, d))
-        keep = np.lexsort((items[place], -s))[:k]
-        places.append(place[keep])
-        scores.append(s[keep])
-    return places, scores
+    size = max(np.abs(q).max(initial=0.0), np.abs(c).max(initial=0.0))
+    kind = np.float32 if size == 0 or 1e-10 < size < 1e15 else np.float64
+    eps = float(np.finfo(kind).eps)
+    qq, cc = np.einsum("ij,ij->i", q, q), np.einsum("ij,ij->i", c, c)
+    slack = 8.0 * (q.shape[1] + 8) * eps  # of a sum of n products, whatever its order
+    # each squared distance without qq: more than `low`, less than `low` and twice the slack of cc and qq
+    low = np.hstack([q, np.ones((len(q), 1))]).astype(kind) @ np.hstack([-2.0 * c, (cc * (1.0 - slack))[:, None]]).astype(kind).T
+    tiny = 1e-30 if kind == np.float32 else 0.0
+    if self_pairs is not None:
+        low[self_pairs] = np.inf
+    limit = np.full(len(q), np.inf) if most is None else most - qq * (1.0 - slack)
+    if most is None and low.shape[1] > k:
+        up = low + (2.0 * slack * cc).astype(kind)
+        limit = np.partition(up, k - 1, axis=1)[:, k - 1] + 2.0 * slack * qq
+    limit = limit + 8.0 * eps * (np.where(np.isfinite(limit), np.abs(limit), 0) + qq) + tiny
+    at, place = np.nonzero((low <= limit.astype(kind)[:, None]) & (low < np.inf))
+    far = np.empty(len(at))
+    for lo in range(0, len(at), 65_536):
+        d = c[place[lo:lo + 65_536]] - q[at[lo:lo + 65_536]]
+        far[lo:lo + 65_536] = np.sqrt(np.einsum("ij,ij->i", d, d))
+    order = np.lexsort((far, at))
+    at, place, far = at[order], place[order], far[order]
+    starts = np.searchsorted(at, np.arange(len(q) + 1))
+    if len(at):
+        # the k-th distance of each row; ties are ordered by item, which is slow, so what is farther goes first
+        edge = np.full(len(q), np.inf)
+        full = np.diff(starts) >= k
+        edge[full] = far[starts[:-1][full] + k - 1]
+        keep = far <= edge[at]
+        at, place, far = at[keep], place[keep], far[keep]
+        order = np.lexsort((items[place], far, at))
+        at, place, far = at[order], place[order], far[order]
+    nth = np.arange(len(at)) - np.searchsorted(at, at)
+    keep = nth < k
+    return at[keep], place[keep], far[keep], nth[keep]
+
+
+def _nearest(q: np.ndarray, c: np.ndarray, items: np.ndarray, k: int, self_pairs: np.ndarray | None) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Places and scores of the k nearest rows of ``c`` for each row of finite ``q``, as ``_best`` finds them among ``_scores``."""
+    at, place, far, _ = _matched(q, c, items, k, self_pairs)
+    cuts = np.searchsorted(at, np.arange(1, len(q)))
+    return np.split(place, cuts), np.split(-far, cuts)
+
+
+def _far_at_most(some: np.ndarray, k: int):
+    """For tasks: each vector's squared distance to the k-th of some of the other side, a little more for rounding."""
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cc = np.einsum("ij,ij->i", some, some)
+        for frame in frames:
+            if len(frame):
+                x = _stack(frame["vec"], "l2")
+                out = np.empty(len(x))
+                for lo in range(0, len(x), 1024):
+                    y = x[lo:lo + 1024]
+                    qq = np.einsum("ij,ij->i", y, y)
+                    up = (cc + qq[:, None]) * (1.0 + 8.0 * (x.shape[1] + 8) * np.finfo(float).eps) - 2.0 * (y @ some.T)
+                    out[lo:lo + 1024] = np.partition(up, k - 1, axis=1)[:, k - 1]
+                yield frame.assign(most=out)
+    return run
 
 
 def _usable(vec: str):
@@ -111,23 +154,30 @@ def topk(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "dot",
     schema = f"query_id {q_type}, item_id {c_type}, score double"
     sign = -1.0 if metric == "l2" else 1.0
 
+    finite = lambda x: np.abs(x).max(initial=0.0) < 1e100
+
     def match(qi, qx, ci, cx) -> pd.DataFrame:
-        if metric == "l2" and max(np.abs(qx).max(initial=0.0), np.abs(cx).max(initial=0.0)) < 1e100:
-            found, best = _nearest(qx, cx, ci, k, qi[:, None] == ci[None, :] if exclude_self else None)
-        else:  # also l2 of values that are not finite or whose squares are not
-            s = _scores(qx, cx, metric)
-            if exclude_self:
-                s[qi[:, None] == ci[None, :]] = -np.inf
-            found = _best(s, ci, k)
-            best = [s[i, f] for i, f in enumerate(found)]
+        if metric == "l2" and finite(qx) and finite(cx):
+            at, place, score, _ = _matched(qx, cx, ci, k, qi[:, None] == ci[None, :] if exclude_self else None)
+            return pd.DataFrame({"query_id": qi[at], "item_id": ci[place], "score": score})
+        # also l2 of values that are not finite or whose squares are not
+        s = _scores(qx, cx, metric)
+        if exclude_self:
+            s[qi[:, None] == ci[None, :]] = -np.inf
+        found = _best(s, ci, k)
+        best = [s[i, f] for i, f in enumerate(found)]
         n = [len(f) for f in found]
         at, score = (np.concatenate(a) if a else np.zeros(0, t) for a, t in ((found, int), (best, float)))
         return pd.DataFrame({"query_id": np.repeat(qi, n), "item_id": ci[at], "score": sign * score})
 
     def scan(rows: pd.DataFrame):
         ids, x = rows[name].to_numpy(), _stack(rows["vec"], metric)
+        known = rows["most"].to_numpy(dtype=float) if "most" in rows else None
+        # queries that meet every batch of a task look for what is nearer than what the batches before gave
+        narrowing = metric == "l2" and send_queries and not exclude_self and finite(x)
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            nearest = np.full((len(x), k), np.inf) if narrowing else None
             for frame in batches:
                 if not len(frame):
                     continue
@@ -136,7 +186,18 @@ def topk(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "dot",
                     part = frame.iloc[lo:lo + step]
                     y = _stack(part["vec"], metric)
                     own = part["item_id" if send_queries else "query_id"].to_numpy()
-                    yield match(*((ids, x, own, y) if send_queries else (own, y, ids, x)))
+                    if not narrowing or not finite(y):
+                        yield match(*((ids, x, own, y) if send_queries else (own, y, ids, x)))
+                        continue
+                    most = nearest[:, k - 1] ** 2 * (1.0 + 1e-12)
+                    if known is not None:
+                        most = np.minimum(most, known)
+                    at, place, far, nth = _matched(x, y, own, k, most=most if np.isfinite(most).any() else None)
+                    yield pd.DataFrame({"query_id": ids[at], "item_id": own[place], "score": far})
+                    new = np.full((len(x), k), np.inf)
+                    new[at, nth] = far
+                    some = np.unique(at)
+                    nearest[some] = np.sort(np.hstack([nearest[some], new[some]]), axis=1)[:, :k]
         return run
 
     def pair(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -149,6 +210,11 @@ def topk(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "dot",
         return pd.concat(parts, ignore_index=True)
 
     if min(q_bytes, c_bytes) <= block_bytes:
+        if metric == "l2" and send_queries and not exclude_self and tasks > 1 and n_c > max(SAMPLE, k):
+            # what is farther than the k-th of some items is not among the k nearest of all
+            some = _stack(c.orderBy(F.xxhash64("item_id")).limit(max(SAMPLE, k)).toPandas()["vec"], metric)
+            if finite(some):
+                sent = q.repartition(min(tasks, 64)).mapInPandas(_far_at_most(some, k), f"query_id {q_type}, vec array<double>, most double")
         rows = sent.toPandas()  # at most block_bytes of vectors
         if not len(rows):
             return queries.sparkSession.createDataFrame([], f"{schema}, rank int")

@@ -152,3 +152,46 @@ def test_both_states_are_searched_at_once(spark, monkeypatch):
     got = {tuple(r) for r in correction_changes(questions, b, a, 2).select("question_id", "correction_id", "old_rank", "new_rank").collect()}
     ranks = [{(i, c): r for i, c, r in s} for s in both]
     assert got == {(*k, ranks[0].get(k), ranks[1].get(k)) for k in ranks[0] | ranks[1] if ranks[0].get(k) != ranks[1].get(k)} and len(calls) == 1
+
+
+def test_items_that_are_alike_are_searched_once(spark, monkeypatch):
+    """Many ids of few texts, an id of two texts, a text that is null; the nearest are those of a search through all."""
+    from graphloom.operators import retrieval as R
+    from graphloom.operators import vectors as V
+    rows = [(f"i{i:03}", ["alpha", "beta", "alpha", None, "gamma ray"][i % 5]) for i in range(200)] + [("i000", "gamma ray"), ("i001", "beta"), ("i", "delta")]
+    items = spark.createDataFrame(rows, "item_id string, text string")
+    texts = spark.createDataFrame([("alpha",), ("gamma",), ("",), ("beta delta",)], "terms string").withColumn("vec", letter_pairs("terms"))
+    plain = topk(texts.withColumnRenamed("terms", "query_id"), items.select("item_id", letter_pairs("text").alias("vec")), 7, "l2")
+    want = sorted((r.query_id, r["rank"], r.item_id, r.score) for r in plain.collect())
+    seen = []
+    monkeypatch.setattr(V, "topk", lambda q, c, *a: seen.append(c.count()) or topk(q, c, *a))
+    for given in (items, items.select("item_id", letter_pairs("text").alias("vec"))):
+        got = R.nearest(texts, given, 7)
+        assert sorted((r.terms, r["rank"], r.item_id, r.distance) for r in got.collect()) == want
+    assert seen == [5, 5]
+
+
+def test_distances_known_before_change_nothing(spark, monkeypatch):
+    from graphloom.operators import vectors as V
+    rnd = random.Random(9)
+    rows = [(i, [float(rnd.randint(0, 3)) for _ in range(5)]) for i in range(400)]
+    c = spark.createDataFrame(rows, "item_id long, vec array<double>")
+    q = c.filter("item_id < 60").withColumnRenamed("item_id", "query_id")
+    want = sorted(map(tuple, topk(q, c, 4, "l2").collect()))
+    looked = []
+    plain = V._far_at_most
+    monkeypatch.setattr(V, "_far_at_most", lambda some, k: looked.append(len(some)) or plain(some, k))
+    monkeypatch.setattr(V, "TASK_PAIRS", 5000)
+    monkeypatch.setattr(V, "SAMPLE", 50)
+    assert sorted(map(tuple, topk(q, c, 4, "l2").collect())) == want and looked == [50]
+
+
+def test_retrieve_lists_no_walk(spark):
+    """60 roots around a hub: each walk has all 60 edges, of which the first two are looked up."""
+    from test_connect_work import join_rows
+    n = 60
+    e = spark.createDataFrame([(f"e{i:02}", f"n{i}", "hub", "T", "deterministic", "") for i in range(n)],
+                              "edge_id string, source_node_id string, target_node_id string, type string, confidence string, evidence string")
+    from graphloom.operators.retrieval import walk_edges
+    rows, most = join_rows(walk_edges(spark.createDataFrame([(f"n{i}", "both", 2) for i in range(n)], "root_id string, direction string, depth int"), e, 2))
+    assert len(rows) == 2 * n and {r.n_edges for r in rows} == {n} and most < n * n / 4
